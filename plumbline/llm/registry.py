@@ -9,6 +9,7 @@ QUERIES = {
     "op2_token_files": "token_files",
     "op3_decontaminate": "decontaminate",
     "op6_kd_shards": "kd_shards",
+    "op7_tiff": "tiff",
     "op8_mixing": "mixing",
 }
 
