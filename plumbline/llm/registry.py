@@ -11,6 +11,7 @@ QUERIES = {
     "op6_kd_shards": "kd_shards",
     "op7_tiff": "tiff",
     "op8_mixing": "mixing",
+    "op9_toxicity": "toxicity",
 }
 
 
