@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query: module
 QUERIES = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_token_files": "token_files",
     "op3_decontaminate": "decontaminate",
     "op6_kd_shards": "kd_shards",
