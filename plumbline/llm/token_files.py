@@ -42,6 +42,9 @@ MAGIC = b"DAC1"
 
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s|\s ")
+_SPACE = re.compile(r"\s")
+#: Marks that are never in one piece with a letter or digit before them.
+MARKS = ".,;:!?%*#&$|"
 
 
 class Encoder:
@@ -62,6 +65,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose text begins with a space
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         self.first: dict[str, int] = {}  # stretches that open a text
         self.later: dict[str, int] = {}  # stretches after a space, without it
         self.at = np.zeros(1 << 16, np.int64)
@@ -84,20 +89,50 @@ class Encoder:
         self.at = np.concatenate([[0], np.cumsum(each), np.zeros(1 << 16, np.int64)])
         self.seen = np.append(seen[old] // 2, np.zeros(1 << 16, np.int64))
 
+    def _add(self, memory: dict[str, int], stretches: list[str], ids: np.ndarray, each: np.ndarray) -> None:
+        """Remember stretches whose ids follow each other in ids."""
+        start, n = int(self.at[self.n]), len(stretches)
+        while self.n + n + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[start : start + len(ids)] = ids
+        self.at[self.n + 1 : self.n + n + 1] = start + np.cumsum(each)
+        memory.update(zip(stretches, range(self.n, self.n + n), strict=True))
+        self.n += n
+
     def _learn(self, stretches: list[str], memory: dict[str, int], lead: str) -> None:
-        got = self.tokenizer.encode_batch_fast([lead + s for s in stretches], add_special_tokens=False)
-        for s, e in zip(stretches, got, strict=True):
-            ids = e.ids
-            start = self.at[self.n]
-            end = int(start) + len(ids)
-            if self.n + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[start:end] = ids
-            memory[s] = self.n
-            self.n += 1
-            self.at[self.n] = end
+        """Encode stretches not met before: one by one, or many at once where only their leads are spaces."""
+        if lead:
+            joined = [s for s in stretches if s and not _SPACE.search(s)]
+            for at in range(0, len(joined), 4096):
+                some = joined[at : at + 4096]
+                ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                begins = np.flatnonzero(self.spaced[ids])
+                self._add(memory, some, ids, np.diff(np.append(begins, len(ids))))
+            stretches = [s for s in stretches if not s or _SPACE.search(s)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([lead + s for s in stretches], add_special_tokens=False)]
+        self._add(memory, stretches, np.array([i for e in got for i in e], np.uint32), np.array([len(e) for e in got], np.int64))
+
+    def _meet(self, have: list[str]) -> None:
+        """Learn the later stretches among have: a word with marks behind it is that word and those marks."""
+        memory, whole, split, bases = self.later, [], [], set()
+        for s in sorted(set(have) - memory.keys()):
+            base = s.rstrip(MARKS)
+            if base and base != s and base[-1].isalnum() and not _SPACE.search(s):
+                split.append((s, base))
+                bases.add(base)
+            else:
+                whole.append(s)
+        if new := sorted({*whole, *(bases - memory.keys())}):
+            self._learn(new, memory, " ")
+        tails = {s[len(b) :] for s, b in split}
+        if new := sorted(tails - self.first.keys()):
+            self._learn(new, self.first, "")
+        if split:
+            pairs = np.array([(memory[b], self.first[s[len(b) :]]) for s, b in split], np.int64).ravel()
+            each = self.at[pairs + 1] - self.at[pairs]
+            self._add(memory, [s for s, _ in split], self.ids[ranges(self.at[pairs], each)], each[0::2] + each[1::2])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)"""
@@ -112,9 +147,9 @@ class Encoder:
             heads.append(some[0])
             counts[k] = len(some) - 1
             tails += some[1:]
-        for memory, have, lead in ((self.first, heads, ""), (self.later, tails, " ")):
-            if new := [s for s in set(have) if s not in memory]:
-                self._learn(sorted(new), memory, lead)
+        if new := sorted(set(heads) - self.first.keys()):
+            self._learn(new, self.first, "")
+        self._meet(tails)
         head = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
         tail = np.fromiter(map(self.later.__getitem__, tails), np.int64, len(tails))
         which = np.insert(tail, np.cumsum(counts) - counts, head)
