@@ -9,10 +9,12 @@ QUERIES = {
     "op1_substring_dedup": "substring_dedup",
     "op2_token_files": "token_files",
     "op3_decontaminate": "decontaminate",
+    "op5_jaccard_join": "jaccard_join",
     "op6_kd_shards": "kd_shards",
     "op7_tiff": "tiff",
     "op8_mixing": "mixing",
     "op9_toxicity": "toxicity",
+    "op10_html_text": "html_text",
 }
 
 

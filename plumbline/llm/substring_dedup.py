@@ -33,13 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import tables
+from . import marks, tables
 from .words import PLAIN, U64, Words, by_bytes, gram_hashes, mix, powers, ranges
 
 WINDOW = 35
 GRAM = 8
-FILTER_BITS = 1 << 27
-CHUNK_BITS = 1 << 21
 HOT_SHARE = 1000
 HOT_LEAST = 20_000
 SHARD_SEGMENTS = 12_000
@@ -227,48 +225,20 @@ def _keys(docs: DataFrame, size: int) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("times").alias("times"), F.sum("n").alias("n")).where("times > 1")
 
 
-def _places(key: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each key."""
-    h = mix(key.astype(U64) ^ U64(_B1))
-    return np.stack([h & U64(FILTER_BITS - 1), (h >> U64(32)) & U64(FILTER_BITS - 1)]).astype(np.int64)
-
-
-def _filter(keys: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The filter of repeated keys, how many there are, and how many segments have them."""
-
-    def chunk(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(CHUNK_BITS, np.uint8)
-        bits[group["bit"].to_numpy()] = 1
-        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_places(batch.column("key").to_numpy().view(U64)))
-            yield pa.RecordBatch.from_arrays([pa.array((at // CHUNK_BITS).astype(np.int32)), pa.array((at % CHUNK_BITS).astype(np.int32))], ["chunk", "bit"])
-
-    total = keys.agg(F.count("*").alias("keys"), F.sum("n").alias("n")).first()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    # FILTER_BITS / CHUNK_BITS rows, whatever the input
-    for r in keys.select("key").mapInArrow(spread, "chunk int, bit int").groupBy("chunk").applyInPandas(chunk, "chunk int, bits binary").collect():
-        out[r["chunk"] * (CHUNK_BITS // 8) : (r["chunk"] + 1) * (CHUNK_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return out, total["keys"], total["n"] or 0
-
-
 _SEGMENT = "shard int, a long, b long, doc_id long, hashed long, first int, n int, words binary"
 
 
-def _passing(docs: DataFrame, size: int, marks: np.ndarray, hot: np.ndarray, shards: int) -> DataFrame:
+def _passing(docs: DataFrame, size: int, filled: np.ndarray, hot: np.ndarray, shards: int) -> DataFrame:
     """Segments with repeated keys, and single windows of hot keys; words only where a task first meets them."""
-    shared = docs.sparkSession.sparkContext.broadcast((marks, hot))
+    shared = docs.sparkSession.sparkContext.broadcast((filled, hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, hot = shared.value
+        filled, hot = shared.value
         seen: set[tuple[int, int]] = set()
         for batch in by_bytes(batches, "text"):
             words = Words(batch.column("text").to_pylist(), PLAIN)
             text, begin, n, key, _ = segments(words, size)
-            at = _places(key)
-            keep = np.flatnonzero(((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0))
+            keep = np.flatnonzero(marks.passing(filled, key))
             text, begin, n, key = text[keep], begin[keep], n[keep], key[keep]
             heavy = np.isin(key, hot)
             if heavy.any():
@@ -327,11 +297,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     docs = docs.drop(*ADDED, "hashed", "spans").withColumn("hashed", F.xxhash64("text"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "hashed", F.col("text").cast("binary").alias("text"))
     keys = tables.stored(_keys(plain, size))
-    marks, _, n = _filter(keys)
+    n = keys.agg(F.sum("n")).first()[0] or 0
     hot = keys.where(F.col("n") > max(HOT_LEAST, n // HOT_SHARE)).select("key").collect()  # HOT_SHARE rows at most
     hot_keys = np.array([r["key"] for r in hot], np.int64).view(U64)
     shards = max(1, -(-n // SHARD_SEGMENTS))
-    covered = _covered(_passing(plain, size, marks, hot_keys, shards), size)
+    covered = _covered(_passing(plain, size, marks.build(keys, "key"), hot_keys, shards), size)
     spans = covered.groupBy(F.col("doc_id").alias("s_id"), F.col("hashed").alias("s_hashed")).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")) & F.col("hashed").eqNullSafe(F.col("s_hashed")), "left").drop("s_id", "s_hashed", "hashed")
     kept = [f for f in joined.schema if f.name != "spans"]

@@ -37,7 +37,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes a plan reads; only ever used to choose how finely work is cut."""
+    """Catalyst's estimate of the bytes of a scan (joins multiply it); only chooses how finely work is cut."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
