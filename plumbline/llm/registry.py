@@ -9,6 +9,7 @@ QUERIES = {
     "op1_substring_dedup": "substring_dedup",
     "op2_token_files": "token_files",
     "op3_decontaminate": "decontaminate",
+    "op4_pitman_yor": "pitman_yor",
     "op5_jaccard_join": "jaccard_join",
     "op6_kd_shards": "kd_shards",
     "op7_tiff": "tiff",
