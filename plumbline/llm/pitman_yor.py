@@ -40,8 +40,8 @@ DISCOUNT, STRENGTH = (0.7, 0.8), (2.0, 1.0)  # of parents and of leaves
 BURN, SAMPLES = 2, 3
 EXACT = 48
 ADD = 0.1
-BUCKET_BYTES = 12 << 20  # of text for each bucket
-SLICE = 6 << 20
+BUCKET_BYTES = 6 << 20  # of the scan's estimate, doubled, for each bucket: some two million tokens
+SLICE = 10 << 20
 HOT = 400  # a context with this part of all tokens may be dealt to several parents
 SPLIT = 400_000  # tokens after a context for each of its parents
 
@@ -327,7 +327,7 @@ def _ask(group: pd.DataFrame, owners: int) -> pd.DataFrame:
     counts, owner = bucket.training_counts(), _owner(bucket.vocab, owners)
     order = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-    rows = [(o, int(group["bucket"].iloc[0]), _pack(bucket.vocab[at], _least(counts[at]))) for o in range(owners) if len(at := order[cuts[o] : cuts[o + 1]])]
+    rows = [(o, int(group["bucket"].iloc[0]), _pack(bucket.vocab[at], _least(counts[at]))) for o in range(owners) for at in [order[cuts[o] : cuts[o + 1]]]]  # every owner is asked, so every bucket hears all totals
     return pd.DataFrame(rows, columns=["owner", "bucket", "blob"])
 
 
@@ -339,8 +339,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     np.add.at(total, at, np.concatenate([a[1].astype(np.int64) for a in asked]))
     ends = np.cumsum([len(a[0]) for a in asked])
     own = [_pack(_least(total[at[e - len(a[0]) : e]])) for a, e in zip(asked, ends, strict=True)]
-    first = np.arange(len(own)) == 0
-    return pd.DataFrame({"bucket": group["bucket"].to_numpy(), "owner": group["owner"].to_numpy(), "blob": own, "total": np.where(first, total.sum(), 0), "distinct": np.where(first, (total > 0).sum(), 0)})
+    return pd.DataFrame({"bucket": group["bucket"].to_numpy(), "owner": group["owner"].to_numpy(), "blob": own, "total": total.sum(), "distinct": (total > 0).sum()})
 
 
 def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame:
@@ -348,13 +347,13 @@ def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame
     counts, owner = np.zeros(len(bucket.vocab), np.int64), _owner(bucket.vocab, owners)
     for o, blob in zip(right["owner"], right["blob"], strict=True):
         counts[owner == o] = _unpack(blob)[0]
-    total, distinct = int(right["all_total"].iloc[0]), int(right["all_distinct"].iloc[0])
+    total, distinct = int(right["total"].sum()), int(right["distinct"].sum())
     n, known, base, model = bucket.sums(counts, total, distinct, int(left["bucket"].iloc[0]))
     rows: dict[int, list[np.ndarray]] = {}
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
         some = np.flatnonzero(n[s])
-        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), base[s][some], model[s][some], bucket.docs[k], bucket.known_ids[k]]
+        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), base[s][some], model[s][some].astype(np.float32), bucket.docs[k], bucket.known_ids[k]]
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
@@ -384,10 +383,6 @@ def score(docs: DataFrame) -> DataFrame:
     dealt = _dealt(plain, buckets, hot).repartition(buckets, "bucket")
     asked = dealt.groupBy("bucket").applyInPandas(lambda g: _ask(g, buckets), "owner int, bucket int, blob binary")
     told = asked.groupBy("owner").applyInPandas(_answer, "bucket int, owner int, blob binary, total long, distinct long")
-    # a row for each bucket and owner
-    told = tables.stored(told)
-    sums = told.agg(F.sum("total").alias("t"), F.sum("distinct").alias("d")).first()
-    told = told.select("bucket", "owner", "blob", F.lit(sums["t"] or 0).alias("all_total"), F.lit(sums["d"] or 0).alias("all_distinct"))
     scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, buckets), "batch long, blob binary, train_tokens long")
     gathered = scored.groupBy("batch").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return gathered.withColumn("held_out", held_out(F.col("doc_id")))
