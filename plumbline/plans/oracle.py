@@ -52,9 +52,9 @@ def trace_edges(start: str, direction: str, hops: int) -> str:
     """Walked edges; all but the one that discovers a node, the least id of its level, are cycles."""
     here, there = ("dst", "src") if direction == "upstream" else ("src", "dst")
     return f"""WITH RECURSIVE {E}, {reached(start, here, there, hops)},
-seen AS (SELECT e.id, e.src, e.dst, a.hop AS at, b.hop AS found, min(e.id) OVER (PARTITION BY e.{there}, a.hop) AS least
+seen AS (SELECT e.id, e.src, e.dst, a.hop AS lvl, b.hop AS found, min(e.id) OVER (PARTITION BY e.{there}, a.hop) AS least
   FROM edges e JOIN reached a ON e.{here} = a.node JOIN reached b ON e.{there} = b.node)
-SELECT id, src, dst, NOT (found = at + 1 AND id = least) AS cycle FROM seen"""
+SELECT id, src, dst, NOT (found = lvl + 1 AND id = least) AS cycle FROM seen"""
 
 
 def variables(start: str, depth: int) -> str:
