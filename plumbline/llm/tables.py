@@ -37,8 +37,10 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of a scan (joins multiply it); only chooses how finely work is cut."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes of a scan (joins multiply it), or from the partitions where it has
+    none; only chooses how finely work is cut."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 56 else df.rdd.getNumPartitions() * (8 << 20)
 
 
 def parts(df: DataFrame, each: int = 8 << 20) -> int:
