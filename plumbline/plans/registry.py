@@ -529,3 +529,13 @@ def _(spark, d):
 @query("insert_select", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region")
 def _(spark, d):
     return table(spark, d, "nation").selectExpr("n_nationkey AS k", "n_name AS name").union(table(spark, d, "region").selectExpr("r_regionkey + 100", "r_name"))
+
+
+# ---- streams (an extension), run here over the whole table as a batch
+
+
+@query("event_activity", "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    from ..streaming import events
+
+    return events.activity(table(spark, d, "events")).withColumn("total", F.round("total", 4))

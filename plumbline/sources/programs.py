@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .facts import Program, macro_sites
 from .lexer import lex
+from .store import settled
 
 # Files that are never read.
 PROHIBITED = (".sas7bdat", ".sas7bcat", ".xpt", ".xls", ".xlsx", ".csv", ".rtf", ".pdf")
@@ -87,23 +88,22 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Counting runs over the run's facts in order, program by program: every number is its program's offset
     plus its place, so no task orders the facts of all programs."""
 
+    found = settled(found)
+
     def kind(name: str, ddl: str) -> DataFrame:
         return found.where(F.col("kind") == name).select("program", "place", F.from_json("body", ddl).alias("b")).select("program", "place", "b.*")
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        before = Window.orderBy("program").rowsBetween(Window.unboundedPreceding, -1)
-        offset = df.groupBy("program").agg(F.count("*").alias("n")).select(F.col("program").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-        own = F.row_number().over(Window.partitionBy("program").orderBy("place"))
-        return df.join(offset, F.col("program") == F.col("p")).withColumn(name, F.col("before") + own).drop("p", "before")
+    def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy("program").rowsBetween(Window.unboundedPreceding, -1)
+        offset = df.groupBy("program", *by).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        own = F.row_number().over(Window.partitionBy("program", *by).orderBy("place"))
+        return df.join(offset, ["program", *by]).withColumn(name, F.col("before") + own).drop("before")
 
     nodes = kind("node", _NODE)
-    local = nodes.where("id LIKE '~%'").withColumn("prefix", F.split("id", "~")[1])
-    parts = [numbered(local.where(F.col("prefix") == p), "nth") for p in ("step", "macrocall", "macroparam", "sqlblock", "sqlstatement", "comment", "commented", "inactive")]
-    counted = parts[0]
-    for p in parts[1:]:
-        counted = counted.unionByName(p)
+    local = nodes.where("id LIKE '~%'").select("program", "place", "id", F.split("id", "~")[1].alias("prefix"))
+    counted = numbered(local, "nth", "prefix")
     counted = counted.withColumn("new_id", F.concat("prefix", F.lit(":"), F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))))
-    names = counted.select(F.col("program").alias("n_program"), F.col("id").alias("old"), "new_id")
+    names = settled(counted.select(F.col("program").alias("n_program"), F.col("id").alias("old"), "new_id"))
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         return df.join(names, (F.col("program") == F.col("n_program")) & (F.col(column) == F.col("old")), "left").withColumn(column, F.coalesce("new_id", column)).drop("n_program", "old", "new_id")
@@ -116,4 +116,5 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     number = F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))
     findings = findings.withColumn("node", F.explode_outer("affected_nodes"))
     findings = renamed(findings, "node").groupBy("program", "nth", "type", "status", "severity", "object", "message", "line_start").agg(F.collect_list("node").alias("affected_nodes"))
-    return nodes, edges, findings.select(F.concat(F.lit("finding:"), number, F.lit(":"), "type").alias("id"), *[c for c in findings.columns if c not in ("nth", "place", "node", "affected_nodes")], "affected_nodes", F.array().cast("array<string>").alias("affected_edges"))
+    findings = findings.select(F.concat(F.lit("finding:"), number, F.lit(":"), "type").alias("id"), *[c for c in findings.columns if c not in ("nth", "place", "node", "affected_nodes")], "affected_nodes", F.array().cast("array<string>").alias("affected_edges"))
+    return settled(nodes), settled(edges), settled(findings)
