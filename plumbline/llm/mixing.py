@@ -160,8 +160,17 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of the mix itself: each document as often as it is taken, with the columns of docs."""
-    return mix(docs, seed).withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*docs.columns)
+    """The rows of the mix itself: each document as often as it is taken, with the columns of docs.
+
+    Copies are settled on narrow rows; texts move once, to meet their number by doc_id and hash.  Rows that
+    agree in doc_id, source and text are alike, and the first brings the copies of all."""
+    key = {"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "key_hash": F.xxhash64("doc_id", "source", "text")}
+    narrow = tables.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[c.alias(n) for n, c in key.items()]))
+    taken = mix(narrow, seed).where("copies > 0").groupBy(F.col("key_id").alias("t_id"), F.col("key_hash").alias("t_hash")).agg(F.sum("copies").cast("int").alias("copies_taken"))
+    met = docs.withColumns(key).join(taken, (F.col("key_id") == F.col("t_id")) & (F.col("key_hash") == F.col("t_hash")))
+    nth = F.row_number().over(Window.partitionBy("key_id", "key_hash").orderBy("key_id"))
+    once = met.withColumn("nth", nth).where("nth = 1")
+    return once.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies_taken")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
