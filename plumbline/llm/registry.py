@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import oracle
+
 #: query: module
 QUERIES = {
     "op1_substring_dedup": "substring_dedup",
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracle.SUBSTRING_DEDUP, "op3_decontaminate": oracle.DECONTAMINATE, "op5_jaccard_join": oracle.JACCARD_JOIN}
