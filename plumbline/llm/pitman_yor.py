@@ -40,8 +40,9 @@ DISCOUNT, STRENGTH = (0.7, 0.8), (2.0, 1.0)  # of parents and of leaves
 BURN, SAMPLES = 2, 3
 EXACT = 48
 ADD = 0.1
-BUCKET_BYTES = 6 << 20  # of the scan's estimate, doubled, for each bucket: some two million tokens
-SLICE = 10 << 20
+BUCKET_BYTES = 7 << 19  # of the scan's estimate, doubled, for each bucket: some 1.2 million tokens
+LEAST_BUCKETS = 64  # unless they would be of less than 256 KB
+SLICE = 6 << 20
 HOT = 400  # a context with this part of all tokens may be dealt to several parents
 SPLIT = 400_000  # tokens after a context for each of its parents
 
@@ -225,13 +226,14 @@ class Bucket:
         contexts = [np.repeat(p[0], p[1].astype(np.int64)) for p in parts]
         self.contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
         del contexts
-        second = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        second = np.concatenate([p[4] for p in parts])
         base = np.cumsum([0, *self.sizes])
-        flags = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        self.text = (flags >> 1) + np.repeat(base[:-1], [len(p[3]) for p in parts])
+        flags = np.concatenate([p[5].astype(np.int32) for p in parts])
+        self.text = (flags >> 1) + np.repeat(base[:-1].astype(np.int32), [len(p[3]) for p in parts])
         self.train = (flags & 1).astype(bool)
         self.word_bits = max(1, int(len(self.vocab)).bit_length())
-        self.leaf_key = (context << 16) | second
+        del parts
+        self.leaf_key = (context.astype(np.int64) << 16) | second
         self.base = base
 
     def training_counts(self) -> np.ndarray:
@@ -242,8 +244,9 @@ class Bucket:
         bottom = total + ADD * (distinct + 1)
         base = (counts + ADD) / bottom
         bits = self.word_bits
-        key = (self.leaf_key << bits) | self.word
-        unique, inverse = np.unique(key, return_inverse=True)
+        unique, inverse = np.unique((self.leaf_key << bits) | self.word, return_inverse=True)
+        del self.leaf_key
+        inverse = inverse.astype(np.int32)
         customers = np.bincount(inverse[self.train], minlength=len(unique))
         word, leaf_key = unique & ((1 << bits) - 1), unique >> bits
         context = leaf_key >> 16
@@ -353,7 +356,7 @@ def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
         some = np.flatnonzero(n[s])
-        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), base[s][some], model[s][some].astype(np.float32), bucket.docs[k], bucket.known_ids[k]]
+        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), base[s][some].astype(np.float32), model[s][some].astype(np.float32), bucket.docs[k], bucket.known_ids[k]]
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
@@ -363,7 +366,7 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     out = [np.zeros(len(ids), t) for t in (np.int64, np.int64, float, float)]
     for p in sorted(parts, key=lambda p: p[3].tobytes()):  # the same order of sums at every run
         for o, values in zip(out, p[1:5], strict=True):
-            o[p[0]] += values
+            o[p[0]] += values.astype(o.dtype)
     frame = pd.DataFrame(dict(zip(["n_tokens", "n_known", "base_score", "score"], out, strict=True)))
     frame["doc_id"] = pd.Series(ids).astype("Int64").where(known_ids.astype(bool))
     frame["train_tokens"] = int(group["train_tokens"].iloc[0])
@@ -377,7 +380,8 @@ def held_out(doc_id, folds: int = 10):
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    buckets = max(1, tables.input_bytes(docs) * 2 // BUCKET_BYTES)
+    scanned = tables.input_bytes(docs)
+    buckets = max(1, scanned * 2 // BUCKET_BYTES, min(LEAST_BUCKETS, scanned >> 18))
     hot = _hot(plain)
     # one exchange, read twice: by those who ask for counts and by those who score
     dealt = _dealt(plain, buckets, hot).repartition(buckets, "bucket")
