@@ -44,6 +44,7 @@ BUCKET_BYTES = 7 << 19  # of the scan's estimate, doubled, for each bucket: some
 LEAST_BUCKETS = 64  # unless they would be of less than 256 KB
 SLICE = 6 << 20
 HOT = 400  # a context with this part of all tokens may be dealt to several parents
+BASE_STEPS, MODEL_STEPS = 1e9, 1e7  # sums travel as whole numbers of such parts: exact in any order
 SPLIT = 400_000  # tokens after a context for each of its parents
 
 
@@ -356,18 +357,18 @@ def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
         some = np.flatnonzero(n[s])
-        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), base[s][some].astype(np.float32), model[s][some].astype(np.float32), bucket.docs[k], bucket.known_ids[k]]
+        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), np.rint(base[s][some] * -BASE_STEPS).astype(np.int64), np.rint(model[s][some] * -MODEL_STEPS).astype(np.int64), bucket.docs[k], bucket.known_ids[k]]
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
     parts = [_unpack(b) for b in group["blob"]]
     ids, known_ids = next((p[5], p[6]) for p in parts if len(p[5]))
-    out = [np.zeros(len(ids), t) for t in (np.int64, np.int64, float, float)]
-    for p in sorted(parts, key=lambda p: p[3].tobytes()):  # the same order of sums at every run
+    out = np.zeros((4, len(ids)), np.int64)
+    for p in parts:
         for o, values in zip(out, p[1:5], strict=True):
-            o[p[0]] += values.astype(o.dtype)
-    frame = pd.DataFrame(dict(zip(["n_tokens", "n_known", "base_score", "score"], out, strict=True)))
+            o[p[0]] += values.astype(np.int64)
+    frame = pd.DataFrame({"n_tokens": out[0], "n_known": out[1], "base_score": out[2] / -BASE_STEPS, "score": out[3] / -MODEL_STEPS})
     frame["doc_id"] = pd.Series(ids).astype("Int64").where(known_ids.astype(bool))
     frame["train_tokens"] = int(group["train_tokens"].iloc[0])
     return frame
