@@ -14,7 +14,7 @@ bucket on its own (at most a few hundred can be, by their share of all tokens) g
 restaurants, by the token before it.  Draws are seeded by bucket over sorted dishes, so reruns agree.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end.  A word is known by 56 bits of its
-hash; the second word back by 16.  Null and empty texts have the end alone.  Repeated rows are texts of their
+hash, the second word back too.  Null and empty texts have the end alone.  Repeated rows are texts of their
 own.  A null doc_id counts as the empty text when rows are held out.  Without training rows every token
 has the base's probability of the unknown.  An empty table gives no rows; other columns are ignored.
 """
@@ -222,19 +222,22 @@ class Bucket:
         self.docs = [p[7] for p in parts]  # doc_ids of the batch, in the one blob that brings them
         self.known_ids = [p[8] for p in parts]
         self.sizes = [int(p[6][0]) for p in parts]  # texts in the batch
-        self.vocab = np.unique(np.concatenate([p[2] for p in parts])) if parts else np.empty(0, U64)
+        # a blob's hashes are those of its words and of the second words back
+        self.vocab = np.unique(np.concatenate([p[2][np.unique(p[3])] for p in parts])) if parts else np.empty(0, U64)
         self.word = np.concatenate([np.searchsorted(self.vocab, p[2]).astype(np.int32)[p[3]] for p in parts])
         contexts = [np.repeat(p[0], p[1].astype(np.int64)) for p in parts]
         self.contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
         del contexts
-        second = np.concatenate([p[4] for p in parts])
+        seconds, second = np.unique(np.concatenate([p[2][p[4]] for p in parts]), return_inverse=True)
         base = np.cumsum([0, *self.sizes])
         flags = np.concatenate([p[5].astype(np.int32) for p in parts])
         self.text = (flags >> 1) + np.repeat(base[:-1].astype(np.int32), [len(p[3]) for p in parts])
         self.train = (flags & 1).astype(bool)
         self.word_bits = max(1, int(len(self.vocab)).bit_length())
         del parts
-        self.leaf_key = (context.astype(np.int64) << 16) | second
+        # leaves by number, in order of (context, second word back)
+        leaves, leaf = np.unique(context.astype(np.int64) * len(seconds) + second, return_inverse=True)
+        self.leaf, self.leaf_context = leaf.astype(np.int64), leaves // max(1, len(seconds))
         self.base = base
 
     def training_counts(self) -> np.ndarray:
@@ -245,12 +248,12 @@ class Bucket:
         bottom = total + ADD * (distinct + 1)
         base = (counts + ADD) / bottom
         bits = self.word_bits
-        unique, inverse = np.unique((self.leaf_key << bits) | self.word, return_inverse=True)
-        del self.leaf_key
+        unique, inverse = np.unique((self.leaf << bits) | self.word, return_inverse=True)
+        del self.leaf
         inverse = inverse.astype(np.int32)
         customers = np.bincount(inverse[self.train], minlength=len(unique))
         word, leaf_key = unique & ((1 << bits) - 1), unique >> bits
-        context = leaf_key >> 16
+        context = self.leaf_context[leaf_key]
         dish_key = (context << bits) | word
         taught = customers > 0
         dishes = np.unique(dish_key[taught])
@@ -290,11 +293,11 @@ def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
         hot_parents = np.array([shared.value[w] for w in sorted(shared.value)], np.int64)
         for batch in by_bytes(batches, "text", SLICE):
             token, text = tokens(Words(batch.column("text").to_pylist(), LOWER))
-            before, second = _before(token, text, 1), (mix(_before(token, text, 2)) >> U64(48)).astype(np.uint16)
+            before, second = _before(token, text, 1), _before(token, text, 2)
             sub = np.zeros(len(token), U64)
             at = _place(hot_words, before)
             split = at >= 0
-            sub[split] = (second[split].astype(np.int64) % hot_parents[at[split]]).astype(U64)
+            sub[split] = mix(second[split]) % hot_parents[at[split]].astype(U64)
             bucket = (mix(before + sub * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
             # parents of one context are told apart by its number in the high byte
             context = before | (np.minimum(sub, U64(255)) << U64(56))
@@ -313,10 +316,10 @@ def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
                 if not len(own) and b != bearer:
                     continue
                 head = np.flatnonzero(np.append(True, context[own][1:] != context[own][:-1])) if len(own) else np.empty(0, np.int64)
-                words, index = np.unique(token[own], return_inverse=True)
+                words, index = np.unique(np.concatenate([token[own], second[own]]), return_inverse=True)
                 bring = b == bearer
                 blob = _pack(
-                    context[own][head], _least(np.diff(np.append(head, len(own)))), words, _least(index), second[own], _least(flags[own]),
+                    context[own][head], _least(np.diff(np.append(head, len(own)))), words, _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
                     np.array([batch.num_rows]), ids if bring else ids[:0], known.astype(np.uint8) if bring else np.empty(0, np.uint8),
                 )
                 out.append((b, blob))

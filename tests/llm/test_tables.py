@@ -128,6 +128,26 @@ def test_pitman_yor(docs, none):
     assert pitman_yor.score(none).count() == 0
 
 
+def test_pitman_yor_leaves_of_a_very_varied_context_stay_apart(spark, monkeypatch):
+    n, found = 70_000, []
+    df = spark.createDataFrame([(1, True, " ".join(f"a{k} the b" for k in range(n)).encode())], "doc_id long, train boolean, text binary")
+    blobs = pitman_yor._dealt(df, 1, {}).collect()
+    bucket = pitman_yor.Bucket([r["blob"] for r in blobs], [r["batch"] for r in blobs])
+
+    class Seen(pitman_yor.Restaurants):
+        def __init__(self, leaf_context, dish, leaf, customers, *rest):
+            found.append((leaf, customers))
+            super().__init__(leaf_context, dish, leaf, customers, *rest)
+
+    monkeypatch.setattr(pitman_yor, "Restaurants", Seen)
+    counts = bucket.training_counts()
+    bucket.sums(counts, int(counts.sum()), len(counts), 0)
+    leaf, customers = found[0]
+    assert customers.sum() == 3 * n + 1
+    # (BEGIN, BEGIN), (BEGIN, a0), each (a, the), (the, b) and each (b, a)
+    assert len(np.unique(leaf)) == 2 + n + 1 + (n - 1)
+
+
 def test_jaccard_join(docs, none):
     sets = {}
     for i, t in rows_of(docs):
