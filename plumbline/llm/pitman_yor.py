@@ -10,8 +10,10 @@ ones beyond.  Tables of the leaves are the parents' customers.  Predictive proba
 Nothing but words' hashes moves.  Maps cut texts into tokens and send each, packed, to the bucket of the
 token before it, where its restaurants live whole.  Buckets ask the owners of words for their counts over
 all of the corpus and then seat, predict and return sums a text.  A context so frequent that it would fill a
-bucket on its own (at most a few hundred can be, by their share of all tokens) gets several parent
-restaurants, by the token before it.  Draws are seeded by bucket over sorted dishes, so reruns agree.
+bucket on its own (at most a few hundred can be, by their share of all tokens) has its leaves dealt to
+units, by the token before it, under one parent still: in every sweep units send its leaves' tables by word,
+each unit adds them up and seats the parent for a part of the words, and all hear the parent's tables and
+totals before they seat their leaves.  Draws are seeded by bucket over sorted dishes, so reruns agree.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end.  A word is known by 56 bits of its
 hash, the second word back too.  Null and empty texts have the end alone.  Repeated rows are texts of their
@@ -43,9 +45,9 @@ ADD = 0.1
 BUCKET_BYTES = 7 << 19  # of the scan's estimate, doubled, for each bucket: some 1.2 million tokens
 LEAST_BUCKETS = 64  # unless they would be of less than 256 KB
 SLICE = 6 << 20
-HOT = 400  # a context with this part of all tokens may be dealt to several parents
+HOT = 400  # a context with this part of all tokens may be dealt to several units
 BASE_STEPS, MODEL_STEPS = 1e9, 1e7  # sums travel as whole numbers of such parts: exact in any order
-SPLIT = 400_000  # tokens after a context for each of its parents
+SPLIT = 400_000  # tokens after a context for each of its units
 
 
 # ---- packing
@@ -106,7 +108,7 @@ def _owner(word: np.ndarray, owners: int) -> np.ndarray:
 
 def _hot(docs: DataFrame) -> dict[int, int]:
     """Contexts with more than 1/HOT of a slice's tokens somewhere, and so all with that part of the
-    corpus; with the number of parents each gets.  Their number has a bound, whatever the corpus."""
+    corpus; with the number of units each gets.  Their number has a bound, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
@@ -135,12 +137,13 @@ def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return out
 
 
-def draw_tables(rng: np.random.Generator, customers: np.ndarray, tables_: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, discount: float, strength: float, log_s: np.ndarray) -> np.ndarray:
+def draw_tables(rng: np.random.Generator, customers: np.ndarray, tables_: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, discount: float, strength: float, log_s: np.ndarray, beyond: int = 0) -> np.ndarray:
     """Tables of every dish given the other dishes' tables in its restaurant.
 
-    customers, tables_ (now), restaurant, parent: a row a dish; parent: the probability of the dish there."""
+    customers, tables_ (now), restaurant, parent: a row a dish; parent: the probability of the dish there.
+    beyond: tables of the restaurant for dishes that are not among these."""
     out = np.minimum(customers, 1)
-    others = np.bincount(restaurant, tables_)[restaurant] - tables_ if len(restaurant) else tables_
+    others = np.bincount(restaurant, tables_)[restaurant] - tables_ + beyond if len(restaurant) else tables_
     many = np.flatnonzero(customers > 1)
     if not len(many):
         return out
@@ -218,6 +221,8 @@ class Bucket:
     def __init__(self, blobs: list[bytes], batches: list[int]) -> None:
         order = sorted(range(len(blobs)), key=lambda k: (batches[k], blobs[k]))
         parts = [_unpack(blobs[k]) for k in order]
+        for p in parts:
+            p[2] = np.cumsum(p[2], dtype=U64)
         self.batches = [batches[k] for k in order]
         self.docs = [p[7] for p in parts]  # doc_ids of the batch, in the one blob that brings them
         self.known_ids = [p[8] for p in parts]
@@ -269,6 +274,9 @@ class Bucket:
             if k >= BURN:
                 p += rest.probability(base[word], head, dish, leaf, leaf_dish)
         model = np.log10(p / SAMPLES)[inverse]
+        return self.by_text(counts, base, model)
+
+    def by_text(self, counts: np.ndarray, base: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, ...]:
         n = int(self.base[-1])
         return (
             np.bincount(self.text, minlength=n),
@@ -278,11 +286,62 @@ class Bucket:
         )
 
 
+class Unit:
+    """A part of the leaves of one very frequent context; its parent is kept by all of the context's units together."""
+
+    def __init__(self, blobs: list[bytes], batches: list[int], number: int, kin: range) -> None:
+        self.bucket, self.number, self.kin = Bucket(blobs, batches), number, kin
+        bits = self.bucket.word_bits
+        unique, inverse = np.unique((self.bucket.leaf << bits) | self.bucket.word, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        self.word, self.leaf = unique & ((1 << bits) - 1), unique >> bits
+        self.customers = np.bincount(inverse[self.bucket.train], minlength=len(unique))
+        self.taught = np.flatnonzero(self.customers)
+        slot = _owner(self.bucket.vocab, len(kin))
+        self.slots = [np.flatnonzero(slot == k) for k in range(len(kin))]
+
+    def asked(self, tables_: np.ndarray) -> list[np.ndarray]:
+        """The parent's customers from here, by the unit that seats the word."""
+        sums = np.bincount(self.word[self.taught], tables_, len(self.bucket.vocab)).astype(np.int64)
+        return [sums[at] for at in self.slots]
+
+    def sweep(self, k: int, tables_: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """New tables of the leaves; parent: the probability of every word there."""
+        rng = np.random.default_rng([4, self.number, k])
+        own = self.taught
+        return draw_tables(rng, self.customers[own], tables_, self.leaf[own], parent[self.word[own]], DISCOUNT[1], STRENGTH[1], stirling(DISCOUNT[1]))
+
+    def probability(self, tables_: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        d, s, leaves = DISCOUNT[1], STRENGTH[1], len(self.bucket.leaf_context)
+        seated = np.zeros(len(self.customers), np.int64)
+        seated[self.taught] = tables_
+        of_leaf, at = np.bincount(self.leaf, seated, leaves)[self.leaf], np.bincount(self.leaf, self.customers, leaves)[self.leaf]
+        return (self.customers - d * seated + (s + d * of_leaf) * parent[self.word]) / (s + at)
+
+
+def seat_parent(words: list[np.ndarray], counts: list[np.ndarray], sums: list[np.ndarray], held: np.ndarray | None, total: int, distinct: int, everywhere: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(customers, tables, place of every word asked) of the words that one unit seats for its context.
+
+    A row of words, counts (in the corpus) and sums (of leaves' tables) for each unit; held: the tables of the
+    last sweep; everywhere: all tables of the restaurant then."""
+    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    of_corpus = np.zeros(len(known), np.int64)
+    of_corpus[at] = np.concatenate(counts)
+    customers = np.zeros(len(known), np.int64)
+    np.add.at(customers, at, np.concatenate(sums).astype(np.int64))
+    held = np.minimum(customers, 1) if held is None else held.astype(np.int64)
+    beyond = everywhere - int(held.sum())
+    base = (of_corpus + ADD) / (total + ADD * (distinct + 1))
+    drawn = draw_tables(np.random.default_rng(seed), customers, np.minimum(held, customers), np.zeros(len(known), np.int64), base, DISCOUNT[0], STRENGTH[0], stirling(DISCOUNT[0]), beyond)
+    return customers, drawn, at
+
+
 # ---- over tables
 
 
 def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
-    """(bucket, batch, blob): tokens by the bucket of the one before."""
+    """(bucket, batch, blob): tokens by the bucket of the one before, or by the hot contexts' units, numbered after the buckets."""
+    groups = buckets + sum(hot.values())
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,20 +349,18 @@ def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         hot_words = np.array(sorted(shared.value), U64)
-        hot_parents = np.array([shared.value[w] for w in sorted(shared.value)], np.int64)
+        hot_units = np.array([shared.value[w] for w in sorted(shared.value)], np.int64)
+        hot_first = buckets + np.cumsum(hot_units) - hot_units
         for batch in by_bytes(batches, "text", SLICE):
             token, text = tokens(Words(batch.column("text").to_pylist(), LOWER))
             before, second = _before(token, text, 1), _before(token, text, 2)
-            sub = np.zeros(len(token), U64)
             at = _place(hot_words, before)
             split = at >= 0
-            sub[split] = mix(second[split]) % hot_parents[at[split]].astype(U64)
-            bucket = (mix(before + sub * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
-            # parents of one context are told apart by its number in the high byte
-            context = before | (np.minimum(sub, U64(255)) << U64(56))
+            bucket = (mix(before) % U64(buckets)).astype(np.int64)
+            bucket[split] = hot_first[at[split]] + (mix(second[split]) % hot_units[at[split]].astype(U64)).astype(np.int64)
             flags = (text << 1) | batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            order = np.lexsort((context, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.lexsort((before, bucket))
+            cuts = np.searchsorted(bucket[order], np.arange(groups + 1))
             ids = batch.column("doc_id")
             known = np.array(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
@@ -311,15 +368,15 @@ def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
             number = part << 24 | seq
             seq += 1
             out: list[tuple[int, bytes]] = []
-            for b in range(buckets):
+            for b in range(groups):
                 own = order[cuts[b] : cuts[b + 1]]
                 if not len(own) and b != bearer:
                     continue
-                head = np.flatnonzero(np.append(True, context[own][1:] != context[own][:-1])) if len(own) else np.empty(0, np.int64)
+                head = np.flatnonzero(np.append(True, before[own][1:] != before[own][:-1])) if len(own) else np.empty(0, np.int64)
                 words, index = np.unique(np.concatenate([token[own], second[own]]), return_inverse=True)
                 bring = b == bearer
                 blob = _pack(
-                    context[own][head], _least(np.diff(np.append(head, len(own)))), words, _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
+                    before[own][head], _least(np.diff(np.append(head, len(own)))), np.diff(words, prepend=U64(0)), _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
                     np.array([batch.num_rows]), ids if bring else ids[:0], known.astype(np.uint8) if bring else np.empty(0, np.uint8),
                 )
                 out.append((b, blob))
@@ -338,7 +395,8 @@ def _ask(group: pd.DataFrame, owners: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["owner", "bucket", "blob"])
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
+def _answer(group: pd.DataFrame, kin: dict[int, range]) -> pd.DataFrame:
+    """Words' counts; for a unit also how many of the words its whole context has."""
     group = group.sort_values("bucket")
     asked = [_unpack(b) for b in group["blob"]]
     words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
@@ -346,16 +404,28 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     np.add.at(total, at, np.concatenate([a[1].astype(np.int64) for a in asked]))
     ends = np.cumsum([len(a[0]) for a in asked])
     own = [_pack(_least(total[at[e - len(a[0]) : e]])) for a, e in zip(asked, ends, strict=True)]
-    return pd.DataFrame({"bucket": group["bucket"].to_numpy(), "owner": group["owner"].to_numpy(), "blob": own, "total": total.sum(), "distinct": (total > 0).sum()})
+    dishes, numbers = np.zeros(len(asked), np.int64), group["bucket"].to_numpy()
+    for units in {kin[b] for b in numbers.tolist() if b in kin}:
+        some = np.flatnonzero((numbers >= units.start) & (numbers < units.stop))
+        dishes[some] = len(np.unique(np.concatenate([asked[k][0][asked[k][1] > 0] for k in some.tolist()])))
+    return pd.DataFrame({"bucket": numbers, "owner": group["owner"].to_numpy(), "blob": own, "total": total.sum(), "distinct": (total > 0).sum(), "dishes": dishes})
 
 
-def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame:
-    bucket = Bucket(left["blob"].tolist(), left["batch"].tolist())
+def _counts(bucket: Bucket, told: pd.DataFrame, owners: int) -> np.ndarray:
     counts, owner = np.zeros(len(bucket.vocab), np.int64), _owner(bucket.vocab, owners)
-    for o, blob in zip(right["owner"], right["blob"], strict=True):
+    for o, blob in zip(told["owner"], told["blob"], strict=True):
         counts[owner == o] = _unpack(blob)[0]
+    return counts
+
+
+def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame:
+    bucket = Bucket(left["blob"].tolist(), left["batch"].tolist())
     total, distinct = int(right["total"].sum()), int(right["distinct"].sum())
-    n, known, base, model = bucket.sums(counts, total, distinct, int(left["bucket"].iloc[0]))
+    return _sent(bucket, bucket.sums(_counts(bucket, right, owners), total, distinct, int(left["bucket"].iloc[0])), total)
+
+
+def _sent(bucket: Bucket, sums: tuple[np.ndarray, ...], total: int) -> pd.DataFrame:
+    n, known, base, model = sums
     rows: dict[int, list[np.ndarray]] = {}
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
@@ -364,6 +434,98 @@ def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
+# Messages between the units of a context: (bucket, at, kind, blob), to and from.
+MESSAGE = "bucket int, at int, kind int, blob binary"
+ASK, ANSWER, LEAVES, PARENT = range(4)
+
+
+def _messages(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "at", "kind", "blob"])
+
+
+def _of(rows: pd.DataFrame, kind: int) -> list[tuple[int, list[np.ndarray]]]:
+    some = rows[rows["kind"] == kind].sort_values("at")
+    return [(int(at), _unpack(blob)) for at, blob in zip(some["at"], some["blob"], strict=True)]
+
+
+def _introduce(left: pd.DataFrame, right: pd.DataFrame, owners: int, kin: dict[int, range]) -> pd.DataFrame:
+    """A unit's words with their counts in the corpus and its leaves' first tables, to those who seat them."""
+    number = int(left["bucket"].iloc[0])
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin[number])
+    counts = _counts(unit.bucket, right, owners)
+    facts = np.array([right["total"].sum(), right["distinct"].sum(), right["dishes"].sum()], np.int64)
+    sums = unit.asked(np.ones(len(unit.taught), np.int64))
+    return _messages([(to, number, ASK, _pack(unit.bucket.vocab[at], _least(counts[at]), _least(own), facts)) for to, at, own in zip(unit.kin, unit.slots, sums, strict=True)])
+
+
+def _seat(first: pd.DataFrame, then: pd.DataFrame | None, k: int) -> pd.DataFrame:
+    """The k-th draw of a parent's tables for the words of one unit, told to all units.  first: the introductions."""
+    if not len(first):
+        return _messages([])
+    number = int(first["bucket"].iloc[0])
+    intro = _of(first, ASK)
+    total, distinct, everywhere = intro[0][1][3].tolist()
+    sums, held, out = [x[2] for _, x in intro], None, []
+    if then is not None:
+        asks = _of(then, ASK)
+        sums, everywhere = [x[0] for _, x in asks], int(asks[0][1][1][0])
+        held = _of(then, PARENT)[0][1][0]
+        out = list(then[then["kind"] == LEAVES].itertuples(index=False, name=None))
+    customers, drawn, at = seat_parent([x[0] for _, x in intro], [x[1] for _, x in intro], sums, held, total, distinct, everywhere, [4, number, k, 1])
+    out.append((number, number, PARENT, _pack(_least(drawn))))
+    facts, start = np.array([total, distinct, customers.sum(), drawn.sum()], np.int64), 0
+    for to, x in intro:
+        own = at[start : start + len(x[0])]
+        start += len(x[0])
+        out.append((to, number, ANSWER, _pack(_least(customers[own]), _least(drawn[own]), x[1], facts)))
+    return _messages(out)
+
+
+def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: dict[int, range]) -> pd.DataFrame:
+    """The k-th draw of a unit's leaves; after the last one its sums a text."""
+    last = k == BURN + SAMPLES - 1
+    if not len(left):  # seats words for others only
+        return _messages(list(right[right["kind"] == PARENT].itertuples(index=False, name=None))) if not last else pd.DataFrame({"batch": [], "blob": [], "train_tokens": []})
+    number = int(left["bucket"].iloc[0])
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin[number])
+    seen = np.zeros((3, len(unit.bucket.vocab)), np.int64)  # the parent's customers and tables, the corpus's counts
+    sizes = np.zeros(2, np.int64)
+    for at, x in _of(right, ANSWER):
+        seen[:, unit.slots[at - unit.kin.start]] = x[:3]
+        sizes += x[3][2:]
+        total, distinct = x[3][:2].tolist()
+    base = (seen[2] + ADD) / (total + ADD * (distinct + 1))
+
+    def parent(customers: np.ndarray, tables_: np.ndarray, both: np.ndarray) -> np.ndarray:
+        d, s = DISCOUNT[0], STRENGTH[0]
+        return (customers - d * tables_ + (s + d * both[1]) * base) / (s + both[0])
+
+    # leaves' tables, then for every sample so far: its leaves' tables, the parent's customers, tables and their sums
+    past = [a.astype(np.int64) for a in _of(right, LEAVES)[0][1]] if k else [np.ones(len(unit.taught), np.int64)]
+    drawn = unit.sweep(k, past[0], parent(*seen[:2], sizes))
+    samples = past[1:] + ([drawn, *seen[:2], sizes] if k >= BURN else [])
+    if last:
+        p = sum(unit.probability(samples[i], parent(*samples[i + 1 : i + 4])) for i in range(0, len(samples), 4))
+        return _sent(unit.bucket, unit.bucket.by_text(seen[2], base, np.log10(p / SAMPLES)[unit.inverse]), total)
+    out = [(number, number, LEAVES, _pack(*[_least(a) for a in [drawn, *samples]]))]
+    out += right[right["kind"] == PARENT].itertuples(index=False, name=None)
+    out += [(to, number, ASK, _pack(_least(own), sizes[1:])) for to, own in zip(unit.kin, unit.asked(drawn), strict=True)]
+    return _messages(out)
+
+
+def _units(dealt: DataFrame, told: DataFrame, buckets: int, kin: dict[int, range]) -> DataFrame:
+    """(batch, blob, train_tokens) from the hot contexts' units: sweeps in step."""
+    own = dealt.groupBy("bucket")
+    sweep = lambda k: lambda a, b: _sweep(a, b, k, kin)
+    seat = lambda k: lambda a, b: _seat(a, b, k)
+    intro = own.cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _introduce(a, b, buckets, kin), MESSAGE).repartition(len(kin), "bucket")
+    seated, last = intro.groupBy("bucket").applyInPandas(lambda a: _seat(a, None, 0), MESSAGE), BURN + SAMPLES - 1
+    for k in range(last):
+        swept = own.cogroup(seated.groupBy("bucket")).applyInPandas(sweep(k), MESSAGE)
+        seated = intro.groupBy("bucket").cogroup(swept.groupBy("bucket")).applyInPandas(seat(k + 1), MESSAGE)
+    return own.cogroup(seated.groupBy("bucket")).applyInPandas(sweep(last), "batch long, blob binary, train_tokens long")
+
+
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
     parts = [_unpack(b) for b in group["blob"]]
     ids, known_ids = next((p[5], p[6]) for p in parts if len(p[5]))
@@ -387,11 +549,25 @@ def score(docs: DataFrame) -> DataFrame:
     scanned = tables.input_bytes(docs)
     buckets = max(1, scanned * 2 // BUCKET_BYTES, min(LEAST_BUCKETS, scanned >> 18))
     hot = _hot(plain)
-    # one exchange, read twice: by those who ask for counts and by those who score
-    dealt = _dealt(plain, buckets, hot).repartition(buckets, "bucket")
-    asked = dealt.groupBy("bucket").applyInPandas(lambda g: _ask(g, buckets), "owner int, bucket int, blob binary")
-    told = asked.groupBy("owner").applyInPandas(_answer, "bucket int, owner int, blob binary, total long, distinct long")
+    kin: dict[int, range] = {}  # of every unit's number, the units of its context
+    for w in sorted(hot):
+        start = buckets + len(kin)
+        kin |= dict.fromkeys(range(start, start + hot[w]), range(start, start + hot[w]))
+    groups = buckets + len(kin)
+    # one exchange, read by those who ask for counts and by those who score
+    dealt = _dealt(plain, buckets, hot).repartition(groups, "bucket")
+    # what is not deterministic stays above an exchange, so that all read the same one
+    number = F.col("bucket") + F.floor(F.rand(0))
+    asked = (dealt.where(number >= 0) if kin else dealt).groupBy("bucket").applyInPandas(lambda g: _ask(g, buckets), "owner int, bucket int, blob binary")
+    told = asked.groupBy("owner").applyInPandas(lambda g: _answer(g, kin), "bucket int, owner int, blob binary, total long, distinct long, dishes long")
+    units = None
+    if kin:
+        told = told.repartition(groups, "bucket")
+        units = _units(dealt.where(number >= buckets), told.where(number >= buckets), buckets, kin)
+        dealt, told = dealt.where(number < buckets), told.where(number < buckets)
     scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, buckets), "batch long, blob binary, train_tokens long")
+    if units is not None:
+        scored = scored.unionByName(units)
     gathered = scored.groupBy("batch").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     return gathered.withColumn("held_out", held_out(F.col("doc_id")))
 

@@ -148,6 +148,22 @@ def test_pitman_yor_leaves_of_a_very_varied_context_stay_apart(spark, monkeypatc
     assert len(np.unique(leaf)) == 2 + n + 1 + (n - 1)
 
 
+def test_pitman_yor_keeps_one_parent_for_a_very_frequent_context(spark, monkeypatch):
+    # every x stands once after "the", each time after another word
+    df = spark.createDataFrame([(k, f"q{k} the x{k % 400} " + f"x{k % 400} " * (k % 3)) for k in range(1600)], "doc_id long, text string").repartition(2)
+    want = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
+    monkeypatch.setattr(pitman_yor, "SPLIT", 100)
+    assert max(pitman_yor._hot(df.withColumn("text", F.col("text").cast("binary"))).values()) >= 8
+    got = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
+    same = ["held_out", "n_tokens", "n_known", "train_tokens"]
+    assert got[same].equals(want[same]) and abs(got["base_score"] - want["base_score"]).max() < 1e-6
+    # draws differ, the model does not
+    assert abs(got["score"] - want["score"]).max() < 0.5
+    assert got["score"].mean() == pytest.approx(want["score"].mean(), rel=0.005)
+    again = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
+    assert again["score"].equals(got["score"])
+
+
 def test_jaccard_join(docs, none):
     sets = {}
     for i, t in rows_of(docs):
