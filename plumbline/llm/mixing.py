@@ -2,8 +2,8 @@
 
 Documents are counted by source and exact length.  A source's budget beyond its whole passes is fitted
 from these counts alone: every length gives its share, the rest is filled from the longest length
-down until it is small, and a bounded-knapsack table over what is left then finds the sum nearest
-below (or on) the budget.  How many documents of a length are taken is thus known exactly; which ones
+down until it is small, and a bounded-knapsack table over what is left then finds the budget, or, where it
+misses it, larger tables over more of the documents the sum nearest below.  How many documents of a length are taken is thus known exactly; which ones
 is settled by a seeded hash of doc_id.
 
 The histogram has a row for each source and length, whatever the number of documents.  Ranks by hash
@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = 8
-#: The knapsack table covers this many words; what is above is filled by length first.
+#: The first knapsack table covers this many words; what is above is filled by length first.
 TABLE = 1 << 15
 BUCKET_ROWS = 20_000
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -59,12 +59,48 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
+def _reached(lengths: np.ndarray, counts: np.ndarray, most: int, stop: int) -> tuple[int, list[tuple[int, int]], list[int]]:
+    """Bounded knapsack: the sums up to most as a bit each, the items (length's place, documents) by powers of two,
+    and the sums before every item; ends where stop is reached."""
+    items = []
+    for i in np.argsort(-lengths).tolist():
+        if not 0 < lengths[i] <= most:
+            continue
+        spare, k = min(int(counts[i]), most // int(lengths[i])), 1
+        while spare > 0:
+            n = min(k, spare)
+            items.append((i, n))
+            spare -= n
+            k *= 2
+    reached, rows, mask = 1, [], (1 << (most + 1)) - 1
+    for i, n in items:
+        rows.append(reached)
+        reached |= (reached << (n * int(lengths[i]))) & mask
+        if reached >> stop & 1:
+            break
+    return reached, items, rows
+
+
+def _chosen(lengths: np.ndarray, items: list[tuple[int, int]], rows: list[int], at: int) -> np.ndarray:
+    out = np.zeros(len(lengths), np.int64)
+    for (i, n), before in zip(reversed(items[: len(rows)]), reversed(rows), strict=True):
+        if not before >> at & 1:
+            out[i] += n
+            at -= n * int(lengths[i])
+    return out
+
+
 def subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most counts, so that the words come nearest below budget."""
+    """How many documents of each length to take, at most counts, so that the words come nearest below budget.
+
+    While the table misses the budget, documents are given back and a larger one is made, at last over all."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     take = np.floor(counts * (budget / total)).astype(np.int64) if total else counts * 0
+    step = int(np.gcd.reduce(lengths))
+    if step > 1:
+        lengths, budget, total = lengths // step, budget // step, total // step
     order = np.argsort(-lengths)
     left = budget - int((take * lengths).sum())
     for i in order:
@@ -74,33 +110,25 @@ def subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             more = min(int(counts[i] - take[i]), (left - TABLE) // int(lengths[i]) + 1, left // int(lengths[i]))
             take[i] += more
             left -= more * int(lengths[i])
-    if left > TABLE:  # only lengths above the table are left: the greedy fill above is all that fits
-        return take
-    # bounded knapsack: counts by powers of two, sums reached as a bit each, one row kept for every item
-    items = []
-    for i in order:
-        spare, k = int(counts[i] - take[i]), 1
-        if not lengths[i] or lengths[i] > left:
-            continue
-        spare = min(spare, left // int(lengths[i]))
-        while spare > 0:
-            n = min(k, spare)
-            items.append((i, n))
-            spare -= n
-            k *= 2
-    reached, rows = 1, []
-    mask = (1 << (left + 1)) - 1
-    for i, n in items:
-        rows.append(reached)
-        reached |= (reached << (n * int(lengths[i]))) & mask
+    # over all documents, from what is taken or from what is left out
+    need, longest, width = total - budget, int(lengths.max(initial=0)), TABLE
+    whole = min(budget, need + longest)
+    while left < whole:
+        reached, items, rows = _reached(lengths, counts - take, left, left)
         if reached >> left & 1:
-            break
-    at = reached.bit_length() - 1
-    for (i, n), before in zip(reversed(items[: len(rows)]), reversed(rows), strict=True):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(lengths[i])
-    return take
+            return take + _chosen(lengths, items, rows, left)
+        width *= 4
+        for i in order:
+            if left < width and lengths[i]:
+                back = min(int(take[i]), -(-(width - left) // int(lengths[i])))
+                take[i] -= back
+                left += back * int(lengths[i])
+    if budget <= need + longest:
+        reached, items, rows = _reached(lengths, counts, budget, budget)
+        return _chosen(lengths, items, rows, reached.bit_length() - 1)
+    reached, items, rows = _reached(lengths, counts, need + longest, need)
+    above = reached >> need
+    return counts - _chosen(lengths, items, rows, need + (above & -above).bit_length() - 1)
 
 
 def plan(counted: DataFrame, aims: DataFrame) -> DataFrame:

@@ -130,6 +130,24 @@ def test_subset_comes_nearest():
     assert int((take * [3, 5]).sum()) == 11
 
 
+def test_subset_of_long_documents_comes_nearest():
+    assert mixing.subset(np.array([35000, 35001, 40000]), np.array([1, 1, 1]), 70001).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(12)
+    for trial in range(60):
+        lengths = np.unique(rng.integers(1, 60_000 if trial % 2 else 60, 6))
+        counts = rng.integers(1, 4, len(lengths))
+        sums = {0}
+        for n, k in zip(lengths.tolist(), counts.tolist()):
+            sums = {x + n * j for x in sums for j in range(k + 1)}
+        budget = int(rng.integers(0, max(sums)))
+        take = mixing.subset(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * lengths).sum()) == max(x for x in sums if x <= budget)
+    counts = np.full(3, 100_000)  # large budgets that shares nearly meet
+    take = mixing.subset(np.array([50, 777, 1501]), counts, int(counts[0]) * 2328 - 7)
+    assert int((take * [50, 777, 1501]).sum()) == int(counts[0]) * 2328 - 50
+
+
 def test_targets_reshare_the_excess():
     out = mixing.targets([("b", 100), (None, 100), ("a", 1000)])
     assert list(out.values()) and sum(out.values()) == pytest.approx(1800)
