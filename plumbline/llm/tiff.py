@@ -1,13 +1,13 @@
 """TIFF pages in a binary column: a reader and a writer in numpy.
 
 The reader walks the chain of image directories in either byte order, decodes stored, PackBits, LZW and
-deflate strips and tiles, undoes horizontal differencing and gives one row per page.  Samples of 8 or 16
-bits, chunky or planar.  The writer lays any bytes out as 8-bit RGB pages 64 pixels wide, in strips or
+deflate strips and tiles, undoes horizontal differencing and gives one row per page.  Samples of 1, 8 or 16
+bits, chunky or planar; those of 1 bit come as a byte each, 0 or 1, as stored.  The writer lays any bytes out as 8-bit RGB pages 64 pixels wide, in strips or
 tiles, with the same codings.
 
 A value that is null, empty or no TIFF gives one row with the reason in ``error`` and no page, so no
-row of the input vanishes; a page that cannot be decoded gives its row with ``error``, and those before
-it stand.  Directory loops end the walk.  Equal bytes give equal pages; other columns are carried along;
+row of the input vanishes; a page that cannot be decoded gives its row with ``error``, and the others
+stand, but for those after a directory whose link cannot be read.  Directory loops end the walk.  Equal bytes give equal pages; other columns are carried along;
 an empty table gives no rows.
 """
 
@@ -220,9 +220,9 @@ def _pixels(data: bytes, order: str, tags: dict, page: Page) -> bytes:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     page.width, page.height = one(WIDTH, 0), one(HEIGHT, 0)
     page.samples, page.bits, page.coding = one(SAMPLES, 1), one(BITS, 1), one(CODING, STORED)
-    if page.bits not in (8, 16):
+    if page.bits not in (1, 8, 16):
         raise ValueError(f"{page.bits} bits a sample")
-    kind = np.dtype(np.uint8 if page.bits == 8 else f"{order}u2")
+    kind = np.dtype(f"{order}u2" if page.bits == 16 else np.uint8)
     planes = page.samples if one(PLANAR, 1) == 2 else 1
     deep = page.samples // planes
     tiled = TILE_AT in tags
@@ -235,12 +235,18 @@ def _pixels(data: bytes, order: str, tags: dict, page: Page) -> bytes:
         plane, cell = divmod(k, wide * high)
         top, left = cell // wide * down, cell % wide * across
         rows = down if tiled else min(down, page.height - top)
-        size = rows * across * deep * kind.itemsize
+        line = -(-across * deep * page.bits // 8)  # rows begin at whole bytes
+        size = rows * line
         raw = _decoded(page.coding, data[at : at + n], size)
         if len(raw) < size:
             raise ValueError("short strip or tile")
-        block = np.frombuffer(raw, kind, rows * across * deep).reshape(rows, across, deep)
-        if one(PREDICTOR, 1) == 2:
+        if page.bits == 1:
+            block = np.unpackbits(np.frombuffer(raw, np.uint8, size).reshape(rows, line), axis=1, count=across * deep).reshape(rows, across, deep)
+        else:
+            block = np.frombuffer(raw, kind, rows * across * deep).reshape(rows, across, deep)
+        if one(PREDICTOR, 1) == 2 and page.bits == 1:
+            raise ValueError("predictor 2 over 1 bit a sample")
+        elif one(PREDICTOR, 1) == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         elif one(PREDICTOR, 1) != 1:
             raise ValueError(f"predictor {one(PREDICTOR, 1)}")
@@ -256,18 +262,22 @@ def read_pages(data: bytes | None) -> list[Page]:
         return [Page(0, error="not a TIFF")]
     pages: list[Page] = []
     seen: set[int] = set()
+    bad = (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error)
     try:
         (at,) = struct.unpack_from(f"{order}I", data, 4)
-        while at and at not in seen:
-            seen.add(at)
-            page = Page(len(pages))
-            pages.append(page)
-            tags, at = _directory(data, order, at)
-            page.pixels = _pixels(data, order, tags, page)
-    except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as error:
-        if not pages:
-            pages.append(Page(0))
-        pages[-1].error = f"{type(error).__name__}: {error}"[:200]
+    except bad as error:
+        return [Page(0, error=f"{type(error).__name__}: {error}"[:200])]
+    while at and at not in seen:
+        seen.add(at)
+        page, here, at = Page(len(pages)), at, 0
+        pages.append(page)
+        try:
+            # the link first: a directory's own faults don't end the walk
+            (n,) = struct.unpack_from(f"{order}H", data, here)
+            (at,) = struct.unpack_from(f"{order}I", data, here + 2 + 12 * n)
+            page.pixels = _pixels(data, order, _directory(data, order, here)[0], page)
+        except bad as error:
+            page.error = f"{type(error).__name__}: {error}"[:200]
     return pages or [Page(0, error="no directory")]
 
 

@@ -109,6 +109,31 @@ def test_tiff_reads_big_endian_sixteen_bit_planes_and_survives_rubbish():
         assert tiff.read_pages(bad)[0].error
 
 
+def test_tiff_pages_after_a_bad_one_and_of_one_bit():
+    import struct
+
+    payload = tiff.payload_of(bytes(range(256)) * 3000)
+    data = bytearray(tiff.write_tiff(payload, tiff.STORED, False, False))
+    whole = tiff.read_pages(bytes(data))
+    assert len(whole) >= 3
+    (at,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, at)
+    coding = next(at + 2 + 12 * k for k in range(n) if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == 259)
+    struct.pack_into("<H", data, coding + 8, 99)
+    pages = tiff.read_pages(bytes(data))
+    assert pages[0].error and [p.pixels for p in pages[1:]] == [p.pixels for p in whole[1:]] and not any(p.error for p in pages[1:])
+    struct.pack_into("<H", data, coding + 2, 12)  # of a type that is no number here, and strips that are missing
+    assert len(tiff.read_pages(bytes(data))) == len(whole)
+
+    def entry(tag, value):
+        return struct.pack("<HHII", tag, 4, 1, value)
+
+    packed = bytes([1, 0b10110000, 0b01000000, 1, 0b00001111, 0b11000000])  # ten samples a row
+    tags = [entry(256, 10), entry(257, 2), entry(259, tiff.PACKBITS), entry(273, 8), entry(278, 2), entry(279, 6)]
+    (page,) = tiff.read_pages(b"II*\0" + struct.pack("<I", 14) + packed + struct.pack("<H", len(tags)) + b"".join(tags) + bytes(4))
+    assert page.error is None and page.bits == 1 and list(page.pixels) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1]
+
+
 def test_lzw_over_many_tables():
     rng = random.Random(5)
     for n in (0, 1, 300, 5000, 60_000):
