@@ -153,10 +153,10 @@ def _signed(docs: DataFrame) -> DataFrame:
             a, b = digests(grams, counts)
             sig = iter(signatures(grams, counts))
             sigs = [next(sig).tobytes() if c else None for c in counts.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(counts.astype(np.int32)), pa.array(sigs, pa.binary())], ["doc_id", "a", "b", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(counts.astype(np.int32)), pa.array(sigs, pa.binary()), batch.column("text_hash")], ["doc_id", "a", "b", "n", "sig", "text_hash"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(sign, "doc_id long, a long, b long, n int, sig binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return plain.mapInArrow(sign, "doc_id long, a long, b long, n int, sig binary, text_hash long")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -331,6 +331,11 @@ def _verified(docs: DataFrame, ties: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of docs: the least doc_id among all that links connect it
     with, and how many other classes of equal shingle sets reach the threshold with its own."""
+    return _grouped(docs).select("doc_id", "class_id", "n_links")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The rows of join() with a hash of their text."""
     signed = tables.stored(_signed(docs))
     classes = tables.stored(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("sig").alias("sig")))
     verified = _verified(docs, tables.stored(_candidates(classes)))
@@ -339,16 +344,16 @@ def join(docs: DataFrame) -> DataFrame:
     of_class = classes.select("a", "b", "least").join(groups, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
     least = of_class.groupBy("label").agg(F.min("least").alias("class_id"))
     named = of_class.join(least, "label").join(links, "a", "left").select("a", "b", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"))
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "a", "b").join(named, ["a", "b"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash")
+    return signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "a", "b", "text_hash").join(named, ["a", "b"]).select("doc_id", "class_id", "n_links", "text_hash").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs but for those that another of their group stands for: the one with the least
     doc_id stays (of repeated rows, one), and so do rows without words or doc_id."""
-    joined = tables.stored(join(docs))
-    gone = joined.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    joined = tables.stored(_grouped(docs))
+    gone = joined.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
     twice = joined.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
     if twice.isEmpty():
         return kept

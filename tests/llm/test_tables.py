@@ -189,6 +189,13 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.join(none).count() == 0
 
 
+def test_one_of_each_keeps_a_clean_row_that_shares_its_doc_id(spark):
+    b = [f"b{k}" for k in range(100)]
+    rows = [(3, " ".join(b)), (5, " ".join([*b[:99], "other"])), (5, " ".join(f"a{k}" for k in range(100)))]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[2]])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20, 60)] + [(3, 3), (5, 9), (9, 5), (100, 5)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}
