@@ -129,7 +129,7 @@ def leaves(page: str) -> list[Leaf]:
         words = [name]
         if said and not inline:
             for a in _ATTRIBUTE.finditer(said):
-                words += _NAME.findall((a[1] or a[2] or a[3] or "").lower())[:8]
+                words += _NAME.findall((a[1] or a[2] or a[3] or "").lower())
             if _HIDDEN.search(said):
                 words.append("hidden")
         stack.append((name, tuple(words)))

@@ -248,6 +248,11 @@ def test_page_leaves():
     assert [x.text for x in html_text.leaves("<p title=\"broken>one</p><i>two</i>")]
 
 
+def test_all_words_of_an_attribute_reach_the_path():
+    (leaf,) = html_text.leaves("<div class='aa bb cc dd ee ff gg hh ii jj sidebar'>x</div>")
+    assert {"aa", "ii", "sidebar"} <= set(leaf.path)
+
+
 def test_labeller_on_pages_never_seen():
     net = html_text.trained()
     rng, wrong, total = np.random.default_rng(77), 0, 0
