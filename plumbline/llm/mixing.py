@@ -11,7 +11,8 @@ are taken in buckets of a length's documents, so a source or a length with most
 
 Null texts have size 0 and are never taken; null sources form a source of their own, last in order.
 Repeated rows are documents of their own; ties in the hash fall to row order within equal rows, which
-are interchangeable.  An empty table gives no rows.  Other columns are carried along.
+are interchangeable.  An empty table gives no rows.  Other columns are carried along;
+size, source_size, target and copies of the input are replaced by the results of these names.
 """
 
 from __future__ import annotations
@@ -148,10 +149,12 @@ def plan(counted: DataFrame, aims: DataFrame) -> DataFrame:
     return named.groupBy("by", "none").applyInPandas(fit, "s string, size long, passes int, extra long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """docs with size, source_size, target and copies (0, 1 or 2): how often the mix takes each."""
+def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target and copies (0, 1 or 2): how often the mix takes each.
+
+    size: words of a document where they are known; else its text is counted."""
     spark = docs.sparkSession
-    sized = docs.withColumn("size", n_words(F.col("text"))) if "size" not in docs.columns else docs
+    sized = docs.withColumn("size", n_words(F.col("text")) if size is None else size).drop("source_size", "target", "copies")
     counted = tables.stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     of_source = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("rows")).collect()
     aim = targets([(r["source"], r["words"]) for r in of_source], weights, share)
@@ -159,11 +162,11 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
     planned = tables.stored(plan(counted, aims))
     rows = sum(r["rows"] for r in of_source)
     buckets = max(1, rows // BUCKET_ROWS)
-    dealt = sized.withColumn("lot", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("lot", F.lit(buckets)).cast("int"))
+    dealt = sized.withColumn("mix_lot", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("mix_bucket", F.pmod("mix_lot", F.lit(buckets)).cast("int"))
     # a size's documents in each bucket, and how many the buckets before hold
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "size").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy("source", "size", "bucket")
+        dealt.groupBy("source", "size", "mix_bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .join(planned.withColumnRenamed("size", "p_size"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("p_size")))
@@ -171,19 +174,19 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
         .select(
             F.col("source").alias("o_source"),
             F.col("size").alias("o_size"),
-            F.col("bucket").alias("o_bucket"),
+            F.col("mix_bucket").alias("o_bucket"),
             "source_size",
             "target",
             "passes",
             (F.col("extra") - F.col("before")).alias("extra_here"),
         )
     )
-    own = Window.partitionBy("source", "size", "bucket").orderBy("lot", "doc_id")
-    ranked = dealt.withColumn("own", F.row_number().over(own))
+    own = Window.partitionBy("source", "size", "mix_bucket").orderBy("mix_lot", "doc_id")
+    ranked = dealt.withColumn("mix_own", F.row_number().over(own))
     return (
-        ranked.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("bucket") == F.col("o_bucket")))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + (F.col("own") <= F.col("extra_here")).cast("int")).otherwise(0))
-        .drop("lot", "bucket", "own", "o_source", "o_size", "o_bucket", "passes", "extra_here")
+        ranked.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("mix_bucket") == F.col("o_bucket")))
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + (F.col("mix_own") <= F.col("extra_here")).cast("int")).otherwise(0))
+        .drop("mix_lot", "mix_bucket", "mix_own", "o_source", "o_size", "o_bucket", "passes", "extra_here")
     )
 
 
@@ -194,7 +197,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     agree in doc_id, source and text are alike, and the first brings the copies of all."""
     key = {"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "key_hash": F.xxhash64("doc_id", "source", "text")}
     narrow = tables.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[c.alias(n) for n, c in key.items()]))
-    taken = mix(narrow, seed).where("copies > 0").groupBy(F.col("key_id").alias("t_id"), F.col("key_hash").alias("t_hash")).agg(F.sum("copies").cast("int").alias("copies_taken"))
+    taken = mix(narrow, seed, size=F.col("size")).where("copies > 0").groupBy(F.col("key_id").alias("t_id"), F.col("key_hash").alias("t_hash")).agg(F.sum("copies").cast("int").alias("copies_taken"))
     met = docs.withColumns(key).join(taken, (F.col("key_id") == F.col("t_id")) & (F.col("key_hash") == F.col("t_hash")))
     nth = F.row_number().over(Window.partitionBy("key_id", "key_hash").orderBy("key_id"))
     once = met.withColumn("nth", nth).where("nth = 1")
@@ -204,4 +207,4 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(tables.stored(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return mix(tables.stored(docs), size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
