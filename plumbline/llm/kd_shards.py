@@ -4,13 +4,14 @@ Each node of the tree is cut along the widest of its dimensions (spans are compa
 every dimension to its range over the whole table) at a weighted median: the place where the bytes
 on either side stand as the leaves to be made there.  Medians are found over the distributed rows by
 refining histograms of a 62-bit key: 20 bits of the dimension, 32 of the text's crc32, 10 of a hash of
-doc_id.  A round sends the driver at most 2**11 sums a node, whatever the number of rows.  Refinement
+doc_id.  A round sends the driver at most 2**11 sums a node for NODES nodes at a time, whatever the number of
+rows; the tree itself, a number a leaf, is on the driver, so shards should be some thousands at most.  Refinement
 ends as soon as a cut is as near as ``tolerance`` of a leaf, so equal texts (equal key but for the
 last ten bits) stay in one leaf unless their group is heavier than that; such a hot group is cut by
 its doc_id hashes.
 
-Every dimension is a function of the text (its bytes, the share of multi-byte characters, its crc32),
-so copies share their coordinates whatever their source says.
+Every dimension is a function of the text (its bytes, the share of multi-byte characters, its bytes a
+space), so copies share their coordinates whatever their source says.
 
 Null texts count as empty, empty texts weigh 1, ties fall to the text's crc32 and then to doc_id's
 hash, repeated rows stay together, an empty table gives no rows, and other columns are carried along
@@ -29,9 +30,11 @@ from . import tables
 #: Right shifts that lay bare 10 or 11 more bits of the key in each round.
 SHIFTS = (52, 42, 31, 20, 10, 0)
 CELLS = 20
-DIMENSIONS = ("bytes", "width", "crc")
+DIMENSIONS = ("bytes", "width", "words")
 #: Rows a slot window takes at most, roughly.
 SLOT_ROWS = 20_000
+#: Nodes of a level that are cut by the same jobs.
+NODES = 128
 
 
 @dataclass
@@ -53,7 +56,7 @@ def coordinates(docs: DataFrame) -> list[Column]:
     return [
         F.log2(size.cast("double") + 1),
         (size - F.length(text)) / F.greatest(size, F.lit(1)),
-        F.crc32(text).cast("double"),
+        F.log2((size + 1) / (size - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1)),
     ]
 
 
@@ -109,6 +112,56 @@ def _index(nodes: list[Cut], keys: list[Column]) -> Column:
     return out
 
 
+def _cut(rows: DataFrame, keys: list[Column], level: list[Cut], slack: float) -> None:
+    """Settles dimension and place of some nodes of a level together."""
+    at_node = rows.withColumn("node", _index(level, keys)).where("node is not null")
+    cells = [F.shiftright(k, 42) for k in keys]
+    spans = {
+        r["node"]: r
+        for r in at_node.groupBy("node")
+        .agg(
+            F.sum("size").alias("size"),
+            *[(F.max(c) - F.min(c)).alias(f"span{d}") for d, c in enumerate(cells)],
+        )
+        .collect()
+    }
+    state = []
+    for i, node in enumerate(level):
+        span = spans.get(i)
+        node.dim = max(range(len(keys)), key=lambda d, s=span: (s[f"span{d}"] if s else 0, -d))
+        goal = (span["size"] if span else 0) * (node.leaves // 2) / node.leaves
+        state.append({"goal": goal, "below": 0, "prefix": 0, "open": bool(span)})
+    before = 62
+    for shift in SHIFTS:
+        if not any(s["open"] for s in state):
+            break
+        at = F.lit(None).cast("long")
+        inside = F.lit(False)
+        for i, (node, s) in enumerate(zip(level, state, strict=True)):
+            if s["open"]:
+                here = F.col("node") == i
+                at = F.when(here, F.shiftright(keys[node.dim], shift)).otherwise(at)
+                inside = inside | (here & (F.shiftright(keys[node.dim], before) == F.lit(s["prefix"])))
+        bins: dict[int, list] = {}
+        for r in at_node.where(inside).groupBy("node", at.alias("bin")).agg(F.sum("size").alias("size")).collect():
+            bins.setdefault(r["node"], []).append((r["bin"], r["size"]))
+        for i, (node, s) in enumerate(zip(level, state, strict=True)):
+            if not s["open"]:
+                continue
+            below = s["below"]
+            for b, w in sorted(bins[i]):
+                if below + w >= s["goal"]:
+                    break
+                below += w
+            # either edge of the bin that the goal falls into is a possible cut
+            if below + w - s["goal"] <= s["goal"] - below:
+                node.at, off = (b + 1) << shift, below + w - s["goal"]
+            else:
+                node.at, off = b << shift, s["goal"] - below
+            s |= {"below": below, "prefix": b, "open": off > slack}
+        before = shift
+
+
 def grow(rows: DataFrame, low: list[float], high: list[float], leaves: int, tolerance: float) -> Tree:
     """rows: size and k0, k1, ... by dimension.  Levels are grown together, so jobs go with the depth."""
     keys = [F.col(f"k{d}") for d in range(len(low))]
@@ -117,52 +170,8 @@ def grow(rows: DataFrame, low: list[float], high: list[float], leaves: int, tole
     root = Cut(leaves, 0)
     level = [root]
     while level := [n for n in level if n.leaves > 1]:
-        at_node = rows.withColumn("node", _index(level, keys)).where("node is not null")
-        cells = [F.shiftright(k, 42) for k in keys]
-        spans = {
-            r["node"]: r
-            for r in at_node.groupBy("node")
-            .agg(
-                F.sum("size").alias("size"),
-                *[(F.max(c) - F.min(c)).alias(f"span{d}") for d, c in enumerate(cells)],
-            )
-            .collect()
-        }
-        state = []
-        for i, node in enumerate(level):
-            span = spans.get(i)
-            node.dim = max(range(len(keys)), key=lambda d, s=span: (s[f"span{d}"] if s else 0, -d))
-            goal = (span["size"] if span else 0) * (node.leaves // 2) / node.leaves
-            state.append({"goal": goal, "below": 0, "prefix": 0, "open": bool(span)})
-        before = 62
-        for shift in SHIFTS:
-            if not any(s["open"] for s in state):
-                break
-            at = F.lit(None).cast("long")
-            inside = F.lit(False)
-            for i, (node, s) in enumerate(zip(level, state, strict=True)):
-                if s["open"]:
-                    here = F.col("node") == i
-                    at = F.when(here, F.shiftright(keys[node.dim], shift)).otherwise(at)
-                    inside = inside | (here & (F.shiftright(keys[node.dim], before) == F.lit(s["prefix"])))
-            bins: dict[int, list] = {}
-            for r in at_node.where(inside).groupBy("node", at.alias("bin")).agg(F.sum("size").alias("size")).collect():
-                bins.setdefault(r["node"], []).append((r["bin"], r["size"]))
-            for i, (node, s) in enumerate(zip(level, state, strict=True)):
-                if not s["open"]:
-                    continue
-                below = s["below"]
-                for b, w in sorted(bins[i]):
-                    if below + w >= s["goal"]:
-                        break
-                    below += w
-                # either edge of the bin that the goal falls into is a possible cut
-                if below + w - s["goal"] <= s["goal"] - below:
-                    node.at, off = (b + 1) << shift, below + w - s["goal"]
-                else:
-                    node.at, off = b << shift, s["goal"] - below
-                s |= {"below": below, "prefix": b, "open": off > slack}
-            before = shift
+        for at in range(0, len(level), NODES):
+            _cut(rows, keys, level[at : at + NODES], slack)
         following = []
         for node in level:
             half = node.leaves // 2
