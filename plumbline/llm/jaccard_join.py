@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import marks, tables
@@ -38,7 +38,8 @@ STEP = 16
 TOLERANCE = 1e-6
 NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8
 BAND_BLOCK = 4096
-EXACT_BLOCK = 1024
+EXACT_BLOCK, EXACT_SHINGLES = 1024, 4_000_000  # classes, and shingles, of a block that is verified
+BITMAP = 1 << 15  # shingles compared at once
 
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -170,11 +171,10 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("a", "sig").mapInArrow(cut, "a long, band int, key long")
 
 
-def _blocks(df: DataFrame, group: list[str], size: str, block: int, member: str) -> DataFrame:
-    """df with lo, hi: each row once for every pair of blocks that its block is in."""
-    of = F.ceil(F.col(size) / F.lit(block)).cast("int")
+def _blocks(df: DataFrame, of: Column, member: str) -> DataFrame:
+    """df with lo, hi: each row once for every pair of its group's `of` blocks that its block is in."""
     return (
-        df.withColumn("of", of)
+        df.withColumn("of", F.ceil(of).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64(member), F.col("of")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         .withColumn("lo", F.least("own", "other"))
@@ -224,7 +224,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     spread = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("members")).where("size > 1")
     kept = spread.groupBy("size", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("size", "at.band", "at.key")
     # a key's members, and their signatures; a band's hot key goes by blocks
-    rows = _blocks(bands.join(kept, ["band", "key"]), ["band", "key"], "size", BAND_BLOCK, "a").join(classes.select("a", "sig"), "a")
+    rows = _blocks(bands.join(kept, ["band", "key"]), F.col("size") / F.lit(BAND_BLOCK), "a").join(classes.select("a", "sig"), "a")
     names = ["band", "key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,25 +245,32 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 v.append(a[s + tied])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    dealt = rows.select(*names, "own", "a", "sig").repartition(tables.parts(bands), *names).sortWithinPartitions(*names)
+    # the least member comes first and is the root of its group, so that bands of one group give the same ties
+    dealt = rows.select(*names, "own", "a", "sig").repartition(tables.parts(bands), *names).sortWithinPartitions(*names, "a")
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of sorted hash arrays reach the threshold, exactly: bitmaps over the hashes that two have."""
+    """Which pairs of sorted hash arrays reach the threshold, exactly: bitmaps over the hashes that two have,
+    a slice of these at a time."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
     place = np.cumsum(shared) - 1
     row = np.repeat(np.arange(len(sets)), sizes)
     use = shared[at]
-    bits = np.zeros((len(sets), -(-int(shared.sum()) // 64) * 64 or 64), bool)
-    bits[row[use], place[at[use]]] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    out = np.zeros((len(sets), len(sets)), bool)
-    for i in range(len(sets) - 1):
-        both = np.bitwise_count(packed[i] & packed[i + 1 :]).sum(1, dtype=np.int64)
-        out[i, i + 1 :] = DENOMINATOR * both >= NUMERATOR * (sizes[i] + sizes[i + 1 :] - both)
+    row, column = row[use], place[at[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    for start in range(0, int(shared.sum()), BITMAP):
+        lo, hi = np.searchsorted(column, (start, start + BITMAP))
+        bits = np.zeros((len(sets), -(-min(BITMAP, int(shared.sum()) - start) // 64) * 64), bool)
+        bits[row[lo:hi], column[lo:hi] - start] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(len(sets) - 1):
+            both[i, i + 1 :] += np.bitwise_count(packed[i] & packed[i + 1 :]).sum(1, dtype=np.int32)
+    out = np.triu(DENOMINATOR * both.astype(np.int64) >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both), 1)
     if side is not None:
         out &= side[:, None] != side[None, :]
     return out | out.T
@@ -282,11 +289,11 @@ def _labels(links: np.ndarray) -> np.ndarray:
     return label
 
 
-def _verified(docs: DataFrame, ties: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, ties: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, root, links) of every class in a cluster and block: its links there, and one it is linked with."""
-    labelled = components(ties)
-    sized = labelled.join(labelled.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("a"), "label", "size")
-    sized = tables.stored(sized)
+    labelled = components(ties).join(sizes, F.col("node") == F.col("a")).select("a", "label", "n")
+    of_label = labelled.groupBy("label").agg(F.greatest(F.count("*") / F.lit(EXACT_BLOCK), F.sum("n") / F.lit(EXACT_SHINGLES)).alias("of"))
+    sized = tables.stored(labelled.join(of_label, "label").select("a", "label", "of"))
     filled = docs.sparkSession.sparkContext.broadcast(marks.build(sized, "a"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +313,7 @@ def _verified(docs: DataFrame, ties: DataFrame) -> DataFrame:
     sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(cut, "a long, grams binary")
     sets = sets.join(sized, "a").dropDuplicates(["a"])
     names = ["label", "lo", "hi"]
-    rows = _blocks(sets, ["label"], "size", EXACT_BLOCK, "a")
+    rows = _blocks(sets, F.col("of"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, names):
@@ -324,7 +331,7 @@ def _verified(docs: DataFrame, ties: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "root", "links"])
 
-    dealt = rows.select(*names, "own", "a", "grams").repartition(tables.parts(docs), *names).sortWithinPartitions(*names)
+    dealt = rows.select(*names, "own", "a", "grams").repartition(tables.parts(docs), *names).sortWithinPartitions(*names, "a")
     return tables.stored(dealt.mapInArrow(verify, "a long, root long, links long"))
 
 
@@ -337,8 +344,8 @@ def join(docs: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame) -> DataFrame:
     """The rows of join() with a hash of their text."""
     signed = tables.stored(_signed(docs))
-    classes = tables.stored(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("sig").alias("sig")))
-    verified = _verified(docs, tables.stored(_candidates(classes)))
+    classes = tables.stored(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("sig").alias("sig")))
+    verified = _verified(docs, tables.stored(_candidates(classes)), classes.select("a", "n"))
     groups = components(verified.where("a <> root").select(F.col("a").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("a").agg(F.sum("links").alias("links"))
     of_class = classes.select("a", "b", "least").join(groups, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
