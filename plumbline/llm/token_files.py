@@ -11,7 +11,8 @@ each holds whole documents and the doc_ids themselves.
 
 Encoding keeps ids by stretches of text between single spaces, which byte-level BPE of this kind never
 joins, so the tokenizer sees a frequent stretch once; the memory has a fixed size and, when full, forgets
-those seen least.
+those seen least.  Strings of special tokens in a text become those tokens, as the library has it by default; a text
+with one is encoded whole.  ``ordinary=True`` takes them for text.
 
 Null texts count as empty and give the end id alone; null doc_ids come first; repeated rows are
 documents of their own, in any order among themselves; an empty table gives no rows; other columns are
@@ -32,100 +33,189 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
-from .words import by_bytes, ranges
+from .words import by_bytes, mix, ranges
 
 END = 0
 RANK_BITS = 512
 FILE_TOKENS = 1 << 18
-MEMORY = 800_000
+MEMORY = 1_500_000
 MAGIC = b"DAC1"
 
-_APART = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r" \s|\s ")
+# The pieces that byte-level BPE of this kind cuts ASCII text into, and how it writes their bytes.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_WRITTEN = {b: 256 + b for b in range(33)} | {127: 289}
+
+_EDGE = np.zeros(256, bool)
+_EDGE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+
+
+def stretches(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends, counts): the texts cut at single spaces between characters that are no white space.
+
+    Where a neighbour may be white space beyond ASCII there is no cut: a longer stretch is still right."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    buf = b"\n" * 8 + b"\n".join(texts) + b"\n" * 8
+    data = np.frombuffer(buf, np.uint8)
+    at = 8 + np.cumsum(lens + 1) - (lens + 1)
+    cuts = np.flatnonzero(data == 0x20)
+    left, right = data[cuts - 1], data[cuts + 1]
+    cuts, high = (x[~(_EDGE[left] | _EDGE[right])] for x in (cuts, (left >= 0x80) | (right >= 0x80)))
+    far = cuts[high]
+    if len(far):
+
+        def wide(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+            """Whether bytes may open U+0085, U+00A0, U+1680, U+2000-205F or U+3000."""
+            return ((two == 0xC2) & ((three == 0x85) | (three == 0xA0))) | ((one == 0xE1) & (two == 0x9A)) | ((one == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((one == 0xE3) & (two == 0x80))
+
+        before = wide(data[far - 3], data[far - 2], data[far - 1])
+        behind = wide(data[far + 1], data[far + 2], data[far + 3]) | wide(data[far], data[far + 1], data[far + 2])
+        high[high] = before | behind
+        cuts = cuts[~high]
+    counts = 1 + np.bincount(np.searchsorted(at, cuts, "right") - 1, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+    heads = np.zeros(int(counts.sum()), bool)
+    heads[np.cumsum(counts) - counts] = True
+    starts = np.empty(len(heads), np.int64)
+    starts[heads], starts[~heads] = at, cuts + 1
+    tails = np.zeros(len(heads), bool)
+    tails[np.cumsum(counts) - 1] = True
+    ends = np.empty(len(heads), np.int64)
+    ends[tails], ends[~tails] = at + lens, cuts
+    return buf, starts, ends, counts
 
 
 class Encoder:
-    """Texts to ids of a byte-level BPE tokenizer file."""
+    """Texts to ids of a byte-level BPE tokenizer file.
 
-    _held: dict[str, Encoder] = {}
+    A stretch of up to 16 bytes is known by its length and its first and last 8 bytes, exactly, so a batch is
+    looked up in arrays; longer ones are kept in a dictionary.  What is new is cut into pieces, by the library's
+    pre-tokenizer where it is beyond ASCII, and merged by the library's model."""
+
+    _held: dict[tuple, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, ordinary: bool = False) -> Encoder:
         """One for each Python worker, kept from task to task."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        if (path, ordinary) not in cls._held:
+            cls._held[path, ordinary] = cls(path, ordinary)
+        return cls._held[path, ordinary]
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
+        """ordinary: strings of special tokens are text like any other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, int] = {}  # stretches that open a text
-        self.later: dict[str, int] = {}  # stretches after a space, without it
-        self.at = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.seen = np.zeros(1 << 16, np.int64)
-        self.n = 0
+        self.tokenizer.encode_special_tokens = ordinary
+        pre = self.tokenizer.pre_tokenizer
+        self.plain = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
+        self.special = [] if ordinary else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.pre = self.tokenizer.model, pre
+        self.pieces: dict[str, list[int]] = {}
+        self.long: dict[bytes, int] = {}
+        self.keys = np.zeros((4, 0), np.uint64)  # hash (sorted), length, first and last bytes
+        self.place = np.zeros(0, np.int64)
+        self.at = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keep the stretches seen most: half of the memory at most."""
-        seen = self.seen[: self.n]
-        keep = seen > max(1, int(np.partition(seen, -MEMORY // 2)[-MEMORY // 2]))
-        place = np.cumsum(keep) - 1
-        for memory in (self.first, self.later):
-            kept = {s: int(place[k]) for s, k in memory.items() if keep[k]}
-            memory.clear()
-            memory.update(kept)
-        old, each = np.flatnonzero(keep), np.diff(self.at[: self.n + 1])[keep]
-        self.ids = np.append(self.ids[ranges(self.at[old], each)], np.zeros(1 << 18, np.uint32))
-        self.n = len(old)
-        self.at = np.concatenate([[0], np.cumsum(each), np.zeros(1 << 16, np.int64)])
-        self.seen = np.append(seen[old] // 2, np.zeros(1 << 16, np.int64))
-
-    def _learn(self, stretches: list[str], memory: dict[str, int], lead: str) -> None:
-        got = self.tokenizer.encode_batch_fast([lead + s for s in stretches], add_special_tokens=False)
-        for s, e in zip(stretches, got, strict=True):
-            ids = e.ids
-            start = self.at[self.n]
-            end = int(start) + len(ids)
-            if self.n + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[start:end] = ids
-            memory[s] = self.n
-            self.n += 1
-            self.at[self.n] = end
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.seen > max(1, int(np.partition(self.seen, -MEMORY // 2)[-MEMORY // 2]))
+        moved, old = np.cumsum(keep) - 1, np.flatnonzero(keep)
+        each = np.diff(self.at)[keep]
+        self.ids = self.ids[ranges(self.at[old], each)]
+        self.at = np.concatenate([[0], np.cumsum(each)])
+        self.seen = self.seen[old] // 2
+        known = keep[self.place]
+        self.keys, self.place = self.keys[:, known], moved[self.place[known]]
+        self.long = {s: int(moved[k]) for s, k in self.long.items() if keep[k]}
+        self.pieces.clear()
+
+    def _ids(self, text: str) -> list[int]:
+        if not text.isascii():
+            pieces = [p for p, _ in self.pre.pre_tokenize_str(text)]
+        elif text[text[:1] == " " :].isalpha():
+            return [t.id for t in self.model.tokenize(text.translate(_WRITTEN))]
+        else:
+            pieces = [p.translate(_WRITTEN) for p in _PIECES.findall(text)]
+        out: list[int] = []
+        for piece in pieces:
+            known = self.pieces.get(piece)
+            if known is None:
+                known = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+            out += known
+        return out
+
+    def _learn(self, some: list[str]) -> np.ndarray:
+        """Places of new stretches."""
+        got = [self._ids(s) for s in some]
+        each = np.fromiter(map(len, got), np.int64, len(got))
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(each)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(each.sum()))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(got), np.int64)])
+        return np.arange(first, first + len(got))
+
+    def _places(self, buf: bytes, starts: np.ndarray, ends: np.ndarray, head: np.ndarray) -> np.ndarray:
+        size = (ends - starts).astype(np.uint64)
+        view = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        first = view[starts] & ~np.where(size < 8, np.uint64(2**64 - 1) << (np.minimum(size, np.uint64(7)) * np.uint64(8)), np.uint64(0))
+        last = np.where(size > 8, view[np.maximum(ends - 8, 0)], np.uint64(0))
+        length = size + (head.astype(np.uint64) << np.uint64(32))
+        key = mix(first ^ mix(last + length))
+        short = size <= 16
+        out = np.full(len(starts), -1)
+
+        def text(k: int) -> str:
+            return ("" if head[k] else " ") + buf[starts[k] : ends[k]].decode()
+
+        own = np.flatnonzero(short)
+        found, where, back = np.unique(key[own], return_index=True, return_inverse=True)
+        facts = np.stack([key, length, first, last])
+        rep = own[where]
+        same = (facts[1:, own] == facts[1:, rep[back]]).all(0)
+        at = np.minimum(np.searchsorted(self.keys[0], found), max(0, self.keys.shape[1] - 1))
+        hit = (self.keys[:, at] == facts[:, rep]).all(0) if self.keys.shape[1] else np.zeros(len(found), bool)
+        places = np.full(len(found), -1)
+        places[hit] = self.place[at[hit]]
+        taken = (self.keys[0, at] == found) & ~hit if self.keys.shape[1] else np.zeros(len(found), bool)
+        new = np.flatnonzero(~hit & ~taken)
+        if len(new):
+            places[new] = self._learn([text(k) for k in rep[new].tolist()])
+            spot = np.searchsorted(self.keys[0], found[new])
+            self.keys = np.insert(self.keys, spot, facts[:, rep[new]], axis=1)
+            self.place = np.insert(self.place, spot, places[new])
+        out[own] = np.where(same, places[back], -1)
+        # longer stretches, and any whose hash belongs to another
+        rest = np.flatnonzero(out < 0).tolist()
+        names = [text(k).encode() for k in rest]
+        if fresh := sorted({n for n in names if n not in self.long}):
+            self.long |= zip(fresh, self._learn([n.decode() for n in fresh]).tolist(), strict=True)
+        out[rest] = [self.long[n] for n in names]
+        return out
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)"""
-        if self.n > MEMORY:
+        whole = {k: self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for k, t in enumerate(texts) if not self.plain or any(s in t for s in self.special)}
+        if whole:
+            texts = [b"" if k in whole else t for k, t in enumerate(texts)]
+        if len(self.seen) > MEMORY:
             self.forget()
-        heads, tails, counts = [], [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if not text:
-                heads.append("")
-                continue
-            some = _APART.split(text) if _RUN.search(text) else text.split(" ")
-            heads.append(some[0])
-            counts[k] = len(some) - 1
-            tails += some[1:]
-        for memory, have, lead in ((self.first, heads, ""), (self.later, tails, " ")):
-            if new := [s for s in set(have) if s not in memory]:
-                self._learn(sorted(new), memory, lead)
-        head = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        tail = np.fromiter(map(self.later.__getitem__, tails), np.int64, len(tails))
-        which = np.insert(tail, np.cumsum(counts) - counts, head)
-        if len(self.seen) < self.n:
-            self.seen = np.append(self.seen, np.zeros(max(self.n, 1 << 16), np.int64))
-        self.seen[: self.n] += np.bincount(which, minlength=self.n)
+        buf, starts, ends, counts = stretches(texts)
+        head = np.zeros(len(starts), bool)
+        head[np.cumsum(counts) - counts] = True
+        which = self._places(buf, starts, ends, head)
+        self.seen += np.bincount(which, minlength=len(self.seen))
         each = self.at[which + 1] - self.at[which]
         out = self.ids[ranges(self.at[which], each)]
-        ends = np.cumsum(counts + 1)
         total = np.concatenate([[0], np.cumsum(each)])
-        return out, total[ends] - total[ends - counts - 1]
+        last = np.cumsum(counts)
+        n = total[last] - total[last - counts]
+        for k in sorted(whole, reverse=True):  # their place is empty so far
+            out = np.insert(out, int(n[:k].sum()), whole[k])
+        for k, ids in whole.items():
+            n[k] = len(ids)
+        return out, n
 
 
 # ---- the file format
@@ -219,14 +309,14 @@ class TokenFile:
 # ---- tables of files
 
 
-def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end: int = END, ordinary: bool = False) -> DataFrame:
     """Files of all texts in ascending doc_id order, stored: (part, seq, n_docs, n_tokens, file)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, ordinary)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def file() -> pa.RecordBatch:
@@ -236,8 +326,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             columns = [pa.array([v], t) for v, t in ((part, pa.int32()), (seq, pa.int32()), (len(docs), pa.int64()), (len(ids), pa.int64()), (made, pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "file"])
 
-        for batch in by_bytes(batches, "text", 1 << 20):
-            ids, counts = encoder.encode(batch.column("text").to_pylist())
+        for batch in by_bytes(batches, "text", 4 << 20):
+            ids, counts = encoder.encode([t or b"" for t in batch.column("text").to_pylist()])
             ids = np.insert(ids, np.cumsum(counts), end)
             held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
             if sum(len(x[2]) for x in held) >= FILE_TOKENS:
@@ -246,7 +336,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         if held:
             yield file()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     ordered = ordered.repartitionByRange(tables.parts(ordered), "doc_id").sortWithinPartitions("doc_id")
     return tables.stored(ordered.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, file binary"))
 
