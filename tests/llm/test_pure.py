@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from plumbline.llm import html_text, jaccard_join, mixing, pitman_yor, substring_dedup, tiff, token_files, toxicity
 from plumbline.llm.words import ALNUM, PLAIN, Words, by_bytes, gram_hashes
@@ -64,25 +66,48 @@ def test_addressable_codes_give_any_token():
     assert not len(empty.all())
 
 
-def test_encoder_equals_the_tokenizer():
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_encoder_equals_the_tokenizer(ordinary):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
-    e = token_files.Encoder(path)
-    texts = ["a  b", " a b ", "a\n b", "", "x　 z", "ok's, 1.5, x% <|endoftext|>. z", "foo. foo.. foo! foo", "a,,, b.x y३. ²!"]
-    ids, counts = e.encode(texts)
-    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(path), token_files.Encoder(path, ordinary)
+    if ordinary:
+        plain.encode_special_tokens = True
+    texts = ["a  b", " a b ", "  two", "a\n b", "", "x\u3000 z", "x \u00a0y \u2003z \u0085 q", "\x1c a\x1d b", "ok's, 1.5, x% <|endoftext|>. z", "<|endoftext|>", "foo. foo.. foo! foo", "a,,, b.x y\u0969. \u00b2!"]
+    texts += ["don't 'S we'll 've", "\tx\ty \r\n\x7f\x00 ", "\u00e9t\u00e9 \u4f60\u597d " + "long" * 30 + " " + "long" * 30, "\u201cq\u201d \u2014 w", "z" * 16 + " " + "z" * 17, "12ab34 _x_ a1"]
+    ids, counts = e.encode([t.encode() for t in texts])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+@given(st.lists(st.text(alphabet="ab1.' \n\u00e9\u2003\u00a0\x1c", max_size=30), max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_encoder_equals_the_tokenizer_on_any_text(texts):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    e = token_files.Encoder.of(path)
+    ids, _ = e.encode([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in e.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     monkeypatch.setattr(token_files, "MEMORY", 50)
     e, rng = token_files.Encoder(path), random.Random(3)
     for _ in range(12):
-        texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(40)) for _ in range(3)]
-        ids, _ = e.encode(texts)
+        texts = [" ".join(f"w{rng.randrange(200)}" + "q" * (rng.randrange(2) * 20) for _ in range(40)) for _ in range(3)]
+        ids, _ = e.encode([t.encode() for t in texts])
         assert ids.tolist() == [i for t in texts for i in e.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+def test_encoder_tells_stretches_of_one_hash_apart(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "mix", lambda h: h & np.uint64(1))
+    e = token_files.Encoder(path)
+    for text in ("a b c d e f", "f e d cc b a", "g a"):
+        assert e.encode([text.encode()])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("coding", [tiff.STORED, *tiff.CODINGS])
 @pytest.mark.parametrize("tiled", [False, True])
 @pytest.mark.parametrize("predictor", [False, True])

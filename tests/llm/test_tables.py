@@ -74,7 +74,6 @@ def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = token_files.read(token_files.write(docs, path)).collect()
     place = 0
     for r in sorted(got, key=lambda r: r["start"]):
@@ -189,6 +188,30 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.join(none).count() == 0
 
 
+def test_bands_of_one_group_give_the_same_ties(spark):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[: i % 190], f"x{i}", *base[i % 190 + 1 :]])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard_join._signed(df)
+    classes = signed.groupBy("a", "b").agg(F.max("sig").alias("sig"))
+    ties = jaccard_join._candidates(classes).count()
+    assert ties < 4 * len(rows)
+    assert {(r["class_id"], r["n_links"]) for r in jaccard_join.join(df).collect()} == {(0, len(rows) - 1)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join_in_small_blocks(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BAND_BLOCK", 7), ("EXACT_BLOCK", 5), ("EXACT_SHINGLES", 900), ("BITMAP", 64)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[: i % 110], f"x{i}", *base[i % 110 + 1 + i % 3 :]])) for i in range(40)]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for _, t in rows]
+    links = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets if b != a) for a in sets]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(40)] == links
+
+
 def test_one_of_each_keeps_a_clean_row_that_shares_its_doc_id(spark):
     b = [f"b{k}" for k in range(100)]
     rows = [(3, " ".join(b)), (5, " ".join([*b[:99], "other"])), (5, " ".join(f"a{k}" for k in range(100)))]
@@ -243,6 +266,12 @@ def test_mixing(docs, none):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mixed(docs).count() == sum(r["copies"] for r in out)
     assert mixing.mix(none).count() == 0
+    clash = docs
+    for name in ("size", "target", "copies", "source_size", "lot", "bucket", "own"):
+        clash = clash.withColumn(name, F.lit(1000))
+    mixed = mixing.mix(clash)
+    assert sorted((str(r["doc_id"]), r["size"], r["target"], r["copies"]) for r in mixed.collect()) == sorted((str(r["doc_id"]), r["size"], r["target"], r["copies"]) for r in out)
+    assert {r["lot"] + r["bucket"] + r["own"] for r in mixed.collect()} == {3000} and len(set(mixed.columns)) == len(mixed.columns)
 
 
 def test_toxicity(spark, docs, none):
@@ -251,6 +280,7 @@ def test_toxicity(spark, docs, none):
     out = toxicity.score(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     assert toxicity.score(none, model).count() == 0
+    assert docs.select(toxicity.held_out(F.col("doc_id")).alias("h")).where("h IS NULL").count() == 0
     silent = toxicity.score(docs, toxicity.fit(docs, labels.limit(0)))
     assert silent.where("predicted = 1").count() == 0
 
