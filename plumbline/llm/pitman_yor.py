@@ -3,22 +3,29 @@
 Three levels: a token after two others (leaf restaurants), after one (their shared parents), and the
 smoothed unigram base that all parents share.  Seating is sampled by Gibbs sweeps: for every dish of every
 restaurant the number of its tables, the one figure of a seating that prediction asks for, is drawn
-given the rest, by generalized Stirling numbers up to ``EXACT`` customers and in binomial blocks of further
-ones beyond.  Tables of the leaves are the parents' customers.  Predictive probabilities are averaged over
-``SAMPLES`` sweeps after ``BURN``; a text's score is the sum of their logarithms.
+given the last sweep's tables of the others, by generalized Stirling numbers up to ``EXACT`` customers and in
+binomial blocks of further ones beyond.  Tables of the leaves are the parents' customers.  Predictive
+probabilities are averaged over ``SAMPLES`` sweeps after ``BURN``; a text's score is the sum of their logarithms.
 
 Nothing but words' hashes moves.  Maps cut texts into tokens and send each, packed, to the bucket of the
-token before it, where its restaurants live whole.  Buckets ask the owners of words for their counts over
-all of the corpus and then seat, predict and return sums a text.  A context so frequent that it would fill a
-bucket on its own (at most a few hundred can be, by their share of all tokens) has its leaves dealt to
-units, by the token before it, under one parent still: in every sweep units send its leaves' tables by word,
-each unit adds them up and seats the parent for a part of the words, and all hear the parent's tables and
-totals before they seat their leaves.  Draws are seeded by bucket over sorted dishes, so reruns agree.
+token before it, where its restaurants live whole.  Buckets ask the owners of their words for counts over
+all of the corpus and then seat, predict and return sums a text.  A row is a bucket's words for one owner, or
+a slice's tokens for one bucket, and none is empty, so rows grow with the tokens at most; words and distinct
+words of the corpus are one sum over the owners.
+
+A context with more than ``SPLIT`` tokens has its leaves dealt to units, by the token before it, under one
+parent still: in every sweep units send its leaves' tables by word to at most ``SEATS`` units, each adds them up
+and seats the parent for its words, and all hear the parent's tables before they seat their leaves.  The
+``HOT`` most frequent contexts are split at most, so one that stays whole has ``SPLIT`` tokens or about two of every
+``HOT`` of the corpus.
+
+Every draw is a function of the dish (its words' hashes) and the sweep, and tokens' logarithms are added as
+whole numbers, so a score depends on the texts alone: not on buckets, splits, partitions or the files' codec.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end.  A word is known by 56 bits of its
 hash, the second word back too.  Null and empty texts have the end alone.  Repeated rows are texts of their
 own.  A null doc_id counts as the empty text when rows are held out.  Without training rows every token
-has the base's probability of the unknown.  An empty table gives no rows; other columns are ignored.
+has the base's probability.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,15 +46,18 @@ from .words import PLAIN, U64, WordKind, Words, by_bytes, mix
 LOWER = WordKind(bytes(np.flatnonzero(~PLAIN.is_word).tolist()), lower=True)
 END, BEGIN = U64(1), U64(2)
 DISCOUNT, STRENGTH = (0.7, 0.8), (2.0, 1.0)  # of parents and of leaves
-BURN, SAMPLES = 2, 3
+BURN, SAMPLES = 3, 4
 EXACT = 48
 ADD = 0.1
 BUCKET_BYTES = 7 << 19  # of the scan's estimate, doubled, for each bucket: some 1.2 million tokens
 LEAST_BUCKETS = 64  # unless they would be of less than 256 KB
+PER_OWNER = 8  # buckets for each owner of words
+MOST_PARTS = 50_000  # partitions of an exchange; with more buckets some share one, each its own group still
 SLICE = 6 << 20
-HOT = 400  # a context with this part of all tokens may be dealt to several units
-BASE_STEPS, MODEL_STEPS = 1e9, 1e7  # sums travel as whole numbers of such parts: exact in any order
+HOT = 1 << 16  # contexts that may be dealt to several units
 SPLIT = 400_000  # tokens after a context for each of its units
+SEATS = 4096  # units of a context that seat its parent
+BASE_STEPS, MODEL_STEPS = 1e9, 1e7  # a text's sums of a bucket, and every token's, are whole numbers of such parts
 
 
 # ---- packing
@@ -106,9 +116,31 @@ def _owner(word: np.ndarray, owners: int) -> np.ndarray:
     return (mix(word ^ U64(0x5851F42D4C957F2D)) % U64(owners)).astype(np.int64)
 
 
-def _hot(docs: DataFrame) -> dict[int, int]:
-    """Contexts with more than 1/HOT of a slice's tokens somewhere, and so all with that part of the
-    corpus; with the number of units each gets.  Their number has a bound, whatever the corpus."""
+class Kin:
+    """Very frequent contexts and the numbers of their units, which follow the buckets'."""
+
+    def __init__(self, words: list[int], units: list[int], first: int) -> None:
+        order = np.argsort(np.array(words, U64))
+        self.words, self.units = np.array(words, U64)[order], np.array(units, np.int64)[order]
+        self.first = first + np.cumsum(self.units) - self.units
+        self.total = int(self.units.sum())
+
+    def of(self, number: int) -> range:
+        """The units that seat the parent of this unit's context."""
+        k = int(np.searchsorted(self.first, number, "right")) - 1
+        return range(int(self.first[k]), int(self.first[k]) + min(SEATS, int(self.units[k])))
+
+    def deal(self, before: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> None:
+        """Puts the unit's number where the token before is such a context."""
+        at = _place(self.words, before)
+        own = at >= 0
+        bucket[own] = self.first[at[own]] + (mix(second[own]) % self.units[at[own]].astype(U64)).astype(np.int64)
+
+
+def _hot(docs: DataFrame) -> list[tuple[int, int]]:
+    """(context, units) of the contexts with more than SPLIT tokens, HOT of them at most.
+
+    A slice tells of those with 1/HOT of its own tokens, so less than 1/HOT of the corpus goes unseen."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
@@ -118,8 +150,8 @@ def _hot(docs: DataFrame) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = counted.where(F.col("n") > SPLIT).orderBy(F.desc("n"), "word").limit(4 * HOT)
-    return {int(np.int64(r["word"]).view(U64)): -(-r["n"] // SPLIT) for r in most.collect()}
+    most = counted.where(F.col("n") > SPLIT).orderBy(F.desc("n"), "word").limit(HOT)
+    return [(int(np.int64(r["word"]).view(U64)), -(-r["n"] // SPLIT)) for r in most.collect()]
 
 
 # ---- seating
@@ -137,60 +169,87 @@ def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return out
 
 
-def draw_tables(rng: np.random.Generator, customers: np.ndarray, tables_: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, discount: float, strength: float, log_s: np.ndarray, beyond: int = 0) -> np.ndarray:
+def uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """A number between 0 and 1 for every key, the same at every place and run."""
+    return ((mix(key + U64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> U64(12)).astype(np.float64) + 0.5) / 2**52
+
+
+def binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """A binomial draw for every key: by inversion up to a mean of 30, by the normal law beyond."""
+    turned = p > 0.5
+    q = np.where(turned, 1 - p, p)
+    u, mean = uniform(key, salt), n * q
+    out = np.zeros(len(n), np.int64)
+    live = np.flatnonzero((mean > 0) & (mean <= 30))
+    chance = np.exp(n[live] * np.log1p(-q[live]))
+    below, k = chance.copy(), 0
+    while len(live):
+        more = (u[live] > below) & (out[live] < n[live]) & (k < 200)
+        live, chance, below = live[more], chance[more], below[more]
+        chance = chance * (n[live] - k) / (k + 1) * q[live] / (1 - q[live])
+        below = below + chance
+        out[live] += 1
+        k += 1
+    far = np.flatnonzero(mean > 30)
+    z = np.sqrt(-2 * np.log(u[far])) * np.cos(2 * np.pi * uniform(key[far], salt + 1))
+    out[far] = np.clip(np.rint(mean[far] + z * np.sqrt(mean[far] * (1 - q[far]))), 0, n[far])
+    return np.where(turned, n - out, out)
+
+
+def draw_tables(key: np.ndarray, sweep: int, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, log_s: np.ndarray) -> np.ndarray:
     """Tables of every dish given the other dishes' tables in its restaurant.
 
-    customers, tables_ (now), restaurant, parent: a row a dish; parent: the probability of the dish there.
-    beyond: tables of the restaurant for dishes that are not among these."""
+    A row a dish: key (its own number), customers, others (tables of the others), parent (its probability there)."""
     out = np.minimum(customers, 1)
-    others = np.bincount(restaurant, tables_)[restaurant] - tables_ + beyond if len(restaurant) else tables_
     many = np.flatnonzero(customers > 1)
     if not len(many):
         return out
     size = np.minimum(customers[many], EXACT)
+    u = uniform(key[many], 1000 * sweep)
     for c in np.unique(size).tolist():
-        for at in np.array_split(many[size == c], max(1, int((size == c).sum()) * c // 2_000_000)):
-            t = np.arange(1, c + 1)
-            weight = log_s[c, 1 : c + 1] + t * np.log(parent[at])[:, None]
-            weight += np.cumsum(np.log(strength + discount * (others[at][:, None] + t - 1)), axis=1)
-            out[at] = np.argmax(weight + rng.gumbel(size=weight.shape), axis=1) + 1
-    big = many[customers[many] > EXACT]
-    seated = np.full(len(big), EXACT)
+        of_size = np.flatnonzero(size == c)
+        for at in np.array_split(of_size, max(1, len(of_size) * c // 2_000_000)):
+            own, t = many[at], np.arange(1, c + 1)
+            weight = log_s[c, 1 : c + 1] + t * np.log(parent[own])[:, None]
+            weight += np.cumsum(np.log(strength + discount * (others[own][:, None] + t - 1)), axis=1)
+            upto = np.cumsum(np.exp(weight - weight.max(1)[:, None]), axis=1)
+            out[own] = 1 + (u[at][:, None] * upto[:, -1:] > upto[:, :-1]).sum(1)
+    big, seated, block = many[customers[many] > EXACT], np.int64(EXACT), 1
     while len(big):
         t = out[big]
         new = (strength + discount * (others[big] + t)) * parent[big]
-        block = np.minimum(seated, customers[big] - seated)
-        out[big] = t + rng.binomial(block, np.clip(new / (seated - discount * t + new), 0, 1))
-        seated = seated + block
-        left = seated < customers[big]
-        big, seated = big[left], seated[left]
+        n = np.minimum(seated, customers[big] - seated)
+        out[big] = t + binomial(n, np.clip(new / (seated - discount * t + new), 0, 1), key[big], 1000 * sweep + 2 * block)
+        seated, block = 2 * seated, block + 1
+        big = big[customers[big] > seated]
     return out
 
 
 class Restaurants:
-    """Leaves and parents over the training tokens of a bucket.  Keys: sorted (context, second, word)."""
+    """Leaves and parents over the training tokens of a bucket."""
 
-    def __init__(self, leaf_context: np.ndarray, dish: np.ndarray, leaf: np.ndarray, customers: np.ndarray, dish_context: np.ndarray, dish_base: np.ndarray, seed: int) -> None:
-        """leaf_context, dish (of the parent), customers: a row a leaf dish; leaf: its restaurant."""
-        self.leaf, self.dish, self.customers = leaf, dish, customers
-        self.dish_context, self.base = dish_context, dish_base
-        self.rng = np.random.default_rng([4, seed])
+    def __init__(self, leaf: np.ndarray, dish: np.ndarray, customers: np.ndarray, key: np.ndarray, dish_context: np.ndarray, dish_base: np.ndarray, dish_key: np.ndarray) -> None:
+        """leaf (its restaurant), dish (of the parent), customers, key: a row a leaf dish; the rest: a row a parent dish."""
+        self.leaf, self.dish, self.customers, self.key = leaf, dish, customers, key
+        self.dish_context, self.base, self.dish_key = dish_context, dish_base, dish_key
         self.tables = np.ones(len(customers), np.int64)
-        self.parent_tables = np.ones(len(dish_base), np.int64)
+        self.parent_tables = np.zeros(len(dish_base), np.int64)
         self.log_s = [stirling(d) for d in DISCOUNT]
+        self.leaf_customers, self.swept = np.bincount(leaf, customers).astype(np.int64), 0
 
     def sweep(self) -> None:
-        d, s = DISCOUNT, STRENGTH
+        d, s, k, own = DISCOUNT, STRENGTH, self.swept, self.dish_context
         self.parent_customers = np.bincount(self.dish, self.tables, len(self.base)).astype(np.int64)
-        self.parent_tables = np.minimum(self.parent_tables, self.parent_customers)
-        self.parent_tables = draw_tables(self.rng, self.parent_customers, self.parent_tables, self.dish_context, self.base, d[0], s[0], self.log_s[0])
-        self.context_customers = np.bincount(self.dish_context, self.parent_customers)
-        self.context_tables = np.bincount(self.dish_context, self.parent_tables)
-        own = self.dish_context
+        # of the last sweep; an empty restaurant in the first
+        others = np.bincount(own, self.parent_tables).astype(np.int64)[own] - self.parent_tables
+        self.parent_tables = draw_tables(self.dish_key, 2 * k, self.parent_customers, others, self.base, d[0], s[0], self.log_s[0])
+        self.context_customers = np.bincount(own, self.parent_customers)
+        self.context_tables = np.bincount(own, self.parent_tables)
         self.predicted = (self.parent_customers - d[0] * self.parent_tables + (s[0] + d[0] * self.context_tables[own]) * self.base) / (s[0] + self.context_customers[own])
-        self.tables = draw_tables(self.rng, self.customers, self.tables, self.leaf, self.predicted[self.dish], d[1], s[1], self.log_s[1])
-        self.leaf_customers = np.bincount(self.leaf, self.customers)
+        others = np.bincount(self.leaf, self.tables).astype(np.int64)[self.leaf] - self.tables
+        self.tables = draw_tables(self.key, 2 * k + 1, self.customers, others, self.predicted[self.dish], d[1], s[1], self.log_s[1])
         self.leaf_tables = np.bincount(self.leaf, self.tables)
+        self.swept += 1
 
     def probability(self, base: np.ndarray, context: np.ndarray, dish: np.ndarray, leaf: np.ndarray, leaf_dish: np.ndarray) -> np.ndarray:
         """Predictive probability; -1 where a context, dish, leaf or leaf dish was not seen in training."""
@@ -215,90 +274,120 @@ def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(known[at] == asked, at, -1)
 
 
+def parent_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context ^ U64(0xA24BAED4963EE407)) + word)
+
+
+def leaf_key(context: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(parent_key(context, word) + mix(second ^ U64(0x9FB21C651E98DF25)))
+
+
+def _parts(blobs: list[bytes]) -> list[list[np.ndarray]]:
+    parts = [_unpack(b) for b in blobs]
+    for p in parts:
+        p[2] = np.cumsum(p[2], dtype=U64)
+    return parts
+
+
+def vocabulary(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a bucket's tokens and how often each stands in training texts."""
+    some = []
+    for p in _parts(blobs):
+        words, train = p[3].astype(np.int64), (p[5] & 1).astype(bool)
+        n = np.bincount(words[train], minlength=len(p[2]))
+        used = np.bincount(words, minlength=len(p[2])) > 0
+        some.append((p[2][used], n[used]))
+    vocab, at = np.unique(np.concatenate([w for w, _ in some]), return_inverse=True)
+    return vocab, np.bincount(at, np.concatenate([n for _, n in some]), len(vocab)).astype(np.int64)
+
+
 class Bucket:
-    """All tokens that follow the contexts of one bucket."""
+    """All tokens that follow the contexts of one bucket; different (context, second, word) are a row each."""
 
     def __init__(self, blobs: list[bytes], batches: list[int]) -> None:
         order = sorted(range(len(blobs)), key=lambda k: (batches[k], blobs[k]))
-        parts = [_unpack(blobs[k]) for k in order]
-        for p in parts:
-            p[2] = np.cumsum(p[2], dtype=U64)
+        parts = _parts([blobs[k] for k in order])
         self.batches = [batches[k] for k in order]
         self.docs = [p[7] for p in parts]  # doc_ids of the batch, in the one blob that brings them
         self.known_ids = [p[8] for p in parts]
-        self.sizes = [int(p[6][0]) for p in parts]  # texts in the batch
+        self.base = np.cumsum([0, *[int(p[6][0]) for p in parts]])  # texts in the batches before
         # a blob's hashes are those of its words and of the second words back
-        self.vocab = np.unique(np.concatenate([p[2][np.unique(p[3])] for p in parts])) if parts else np.empty(0, U64)
-        self.word = np.concatenate([np.searchsorted(self.vocab, p[2]).astype(np.int32)[p[3]] for p in parts])
-        contexts = [np.repeat(p[0], p[1].astype(np.int64)) for p in parts]
-        self.contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
-        del contexts
-        seconds, second = np.unique(np.concatenate([p[2][p[4]] for p in parts]), return_inverse=True)
-        base = np.cumsum([0, *self.sizes])
+
+        def numbered(column: int) -> tuple[np.ndarray, np.ndarray]:
+            known = np.unique(np.concatenate([p[2][np.bincount(p[column], minlength=len(p[2])) > 0] for p in parts]))
+            return known, np.concatenate([np.searchsorted(known, p[2])[p[column]] for p in parts])
+
+        self.vocab, word = numbered(3)
+        seconds, second = numbered(4)
+        contexts, context = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        context = np.repeat(context, np.concatenate([p[1] for p in parts]).astype(np.int64))
         flags = np.concatenate([p[5].astype(np.int32) for p in parts])
-        self.text = (flags >> 1) + np.repeat(base[:-1].astype(np.int32), [len(p[3]) for p in parts])
-        self.train = (flags & 1).astype(bool)
-        self.word_bits = max(1, int(len(self.vocab)).bit_length())
-        del parts
-        # leaves by number, in order of (context, second word back)
-        leaves, leaf = np.unique(context.astype(np.int64) * len(seconds) + second, return_inverse=True)
-        self.leaf, self.leaf_context = leaf.astype(np.int64), leaves // max(1, len(seconds))
-        self.base = base
-
-    def training_counts(self) -> np.ndarray:
-        return np.bincount(self.word[self.train], minlength=len(self.vocab))
-
-    def sums(self, counts: np.ndarray, total: int, distinct: int, seed: int) -> tuple[np.ndarray, ...]:
+        self.text = (flags >> 1) + np.repeat(self.base[:-1].astype(np.int32), [len(p[3]) for p in parts])
+        train = (flags & 1).astype(bool)
+        del parts, flags
+        leaf, back = context * len(seconds) + second, int(len(self.vocab)).bit_length()
+        del context, second
+        if (len(contexts) * len(seconds)).bit_length() + back > 63:  # a key would not hold both
+            leaf = np.unique(leaf, return_inverse=True)
+            names, leaf = leaf
+        else:
+            names = None
+        unique, inverse = np.unique((leaf << back) | word, return_inverse=True)
+        del leaf, word
+        self.inverse = inverse.astype(np.int32)
+        self.customers = np.bincount(inverse[train], minlength=len(unique))
+        self.word, leaf = unique & ((1 << back) - 1), unique >> back
+        new = np.append(True, leaf[1:] != leaf[:-1]) if len(leaf) else np.zeros(0, bool)
+        self.leaf, of_leaf = np.cumsum(new) - 1, leaf if names is None else names[leaf]
+        self.context = of_leaf // max(1, len(seconds))
+        self.parent_key = parent_key(contexts[self.context], self.vocab[self.word])
+        self.key = leaf_key(contexts[self.context], seconds[of_leaf % max(1, len(seconds))], self.vocab[self.word])
+
+    def sums(self, counts: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
         """For every text of every batch: its tokens here, those known, base and model logarithms."""
-        bottom = total + ADD * (distinct + 1)
-        base = (counts + ADD) / bottom
-        bits = self.word_bits
-        unique, inverse = np.unique((self.leaf << bits) | self.word, return_inverse=True)
-        del self.leaf
-        inverse = inverse.astype(np.int32)
-        customers = np.bincount(inverse[self.train], minlength=len(unique))
-        word, leaf_key = unique & ((1 << bits) - 1), unique >> bits
-        context = self.leaf_context[leaf_key]
-        dish_key = (context << bits) | word
-        taught = customers > 0
-        dishes = np.unique(dish_key[taught])
-        leaves = np.unique(leaf_key[taught])
-        heads = np.unique(dishes >> bits)
-        dish, leaf, head = _place(dishes, dish_key), _place(leaves, leaf_key), _place(heads, context)
-        leaf_dish = np.full(len(unique), -1)
-        leaf_dish[taught] = np.arange(int(taught.sum()))
-        rest = Restaurants(leaf[taught], dish[taught], leaf[taught], customers[taught], np.searchsorted(heads, dishes >> bits), base[dishes & ((1 << bits) - 1)], seed)
-        p = np.zeros(len(unique))
+        base = (counts + ADD) / (total + ADD * (distinct + 1))
+        bits = max(1, int(len(self.vocab)).bit_length())
+        dish_key = (self.context << bits) | self.word
+        taught = np.flatnonzero(self.customers)
+        dishes, at = np.unique(dish_key[taught], return_index=True)
+        leaves, heads = np.unique(self.leaf[taught]), np.unique(dishes >> bits)
+        dish, leaf, head = _place(dishes, dish_key), _place(leaves, self.leaf), _place(heads, self.context)
+        leaf_dish = np.full(len(self.word), -1)
+        leaf_dish[taught] = np.arange(len(taught))
+        rest = Restaurants(leaf[taught], dish[taught], self.customers[taught], self.key[taught], np.searchsorted(heads, dishes >> bits), base[dishes & ((1 << bits) - 1)], self.parent_key[taught[at]])
+        p = np.zeros(len(self.word))
         for k in range(BURN + SAMPLES):
             rest.sweep()
             if k >= BURN:
-                p += rest.probability(base[word], head, dish, leaf, leaf_dish)
-        model = np.log10(p / SAMPLES)[inverse]
-        return self.by_text(counts, base, model)
+                p += rest.probability(base[self.word], head, dish, leaf, leaf_dish)
+        return self.by_text(counts, base, p / SAMPLES)
 
-    def by_text(self, counts: np.ndarray, base: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, ...]:
+    def by_text(self, counts: np.ndarray, base: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
         n = int(self.base[-1])
+        known = counts[self.word] > 0
         return (
             np.bincount(self.text, minlength=n),
-            np.bincount(self.text[counts[self.word] > 0], minlength=n),
-            np.bincount(self.text, np.log10(base)[self.word], n),
-            np.bincount(self.text, model, n),
+            np.bincount(self.text[known[self.inverse]], minlength=n),
+            np.rint(np.bincount(self.text, np.log10(base)[self.word][self.inverse], n) * -BASE_STEPS).astype(np.int64),
+            np.bincount(self.text, np.rint(np.log10(p) * -MODEL_STEPS)[self.inverse], n).astype(np.int64),
         )
 
 
 class Unit:
-    """A part of the leaves of one very frequent context; its parent is kept by all of the context's units together."""
+    """A part of the leaves of one very frequent context; its parent is kept by several units together."""
 
-    def __init__(self, blobs: list[bytes], batches: list[int], number: int, kin: range) -> None:
-        self.bucket, self.number, self.kin = Bucket(blobs, batches), number, kin
-        bits = self.bucket.word_bits
-        unique, inverse = np.unique((self.bucket.leaf << bits) | self.bucket.word, return_inverse=True)
-        self.inverse = inverse.astype(np.int32)
-        self.word, self.leaf = unique & ((1 << bits) - 1), unique >> bits
-        self.customers = np.bincount(inverse[self.bucket.train], minlength=len(unique))
+    def __init__(self, blobs: list[bytes], batches: list[int], number: int, seats: range) -> None:
+        self.bucket, self.number, self.seats = Bucket(blobs, batches), number, seats
+        b = self.bucket
+        self.word, self.leaf, self.customers, self.leaves = b.word, b.leaf, b.customers, int(b.leaf[-1]) + 1 if len(b.leaf) else 0
         self.taught = np.flatnonzero(self.customers)
-        slot = _owner(self.bucket.vocab, len(kin))
-        self.slots = [np.flatnonzero(slot == k) for k in range(len(kin))]
+        slot = _owner(b.vocab, len(seats))
+        order = np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], np.arange(len(seats) + 1))
+        self.slots = [order[a:e] for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        # every word's key in the parent
+        self.parent_key = np.zeros(len(b.vocab), U64)
+        self.parent_key[b.word] = b.parent_key
 
     def asked(self, tables_: np.ndarray) -> list[np.ndarray]:
         """The parent's customers from here, by the unit that seats the word."""
@@ -307,74 +396,63 @@ class Unit:
 
     def sweep(self, k: int, tables_: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """New tables of the leaves; parent: the probability of every word there."""
-        rng = np.random.default_rng([4, self.number, k])
         own = self.taught
-        return draw_tables(rng, self.customers[own], tables_, self.leaf[own], parent[self.word[own]], DISCOUNT[1], STRENGTH[1], stirling(DISCOUNT[1]))
+        others = np.bincount(self.leaf[own], tables_, self.leaves).astype(np.int64)[self.leaf[own]] - tables_
+        return draw_tables(self.bucket.key[own], 2 * k + 1, self.customers[own], others, parent[self.word[own]], DISCOUNT[1], STRENGTH[1], stirling(DISCOUNT[1]))
 
     def probability(self, tables_: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        d, s, leaves = DISCOUNT[1], STRENGTH[1], len(self.bucket.leaf_context)
+        d, s = DISCOUNT[1], STRENGTH[1]
         seated = np.zeros(len(self.customers), np.int64)
         seated[self.taught] = tables_
-        of_leaf, at = np.bincount(self.leaf, seated, leaves)[self.leaf], np.bincount(self.leaf, self.customers, leaves)[self.leaf]
+        of_leaf, at = np.bincount(self.leaf, seated, self.leaves)[self.leaf], np.bincount(self.leaf, self.customers, self.leaves)[self.leaf]
         return (self.customers - d * seated + (s + d * of_leaf) * parent[self.word]) / (s + at)
 
 
-def seat_parent(words: list[np.ndarray], counts: list[np.ndarray], sums: list[np.ndarray], held: np.ndarray | None, total: int, distinct: int, everywhere: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seat_parent(words: list[np.ndarray], counts: list[np.ndarray], sums: list[np.ndarray], held: np.ndarray | None, total: int, distinct: int, everywhere: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(customers, tables, place of every word asked) of the words that one unit seats for its context.
 
-    A row of words, counts (in the corpus) and sums (of leaves' tables) for each unit; held: the tables of the
-    last sweep; everywhere: all tables of the restaurant then."""
+    A row of words (by their keys), counts (in the corpus) and sums (of leaves' tables) for each unit; held: the
+    tables of the last sweep; everywhere: all tables of the restaurant then."""
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     of_corpus = np.zeros(len(known), np.int64)
     of_corpus[at] = np.concatenate(counts)
     customers = np.zeros(len(known), np.int64)
     np.add.at(customers, at, np.concatenate(sums).astype(np.int64))
-    held = np.minimum(customers, 1) if held is None else held.astype(np.int64)
-    beyond = everywhere - int(held.sum())
+    others = np.zeros(len(known), np.int64) if held is None else everywhere - held.astype(np.int64)
     base = (of_corpus + ADD) / (total + ADD * (distinct + 1))
-    drawn = draw_tables(np.random.default_rng(seed), customers, np.minimum(held, customers), np.zeros(len(known), np.int64), base, DISCOUNT[0], STRENGTH[0], stirling(DISCOUNT[0]), beyond)
-    return customers, drawn, at
+    return customers, draw_tables(known, 2 * k, customers, others, base, DISCOUNT[0], STRENGTH[0], stirling(DISCOUNT[0])), at
 
 
 # ---- over tables
 
 
-def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
-    """(bucket, batch, blob): tokens by the bucket of the one before, or by the hot contexts' units, numbered after the buckets."""
-    groups = buckets + sum(hot.values())
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _dealt(docs: DataFrame, buckets: int, kin: Kin) -> DataFrame:
+    """(bucket, batch, blob): tokens by the bucket of the one before, or by the unit of a very frequent one."""
+    shared = docs.sparkSession.sparkContext.broadcast(kin)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        hot_words = np.array(sorted(shared.value), U64)
-        hot_units = np.array([shared.value[w] for w in sorted(shared.value)], np.int64)
-        hot_first = buckets + np.cumsum(hot_units) - hot_units
         for batch in by_bytes(batches, "text", SLICE):
             token, text = tokens(Words(batch.column("text").to_pylist(), LOWER))
             before, second = _before(token, text, 1), _before(token, text, 2)
-            at = _place(hot_words, before)
-            split = at >= 0
             bucket = (mix(before) % U64(buckets)).astype(np.int64)
-            bucket[split] = hot_first[at[split]] + (mix(second[split]) % hot_units[at[split]].astype(U64)).astype(np.int64)
+            shared.value.deal(before, second, bucket)
             flags = (text << 1) | batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)[text]
             order = np.lexsort((before, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(groups + 1))
+            some, starts = np.unique(bucket[order], return_index=True)
             ids = batch.column("doc_id")
             known = np.array(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
-            bearer = (part * 7919 + seq) % buckets
             number = part << 24 | seq
             seq += 1
             out: list[tuple[int, bytes]] = []
-            for b in range(groups):
-                own = order[cuts[b] : cuts[b + 1]]
-                if not len(own) and b != bearer:
-                    continue
-                head = np.flatnonzero(np.append(True, before[own][1:] != before[own][:-1])) if len(own) else np.empty(0, np.int64)
+            for b, a, e in zip(some.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                own = order[a:e]
+                head = np.flatnonzero(np.append(True, before[own][1:] != before[own][:-1]))
                 words, index = np.unique(np.concatenate([token[own], second[own]]), return_inverse=True)
-                bring = b == bearer
+                bring = not a  # the first blob brings the doc_ids
                 blob = _pack(
                     before[own][head], _least(np.diff(np.append(head, len(own)))), np.diff(words, prepend=U64(0)), _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
                     np.array([batch.num_rows]), ids if bring else ids[:0], known.astype(np.uint8) if bring else np.empty(0, np.uint8),
@@ -387,50 +465,56 @@ def _dealt(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
 
 
 def _ask(group: pd.DataFrame, owners: int) -> pd.DataFrame:
-    bucket = Bucket(group["blob"].tolist(), group["batch"].tolist())
-    counts, owner = bucket.training_counts(), _owner(bucket.vocab, owners)
+    vocab, counts = vocabulary(group["blob"].tolist())
+    owner = _owner(vocab, owners)
     order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-    rows = [(o, int(group["bucket"].iloc[0]), _pack(bucket.vocab[at], _least(counts[at]))) for o in range(owners) for at in [order[cuts[o] : cuts[o + 1]]]]  # every owner is asked, so every bucket hears all totals
-    return pd.DataFrame(rows, columns=["owner", "bucket", "blob"])
+    some, starts = np.unique(owner[order], return_index=True)
+    pieces = np.split(order, starts[1:])
+    return pd.DataFrame({"owner": some, "bucket": int(group["bucket"].iloc[0]), "blob": [_pack(vocab[at], _least(counts[at])) for at in pieces]})
 
 
-def _answer(group: pd.DataFrame, kin: dict[int, range]) -> pd.DataFrame:
-    """Words' counts; for a unit also how many of the words its whole context has."""
-    group = group.sort_values("bucket")
+def _together(group: pd.DataFrame) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
+    """What an owner is asked, each word's place among its words, and these words' counts."""
     asked = [_unpack(b) for b in group["blob"]]
     words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.zeros(len(words), np.int64)
     np.add.at(total, at, np.concatenate([a[1].astype(np.int64) for a in asked]))
+    return asked, at, total
+
+
+def _answer(group: pd.DataFrame) -> pd.DataFrame:
+    asked, at, total = _together(group)
     ends = np.cumsum([len(a[0]) for a in asked])
     own = [_pack(_least(total[at[e - len(a[0]) : e]])) for a, e in zip(asked, ends, strict=True)]
-    dishes, numbers = np.zeros(len(asked), np.int64), group["bucket"].to_numpy()
-    for units in {kin[b] for b in numbers.tolist() if b in kin}:
-        some = np.flatnonzero((numbers >= units.start) & (numbers < units.stop))
-        dishes[some] = len(np.unique(np.concatenate([asked[k][0][asked[k][1] > 0] for k in some.tolist()])))
-    return pd.DataFrame({"bucket": numbers, "owner": group["owner"].to_numpy(), "blob": own, "total": total.sum(), "distinct": (total > 0).sum(), "dishes": dishes})
+    return pd.DataFrame({"bucket": group["bucket"].to_numpy(), "owner": group["owner"].to_numpy(), "blob": own, "all": 0})
+
 
+def _totals(group: pd.DataFrame) -> pd.DataFrame:
+    total = _together(group)[2]
+    return pd.DataFrame({"all": [0], "total": [total.sum()], "distinct": [(total > 0).sum()]})
 
-def _counts(bucket: Bucket, told: pd.DataFrame, owners: int) -> np.ndarray:
-    counts, owner = np.zeros(len(bucket.vocab), np.int64), _owner(bucket.vocab, owners)
-    for o, blob in zip(told["owner"], told["blob"], strict=True):
-        counts[owner == o] = _unpack(blob)[0]
+
+def _counts(vocab: np.ndarray, told: pd.DataFrame, owners: int) -> np.ndarray:
+    counts, owner = np.zeros(len(vocab), np.int64), _owner(vocab, owners)
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(owners + 1))
+    for o, blob in zip(told["owner"].tolist(), told["blob"], strict=True):
+        counts[order[cuts[o] : cuts[o + 1]]] = _unpack(blob)[0]
     return counts
 
 
 def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame:
     bucket = Bucket(left["blob"].tolist(), left["batch"].tolist())
-    total, distinct = int(right["total"].sum()), int(right["distinct"].sum())
-    return _sent(bucket, bucket.sums(_counts(bucket, right, owners), total, distinct, int(left["bucket"].iloc[0])), total)
+    total, distinct = int(right["total"].iloc[0]), int(right["distinct"].iloc[0])
+    return _sent(bucket, bucket.sums(_counts(bucket.vocab, right, owners), total, distinct), total)
 
 
 def _sent(bucket: Bucket, sums: tuple[np.ndarray, ...], total: int) -> pd.DataFrame:
-    n, known, base, model = sums
     rows: dict[int, list[np.ndarray]] = {}
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
-        some = np.flatnonzero(n[s])
-        rows[number] = [_least(some), _least(n[s][some]), _least(known[s][some]), np.rint(base[s][some] * -BASE_STEPS).astype(np.int64), np.rint(model[s][some] * -MODEL_STEPS).astype(np.int64), bucket.docs[k], bucket.known_ids[k]]
+        some = np.flatnonzero(sums[0][s])
+        rows[number] = [_least(some), *[_least(x[s][some]) for x in sums], bucket.docs[k], bucket.known_ids[k]]
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
@@ -448,30 +532,30 @@ def _of(rows: pd.DataFrame, kind: int) -> list[tuple[int, list[np.ndarray]]]:
     return [(int(at), _unpack(blob)) for at, blob in zip(some["at"], some["blob"], strict=True)]
 
 
-def _introduce(left: pd.DataFrame, right: pd.DataFrame, owners: int, kin: dict[int, range]) -> pd.DataFrame:
+def _introduce(left: pd.DataFrame, right: pd.DataFrame, owners: int, kin: Kin) -> pd.DataFrame:
     """A unit's words with their counts in the corpus and its leaves' first tables, to those who seat them."""
     number = int(left["bucket"].iloc[0])
-    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin[number])
-    counts = _counts(unit.bucket, right, owners)
-    facts = np.array([right["total"].sum(), right["distinct"].sum(), right["dishes"].sum()], np.int64)
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number))
+    counts = _counts(unit.bucket.vocab, right, owners)
+    facts = np.array([right["total"].iloc[0], right["distinct"].iloc[0]], np.int64)
     sums = unit.asked(np.ones(len(unit.taught), np.int64))
-    return _messages([(to, number, ASK, _pack(unit.bucket.vocab[at], _least(counts[at]), _least(own), facts)) for to, at, own in zip(unit.kin, unit.slots, sums, strict=True)])
+    return _messages([(to, number, ASK, _pack(unit.parent_key[at], _least(counts[at]), _least(own), facts)) for to, at, own in zip(unit.seats, unit.slots, sums, strict=True)])
 
 
 def _seat(first: pd.DataFrame, then: pd.DataFrame | None, k: int) -> pd.DataFrame:
     """The k-th draw of a parent's tables for the words of one unit, told to all units.  first: the introductions."""
-    if not len(first):
-        return _messages([])
+    if not len(first):  # a unit that seats nothing
+        return then[then["kind"] == LEAVES] if then is not None else _messages([])
     number = int(first["bucket"].iloc[0])
     intro = _of(first, ASK)
-    total, distinct, everywhere = intro[0][1][3].tolist()
-    sums, held, out = [x[2] for _, x in intro], None, []
+    total, distinct = intro[0][1][3].tolist()
+    sums, held, everywhere, out = [x[2] for _, x in intro], None, 0, []
     if then is not None:
         asks = _of(then, ASK)
         sums, everywhere = [x[0] for _, x in asks], int(asks[0][1][1][0])
         held = _of(then, PARENT)[0][1][0]
         out = list(then[then["kind"] == LEAVES].itertuples(index=False, name=None))
-    customers, drawn, at = seat_parent([x[0] for _, x in intro], [x[1] for _, x in intro], sums, held, total, distinct, everywhere, [4, number, k, 1])
+    customers, drawn, at = seat_parent([x[0] for _, x in intro], [x[1] for _, x in intro], sums, held, total, distinct, everywhere, k)
     out.append((number, number, PARENT, _pack(_least(drawn))))
     facts, start = np.array([total, distinct, customers.sum(), drawn.sum()], np.int64), 0
     for to, x in intro:
@@ -481,17 +565,17 @@ def _seat(first: pd.DataFrame, then: pd.DataFrame | None, k: int) -> pd.DataFram
     return _messages(out)
 
 
-def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: dict[int, range]) -> pd.DataFrame:
+def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: Kin) -> pd.DataFrame:
     """The k-th draw of a unit's leaves; after the last one its sums a text."""
     last = k == BURN + SAMPLES - 1
     if not len(left):  # seats words for others only
         return _messages(list(right[right["kind"] == PARENT].itertuples(index=False, name=None))) if not last else pd.DataFrame({"batch": [], "blob": [], "train_tokens": []})
     number = int(left["bucket"].iloc[0])
-    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin[number])
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number))
     seen = np.zeros((3, len(unit.bucket.vocab)), np.int64)  # the parent's customers and tables, the corpus's counts
     sizes = np.zeros(2, np.int64)
     for at, x in _of(right, ANSWER):
-        seen[:, unit.slots[at - unit.kin.start]] = x[:3]
+        seen[:, unit.slots[at - unit.seats.start]] = x[:3]
         sizes += x[3][2:]
         total, distinct = x[3][:2].tolist()
     base = (seen[2] + ADD) / (total + ADD * (distinct + 1))
@@ -506,19 +590,19 @@ def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: dict[int, range
     samples = past[1:] + ([drawn, *seen[:2], sizes] if k >= BURN else [])
     if last:
         p = sum(unit.probability(samples[i], parent(*samples[i + 1 : i + 4])) for i in range(0, len(samples), 4))
-        return _sent(unit.bucket, unit.bucket.by_text(seen[2], base, np.log10(p / SAMPLES)[unit.inverse]), total)
+        return _sent(unit.bucket, unit.bucket.by_text(seen[2], base, p / SAMPLES), total)
     out = [(number, number, LEAVES, _pack(*[_least(a) for a in [drawn, *samples]]))]
     out += right[right["kind"] == PARENT].itertuples(index=False, name=None)
-    out += [(to, number, ASK, _pack(_least(own), sizes[1:])) for to, own in zip(unit.kin, unit.asked(drawn), strict=True)]
+    out += [(to, number, ASK, _pack(_least(own), sizes[1:])) for to, own in zip(unit.seats, unit.asked(drawn), strict=True)]
     return _messages(out)
 
 
-def _units(dealt: DataFrame, told: DataFrame, buckets: int, kin: dict[int, range]) -> DataFrame:
-    """(batch, blob, train_tokens) from the hot contexts' units: sweeps in step."""
+def _units(dealt: DataFrame, told: DataFrame, owners: int, kin: Kin, parts: int) -> DataFrame:
+    """(batch, blob, train_tokens) from the units: sweeps in step."""
     own = dealt.groupBy("bucket")
     sweep = lambda k: lambda a, b: _sweep(a, b, k, kin)
     seat = lambda k: lambda a, b: _seat(a, b, k)
-    intro = own.cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _introduce(a, b, buckets, kin), MESSAGE).repartition(len(kin), "bucket")
+    intro = own.cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _introduce(a, b, owners, kin), MESSAGE).repartition(min(parts, kin.total), "bucket")
     seated, last = intro.groupBy("bucket").applyInPandas(lambda a: _seat(a, None, 0), MESSAGE), BURN + SAMPLES - 1
     for k in range(last):
         swept = own.cogroup(seated.groupBy("bucket")).applyInPandas(sweep(k), MESSAGE)
@@ -548,24 +632,22 @@ def score(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id"))).alias("train"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     scanned = tables.input_bytes(docs)
     buckets = max(1, scanned * 2 // BUCKET_BYTES, min(LEAST_BUCKETS, scanned >> 18))
+    owners = max(1, buckets // PER_OWNER)
     hot = _hot(plain)
-    kin: dict[int, range] = {}  # of every unit's number, the units of its context
-    for w in sorted(hot):
-        start = buckets + len(kin)
-        kin |= dict.fromkeys(range(start, start + hot[w]), range(start, start + hot[w]))
-    groups = buckets + len(kin)
+    kin = Kin([w for w, _ in hot], [n for _, n in hot], buckets)
+    groups = min(MOST_PARTS, buckets + kin.total)
     # one exchange, read by those who ask for counts and by those who score
-    dealt = _dealt(plain, buckets, hot).repartition(groups, "bucket")
+    dealt = _dealt(plain, buckets, kin).repartition(groups, "bucket")
     # what is not deterministic stays above an exchange, so that all read the same one
     number = F.col("bucket") + F.floor(F.rand(0))
-    asked = (dealt.where(number >= 0) if kin else dealt).groupBy("bucket").applyInPandas(lambda g: _ask(g, buckets), "owner int, bucket int, blob binary")
-    told = asked.groupBy("owner").applyInPandas(lambda g: _answer(g, kin), "bucket int, owner int, blob binary, total long, distinct long, dishes long")
+    asked = (dealt.where(number >= 0) if hot else dealt).groupBy("bucket").applyInPandas(lambda g: _ask(g, owners), "owner int, bucket int, blob binary").repartition(owners, "owner")
+    totals = asked.groupBy("owner").applyInPandas(_totals, "all int, total long, distinct long").groupBy("all").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
+    told = asked.groupBy("owner").applyInPandas(_answer, "bucket int, owner int, blob binary, all int").repartition(groups, "bucket").join(F.broadcast(totals), "all")  # of one row
     units = None
-    if kin:
-        told = told.repartition(groups, "bucket")
-        units = _units(dealt.where(number >= buckets), told.where(number >= buckets), buckets, kin)
+    if hot:
+        units = _units(dealt.where(number >= buckets), told.where(number >= buckets), owners, kin, groups)
         dealt, told = dealt.where(number < buckets), told.where(number < buckets)
-    scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, buckets), "batch long, blob binary, train_tokens long")
+    scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, owners), "batch long, blob binary, train_tokens long")
     if units is not None:
         scored = scored.unionByName(units)
     gathered = scored.groupBy("batch").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, train_tokens long")

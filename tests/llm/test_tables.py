@@ -127,40 +127,102 @@ def test_pitman_yor(docs, none):
     assert pitman_yor.score(none).count() == 0
 
 
-def test_pitman_yor_leaves_of_a_very_varied_context_stay_apart(spark, monkeypatch):
-    n, found = 70_000, []
+def plain_pitman_yor(rows):
+    """Scores by loops over dictionaries: (context, second word back, word) one by one."""
+    own = {}
+    for i, t in rows:
+        token, _ = pitman_yor.tokens(pitman_yor.Words([(t or "").encode()], pitman_yor.LOWER))
+        padded = [int(pitman_yor.BEGIN)] * 2 + token.tolist()
+        own[i] = list(zip(padded[1:-1], padded[:-2], padded[2:], strict=True))
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    taught = collections.Counter(x for i, some in own.items() if not held(i) for x in some)
+    seen = collections.Counter()
+    for (_, _, w), n in taught.items():
+        seen[w] += n
+    base = lambda w: (seen[w] + 0.1) / (sum(seen.values()) + 0.1 * (len(seen) + 1))
+    (dp, dl), (sp, sl) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    logs = [pitman_yor.stirling(d) for d in (dp, dl)]
+    one = lambda *x: [np.array([v], np.uint64) for v in x]
+
+    def draw(key, sweep, customers, others, parent, d, s, log_s):
+        w = [log_s[customers, t] + t * math.log(parent) + sum(math.log(s + d * (others + j)) for j in range(t)) for t in range(1, customers + 1)]
+        w = np.cumsum(np.exp(np.array(w) - max(w)))
+        return int(1 + (pitman_yor.uniform(key, 1000 * sweep)[0] * w[-1] > w[:-1]).sum())
+
+    leaf, parent, p = dict.fromkeys(taught, 1), {}, collections.Counter()
+    for k in range(pitman_yor.BURN + pitman_yor.SAMPLES):
+        customers = collections.Counter()
+        for (c, _, w), t in leaf.items():
+            customers[c, w] += t
+        was = collections.Counter()
+        for (c, _), t in parent.items():
+            was[c] += t
+        parent = {(c, w): draw(pitman_yor.parent_key(*one(c, w)), 2 * k, n, was[c] - parent.get((c, w), 0), base(w), dp, sp, logs[0]) for (c, w), n in customers.items()}
+        many, tables = collections.Counter(), collections.Counter()
+        for (c, w), n in customers.items():
+            many[c] += n
+            tables[c] += parent[c, w]
+        above = lambda c, w: (customers[c, w] - dp * parent.get((c, w), 0) + (sp + dp * tables[c]) * base(w)) / (sp + many[c])  # noqa: E731, B023
+        was = collections.Counter()
+        for (c, s, _), t in leaf.items():
+            was[c, s] += t
+        leaf = {(c, s, w): draw(pitman_yor.leaf_key(*one(c, s, w)), 2 * k + 1, n, was[c, s] - leaf[c, s, w], above(c, w), dl, sl, logs[1]) for (c, s, w), n in taught.items()}
+        if k >= pitman_yor.BURN:
+            at, tables_ = collections.Counter(), collections.Counter()
+            for (c, s, w), n in taught.items():
+                at[c, s] += n
+                tables_[c, s] += leaf[c, s, w]
+            for c, s, w in {x for some in own.values() for x in some}:
+                p[c, s, w] += (taught[c, s, w] - dl * leaf.get((c, s, w), 0) + (sl + dl * tables_[c, s]) * above(c, w)) / (sl + at[c, s])
+    return {i: sum(math.log10(p[x] / pitman_yor.SAMPLES) for x in some) for i, some in own.items()}
+
+
+def few_texts():
+    rng = np.random.default_rng(2)
+    return [(k, " ".join(["the", "of", "a", *[f"w{j}" for j in range(12)]][int(x)] for x in rng.integers(0, 15, int(rng.integers(0, 25))) ** 2 // 15)) for k in range(40)]
+
+
+def test_pitman_yor_equals_loops(spark):
+    want = plain_pitman_yor(few_texts())
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(few_texts(), "doc_id long, text string").repartition(3)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_pitman_yor_leaves_of_a_very_varied_context_stay_apart(spark):
+    n = 70_000
     df = spark.createDataFrame([(1, True, " ".join(f"a{k} the b" for k in range(n)).encode())], "doc_id long, train boolean, text binary")
-    blobs = pitman_yor._dealt(df, 1, {}).collect()
+    blobs = pitman_yor._dealt(df, 1, pitman_yor.Kin([], [], 1)).collect()
     bucket = pitman_yor.Bucket([r["blob"] for r in blobs], [r["batch"] for r in blobs])
-
-    class Seen(pitman_yor.Restaurants):
-        def __init__(self, leaf_context, dish, leaf, customers, *rest):
-            found.append((leaf, customers))
-            super().__init__(leaf_context, dish, leaf, customers, *rest)
-
-    monkeypatch.setattr(pitman_yor, "Restaurants", Seen)
-    counts = bucket.training_counts()
-    bucket.sums(counts, int(counts.sum()), len(counts), 0)
-    leaf, customers = found[0]
-    assert customers.sum() == 3 * n + 1
+    assert bucket.customers.sum() == 3 * n + 1
     # (BEGIN, BEGIN), (BEGIN, a0), each (a, the), (the, b) and each (b, a)
-    assert len(np.unique(leaf)) == 2 + n + 1 + (n - 1)
+    assert len(np.unique(bucket.leaf)) == 2 + n + 1 + (n - 1)
+    vocab, counts = pitman_yor.vocabulary([r["blob"] for r in blobs])
+    assert (vocab == bucket.vocab).all() and counts.sum() == 3 * n + 1
 
 
-def test_pitman_yor_keeps_one_parent_for_a_very_frequent_context(spark, monkeypatch):
-    # every x stands once after "the", each time after another word
-    df = spark.createDataFrame([(k, f"q{k} the x{k % 400} " + f"x{k % 400} " * (k % 3)) for k in range(1600)], "doc_id long, text string").repartition(2)
+def test_pitman_yor_scores_hang_on_the_texts_alone(spark, monkeypatch):
+    # every x stands once after "the", each time after another word; some stand often
+    df = spark.createDataFrame([(k, f"q{k} the x{k % 400} " + f"x{k % 400} " * (k % 3) + "the of " * (k % 7)) for k in range(1600)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(pitman_yor, "BURN", 1)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 2)
     want = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
-    monkeypatch.setattr(pitman_yor, "SPLIT", 100)
-    assert max(pitman_yor._hot(df.withColumn("text", F.col("text").cast("binary"))).values()) >= 8
-    got = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
-    same = ["held_out", "n_tokens", "n_known", "train_tokens"]
-    assert got[same].equals(want[same]) and abs(got["base_score"] - want["base_score"]).max() < 1e-6
-    # draws differ, the model does not
-    assert abs(got["score"] - want["score"]).max() < 0.5
-    assert got["score"].mean() == pytest.approx(want["score"].mean(), rel=0.005)
-    again = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
-    assert again["score"].equals(got["score"])
+    monkeypatch.setattr(pitman_yor, "SPLIT", 700)
+    monkeypatch.setattr(pitman_yor, "SEATS", 5)
+    monkeypatch.setattr(pitman_yor, "PER_OWNER", 2)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 16)
+    monkeypatch.setattr(pitman_yor, "LEAST_BUCKETS", 7)
+    assert max(n for _, n in pitman_yor._hot(df.withColumn("text", F.col("text").cast("binary")))) >= 7
+    got = pitman_yor.score(df.repartition(3)).toPandas().set_index("doc_id").sort_index()
+    assert (got["base_score"] - want["base_score"]).abs().max() < 1e-7
+    assert got[want.columns].drop(columns="base_score").equals(want.drop(columns="base_score"))
+
+
+def test_binomial_draws(monkeypatch):
+    key = pitman_yor.mix(np.arange(40_000, dtype=np.uint64))
+    for n, p in ((5, 0.3), (40, 0.02), (48, 0.97), (1000, 0.01), (5000, 0.4), (7, 0.0), (7, 1.0)):
+        got = pitman_yor.binomial(np.full(len(key), n), np.full(len(key), p), key, n)
+        assert got.min() >= 0 and got.max() <= n
+        assert got.mean() == pytest.approx(n * p, abs=0.05 + 0.002 * n) and got.var() == pytest.approx(n * p * (1 - p), rel=0.06, abs=0.01)
 
 
 def test_jaccard_join(docs, none):
