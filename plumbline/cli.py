@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import bounds, graph, impact, trace, variables
-from .sources import programs, sinks
+from .sources import config, contracts, programs, sinks
+from .sources.facts import Program
 
 
 def _rows(df: DataFrame) -> list:
@@ -28,12 +30,56 @@ def _flat(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _run(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Reads a project, by its configuration or whole below one folder, and writes the run's tables."""
+    context: dict = {}
+    if a.config:
+        c = config.read(a.config)
+        if c.blocked:
+            print(json.dumps({"status": "FAILED", "problems": [vars(x) for x in c.problems]}))
+            return 1
+        roots = programs.read_sources(spark, *map(str, c.roots)) if c.roots else None
+        roots = roots.withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+        roots = roots.where(~F.lower("path").rlike(rf"(^|/)({'|'.join(config.SEGMENTS)})(/|$)"))
+        sources = roots.where(F.col("path").isin([str(x) for x in c.programs]))
+        files = {r["path"]: r["text"] for r in roots.select("path", "text").toLocalIterator()}
+        files |= {os.path.relpath(k, os.path.dirname(os.path.abspath(a.config))): v for k, v in files.items()}
+        setup = Program(str(c.setup), files.get(str(c.setup), ""), files=files, os_base=c.os_base, role="SetupFile")
+        below = F.lit(False)
+        for x in c.macro_roots:
+            below = below | F.col("path").startswith(f"{x}/")
+        documents = {}
+        for x in c.contracts:
+            for path in sorted(x.rglob("*.md")):
+                documents.setdefault((d := contracts.parse(str(path), path.read_text(encoding="utf-8-sig")))["macro"], []).append(d)
+        context = {"setup": setup.lets, "files": files, "macros": programs.definitions(roots.where(below), programs.called_macros(roots)), "os_base": c.os_base, "contracts": {k: v[0] for k, v in documents.items() if len(v) == 1 and not v[0]["errors"]}}
+        output = str(c.output)
+    elif a.sources and a.output:
+        sources, output = programs.read_sources(spark, a.sources), a.output
+        context["macros"] = programs.definitions(sources, programs.called_macros(sources))
+        context["files"] = {r["path"]: r["text"] for r in sources.select("path", "text").toLocalIterator()}
+    else:
+        raise ValueError("run needs --config, or a folder and an output")
+    programs.check_unchanged(sources)
+    nodes, edges, findings = programs.graph(programs.facts(sources, **context))
+    name = sinks.run_id()
+    try:
+        sinks.write_tables(output, name, nodes=nodes, edges=edges, findings=findings, manifest=sinks.manifest(sources, findings))
+    except Exception:
+        sinks.remove_run(spark, output, name)  # of this run only
+        raise
+    status = graph.run_status(findings).first()["status"]
+    print(json.dumps({"run_id": name, "status": status}))
+    return int(status == "FAILED")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline")
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run")
-    run.add_argument("sources")
-    run.add_argument("output")
+    run.add_argument("sources", nargs="?")
+    run.add_argument("output", nargs="?")
+    run.add_argument("--config")
     for name in ("validate", "render-mermaid", "render-findings", "query-search", "query-lineage", "query-impact", "explain-edge"):
         c = sub.add_parser(name)
         c.add_argument("graph")
@@ -42,6 +88,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if name == "query-lineage":
             c.add_argument("node")
             c.add_argument("--direction", default="both")
+            c.add_argument("--depth", type=int, default=bounds.DEPTH)
+            c.add_argument("--limit", type=int, default=bounds.LIMIT)
         if name == "query-impact":
             c.add_argument("--variable")
             c.add_argument("--node")
@@ -57,17 +105,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
     try:
         if a.command == "run":
-            sources = programs.read_sources(spark, a.sources)
-            programs.check_unchanged(sources)
-            sites: dict[str, list[str]] = {}
-            for r in programs.macro_index(sources).collect():  # a project's own macros
-                sites.setdefault(r["name"], []).append(r["path"])
-            nodes, edges, findings = programs.graph(programs.facts(sources, macros=sites))
-            name = sinks.run_id()
-            sinks.write_tables(a.output, name, nodes=nodes, edges=edges, findings=findings, manifest=sinks.manifest(sources, findings))
-            status = graph.run_status(findings).first()["status"]
-            print(json.dumps({"run_id": name, "status": status}))
-            return int(status == "FAILED")
+            return _run(spark, a)
         g = sinks.read_graph(spark, a.graph)
         nodes, edges, findings = g["nodes"], _flat(g["edges"]), g["findings"]
         if a.command == "validate":
@@ -84,7 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "query-search":
             print(json.dumps(_rows(graph.search_nodes(nodes, a.query))))
         elif a.command == "query-lineage":
-            t = trace.trace_lineage(nodes, edges, a.node, a.direction)
+            t = trace.trace_lineage(nodes, edges, a.node, a.direction, a.depth, a.limit)
             print(json.dumps({"start": a.node, "nodes": _rows(t.nodes), "edges": _rows(t.edges), "truncated": t.truncated, "continuation": _rows(t.continuation)}))
         elif a.command == "query-impact" and (a.node or a.mode):
             i = impact.impact(nodes, edges, a.node or a.variable, tuple(a.mode or ("structural",)), a.depth)

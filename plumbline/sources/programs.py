@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .facts import Program, macro_sites
 from .lexer import lex
+from .macros import in_file
 from .store import settled
 
 # Files that are never read.
@@ -50,6 +51,26 @@ def statements(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(cut, "path string, `order` int, kind string, text string, line_start int, line_end int, terminated boolean")
 
 
+def definitions(sources: DataFrame, called: DataFrame | None = None) -> dict[str, list]:
+    """Of each macro its definitions, with bodies: what a project declares, for every parser to have.
+
+    called: (name) of the macros that its programs call, to leave others out."""
+    some = macro_index(sources)
+    if called is not None:
+        some = some.join(called, "name", "left_semi")
+    texts = sources.join(some.select("path").distinct(), "path", "left_semi").select("path", "text").toLocalIterator()
+    out: dict[str, list] = {}
+    for path, text in sorted(map(tuple, texts)):
+        for d in in_file(path, text or ""):
+            out.setdefault(d.name, []).append(d)
+    return out
+
+
+def called_macros(sources: DataFrame) -> DataFrame:
+    """(name) of everything that any source calls like a macro."""
+    return sources.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"%(\w+)"), F.lit(1))).alias("name")).distinct()
+
+
 def macro_index(sources: DataFrame) -> DataFrame:
     """(name, path) of macro definitions."""
 
@@ -60,10 +81,10 @@ def macro_index(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(find, "name string, path string")
 
 
-def facts(programs: DataFrame, setup: dict[str, str] | None = None, macros: dict[str, list[str]] | None = None, files: dict[str, str] | None = None) -> DataFrame:
-    """(program, place, kind, body): a row a fact.  setup, macros and files are a project's declared context,
-    which one machine reads and hands to every parser."""
-    shared = programs.sparkSession.sparkContext.broadcast((setup, macros, files))
+def facts(programs: DataFrame, setup: dict[str, str] | None = None, macros: dict[str, list] | None = None, files: dict[str, str] | None = None, contracts: dict[str, dict] | None = None, os_base: str | None = None) -> DataFrame:
+    """(program, place, kind, body): a row a fact.  The rest are a project's declared context, which one machine
+    reads and hands to every parser."""
+    shared = programs.sparkSession.sparkContext.broadcast((setup, macros, files, contracts, os_base))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,8 +98,8 @@ def facts(programs: DataFrame, setup: dict[str, str] | None = None, macros: dict
     return programs.select("path", "text").mapInPandas(parse, "program string, place int, kind string, body string")
 
 
-_NODE = "id string, type string, label string, pattern string, by_vars array<string>, where_condition string, value string, sort_option string, cardinality_effect string, sql_subtype string"
-_EDGE = "type string, src string, dst string, evidence_kind string, resolution string, line_start int, line_end int, value string, operator string, expression string, condition_text string, predicate_text string, join_kind string, direction string, output_kind string, materialized boolean, dbms string, sheet string, getnames string, dataset_name string"
+_NODE = "id string, type string, label string, pattern string, by_vars array<string>, where_condition string, value string, sort_option string, cardinality_effect string, sql_subtype string, keep_vars array<string>, drop_vars array<string>, rename_map map<string,string>, branch_text array<string>, row_allocation_inferred boolean, status string, branches array<string>, candidate_text string, template_derived boolean"
+_EDGE = "type string, src string, dst string, evidence_kind string, resolution string, line_start int, line_end int, value string, operator string, expression string, condition_text string, predicate_text string, join_kind string, direction string, output_kind string, materialized boolean, dbms string, sheet string, getnames string, dataset_name string, template_derived boolean, derivation_refs array<string>"
 _FINDING = "type string, status string, severity string, object string, message string, line_start int, affected_nodes array<string>"
 
 
@@ -110,7 +131,10 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     first = Window.partitionBy("id").orderBy("program", "place")
     nodes = renamed(nodes, "id").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "place")
-    edges = numbered(renamed(renamed(kind("edge", _EDGE), "src"), "dst"), "nth")
+    # of an edge's derivation the call has a counted id, the definition's stands as it is
+    made = kind("edge", _EDGE).withColumn("call", F.try_element_at("derivation_refs", F.lit(1))).withColumn("definition", F.try_element_at("derivation_refs", F.lit(2)))
+    made = renamed(renamed(renamed(made, "src"), "dst"), "call").withColumn("derivation_refs", F.when(F.col("call").isNotNull(), F.array("call", "definition"))).drop("call", "definition")
+    edges = numbered(made, "nth")
     edges = edges.select(F.concat(F.lit("edge:"), F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))).alias("id"), *[c for c in edges.columns if c not in ("nth", "place")])
     findings = numbered(kind("finding", _FINDING), "nth")
     number = F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))

@@ -28,6 +28,12 @@ def write_tables(path: str, run: str, **tables: DataFrame) -> None:
         df.withColumn("run_id", F.lit(run)).write.mode("errorifexists").parquet(f"{path}/{run}/{name}")
 
 
+def remove_run(spark: SparkSession, path: str, run: str) -> None:
+    """The folder of one run that could not be written whole."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{run}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max("run_id").alias("run_id"))
 

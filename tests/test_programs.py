@@ -122,7 +122,7 @@ def test_run_graph(spark, tmp_path):
     from plumbline.operators import graph
 
     bad = graph.problems(nodes.withColumnRenamed("place", "p").selectExpr("*", "0 AS pos"), edges.selectExpr("*", "CAST(NULL AS DOUBLE) AS confidence", "0 AS pos"))
-    assert {r["problem"] for r in bad.collect()} <= {"illegal endpoints", "missing key"}
+    assert not bad.collect()
     text = sinks.graph_json(nodes, edges, findings, "r1", "PARTIAL")
     (tmp_path / "graph.json").write_text(text)
     back = sinks.read_graph(spark, str(tmp_path / "graph.json"))
