@@ -125,8 +125,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             t = trace.trace_lineage(nodes, edges, a.node, a.direction, a.depth, a.limit)
             print(json.dumps({"start": a.node, "nodes": _rows(t.nodes), "edges": _rows(t.edges), "truncated": t.truncated, "continuation": _rows(t.continuation)}))
         elif a.command == "query-impact" and (a.node or a.mode):
-            i = impact.impact(nodes, edges, a.node or a.variable, tuple(a.mode or ("structural",)), a.depth)
-            print(json.dumps({"seed": a.node or a.variable, "nodes": _rows(i.nodes.orderBy("id").limit(a.limit)), "paths": _rows(i.paths)}))
+            i = impact.impact(nodes, edges, a.node or a.variable, tuple(a.mode or ("structural",)), a.depth, a.limit)
+            print(json.dumps({"seed": a.node or a.variable, "nodes": _rows(i.nodes.orderBy("id")), "paths": _rows(i.paths), "truncated": i.limit_hit or i.depth_hit, "continuation": sorted(r["id"] for r in i.continuation.collect()) if i.limit_hit else []}))
         elif a.command == "query-impact":
             v = variables.walk_variable_impact(edges if "value" in edges.columns else edges.withColumn("value", F.lit(None).cast("string")), a.variable, a.depth)
             print(json.dumps({"start": a.variable, "variables": _rows(v.variables), "operations": _rows(v.operations), "facts": _rows(v.facts)}))

@@ -8,11 +8,12 @@ together, as a column.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import settled
+from ..sources.store import settled, settled_with
 from . import bounds
 
 # The edge types of each mode (structural has all), and the order of boundary reasons.
@@ -23,6 +24,7 @@ MODE_EDGES = {
 }
 REASONS = ("unknown_node", "external_file", "depth", "limit", "sink", "cycle")
 COUNTED = ("Dataset", "UnknownDataset", "Variable", "UnknownVariable")
+SMALL = 20_000  # states of a frontier, with their paths, that are broadcast
 UNKNOWN = ("UnknownDataset", "UnknownVariable", "UnknownMacro")
 
 
@@ -39,11 +41,18 @@ class Impact:
     nodes: DataFrame  # id, modes, classification, rank, reasons
     paths: DataFrame  # mode, target, rank, path_edges, path_nodes
     depth_hit: bool
+    continuation: DataFrame  # id
+    limit_hit: bool = False
 
 
-def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...] = ("structural",), depth: int = bounds.DEPTH) -> Impact:
-    """nodes: id, type; edges: id, type, src, dst, evidence_kind, resolution."""
-    bounds.check(depth, None)
+def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...] = ("structural",), depth: int = bounds.DEPTH, limit: int | None = None) -> Impact:
+    """nodes: id, type; edges: id, type, src, dst, evidence_kind, resolution.
+
+    With a limit the first so many nodes are kept, by mode, then by level, then by the path that found them; paths
+    run through kept nodes alone, nodes with an edge to one left out stop there, and these are the continuation."""
+    bounds.check(depth, limit)
+    if limit is not None:
+        return _limited(nodes, edges, seed, modes, depth, limit)
     if unknown := set(modes) - set(MODES):
         raise ValueError(f"unknown modes: {sorted(unknown)}")
     spark = nodes.sparkSession
@@ -52,28 +61,36 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
     in_mode = F.array_compact(F.array(*[F.when(F.lit(m == "structural") | F.col("type").isin(*MODE_EDGES.get(m, ("",))), m) for m in modes]))
     active = edges.withColumn("mode", F.explode(in_mode)).select("mode", "id", "src", "dst", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"))
     kinds = nodes.select(F.col("id").alias("n_id"), "type")
-    counted = F.col("type").isin(*COUNTED).cast("int")
     stop = F.col("type").isin(*UNKNOWN) | (F.col("type") == "ExternalFile")
     state = "mode string, node string, depth int, rank int, path_edges array<string>, path_nodes array<string>"
     front = spark.createDataFrame([(m, seed, 0, 0, [], [seed]) for m in modes], state)
-    best, depth_hit, reasons = front, False, None
+    # settled states, a table a level; a state's best is the first of its rows by this order
+    better = Window.partitionBy("mode", "node").orderBy(F.desc("rank"), F.col("path_edges"), F.col("new"))
+    known, depth_hit, reasons, ahead_of = [front.withColumn("loop", F.lit(False)).withColumn("hop", F.lit(0))], False, [], len(modes)
+    # every edge once with what its far end is, dealt by the near end; levels then touch no node table
+    out_of = settled(active.withColumnRenamed("mode", "e_mode").join(kinds.select(F.col("n_id").alias("dst"), F.col("type").isin(*COUNTED).cast("int").alias("counted")), "dst"))
     while True:
-        level = settled(
-            front.join(kinds, F.col("node") == F.col("n_id"))
-            .join(active.withColumnRenamed("mode", "e_mode"), (F.col("node") == F.col("src")) & (F.col("mode") == F.col("e_mode")) & ~stop, "left")
-            .select("mode", "node", "depth", "rank", "path_edges", "path_nodes", F.col("type").alias("node_type"), "id", "dst", "own")
-            .join(nodes.select(F.col("id").alias("d_id"), "type"), F.col("dst") == F.col("d_id"), "left")
+        own = settled(front.join(kinds, F.col("node") == F.col("n_id")).drop("n_id"))
+        going = own.where(~stop)
+        level = (
+            out_of.join(F.broadcast(going) if ahead_of <= SMALL else going, (F.col("node") == F.col("src")) & (F.col("mode") == F.col("e_mode")))
+            .select("mode", "node", "depth", "rank", "path_edges", "path_nodes", "id", "dst", "own", "counted")
             .withColumn("loop", F.array_contains("path_nodes", F.col("dst")))
-            .withColumn("to_depth", F.col("depth") + counted)
+            .withColumn("to_depth", F.col("depth") + F.col("counted"))
         )
-        why = level.groupBy("mode", "node").agg(
-            F.max(F.when(F.col("node_type").isin(*UNKNOWN), "unknown_node").when(F.col("node_type") == "ExternalFile", "external_file").when(F.col("id").isNull(), "sink")).alias("ends"),
-            F.max(~F.col("loop") & (F.col("to_depth") > depth)).alias("deep"),
-            (F.max(F.col("loop")) & ~F.max(~F.col("loop") & (F.col("to_depth") <= depth))).alias("closed"),
+        level, counts = settled_with(level, {"deep": ~F.col("loop") & (F.col("to_depth") > depth)})
+        depth_hit = depth_hit or bool(counts["deep"])
+        reasons.append(
+            own.select("mode", "node", F.col("type").alias("node_type"))
+            .join(level.select(F.col("mode").alias("e_mode"), F.col("node").alias("from"), "id", "loop", "to_depth"), (F.col("node") == F.col("from")) & (F.col("mode") == F.col("e_mode")), "left")
+            .groupBy("mode", "node")
+            .agg(
+                F.max(F.when(F.col("node_type").isin(*UNKNOWN), "unknown_node").when(F.col("node_type") == "ExternalFile", "external_file").when(F.col("id").isNull(), "sink")).alias("ends"),
+                F.max(~F.col("loop") & (F.col("to_depth") > depth)).alias("deep"),
+                (F.max(F.col("loop")) & ~F.max(~F.col("loop") & (F.col("to_depth") <= depth))).alias("closed"),
+            )
         )
-        reasons = settled(why if reasons is None else reasons.unionByName(why))
-        depth_hit = depth_hit or not why.where("deep").isEmpty()
-        step = level.where(F.col("id").isNotNull() & (F.col("loop") | (F.col("to_depth") <= depth))).select(
+        step = level.where(F.col("loop") | (F.col("to_depth") <= depth)).select(
             "mode",
             F.col("dst").alias("node"),
             F.col("to_depth").alias("depth"),
@@ -82,13 +99,18 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
             F.concat("path_nodes", F.array("dst")).alias("path_nodes"),
             "loop",
         )
-        better = Window.partitionBy("mode", "node").orderBy(F.desc("rank"), F.col("path_edges"), F.col("new"))
-        ranked = best.withColumn("loop", F.lit(False)).withColumn("new", F.lit(0)).unionByName(step.withColumn("new", F.lit(1)))
-        ranked = settled(ranked.withColumn("place", F.row_number().over(better)).where("place = 1").drop("place"))
-        best = ranked.drop("new", "loop")
-        front = ranked.where("new = 1 AND NOT loop").drop("new", "loop")
-        if front.isEmpty():
+        # candidates against what is known of the same states alone
+        first = step.withColumn("new", F.lit(1)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place")
+        held = reduce(DataFrame.unionByName, known).drop("hop").withColumn("new", F.lit(0)).join(first.select("mode", "node"), ["mode", "node"], "left_semi")
+        improved = held.unionByName(first).withColumn("place", F.row_number().over(better)).where("place = 1 AND new = 1").drop("place", "new")
+        improved, counts = settled_with(improved.withColumn("hop", F.lit(len(known))), {"open": ~F.col("loop"), "all": F.lit(True)})
+        if counts["all"]:
+            known.append(improved)
+        if not counts["open"]:
             break
+        front, ahead_of = improved.where("NOT loop").drop("loop", "hop"), counts["open"]
+    best = settled(reduce(DataFrame.unionByName, known).withColumn("new", F.lit(0)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place", "new", "loop"))
+    reasons = reduce(DataFrame.unionByName, reasons)
     reached = best.where(F.col("node") != seed)
     ends = reasons.groupBy(F.col("node").alias("r_node")).agg(
         F.collect_set("ends").alias("ends"), F.max("deep").alias("deep"), F.max("closed").alias("closed")
@@ -109,4 +131,26 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
         )
     )
     paths = best.where(F.size("path_edges") > 0).select("mode", F.col("node").alias("target"), "rank", "path_edges", "path_nodes")
-    return Impact(seed, out, paths, depth_hit)
+    # what a walk cut by depth may go on from
+    more = ends.where("deep").select(F.col("r_node").alias("id")).distinct()
+    return Impact(seed, out, paths, depth_hit, more)
+
+
+def _limited(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...], depth: int, limit: int) -> Impact:
+    whole = impact(nodes, edges, seed, modes, depth)
+    turn = F.coalesce(*[F.when(F.col("mode") == m, i) for i, m in enumerate(m for m in MODES if m in modes)])
+    first = whole.paths.where(F.col("target") != seed).groupBy(F.col("target").alias("id")).agg(F.min(F.struct(turn.alias("turn"), F.size("path_edges").alias("hop"), "path_edges")).alias("at"))
+    first = settled(first)
+    kept = F.broadcast(first.orderBy("at", "id").limit(limit).select("id"))  # limit rows, 5000 at most
+    if first.count() <= limit:
+        return whole
+    inside = settled(nodes.join(F.broadcast(kept.union(nodes.sparkSession.createDataFrame([(seed,)], "id string"))), "id", "left_semi"))
+    names = F.broadcast(inside.select(F.col("id").alias("k")))
+    some = edges.join(names, F.col("src") == F.col("k"), "left_semi")
+    part = impact(inside, some.join(names, F.col("dst") == F.col("k"), "left_semi"), seed, modes, depth)
+    left = some.join(first.select(F.col("id").alias("f")), F.col("dst") == F.col("f"), "left_semi").join(names, F.col("dst") == F.col("k"), "left_anti")
+    stopped = left.select(F.col("src").alias("id")).distinct().withColumn("cut", F.lit(True))
+    # a node whose edges all lead to what was left out is no sink
+    own = F.filter(F.array_union("reasons", F.array(F.lit("limit"))), lambda r: r != "sink")
+    marked = part.nodes.join(F.broadcast(stopped), "id", "left").withColumn("reasons", F.when(F.col("cut"), F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(own, r))).otherwise(F.col("reasons"))).drop("cut")
+    return Impact(seed, marked, part.paths, part.depth_hit, part.continuation.union(left.select(F.col("dst").alias("id"))).distinct(), True)

@@ -18,10 +18,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import settled
+from ..sources.store import settled, settled_with
 from . import bounds
 
 EDGE_TYPES = ("reads_dataset", "writes_dataset")
+SMALL = 100_000  # rows of a frontier that is broadcast, some 10 MB
 START_TYPES = ("Dataset", "Step", "SqlStatement")
 
 
@@ -45,39 +46,43 @@ class Trace:
 def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth: int, limit: int | None):
     spark = nodes.sparkSession
     here, there = ("dst", "src") if direction == "upstream" else ("src", "dst")
-    ahead = edges.where(F.col("type").isin(*EDGE_TYPES)).select("id", "type", "src", "dst")
+    # every edge once with what its far end is, dealt by the near end; levels then touch no node table
     kinds = nodes.select(F.col("id").alias("n_id"), (F.col("type") == "Dataset").cast("int").alias("step"))
+    ahead = edges.where(F.col("type").isin(*EDGE_TYPES)).select("id", "type", "src", "dst", F.col(there).alias("next"))
+    ahead = settled(ahead.join(kinds, F.col("next") == F.col("n_id"), "left").drop("n_id"))
     frontier = spark.createDataFrame([(start, 0, 0)], "f_id string, f_rank int, f_depth int")
     visited = frontier.select("f_id")
     reached, walked, more = [], [], []
-    found, hop, limit_hit, depth_hit = 0, 0, False, False
+    found, hop, limit_hit, depth_hit, ahead_of = 0, 0, False, False, 1
     while True:
         hop += 1
         at = Window.partitionBy("next")
+        small = ahead_of <= SMALL  # a counted frontier goes to the edges, a larger one meets them by key
         level = (
-            ahead.join(F.broadcast(frontier) if limit else frontier, ahead[here] == F.col("f_id"))
-            .withColumn("next", F.col(there))
+            ahead.join(F.broadcast(frontier) if small else frontier, ahead[here] == F.col("f_id"))
             .join(visited.select(F.col("f_id").alias("v_id")), F.col("next") == F.col("v_id"), "left")
-            .join(kinds, F.col("next") == F.col("n_id"), "left")
             .withColumn("fits", F.col("f_depth") + F.col("step") <= depth)
             .withColumn("order", F.struct("f_rank", "id"))
             .withColumn("first", F.min(F.when(F.col("fits"), F.col("order"))).over(at))
             .withColumn(
                 "fate",
                 F.when(F.col("v_id").isNotNull(), "cycle")
-                .when(F.col("n_id").isNull(), "missing")
+                .when(F.col("step").isNull(), "missing")
                 .when(F.col("order") == F.col("first"), "found")
                 .when(F.col("order") > F.col("first"), "cycle")
                 .otherwise("deep"),
             )
         )
-        level = settled(level.select("id", "type", "src", "dst", "next", "f_id", "f_rank", (F.col("f_depth") + F.col("step")).alias("depth"), "fate"))
-        counts = {r["fate"]: r["n"] for r in level.groupBy("fate").agg(F.count("*").alias("n")).collect()}
-        if counts.get("missing"):
+        level, counts = settled_with(
+            level.select("id", "type", "src", "dst", "next", "f_id", "f_rank", (F.col("f_depth") + F.col("step")).alias("depth"), "fate"),
+            {fate: F.col("fate") == fate for fate in ("found", "missing", "deep")},
+        )
+        if counts["missing"]:
             raise ValueError("lineage edge points to a missing node")
+        ahead_of = counts["found"]
         cut = None
         new = level.where("fate = 'found'")
-        if limit is not None and counts.get("found"):
+        if limit is not None and counts["found"]:
             first = new.orderBy("f_rank", "id").limit(limit - found + 1).collect()
             if len(first) > limit - found:
                 cut, limit_hit = first.pop(), True
@@ -89,7 +94,7 @@ def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth:
             new = spark.createDataFrame([(r["next"], i, r["depth"]) for i, r in enumerate(first)], "f_id string, f_rank int, f_depth int")
         else:
             new = new.select(F.col("next").alias("f_id"), F.lit(0).alias("f_rank"), F.col("depth").alias("f_depth"))
-        if counts.get("deep"):
+        if counts["deep"]:
             deep = level.where("fate = 'deep'").select(F.col("f_id").alias("id")).distinct()
             if cut is None or not deep.isEmpty():
                 depth_hit = True
@@ -98,7 +103,7 @@ def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth:
         reached.append(new.select(F.col("f_id").alias("id"), F.lit(direction).alias("direction"), F.lit(hop).alias("hop"), F.col("f_depth").alias("depth")))
         if limit_hit:
             more.append(new.select(F.col("f_id").alias("id")))
-        if limit_hit or not counts.get("found"):
+        if limit_hit or not counts["found"]:
             break
         frontier, visited = new, visited.union(new.select("f_id"))
         if hop % 8 == 0:
@@ -112,6 +117,7 @@ def trace_lineage(nodes: DataFrame, edges: DataFrame, start: str, direction: str
         raise ValueError("direction must be upstream, downstream, or both")
     bounds.check(depth, limit)
     kind = nodes.where(F.col("id") == start).select("type").first()
+    # fixed values: the words of these errors, by which an editor knows them
     if kind is None:
         raise ValueError(f"node not found: {start}")
     if kind["type"] not in START_TYPES:

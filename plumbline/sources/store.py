@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,10 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled_with(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """settled(df), and how many rows meet each condition, counted by the job that writes."""
+    seen = Observation()
+    out = settled(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    return out, seen.get
