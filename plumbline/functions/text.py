@@ -53,6 +53,31 @@ def condition(lhs: Column, op: str, rhs: Column) -> Column:
     return F.lit(None).cast("boolean")
 
 
+# Intervals of dates by their months; days and weeks (from Sunday) have none.
+MONTHS = {"month": 1, "qtr": 3, "semiyear": 6, "year": 12}
+
+
+def _months(date):
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def intck(interval: str, a, b):
+    """How many starts of an interval lie after date a, up to date b."""
+    if interval in MONTHS:
+        of = lambda d: F.floor(_months(d) / F.lit(MONTHS[interval]))
+        return (of(b) - of(a)).cast("int")
+    days = {"day": F.datediff(b, a), "week": F.floor((F.datediff(b, F.lit("1970-01-04")) / 7)) - F.floor(F.datediff(a, F.lit("1970-01-04")) / 7)}
+    return days[interval].cast("int")
+
+
+def intnx(interval: str, date, n: int):
+    """The first day of the interval that is n intervals after the date's own."""
+    if interval in MONTHS:
+        start = F.floor(_months(date) / F.lit(MONTHS[interval])) * MONTHS[interval] + n * MONTHS[interval]
+        return F.make_date(F.floor(start / 12).cast("int"), (F.pmod(start, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return {"day": F.date_add(date, n), "week": F.date_add(F.date_sub(date, F.dayofweek(date) - 1), 7 * n)}[interval]
+
+
 #: Names of row functions in analysed programs, as Spark columns.  Their values are Spark's own.
 SCALARS = {
     "upcase": F.upper, "lowcase": F.lower, "propcase": F.initcap, "strip": F.trim, "trim": F.rtrim, "left": F.ltrim,
@@ -69,5 +94,5 @@ SCALARS = {
     "min": F.least, "max": F.greatest, "n": lambda *c: F.size(F.array_compact(F.array(*c))), "nmiss": lambda *c: F.lit(len(c)) - F.size(F.array_compact(F.array(*c))),
     "round": F.round, "int": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "ceil": F.ceil, "floor": F.floor, "abs": F.abs, "mod": lambda a, b: a % b,
     "datepart": F.to_date, "timepart": lambda c: F.date_format(c, "HH:mm:ss"), "year": F.year, "month": F.month, "day": F.day,
-    "mdy": lambda m, d, y: F.make_date(y, m, d), "intck": lambda a, b: F.datediff(b, a), "intnx": F.add_months,
+    "mdy": lambda m, d, y: F.make_date(y, m, d), "intck": intck, "intnx": intnx,
 }

@@ -439,10 +439,18 @@ def _(spark, d):
     )
 
 
-@query("scalar_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y, month(o_orderdate) AS m, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS n FROM orders")
+@query(
+    "scalar_date",
+    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y, month(o_orderdate) AS m, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS n, date_diff('month', DATE '1992-01-15', CAST(o_orderdate AS DATE)) AS months, date_diff('quarter', DATE '1992-01-15', CAST(o_orderdate AS DATE)) AS quarters, "
+    "CAST(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR AS DATE) AS next_year, CAST(date_trunc('month', o_orderdate) - INTERVAL 2 MONTH AS DATE) AS earlier FROM orders",
+)
 def _(spark, d):
     s, c = text.SCALARS, F.col("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", s["datepart"](c).alias("day"), s["year"](c).alias("y"), s["month"](c).alias("m"), s["intck"](F.lit("1992-01-01").cast("date"), s["datepart"](c)).cast("long").alias("n"))
+    day, start = s["datepart"](c), F.lit("1992-01-15").cast("date")
+    return table(spark, d, "orders").select(
+        "o_orderkey", day.alias("day"), s["year"](c).alias("y"), s["month"](c).alias("m"), s["intck"]("day", F.lit("1992-01-01").cast("date"), day).cast("long").alias("n"), s["intck"]("month", start, day).cast("long").alias("months"),
+        s["intck"]("qtr", start, day).cast("long").alias("quarters"), s["intnx"]("year", day, 1).alias("next_year"), s["intnx"]("month", day, -2).alias("earlier"),
+    )
 
 
 # ---- data steps

@@ -13,12 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir or the context's own checkpoint folder; a temporary one only where neither is set."""
+    """spark.checkpoint.dir or the context's own checkpoint folder; a temporary one only on a single
+    machine where neither is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='plumbline-')}")
