@@ -14,12 +14,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's own
-    checkpoint folder.  Only where neither is set, as in tests on one machine, a temporary one is made."""
+    checkpoint folder.  Where neither is set a temporary one is made on a single
+    machine, as in tests; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
