@@ -373,3 +373,40 @@ def test_pipeline(spark, tmp_path):
         w = ALNUM.findall(lower(t))
         assert not any(tuple(w[k : k + 10]) in bench for k in range(len(w) - 9))
     assert len(set(kept.values())) == len(kept)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Nulls, empty and repeated rows, near copies and benchmark passages, against loops; the classifier's answers are given."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(f"w{rng.integers(4000)}" for _ in range(n))
+    passage, base = say(15), say(100)
+    near = base.split(" ")
+    near[50] = "other"
+    rows = [(1, None), (2, ""), (3, base), (4, " ".join(near)), (5, base), (5, base), (6, f"{say(20)} {passage.upper()} {say(20)}"), (None, say(30)), (7, say(4)), *[(k, say(int(rng.integers(5, 60)))) for k in range(10, 40)]]
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", "ab"[k % 2] if k % 5 else None, len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([("i", passage)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, 0, int(k % 4 == 0)) for k in range(10, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    left = [(r["doc_id"], r["text"]) for r in toxicity.score(docs, model).where("predicted = 0").collect()]
+    sets = {(i, t): frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in left if i is not None and (w := WORD.findall(t or ""))}
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    clean = {x for x in left if x not in sets or not any(y[0] < x[0] and like(sets[x], sets[y]) for y in sets)}
+    windows = {tuple(w[k : k + 10]) for w in [ALNUM.findall(lower(passage))] for k in range(len(w) - 9)}
+    clean = {(i, t) for i, t in clean if not any(tuple(w[k : k + 10]) in windows for w in [ALNUM.findall(lower(t or ""))] for k in range(len(w) - 9))}
+    out = corpus_pipeline.run(spark, d).collect()
+    copies = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert set(copies) <= {(i, t) for i, t in clean if WORD.findall(t or "")} and max(copies.values()) <= 2 and all(0 <= r["shard"] < 8 for r in out)
+    source = {(r["doc_id"], r["text"]): r["source"] for r in docs.collect()}
+    words = lambda x: len(WORD.findall(x[1] or ""))
+    sizes = collections.Counter()
+    for x in clean:
+        sizes[source[x]] += words(x)
+    aim = mixing.targets(list(sizes.items()))
+    for s in sizes:
+        taken = sum(n * words(x) for x, n in copies.items() if source[x] == s)
+        assert aim[s] - max(words(x) for x in clean) <= taken <= aim[s] + 1
