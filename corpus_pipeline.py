@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
 folder and rereads it as the next one's docs.  All but the last return the columns of documents.
+
+Rows without words pass the first three stages and the mix takes none of them.  Rows without a doc_id have no near
+copies and go on like any other.  Of repeated rows one stays.  Ties of a group go to the least doc_id, those of the mix and
+the shards to hashes.  Very long texts are read whole, and empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: A learnt classifier and sampled draws are beyond SQL; tests hold run() against brute force.
+#: A learnt classifier and sampled draws are beyond SQL; tests hold run() against plain loops.
 ORACLE_SQL = None
 
 
