@@ -123,12 +123,12 @@ class Kin:
         order = np.argsort(np.array(words, U64))
         self.words, self.units = np.array(words, U64)[order], np.array(units, np.int64)[order]
         self.first = first + np.cumsum(self.units) - self.units
-        self.total = int(self.units.sum())
+        self.total, self.seats = int(self.units.sum()), SEATS
 
     def of(self, number: int) -> range:
         """The units that seat the parent of this unit's context."""
         k = int(np.searchsorted(self.first, number, "right")) - 1
-        return range(int(self.first[k]), int(self.first[k]) + min(SEATS, int(self.units[k])))
+        return range(int(self.first[k]), int(self.first[k]) + min(self.seats, int(self.units[k])))
 
     def deal(self, before: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> None:
         """Puts the unit's number where the token before is such a context."""

@@ -203,8 +203,6 @@ def test_pitman_yor_leaves_of_a_very_varied_context_stay_apart(spark):
 def test_pitman_yor_scores_hang_on_the_texts_alone(spark, monkeypatch):
     # every x stands once after "the", each time after another word; some stand often
     df = spark.createDataFrame([(k, f"q{k} the x{k % 400} " + f"x{k % 400} " * (k % 3) + "the of " * (k % 7)) for k in range(1600)], "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(pitman_yor, "BURN", 1)
-    monkeypatch.setattr(pitman_yor, "SAMPLES", 2)
     want = pitman_yor.score(df).toPandas().set_index("doc_id").sort_index()
     monkeypatch.setattr(pitman_yor, "SPLIT", 700)
     monkeypatch.setattr(pitman_yor, "SEATS", 5)
