@@ -8,7 +8,8 @@ binomial blocks of further ones beyond.  Tables of the leaves are the parents' c
 probabilities are averaged over ``SAMPLES`` sweeps after ``BURN``; a text's score is the sum of their logarithms.
 
 Nothing but words' hashes moves.  Maps cut texts into tokens and send each, packed, to the bucket of the
-token before it, where its restaurants live whole.  Buckets ask the owners of their words for counts over
+token before it, where its restaurants live whole; the most frequent words, ``HOT`` at most, travel as their numbers in
+a broadcast list, all others by their hashes.  Buckets ask the owners of their words for counts over
 all of the corpus and then seat, predict and return sums a text.  A row is a bucket's words for one owner, or
 a slice's tokens for one bucket, and none is empty, so rows grow with the tokens at most; words and distinct
 words of the corpus are one sum over the owners.
@@ -37,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ from .words import PLAIN, U64, WordKind, Words, by_bytes, mix
 
 LOWER = WordKind(bytes(np.flatnonzero(~PLAIN.is_word).tolist()), lower=True)
 END, BEGIN = U64(1), U64(2)
+NONE = np.empty(0, U64)  # no common words
 DISCOUNT, STRENGTH = (0.7, 0.8), (2.0, 1.0)  # of parents and of leaves
 BURN, SAMPLES = 3, 4
 EXACT = 48
@@ -54,7 +57,9 @@ LEAST_BUCKETS = 64  # unless they would be of less than 256 KB
 PER_OWNER = 8  # buckets for each owner of words
 MOST_PARTS = 50_000  # partitions of an exchange; with more buckets some share one, each its own group still
 SLICE = 6 << 20
-HOT = 1 << 16  # contexts that may be dealt to several units
+HOT = 1 << 16  # frequent words that have numbers, and contexts that may be dealt to several units
+TOLD = 1 << 17  # a slice tells of the words with this part of its tokens
+LEVELS = 8  # of counts between one number and its double
 SPLIT = 400_000  # tokens after a context for each of its units
 SEATS = 4096  # units of a context that seat its parent
 BASE_STEPS, MODEL_STEPS = 1e9, 1e7  # a text's sums of a bucket, and every token's, are whole numbers of such parts
@@ -117,9 +122,10 @@ def _owner(word: np.ndarray, owners: int) -> np.ndarray:
 
 
 class Kin:
-    """Very frequent contexts and the numbers of their units, which follow the buckets'."""
+    """Frequent words; very frequent contexts and the numbers of their units, which follow the buckets'."""
 
-    def __init__(self, words: list[int], units: list[int], first: int) -> None:
+    def __init__(self, words: list[int], units: list[int], first: int, common: np.ndarray = NONE) -> None:
+        self.common = common  # the frequent words, sorted
         order = np.argsort(np.array(words, U64))
         self.words, self.units = np.array(words, U64)[order], np.array(units, np.int64)[order]
         self.first = first + np.cumsum(self.units) - self.units
@@ -138,20 +144,38 @@ class Kin:
 
 
 def _hot(docs: DataFrame) -> list[tuple[int, int]]:
-    """(context, units) of the contexts with more than SPLIT tokens, HOT of them at most.
+    """(word, units of its context) of the most frequent words, HOT of them at most; 1 unit up to SPLIT tokens.
 
-    A slice tells of those with 1/HOT of its own tokens, so less than 1/HOT of the corpus goes unseen."""
+    A slice tells of those with 1/TOLD of its own tokens, so less than 1/TOLD of the corpus goes unseen.  Whole levels of
+    counts are taken, the highest first, so that no more than is taken reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
             token, _ = tokens(Words(batch.column("text").to_pylist(), LOWER))
             word, n = np.unique(token, return_counts=True)
-            some = n * HOT >= len(token)
+            some = n * TOLD >= len(token)
             yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = counted.where(F.col("n") > SPLIT).orderBy(F.desc("n"), "word").limit(HOT)
-    return [(int(np.int64(r["word"]).view(U64)), -(-r["n"] // SPLIT)) for r in most.collect()]
+    counted = tables.stored(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    level, lowest, taken = F.floor(F.log2("n") * LEVELS), None, 0
+    for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        taken += row["words"]
+        if taken > HOT:
+            break
+        lowest = row["level"]
+    most = counted.where(level >= lowest).collect() if lowest is not None else []
+    return [(int(np.int64(r["word"]).view(U64)), -(-r["n"] // SPLIT)) for r in most]
+
+
+def _coded(words: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps between the numbers of common words, then between the hashes of others; sorted, the common ones first."""
+    at = _place(common, words)
+    n = int((at >= 0).sum())
+    return _least(np.diff(at[:n], prepend=0)), np.diff(words[n:], prepend=U64(0))
+
+
+def _plain(numbers: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return np.concatenate([common[np.cumsum(numbers, dtype=np.int64)], np.cumsum(others, dtype=U64)])
 
 
 # ---- seating
@@ -282,17 +306,15 @@ def leaf_key(context: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.nd
     return mix(parent_key(context, word) + mix(second ^ U64(0x9FB21C651E98DF25)))
 
 
-def _parts(blobs: list[bytes]) -> list[list[np.ndarray]]:
+def _parts(blobs: list[bytes], common: np.ndarray) -> list[list[np.ndarray]]:
     parts = [_unpack(b) for b in blobs]
-    for p in parts:
-        p[2] = np.cumsum(p[2], dtype=U64)
-    return parts
+    return [[_plain(p[0], p[1], common), p[2], _plain(p[3], p[4], common), *p[5:]] for p in parts]
 
 
-def vocabulary(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def vocabulary(blobs: list[bytes], common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
     """The words of a bucket's tokens and how often each stands in training texts."""
     some = []
-    for p in _parts(blobs):
+    for p in _parts(blobs, common):
         words, train = p[3].astype(np.int64), (p[5] & 1).astype(bool)
         n = np.bincount(words[train], minlength=len(p[2]))
         used = np.bincount(words, minlength=len(p[2])) > 0
@@ -304,9 +326,9 @@ def vocabulary(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Bucket:
     """All tokens that follow the contexts of one bucket; different (context, second, word) are a row each."""
 
-    def __init__(self, blobs: list[bytes], batches: list[int]) -> None:
+    def __init__(self, blobs: list[bytes], batches: list[int], common: np.ndarray = NONE) -> None:
         order = sorted(range(len(blobs)), key=lambda k: (batches[k], blobs[k]))
-        parts = _parts([blobs[k] for k in order])
+        parts = _parts([blobs[k] for k in order], common)
         self.batches = [batches[k] for k in order]
         self.docs = [p[7] for p in parts]  # doc_ids of the batch, in the one blob that brings them
         self.known_ids = [p[8] for p in parts]
@@ -376,8 +398,8 @@ class Bucket:
 class Unit:
     """A part of the leaves of one very frequent context; its parent is kept by several units together."""
 
-    def __init__(self, blobs: list[bytes], batches: list[int], number: int, seats: range) -> None:
-        self.bucket, self.number, self.seats = Bucket(blobs, batches), number, seats
+    def __init__(self, blobs: list[bytes], batches: list[int], number: int, seats: range, common: np.ndarray) -> None:
+        self.bucket, self.number, self.seats = Bucket(blobs, batches, common), number, seats
         b = self.bucket
         self.word, self.leaf, self.customers, self.leaves = b.word, b.leaf, b.customers, int(b.leaf[-1]) + 1 if len(b.leaf) else 0
         self.taught = np.flatnonzero(self.customers)
@@ -426,9 +448,9 @@ def seat_parent(words: list[np.ndarray], counts: list[np.ndarray], sums: list[np
 # ---- over tables
 
 
-def _dealt(docs: DataFrame, buckets: int, kin: Kin) -> DataFrame:
+def _dealt(docs: DataFrame, buckets: int, kin: Kin, shared: Broadcast | None = None) -> DataFrame:
     """(bucket, batch, blob): tokens by the bucket of the one before, or by the unit of a very frequent one."""
-    shared = docs.sparkSession.sparkContext.broadcast(kin)
+    shared = shared or docs.sparkSession.sparkContext.broadcast(kin)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -440,7 +462,8 @@ def _dealt(docs: DataFrame, buckets: int, kin: Kin) -> DataFrame:
             bucket = (mix(before) % U64(buckets)).astype(np.int64)
             shared.value.deal(before, second, bucket)
             flags = (text << 1) | batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            order = np.lexsort((before, bucket))
+            common = shared.value.common
+            order = np.lexsort((before, _place(common, before) < 0, bucket))
             some, starts = np.unique(bucket[order], return_index=True)
             ids = batch.column("doc_id")
             known = np.array(ids.is_valid())
@@ -452,9 +475,11 @@ def _dealt(docs: DataFrame, buckets: int, kin: Kin) -> DataFrame:
                 own = order[a:e]
                 head = np.flatnonzero(np.append(True, before[own][1:] != before[own][:-1]))
                 words, index = np.unique(np.concatenate([token[own], second[own]]), return_inverse=True)
+                first = np.argsort(_place(common, words) < 0, kind="stable")
+                index = np.argsort(first)[index]
                 bring = not a  # the first blob brings the doc_ids
                 blob = _pack(
-                    before[own][head], _least(np.diff(np.append(head, len(own)))), np.diff(words, prepend=U64(0)), _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
+                    *_coded(before[own][head], common), _least(np.diff(np.append(head, len(own)))), *_coded(words[first], common), _least(index[: len(own)]), _least(index[len(own) :]), _least(flags[own]),
                     np.array([batch.num_rows]), ids if bring else ids[:0], known.astype(np.uint8) if bring else np.empty(0, np.uint8),
                 )
                 out.append((b, blob))
@@ -464,18 +489,20 @@ def _dealt(docs: DataFrame, buckets: int, kin: Kin) -> DataFrame:
     return docs.select("doc_id", "train", "text").mapInArrow(emit, "bucket int, batch long, blob binary")
 
 
-def _ask(group: pd.DataFrame, owners: int) -> pd.DataFrame:
-    vocab, counts = vocabulary(group["blob"].tolist())
+def _ask(group: pd.DataFrame, owners: int, kin: Kin) -> pd.DataFrame:
+    vocab, counts = vocabulary(group["blob"].tolist(), kin.common)
     owner = _owner(vocab, owners)
     order = np.argsort(owner, kind="stable")
     some, starts = np.unique(owner[order], return_index=True)
     pieces = np.split(order, starts[1:])
-    return pd.DataFrame({"owner": some, "bucket": int(group["bucket"].iloc[0]), "blob": [_pack(vocab[at], _least(counts[at])) for at in pieces]})
+    return pd.DataFrame({"owner": some, "bucket": int(group["bucket"].iloc[0]), "blob": [_pack(np.diff(vocab[at], prepend=U64(0)), _least(counts[at])) for at in pieces]})
 
 
 def _together(group: pd.DataFrame) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
     """What an owner is asked, each word's place among its words, and these words' counts."""
     asked = [_unpack(b) for b in group["blob"]]
+    for a in asked:
+        a[0] = np.cumsum(a[0], dtype=U64)
     words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.zeros(len(words), np.int64)
     np.add.at(total, at, np.concatenate([a[1].astype(np.int64) for a in asked]))
@@ -503,8 +530,8 @@ def _counts(vocab: np.ndarray, told: pd.DataFrame, owners: int) -> np.ndarray:
     return counts
 
 
-def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int) -> pd.DataFrame:
-    bucket = Bucket(left["blob"].tolist(), left["batch"].tolist())
+def _score(left: pd.DataFrame, right: pd.DataFrame, owners: int, kin: Kin) -> pd.DataFrame:
+    bucket = Bucket(left["blob"].tolist(), left["batch"].tolist(), kin.common)
     total, distinct = int(right["total"].iloc[0]), int(right["distinct"].iloc[0])
     return _sent(bucket, bucket.sums(_counts(bucket.vocab, right, owners), total, distinct), total)
 
@@ -514,7 +541,8 @@ def _sent(bucket: Bucket, sums: tuple[np.ndarray, ...], total: int) -> pd.DataFr
     for k, number in enumerate(bucket.batches):
         s = slice(int(bucket.base[k]), int(bucket.base[k + 1]))
         some = np.flatnonzero(sums[0][s])
-        rows[number] = [_least(some), *[_least(x[s][some]) for x in sums], bucket.docs[k], bucket.known_ids[k]]
+        n, known, base, model = (x[s][some] for x in sums)
+        rows[number] = [*[_least(x) for x in (np.diff(some, prepend=0), n, n - known, base, model)], bucket.docs[k], bucket.known_ids[k]]
     return pd.DataFrame({"batch": list(rows), "blob": [_pack(*v) for v in rows.values()], "train_tokens": total})
 
 
@@ -535,7 +563,7 @@ def _of(rows: pd.DataFrame, kind: int) -> list[tuple[int, list[np.ndarray]]]:
 def _introduce(left: pd.DataFrame, right: pd.DataFrame, owners: int, kin: Kin) -> pd.DataFrame:
     """A unit's words with their counts in the corpus and its leaves' first tables, to those who seat them."""
     number = int(left["bucket"].iloc[0])
-    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number))
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number), kin.common)
     counts = _counts(unit.bucket.vocab, right, owners)
     facts = np.array([right["total"].iloc[0], right["distinct"].iloc[0]], np.int64)
     sums = unit.asked(np.ones(len(unit.taught), np.int64))
@@ -571,7 +599,7 @@ def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: Kin) -> pd.Data
     if not len(left):  # seats words for others only
         return _messages(list(right[right["kind"] == PARENT].itertuples(index=False, name=None))) if not last else pd.DataFrame({"batch": [], "blob": [], "train_tokens": []})
     number = int(left["bucket"].iloc[0])
-    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number))
+    unit = Unit(left["blob"].tolist(), left["batch"].tolist(), number, kin.of(number), kin.common)
     seen = np.zeros((3, len(unit.bucket.vocab)), np.int64)  # the parent's customers and tables, the corpus's counts
     sizes = np.zeros(2, np.int64)
     for at, x in _of(right, ANSWER):
@@ -597,12 +625,12 @@ def _sweep(left: pd.DataFrame, right: pd.DataFrame, k: int, kin: Kin) -> pd.Data
     return _messages(out)
 
 
-def _units(dealt: DataFrame, told: DataFrame, owners: int, kin: Kin, parts: int) -> DataFrame:
+def _units(dealt: DataFrame, told: DataFrame, owners: int, shared: Broadcast, parts: int) -> DataFrame:
     """(batch, blob, train_tokens) from the units: sweeps in step."""
     own = dealt.groupBy("bucket")
-    sweep = lambda k: lambda a, b: _sweep(a, b, k, kin)
+    sweep = lambda k: lambda a, b: _sweep(a, b, k, shared.value)
     seat = lambda k: lambda a, b: _seat(a, b, k)
-    intro = own.cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _introduce(a, b, owners, kin), MESSAGE).repartition(min(parts, kin.total), "bucket")
+    intro = own.cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _introduce(a, b, owners, shared.value), MESSAGE).repartition(min(parts, shared.value.total), "bucket")
     seated, last = intro.groupBy("bucket").applyInPandas(lambda a: _seat(a, None, 0), MESSAGE), BURN + SAMPLES - 1
     for k in range(last):
         swept = own.cogroup(seated.groupBy("bucket")).applyInPandas(sweep(k), MESSAGE)
@@ -615,8 +643,10 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     ids, known_ids = next((p[5], p[6]) for p in parts if len(p[5]))
     out = np.zeros((4, len(ids)), np.int64)
     for p in parts:
-        for o, values in zip(out, p[1:5], strict=True):
-            o[p[0]] += values.astype(np.int64)
+        some = np.cumsum(p[0], dtype=np.int64)
+        n, unknown, base, model = (x.astype(np.int64) for x in p[1:5])
+        for o, values in zip(out, (n, n - unknown, base, model), strict=True):
+            o[some] += values
     frame = pd.DataFrame({"n_tokens": out[0], "n_known": out[1], "base_score": out[2] / -BASE_STEPS, "score": out[3] / -MODEL_STEPS})
     frame["doc_id"] = pd.Series(ids).astype("Int64").where(known_ids.astype(bool))
     frame["train_tokens"] = int(group["train_tokens"].iloc[0])
@@ -633,21 +663,23 @@ def score(docs: DataFrame) -> DataFrame:
     scanned = tables.input_bytes(docs)
     buckets = max(1, scanned * 2 // BUCKET_BYTES, min(LEAST_BUCKETS, scanned >> 18))
     owners = max(1, buckets // PER_OWNER)
-    hot = _hot(plain)
-    kin = Kin([w for w, _ in hot], [n for _, n in hot], buckets)
+    frequent = _hot(plain)
+    hot = [x for x in frequent if x[1] > 1]
+    kin = Kin([w for w, _ in hot], [n for _, n in hot], buckets, np.unique(np.array([int(BEGIN), *[w for w, _ in frequent]], U64)))
+    shared = docs.sparkSession.sparkContext.broadcast(kin)
     groups = min(MOST_PARTS, buckets + kin.total)
     # one exchange, read by those who ask for counts and by those who score
-    dealt = _dealt(plain, buckets, kin).repartition(groups, "bucket")
+    dealt = _dealt(plain, buckets, kin, shared).repartition(groups, "bucket")
     # what is not deterministic stays above an exchange, so that all read the same one
     number = F.col("bucket") + F.floor(F.rand(0))
-    asked = (dealt.where(number >= 0) if hot else dealt).groupBy("bucket").applyInPandas(lambda g: _ask(g, owners), "owner int, bucket int, blob binary").repartition(owners, "owner")
+    asked = (dealt.where(number >= 0) if hot else dealt).groupBy("bucket").applyInPandas(lambda g: _ask(g, owners, shared.value), "owner int, bucket int, blob binary").repartition(owners, "owner")
     totals = asked.groupBy("owner").applyInPandas(_totals, "all int, total long, distinct long").groupBy("all").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
     told = asked.groupBy("owner").applyInPandas(_answer, "bucket int, owner int, blob binary, all int").repartition(groups, "bucket").join(F.broadcast(totals), "all")  # of one row
     units = None
     if hot:
-        units = _units(dealt.where(number >= buckets), told.where(number >= buckets), owners, kin, groups)
+        units = _units(dealt.where(number >= buckets), told.where(number >= buckets), owners, shared, groups)
         dealt, told = dealt.where(number < buckets), told.where(number < buckets)
-    scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, owners), "batch long, blob binary, train_tokens long")
+    scored = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda a, b: _score(a, b, owners, shared.value), "batch long, blob binary, train_tokens long")
     if units is not None:
         scored = scored.unionByName(units)
     gathered = scored.groupBy("batch").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double, train_tokens long")
