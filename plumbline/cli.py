@@ -27,6 +27,9 @@ def _flat(edges: DataFrame) -> DataFrame:
         if name not in edges.columns:
             has = nested and key in edges.schema["evidence"].dataType.names
             edges = edges.withColumn(name, F.col(f"evidence.{key}") if has else F.lit(None).cast("double" if key == "confidence" else "string"))
+    if "derivation_refs" not in edges.columns:
+        has = nested and "derivation_refs" in edges.schema["evidence"].dataType.names
+        edges = edges.withColumn("derivation_refs", (F.col("evidence.derivation_refs") if has else F.lit(None)).cast("array<string>"))
     return edges
 
 
@@ -98,6 +101,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             c.add_argument("--limit", type=int, default=bounds.LIMIT)
         if name == "explain-edge":
             c.add_argument("edge")
+            c.add_argument("--limit", type=int, default=bounds.LIMIT)
     try:
         a = p.parse_args(argv)
     except SystemExit as stop:
@@ -126,12 +130,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(json.dumps({"start": a.node, "nodes": _rows(t.nodes), "edges": _rows(t.edges), "truncated": t.truncated, "continuation": _rows(t.continuation)}))
         elif a.command == "query-impact" and (a.node or a.mode):
             i = impact.impact(nodes, edges, a.node or a.variable, tuple(a.mode or ("structural",)), a.depth, a.limit)
-            print(json.dumps({"seed": a.node or a.variable, "nodes": _rows(i.nodes.orderBy("id")), "paths": _rows(i.paths), "truncated": i.limit_hit or i.depth_hit, "continuation": sorted(r["id"] for r in i.continuation.collect()) if i.limit_hit else []}))
+            print(json.dumps({"seed": a.node or a.variable, "nodes": _rows(i.nodes.orderBy("id")), "boundaries": _rows(i.boundaries.where(F.size("reasons") > 0).orderBy("id", "mode")), "paths": _rows(i.paths.union(i.cycles).orderBy("target", "mode", "path_edges")), "truncated": i.limit_hit or i.depth_hit, "continuation": sorted(r["id"] for r in i.continuation.collect()) if i.limit_hit else []}))
         elif a.command == "query-impact":
-            v = variables.walk_variable_impact(edges if "value" in edges.columns else edges.withColumn("value", F.lit(None).cast("string")), a.variable, a.depth)
-            print(json.dumps({"start": a.variable, "variables": _rows(v.variables), "operations": _rows(v.operations), "facts": _rows(v.facts)}))
+            v = variables.walk_variable_impact(edges if "value" in edges.columns else edges.withColumn("value", F.lit(None).cast("string")), a.variable, a.depth, a.limit)
+            print(json.dumps({"start": a.variable, "variables": _rows(v.variables), "operations": _rows(v.operations), "facts": _rows(v.facts), "limit_hit": v.limit_hit, "depth_hit": v.depth_hit, "continuation": _rows(v.continuation)}))
         else:
-            print(json.dumps(_rows(graph.explain_edge(edges, findings, a.edge)), default=str))
+            found = _rows(graph.explanation(nodes, edges, findings, a.edge, a.limit).orderBy("section", "id"))
+            row = _rows(graph.explain_edge(edges, findings, a.edge))[0]
+            shown = {s: [r for r in found if r["section"] == s and not r["omitted"]] for s in ("path", "finding")}
+            print(json.dumps({"edge": row, "resolution_path": shown["path"], "findings": shown["finding"], "continuation": sorted(r["id"] for r in found if r["omitted"])}, default=str))
         return 0
     except (ValueError, TypeError) as error:
         print(str(error), file=sys.stderr)

@@ -139,6 +139,25 @@ def explain_edge(edges: DataFrame, findings: DataFrame, edge_id: str) -> DataFra
     return edge.join(hit, "id")
 
 
+def explanation(nodes: DataFrame, edges: DataFrame, findings: DataFrame, edge_id: str, limit: int | None = bounds.LIMIT) -> DataFrame:
+    """(section, id, category, type, omitted): the records an edge derives from (`path`), then findings on it or on its ends
+    (`finding`); of each those beyond the limit, in id order, are omitted.  edges: id, type, src, dst, derivation_refs."""
+    bounds.check(0, limit)
+    edge = edges.where(F.col("id") == edge_id)
+    if edge.isEmpty():
+        raise ValueError(f"edge not found: {edge_id}")
+    path = resolution_path(edge.select(F.explode("derivation_refs").alias("ref")), nodes, edges, findings)
+    near = edge.select(F.explode(F.array("id", "src", "dst")).alias("object_id"))
+    linked = findings_of(findings).join(F.broadcast(near), "object_id", "left_semi").select(F.explode("findings").alias("id")).distinct()  # three names
+    hit = findings.join(linked, "id", "left_semi").select("id", F.lit("finding").alias("category"), "type")
+    out = []
+    for section, found in (("path", path), ("finding", hit)):
+        kept = (found if limit is None else found.orderBy("id").limit(limit)).select(F.col("id").alias("k"))
+        kept = kept if limit is None else F.broadcast(kept)
+        out.append(found.join(kept, F.col("id") == F.col("k"), "left").select(F.lit(section).alias("section"), "id", "category", "type", F.col("k").isNull().alias("omitted")))
+    return out[0].unionByName(out[1])
+
+
 def resolution_path(refs: DataFrame, nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> DataFrame:
     """(id, category, type): records behind derivation references; findings over edges over nodes."""
     some = [d.select("id", "type", F.lit(k).alias("rank"), F.lit(n).alias("category")) for k, (n, d) in enumerate((("node", nodes), ("edge", edges), ("finding", findings)))]

@@ -43,6 +43,17 @@ class Impact:
     depth_hit: bool
     continuation: DataFrame  # id
     limit_hit: bool = False
+    cycles: DataFrame | None = None  # as paths: those that come back to a node of their own, other than kept ones
+    boundaries: DataFrame | None = None  # mode, id, reasons of every state, the seed's too
+
+
+def _in_modes(modes: tuple[str, ...]) -> Column:
+    """The modes that an edge is active in, by its type."""
+    return F.array_compact(F.array(*[F.when(F.lit(m == "structural") | F.col("type").isin(*MODE_EDGES.get(m, ("",))), m) for m in modes]))
+
+
+def _ordered(reasons: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(reasons, r))
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...] = ("structural",), depth: int = bounds.DEPTH, limit: int | None = None) -> Impact:
@@ -58,15 +69,14 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
     spark = nodes.sparkSession
     if nodes.where(F.col("id") == seed).isEmpty():
         raise ValueError(f"node not found: {seed}")
-    in_mode = F.array_compact(F.array(*[F.when(F.lit(m == "structural") | F.col("type").isin(*MODE_EDGES.get(m, ("",))), m) for m in modes]))
-    active = edges.withColumn("mode", F.explode(in_mode)).select("mode", "id", "src", "dst", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"))
+    active = edges.withColumn("mode", F.explode(_in_modes(modes))).select("mode", "id", "src", "dst", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"))
     kinds = nodes.select(F.col("id").alias("n_id"), "type")
     stop = F.col("type").isin(*UNKNOWN) | (F.col("type") == "ExternalFile")
     state = "mode string, node string, depth int, rank int, path_edges array<string>, path_nodes array<string>"
     front = spark.createDataFrame([(m, seed, 0, 0, [], [seed]) for m in modes], state)
     # settled states, a table a level; a state's best is the first of its rows by this order
     better = Window.partitionBy("mode", "node").orderBy(F.desc("rank"), F.col("path_edges"), F.col("new"))
-    known, depth_hit, reasons, ahead_of = [front.withColumn("loop", F.lit(False)).withColumn("hop", F.lit(0))], False, [], len(modes)
+    known, depth_hit, reasons, cycles, ahead_of = [front.withColumn("loop", F.lit(False)).withColumn("hop", F.lit(0))], False, [], [], len(modes)
     # every edge once with what its far end is, dealt by the near end; levels then touch no node table
     out_of = settled(active.withColumnRenamed("mode", "e_mode").join(kinds.select(F.col("n_id").alias("dst"), F.col("type").isin(*COUNTED).cast("int").alias("counted")), "dst"))
     while True:
@@ -99,6 +109,7 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
             F.concat("path_nodes", F.array("dst")).alias("path_nodes"),
             "loop",
         )
+        cycles.append(step.where("loop").select("mode", F.col("node").alias("target"), "rank", "path_edges", "path_nodes"))
         # candidates against what is known of the same states alone
         first = step.withColumn("new", F.lit(1)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place")
         held = reduce(DataFrame.unionByName, known).drop("hop").withColumn("new", F.lit(0)).join(first.select("mode", "node"), ["mode", "node"], "left_semi")
@@ -112,28 +123,30 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
     best = settled(reduce(DataFrame.unionByName, known).withColumn("new", F.lit(0)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place", "new", "loop"))
     reasons = reduce(DataFrame.unionByName, reasons)
     reached = best.where(F.col("node") != seed)
-    ends = reasons.groupBy(F.col("node").alias("r_node")).agg(
+    ends = reasons.groupBy("mode", F.col("node").alias("id")).agg(
         F.collect_set("ends").alias("ends"), F.max("deep").alias("deep"), F.max("closed").alias("closed")
     )
     listed = F.concat("ends", F.when(F.col("deep"), F.array(F.lit("depth"))).otherwise(F.array()), F.when(F.col("closed"), F.array(F.lit("cycle"))).otherwise(F.array()))
-    ordered = F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(listed, r))
+    boundaries = settled(ends.select("mode", "id", _ordered(listed).alias("reasons")))
+    of_node = boundaries.groupBy(F.col("id").alias("r_node")).agg(_ordered(F.flatten(F.collect_list("reasons"))).alias("reasons"))
     grouped = reached.groupBy("node").agg(F.max("rank").alias("rank"), F.sort_array(F.collect_set("mode")).alias("modes"))
     unknown = F.col("type").isin(*UNKNOWN)
     out = (
         grouped.join(kinds, F.col("node") == F.col("n_id"))
-        .join(ends, F.col("node") == F.col("r_node"), "left")
+        .join(of_node, F.col("node") == F.col("r_node"), "left")
         .select(
             F.col("node").alias("id"),
             "modes",
             F.when(unknown | (F.col("rank") == 2), "unresolved_boundary").when(F.col("rank") == 1, "possibly_impacted").otherwise("known_impacted").alias("classification"),
             "rank",
-            ordered.alias("reasons"),
+            "reasons",
         )
     )
     paths = best.where(F.size("path_edges") > 0).select("mode", F.col("node").alias("target"), "rank", "path_edges", "path_nodes")
     # what a walk cut by depth may go on from
-    more = ends.where("deep").select(F.col("r_node").alias("id")).distinct()
-    return Impact(seed, out, paths, depth_hit, more)
+    more = ends.where("deep").select("id").distinct()
+    around = reduce(DataFrame.unionByName, cycles).where(F.col("target") != seed).join(paths, ["mode", "target", "path_edges"], "left_anti").select(*paths.columns)
+    return Impact(seed, out, paths, depth_hit, more, cycles=around, boundaries=boundaries)
 
 
 def _limited(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...], depth: int, limit: int) -> Impact:
@@ -152,5 +165,9 @@ def _limited(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ..
     stopped = left.select(F.col("src").alias("id")).distinct().withColumn("cut", F.lit(True))
     # a node whose edges all lead to what was left out is no sink
     own = F.filter(F.array_union("reasons", F.array(F.lit("limit"))), lambda r: r != "sink")
-    marked = part.nodes.join(F.broadcast(stopped), "id", "left").withColumn("reasons", F.when(F.col("cut"), F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(own, r))).otherwise(F.col("reasons"))).drop("cut")
-    return Impact(seed, marked, part.paths, part.depth_hit, part.continuation.union(left.select(F.col("dst").alias("id"))).distinct(), True)
+    reasons = F.when(F.col("cut"), _ordered(own)).otherwise(F.col("reasons"))
+    marked = part.nodes.join(F.broadcast(stopped), "id", "left").withColumn("reasons", reasons).drop("cut")
+    by_mode = left.withColumn("mode", F.explode(_in_modes(modes))).select("mode", F.col("src").alias("id")).distinct().withColumn("cut", F.lit(True))
+    boundaries = part.boundaries.join(F.broadcast(by_mode), ["mode", "id"], "left").withColumn("reasons", reasons).drop("cut")
+    continuation = part.continuation.union(left.select(F.col("dst").alias("id"))).distinct()
+    return Impact(seed, marked, part.paths, part.depth_hit, continuation, True, part.cycles, boundaries)

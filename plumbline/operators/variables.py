@@ -1,7 +1,9 @@
 """Variable impact: forward from a variable over reads_variable and then writes_variable edges.
 
-Levels are as in trace: an operation expands only when first met, later reads of it are further facts;
-a write to a variable already visited is a fact flagged as cycle; depth counts variables.
+Without a limit levels are as in trace: an operation expands only when first met, later reads of it are further facts;
+a write to a variable already visited is a fact flagged as cycle; depth counts variables.  With a limit
+the first so many operations and variables are kept in the order of a queue: variables as they were met, their reads by
+edge id, and behind each new operation its writes by edge id.  The rest goes to the continuation.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from ..sources.store import settled
 from . import bounds
 
 
+FACT = "edge string, `on` string, value string, cycle boolean"
+
+
 @dataclass
 class VariableImpact:
     start: str
@@ -24,11 +29,14 @@ class VariableImpact:
     facts: DataFrame  # edge, on, value, cycle
     continuation: DataFrame  # id
     depth_hit: bool
+    limit_hit: bool = False
 
 
-def walk_variable_impact(edges: DataFrame, start: str, depth: int = bounds.DEPTH) -> VariableImpact:
+def walk_variable_impact(edges: DataFrame, start: str, depth: int = bounds.DEPTH, limit: int | None = None) -> VariableImpact:
     """edges: id, type, src, dst, value."""
-    bounds.check(depth, None)
+    bounds.check(depth, limit)
+    if limit is not None:
+        return _limited(edges, start, depth, limit)
     spark = edges.sparkSession
     reads, writes = (edges.where(F.col("type") == t).select("id", "src", "dst", "value") for t in ("reads_variable", "writes_variable"))
     frontier = spark.createDataFrame([(start,)], "v string")
@@ -59,14 +67,61 @@ def walk_variable_impact(edges: DataFrame, start: str, depth: int = bounds.DEPTH
         seen_v = settled(seen_v.union(frontier))
         if level > depth:
             break
-    all_facts = reduce(DataFrame.unionByName, facts, spark.createDataFrame([], "edge string, `on` string, value string, cycle boolean"))
+    all_facts = reduce(DataFrame.unionByName, facts, spark.createDataFrame([], FACT))
     own = reduce(DataFrame.unionByName, operations, spark.createDataFrame([], "o string, depth int"))
-    via = all_facts.join(reads.select(F.col("id").alias("edge")), "edge").groupBy(F.col("on").alias("o")).agg(F.sort_array(F.collect_set("edge")).alias("via_edges"))
-    done = own.join(via, "o", "left").select(F.col("o").alias("id"), "depth", "via_edges")
+    done = _with_reads(own, all_facts, reads)
     none = spark.createDataFrame([], "id string")
     return VariableImpact(start, reduce(DataFrame.unionByName, variables), done, all_facts, reduce(DataFrame.unionByName, more, none), depth_hit)
 
 
+def _with_reads(operations: DataFrame, facts: DataFrame, reads: DataFrame) -> DataFrame:
+    """(id, depth, via_edges) of operations (o, depth)."""
+    via = facts.join(reads.select(F.col("id").alias("edge")), "edge").groupBy(F.col("on").alias("o")).agg(F.sort_array(F.collect_set("edge")).alias("via_edges"))
+    return operations.join(via, "o", "left").select(F.col("o").alias("id"), "depth", "via_edges")
+
+
+def _limited(edges: DataFrame, start: str, depth: int, limit: int) -> VariableImpact:
+    """What is kept, limit rows and 5000 at most, is held by the driver; candidates and facts are not."""
+    spark = edges.sparkSession
+    reads, writes = (edges.where(F.col("type") == t).select("id", "src", "dst", "value") for t in ("reads_variable", "writes_variable"))
+    few = lambda names, name: F.broadcast(spark.createDataFrame([(n,) for n in names], f"{name} string"))
+    variables, operations, facts, more, depth_hit, cut = {start: 0}, {}, [], [], False, None
+    front, level = [start], 0
+    while front and cut is None:
+        turn = F.broadcast(spark.createDataFrame(list(zip(front, range(len(front)), strict=True)), "v string, turn int"))
+        met = settled(reads.join(turn, F.col("src") == F.col("v")).select("turn", F.col("id").alias("read"), F.lit("").alias("write"), F.col("dst").alias("o"), "value"))
+        place = F.struct("turn", "read", "write")
+        new = settled(met.join(few(operations, "o"), "o", "left_anti").groupBy("o").agg(F.min(place).alias("at")).select("o", "at.*"))
+        out = writes.join(new.drop("write"), F.col("src") == F.col("o")).select("turn", "read", F.col("id").alias("write"), "o", F.col("dst").alias("v"), "value")
+        out = out.join(few(variables, "k"), F.col("v") == F.col("k"), "left").withColumn("old", F.col("k").isNotNull()).drop("k")
+        first = out.groupBy("v").agg(F.min(place).alias("first"))
+        out = settled(out.join(first, "v").withColumn("cycle", F.col("old") | (F.lit(level < depth) & (place > F.col("first")))))
+        candidates = new.select("turn", "read", "write", F.col("o").alias("id"))
+        if level < depth:
+            candidates = candidates.unionByName(out.where("NOT cycle").select("turn", "read", "write", F.col("v").alias("id")))
+        room = limit - len(operations) - len(variables) + 1  # the start is not counted
+        kept = candidates.orderBy("turn", "read", "write").limit(room + 1).collect()
+        if len(kept) > room:
+            cut = kept.pop()
+        ahead = place < F.struct(*[F.lit(cut[n]).alias(n) for n in ("turn", "read", "write")]) if cut else F.lit(True)
+        met, out = met.where(ahead), out.where(ahead)
+        facts.append(met.select(F.col("read").alias("edge"), F.col("o").alias("on"), "value", F.lit(False).alias("cycle")))
+        facts.append((out if level < depth else out.where("cycle")).select(F.col("write").alias("edge"), F.col("o").alias("on"), "value", "cycle"))
+        if level == depth:
+            deep = [r["o"] for r in out.where("NOT cycle").select("o").distinct().collect()]  # of kept operations
+            depth_hit, more = bool(deep), more + deep
+        operations |= {r["id"]: level for r in kept if not r["write"]}
+        later = [r["id"] for r in kept if r["write"]]
+        level += 1
+        variables |= dict.fromkeys(later, level)
+        if cut:
+            more += [cut["id"], *front[cut["turn"] + 1 :], *later]
+        front = later
+    all_facts = reduce(DataFrame.unionByName, facts, spark.createDataFrame([], FACT))
+    done = _with_reads(spark.createDataFrame(list(operations.items()), "o string, depth int"), all_facts, reads)
+    return VariableImpact(start, spark.createDataFrame(list(variables.items()), "id string, depth int"), done, all_facts, few(dict.fromkeys(more), "id"), depth_hit, cut is not None)
+
+
 def owning_program(operations: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, program): the least-edge-id container.  A statement's is its block's; others' is their own;
     null where none is known.  operations: id, type; edges: id, type, src, dst."""

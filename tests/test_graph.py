@@ -159,3 +159,67 @@ def test_impact_under_a_limit_has_no_edge_to_a_node_left_out(spark, limit):
     left = {r["id"] for r in got.continuation.collect()}
     assert left == {1: {"b", "c"}, 2: {"c", "s2"}, 3: {"s2"}, 20: set()}[limit]
     assert {n for n, why in found.items() if "limit" in why} == {1: {"s1"}, 2: {"s1", "b"}, 3: {"b"}, 20: set()}[limit]
+
+
+def queue_of_variables(edges, start, depth, limit):
+    """(variables, operations, facts, rest) of a plain queue."""
+    by = lambda node, kind: sorted((i, d) for i, t, s, d in edges if s == node and t == kind)
+    found, ops, facts, deep, queue = {start: 0}, {}, [], set(), [start]
+    full = lambda: len(found) - 1 + len(ops) == limit
+    while queue:
+        v = queue.pop(0)
+        for read, op in by(v, "reads_variable"):
+            if op not in ops:
+                if full():
+                    return found, ops, facts, {op, *queue, *deep}
+                ops[op] = found[v]
+                facts.append((read, False))
+                for write, to in by(op, "writes_variable"):
+                    if to in found:
+                        facts.append((write, True))
+                    elif found[v] == depth:
+                        deep.add(op)
+                    elif full():
+                        return found, ops, facts, {to, *queue, *deep}
+                    else:
+                        found[to] = found[v] + 1
+                        facts.append((write, False))
+                        queue.append(to)
+            else:
+                facts.append((read, False))
+    return found, ops, facts, deep
+
+
+@pytest.mark.parametrize("depth, limit", [(5, 1), (5, 2), (5, 3), (5, 4), (1, 6), (0, 3), (5, 40)])
+def test_variable_impact_under_a_limit_is_a_queue(spark, depth, limit):
+    reads = [("v1", "o1"), ("v1", "o2"), ("v2", "o2"), ("v2", "o3"), ("v3", "o1"), ("v3", "o4"), ("v4", "o5")]
+    writes = [("o1", "v2"), ("o1", "v3"), ("o2", "v3"), ("o2", "v4"), ("o3", "v1"), ("o4", "v5"), ("o5", "v4"), ("o5", "v6")]
+    rows = [(f"e{(7 * k) % 31:02}", "reads_variable", *r) for k, r in enumerate(reads)] + [(f"e{(11 * k + 3) % 37:02}w", "writes_variable", *w) for k, w in enumerate(writes)]
+    e = spark.createDataFrame(rows, "id string, type string, src string, dst string").withColumn("value", F.lit(None).cast("string"))
+    got = variables.walk_variable_impact(e, "v1", depth, limit)
+    found, ops, facts, rest = queue_of_variables(rows, "v1", depth, limit)
+    assert {r["id"]: r["depth"] for r in got.variables.collect()} == found
+    assert {r["id"]: r["depth"] for r in got.operations.collect()} == ops
+    assert sorted((r["edge"], r["cycle"]) for r in got.facts.collect()) == sorted(facts)
+    assert {r["id"] for r in got.continuation.collect()} == rest and got.limit_hit == (len(found) - 1 + len(ops) == limit and bool(rest))
+
+
+def test_impact_tells_cycles_and_boundaries_by_mode(spark):
+    n = spark.createDataFrame([(x, "Dataset") for x in "abcd"], "id string, type string")
+    e = [("e1", "derives", "a", "b"), ("e2", "derives", "b", "c"), ("e3", "derives", "c", "b"), ("e4", "filters_dataset", "c", "d")]
+    e = spark.createDataFrame([(*r, "OBSERVED", "EXACT") for r in e], "id string, type string, src string, dst string, evidence_kind string, resolution string")
+    got = impact.impact(n, e, "a", ("structural", "value_flow"), 5)
+    assert sorted((r["mode"], r["target"], r["path_edges"], r["path_nodes"]) for r in got.cycles.collect()) == [(m, "b", ["e1", "e2", "e3"], ["a", "b", "c", "b"]) for m in ("structural", "value_flow")]
+    assert {(r["mode"], r["id"]): r["reasons"] for r in got.boundaries.collect() if r["reasons"]} == {("structural", "d"): ["sink"], ("value_flow", "c"): ["cycle"]}
+    assert {r["id"]: r["reasons"] for r in got.nodes.collect()} == {"b": [], "c": ["cycle"], "d": ["sink"]}
+
+
+def test_explanation_follows_derivation_records(spark):
+    n = spark.createDataFrame([("call", "MacroCall"), ("def", "MacroDefinition"), ("x", "Dataset"), ("y", "Dataset")], "id string, type string")
+    e = spark.createDataFrame([("e1", "derives", "x", "y", ["def", "call", "call", "gone"])], "id string, type string, src string, dst string, derivation_refs array<string>")
+    f = spark.createDataFrame([("f1", "a", ["y"], None), ("f2", "b", [], ["e1"]), ("f3", "c", ["call"], [])], "id string, type string, affected_nodes array<string>, affected_edges array<string>")
+    got = lambda limit: sorted(tuple(r) for r in graph.explanation(n, e, f, "e1", limit).collect())
+    assert got(9) == [("finding", "f1", "finding", "a", False), ("finding", "f2", "finding", "b", False), ("path", "call", "node", "MacroCall", False), ("path", "def", "node", "MacroDefinition", False)]
+    assert [(r[1], r[4]) for r in got(1)] == [("f1", False), ("f2", True), ("call", False), ("def", True)]
+    with pytest.raises(ValueError):
+        graph.explanation(n, e, f, "none")
