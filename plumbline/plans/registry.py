@@ -273,6 +273,21 @@ def _(spark, d):
     return graph.resolution_path(refs, nodes, edges, _findings(spark, d))
 
 
+@query(
+    "edge_explanation",
+    "SELECT 'path' AS section, 'sqlstatement:c' || c_custkey AS id, 'node' AS category, 'SqlStatement' AS type, row_number() OVER (ORDER BY 'sqlstatement:c' || c_custkey) > 40 AS omitted FROM customer "
+    "UNION ALL SELECT 'finding', 'finding:' || min(o_orderkey), 'finding', 'order_failed', false FROM orders WHERE o_orderstatus = 'F'",
+)
+def _(spark, d):
+    """An edge that all customers' statements stand behind, out of a step with a finding; 40 records are shown."""
+    nodes, edges = lineage(spark, d)
+    key = table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.min("o_orderkey")).first()[0]
+    refs = table(spark, d, "customer").agg(F.collect_set(F.concat(F.lit("sqlstatement:c"), "c_custkey")).alias("derivation_refs"))
+    derived = refs.select(F.lit("e:derived").alias("id"), F.lit("derives").alias("type"), F.lit(f"step:o{key}").alias("src"), F.lit(PART).alias("dst"), "derivation_refs")
+    every = edges.select("id", "type", "src", "dst").unionByName(derived, allowMissingColumns=True)
+    return graph.explanation(nodes, every, _findings(spark, d), "e:derived", 40)
+
+
 def _faulty(spark, d):
     """The lineage graph with rows that break each rule, keyed by suppliers."""
     nodes, edges = lineage(spark, d)
