@@ -40,6 +40,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8
 BAND_BLOCK = 4096
 EXACT_BLOCK, EXACT_SHINGLES = 1024, 4_000_000  # classes, and shingles, of a block that is verified
 BITMAP = 1 << 15  # shingles compared at once
+SLICE, ROWS = 1 << 19, 256  # shingles sorted, and rows of bits filled, at once
 
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -250,27 +251,44 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of sorted hash arrays reach the threshold, exactly: bitmaps over the hashes that two have,
-    a slice of these at a time."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _meet(sets: list[np.ndarray], both: np.ndarray) -> None:
+    """Add to both[i, j], i < j, how many hashes sets i and j share: bitmaps over the hashes that two have, a slice
+    of these at a time."""
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
-    place = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
     use = shared[at]
-    row, column = row[use], place[at[use]]
+    row, column = np.repeat(np.arange(len(sets)), list(map(len, sets)))[use], (np.cumsum(shared) - 1)[at[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.int32)
     for start in range(0, int(shared.sum()), BITMAP):
         lo, hi = np.searchsorted(column, (start, start + BITMAP))
-        bits = np.zeros((len(sets), -(-min(BITMAP, int(shared.sum()) - start) // 64) * 64), bool)
-        bits[row[lo:hi], column[lo:hi] - start] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
+        words = -(-min(BITMAP, int(shared.sum()) - start) // 64)
+        packed = np.zeros((len(sets), words), np.uint64)
+        order = lo + np.argsort(row[lo:hi], kind="stable")
+        y, x = row[order], column[order] - start
+        for top in range(0, len(sets), ROWS):
+            own = slice(*np.searchsorted(y, (top, top + ROWS)))
+            bits = np.zeros((min(ROWS, len(sets) - top), words * 64), bool)
+            bits[y[own] - top, x[own]] = True
+            packed[top : top + ROWS] = np.packbits(bits, axis=1).view(np.uint64)
         for i in range(len(sets) - 1):
             both[i, i + 1 :] += np.bitwise_count(packed[i] & packed[i + 1 :]).sum(1, dtype=np.int32)
-    out = np.triu(DENOMINATOR * both.astype(np.int64) >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both), 1)
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of sorted hash arrays reach the threshold, exactly: shared hashes are counted for one range of
+    values after the other, so that sorting takes the memory of one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    parts = max(1, -(-int(sizes.sum()) // SLICE))
+    cuts = np.array([k * 2**64 // parts for k in range(1, parts)], U64)
+    bounds = np.stack([np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in sets])
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    for k in range(parts):
+        _meet([s[a:b] for s, (a, b) in zip(sets, bounds[:, k : k + 2].tolist(), strict=True)], both)
+    out = np.zeros(both.shape, bool)
+    for i in range(len(sets) - 1):
+        common = both[i, i + 1 :].astype(np.int64)
+        out[i, i + 1 :] = DENOMINATOR * common >= NUMERATOR * (sizes[i] + sizes[i + 1 :] - common)
     if side is not None:
         out &= side[:, None] != side[None, :]
     return out | out.T
@@ -319,7 +337,7 @@ def _verified(docs: DataFrame, ties: DataFrame, sizes: DataFrame) -> DataFrame:
         for table in _runs(batches, names):
             a, own = table.column("a").to_numpy(), table.column("own").to_numpy()
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-            grams = [np.frombuffer(g, U64) for g in table.column("grams").to_pylist()]
+            grams = [np.frombuffer(g.as_buffer(), U64) for g in table.column("grams")]
             bounds = _groups(table, names)
             out: list[tuple] = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

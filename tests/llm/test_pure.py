@@ -244,6 +244,23 @@ def test_exact_links():
     assert links.tolist() == want
 
 
+def test_exact_links_of_long_sets_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (2, 20_000), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 2][k * 100 :], rng.integers(0, 2**64, 50, dtype=np.uint64)])) for k in range(100)]
+    tracemalloc.start()
+    links = jaccard_join.linked(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sizes = [len(x) for x in sets]
+    for i, j in [(0, 1), (0, 2), (0, 30), (0, 42), (1, 41), (50, 80), (98, 60), (7, 99)]:
+        common = len(np.intersect1d(sets[i], sets[j]))
+        assert links[i, j] == links[j, i] == (5 * common >= 4 * (sizes[i] + sizes[j] - common))
+    assert links.any() and not links.all() and peak < 64 << 20  # of 12 MB of hashes
+
+
 def test_stirling_numbers_and_table_draws():
     s = np.exp(pitman_yor.stirling(0.5, 4))
     assert s[3, 2] == pytest.approx(2 * (1 - 0.5) + (2 - 2 * 0.5) - 0.5 + 0.0, abs=1.0) and s[4, 4] == pytest.approx(1)
