@@ -18,6 +18,9 @@ QUERIES = {
     "op8_mixing": "mixing",
     "op9_toxicity": "toxicity",
     "op10_html_text": "html_text",
+    "op11_quality": "quality",
+    "op12_vector_codes": "vector_codes",
+    "op13_ranked_search": "ranked_search",
 }
 
 
@@ -26,4 +29,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracle.SUBSTRING_DEDUP, "op3_decontaminate": oracle.DECONTAMINATE, "op5_jaccard_join": oracle.JACCARD_JOIN}
+    return {
+        "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+        "op3_decontaminate": oracle.DECONTAMINATE,
+        "op5_jaccard_join": oracle.JACCARD_JOIN,
+        "op12_vector_codes": oracle.VECTOR_CODES,
+        "op13_ranked_search": oracle.RANKED_SEARCH,
+    }
