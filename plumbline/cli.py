@@ -5,15 +5,15 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import bounds, graph, impact, trace, variables
 from .sources import config, contracts, programs, sinks
-from .sources.facts import Program
+from .sources.store import settled
 
 
 def _rows(df: DataFrame) -> list:
@@ -35,39 +35,46 @@ def _flat(edges: DataFrame) -> DataFrame:
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     """Reads a project, by its configuration or whole below one folder, and writes the run's tables."""
-    context: dict = {}
+    before: list = []
     if a.config:
         c = config.read(a.config)
         if c.blocked:
             print(json.dumps({"status": "FAILED", "problems": [vars(x) for x in c.problems]}))
             return 1
-        roots = programs.read_sources(spark, *map(str, c.roots)) if c.roots else None
-        roots = roots.withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
-        roots = roots.where(~F.lower("path").rlike(rf"(^|/)({'|'.join(config.SEGMENTS)})(/|$)"))
-        sources = roots.where(F.col("path").isin([str(x) for x in c.programs]))
-        files = {r["path"]: r["text"] for r in roots.select("path", "text").toLocalIterator()}
-        files |= {os.path.relpath(k, os.path.dirname(os.path.abspath(a.config))): v for k, v in files.items()}
-        setup = Program(str(c.setup), files.get(str(c.setup), ""), files=files, os_base=c.os_base, role="SetupFile")
+        output, declared = str(c.output), [str(x) for x in c.programs]
+        roots = list(map(str, c.roots))
+        own = programs.snapshot(spark, roots, [str(c.setup), *declared])
+        texts = own.files
+        order = spark.createDataFrame(list(zip(declared, range(len(declared)), strict=True)), "path string, rank int")
+        main = texts.join(F.broadcast(order), "path")  # as many as are declared
+        setup = texts.where(F.col("path") == str(c.setup)).withColumn("rank", F.lit(-1))
         below = F.lit(False)
         for x in c.macro_roots:
             below = below | F.col("path").startswith(f"{x}/")
-        documents = {}
-        for x in c.contracts:
-            for path in sorted(x.rglob("*.md")):
-                documents.setdefault((d := contracts.parse(str(path), path.read_text(encoding="utf-8-sig")))["macro"], []).append(d)
-        context = {"setup": setup.lets, "files": files, "macros": programs.definitions(roots.where(below), programs.called_macros(roots)), "os_base": c.os_base, "contracts": {k: v[0] for k, v in documents.items() if len(v) == 1 and not v[0]["errors"]}}
-        output = str(c.output)
+        context = {"library": texts, "folders": own.folders, "macros": texts.where(below & F.lower("path").endswith(".sas")), "os_base": c.os_base, "roots": roots}
+        if c.contracts:
+            places = list(map(str, c.contracts))
+            # fixed value: macros with this beginning are the documented ones
+            called = programs.called_macros(texts.where(below).unionByName(main.drop("rank")).unionByName(setup.drop("rank"))).where("name LIKE 'gm%'")
+            context["contracts"] = contracts.read_contracts(contracts.wanted(programs.read_sources(spark, *places, glob="*.md"), places, called))
+        first = settled(programs.facts(setup, role="SetupFile", **context))
+        said = [{"type": x.type, "status": x.status, "severity": x.severity, "object": x.key, "message": x.message, "line_start": None, "affected_nodes": []} for x in c.problems]
+        before = [programs.told(spark, said), first]
+        context["setup"] = programs.carried(first)
+        shown = {"programs": declared, "setup": str(c.setup), "roots": roots, "macro_roots": list(map(str, c.macro_roots)), "contracts": list(map(str, c.contracts)), "os_base": c.os_base}
     elif a.sources and a.output:
-        sources, output = programs.read_sources(spark, a.sources), a.output
-        context["macros"] = programs.definitions(sources, programs.called_macros(sources))
-        context["files"] = {r["path"]: r["text"] for r in sources.select("path", "text").toLocalIterator()}
+        output, shown = a.output, {"folder": a.sources}
+        own = programs.snapshot(spark, [a.sources])
+        main = own.files.where(F.lower("path").endswith(".sas"))
+        context = {"library": own.files, "folders": own.folders, "macros": main}
     else:
         raise ValueError("run needs --config, or a folder and an output")
-    programs.check_unchanged(sources)
-    nodes, edges, findings = programs.graph(programs.facts(sources, **context))
-    name = sinks.run_id()
+    name = sinks.reserve(spark, output)
     try:
-        sinks.write_tables(output, name, nodes=nodes, edges=edges, findings=findings, manifest=sinks.manifest(sources, findings))
+        found = reduce(DataFrame.unionByName, before, programs.facts(main, **context))
+        nodes, edges, findings = programs.graph(found)
+        own.check()
+        sinks.write_tables(output, name, nodes=nodes, edges=edges, findings=findings, manifest=sinks.manifest(own.files, findings, shown))
     except Exception:
         sinks.remove_run(spark, output, name)  # of this run only
         raise

@@ -68,12 +68,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, F.col("id") == F.col("e"), "left").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("degree"))
 
 
-def run_status(findings: DataFrame) -> DataFrame:
-    """One row: COMPLETE, PARTIAL or FAILED."""
+def run_status(findings: DataFrame, *by: str) -> DataFrame:
+    """COMPLETE, PARTIAL or FAILED: one row, or one for each value of the columns by, such as program."""
     # Statuses that leave a run partial.
     partial = "REQUIRES_DECISION NOT_EXECUTED UNRESOLVED_MACRO_VARIABLE UNRESOLVED_MACRO_SOURCE MACRO_CONFLICT CONDITIONAL_BRANCH_UNRESOLVED UNQUALIFIED_VARIABLE".split()
     rank = F.max(F.when(F.col("status") == "BLOCKED", 2).when(F.col("status").isin(partial), 1).otherwise(0))
-    return findings.agg(F.element_at(F.array(*map(F.lit, ("COMPLETE", "PARTIAL", "FAILED"))), F.coalesce(rank, F.lit(0)) + 1).alias("status"))
+    return findings.groupBy(*by).agg(F.element_at(F.array(*map(F.lit, ("COMPLETE", "PARTIAL", "FAILED"))), F.coalesce(rank, F.lit(0)) + 1).alias("status"))
 
 
 def findings_of(findings: DataFrame) -> DataFrame:
@@ -85,15 +85,27 @@ def findings_of(findings: DataFrame) -> DataFrame:
 # ---- as-of and interval joins
 
 
-def as_of(uses: DataFrame, events: DataFrame, keys: list[str], use_order: str, event_order: str, values: list[str], fallback: str | None = None) -> DataFrame:
+def as_of(uses: DataFrame, events: DataFrame, keys: list[str], use_order: str, event_order: str, values: list[str], fallback: DataFrame | None = None) -> DataFrame:
     """uses with the values of the last event of the same keys strictly before.
 
-    Events and uses are merged in order and the last event is carried on: one sort by key, no pairs."""
-    side = [F.lit(None).cast(t).alias(f"_u_{n}") for n, t in uses.dtypes]
-    e = events.select(*keys, F.col(event_order).alias("_order"), F.lit(1).alias("_kind"), F.struct(*[F.col(v) for v in values]).alias("_event"), *side)
-    u = uses.select(*keys, F.col(use_order).alias("_order"), F.lit(0).alias("_kind"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event"), *[F.col(n).alias(f"_u_{n}") for n in uses.columns])
+    fallback: a second history with the columns of events, asked for keys that events does not know at all; a key with events,
+    be they all later, keeps to these.  Both histories and the uses are merged in order and the last event of each history is carried
+    on: one sort by key, no pairs."""
+    told = F.struct(*[F.col(v) for v in values])
+    histories = [events] if fallback is None else [events, fallback]
+    kind = events.select(told.alias("e")).schema["e"].dataType
+    none, own = F.lit(None).cast(kind), [F.col(n).alias(f"_u_{n}") for n in uses.columns]
+    names = [f"_event{k}" for k in range(len(histories))]
+    both = uses.select(*keys, F.col(use_order).alias("_order"), F.lit(0).alias("_kind"), *[none.alias(n) for n in names], *own)
+    for k, history in enumerate(histories):
+        side = [F.lit(None).cast(t).alias(f"_u_{n}") for n, t in uses.dtypes]
+        both = both.unionByName(history.select(*keys, F.col(event_order).alias("_order"), F.lit(k + 1).alias("_kind"), *[(told.cast(kind) if j == k else none).alias(n) for j, n in enumerate(names)], *side))
     before = Window.partitionBy(*keys).orderBy("_order", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = u.unionByName(e).withColumn("_last", F.last("_event", ignorenulls=True).over(before))
+    last = [F.last(n, ignorenulls=True).over(before) for n in names]
+    if fallback is not None:
+        known = F.max(F.col("_kind") == 1).over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        last = [F.when(known, last[0]).otherwise(last[1])]
+    both = both.withColumn("_last", last[0])
     return both.where("_kind = 0").select(*[F.col(f"_u_{n}").alias(n) for n in uses.columns], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
@@ -112,13 +124,18 @@ def innermost(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame
     return points.join(best, ["file", "line"], "left")
 
 
-def read_never_written(nodes: DataFrame, edges: DataFrame, work: tuple[str, ...] = ("work",)) -> DataFrame:
-    """(dataset, edge): datasets that are read and neither written nor imported, with their first read."""
+def read_never_written(nodes: DataFrame, edges: DataFrame, work: tuple[str, ...] = ("work",), libraries: DataFrame | None = None) -> DataFrame:
+    """(dataset, edge): datasets that are read and neither written nor imported, with their first read.
+
+    Those of the libraries in work are left out, and with libraries (name, value) those of any that stands for one of them."""
     reads = edges.where("type = 'reads_dataset'").groupBy(F.col("src").alias("dataset")).agg(F.min("id").alias("edge"))
     made = edges.where("type IN ('writes_dataset', 'reads_external_file')").select(F.col("dst").alias("m"))
     named = nodes.where("type = 'Dataset'").select(F.col("id").alias("n"))
-    library = F.regexp_extract("dataset", r"^dataset:([^.]*)\.", 1)
-    return reads.join(named, F.col("dataset") == F.col("n"), "left_semi").join(made, F.col("dataset") == F.col("m"), "left_anti").where(~library.isin(*work))
+    found = reads.join(named, F.col("dataset") == F.col("n"), "left_semi").join(made, F.col("dataset") == F.col("m"), "left_anti")
+    found = found.withColumn("library", F.regexp_extract("dataset", r"^dataset:([^.]*)\.", 1))
+    if libraries is not None:
+        found = found.join(libraries.select(F.col("name").alias("l"), "value"), F.col("library") == F.col("l"), "left").withColumn("library", F.coalesce("value", "library"))
+    return found.where(~F.col("library").isin(*work)).select("dataset", "edge")
 
 
 def rebinds(setup: DataFrame, program: DataFrame) -> DataFrame:

@@ -3,6 +3,11 @@
 For every mode and node the path of weakest evidence is kept: higher rank first, then the least path of
 edge ids.  States that improve go on to the next level, as in a queue, until none does.  Modes run
 together, as a column.
+
+Under a limit the result is that of a queue: its states in order, its nodes as they are first met, its stop at the first node
+beyond the limit, its continuation.  A node has two states there, whether it was met and its weakest path so far.  The queue
+goes level by level: one question to the edges a level, and the driver holds what is kept, 5000 nodes at most.  Of a node with very many
+edges only those are fetched that lie before the place where the limit must have been reached.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import settled, settled_with
 from . import bounds
+from . import index as indexed
 
 # The edge types of each mode (structural has all), and the order of boundary reasons.
 MODES = ("structural", "value_flow", "selection")
@@ -25,6 +31,7 @@ MODE_EDGES = {
 REASONS = ("unknown_node", "external_file", "depth", "limit", "sink", "cycle")
 COUNTED = ("Dataset", "UnknownDataset", "Variable", "UnknownVariable")
 SMALL = 20_000  # states of a frontier, with their paths, that are broadcast
+COMPACTED = 4  # levels after which the settled states become one table again
 UNKNOWN = ("UnknownDataset", "UnknownVariable", "UnknownMacro")
 
 
@@ -56,29 +63,26 @@ def _ordered(reasons: Column) -> Column:
     return F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(reasons, r))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...] = ("structural",), depth: int = bounds.DEPTH, limit: int | None = None) -> Impact:
-    """nodes: id, type; edges: id, type, src, dst, evidence_kind, resolution.
-
-    With a limit the first so many nodes are kept, by mode, then by level, then by the path that found them; paths
-    run through kept nodes alone, nodes with an edge to one left out stop there, and these are the continuation."""
+def impact(nodes: DataFrame, edges: DataFrame | None, seed: str, modes: tuple[str, ...] = ("structural",), depth: int = bounds.DEPTH, limit: int | None = None, index: indexed.GraphIndex | None = None) -> Impact:
+    """nodes: id, type; edges: id, type, src, dst, evidence_kind, resolution; with an index both are its own."""
     bounds.check(depth, limit)
-    if limit is not None:
-        return _limited(nodes, edges, seed, modes, depth, limit)
     if unknown := set(modes) - set(MODES):
         raise ValueError(f"unknown modes: {sorted(unknown)}")
     spark = nodes.sparkSession
+    index = index or indexed.build(nodes, edges)
+    nodes, modes = index.nodes, tuple(m for m in MODES if m in modes)
     if nodes.where(F.col("id") == seed).isEmpty():
         raise ValueError(f"node not found: {seed}")
-    active = edges.withColumn("mode", F.explode(_in_modes(modes))).select("mode", "id", "src", "dst", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"))
+    if limit is not None:
+        return _queue(index, seed, modes, depth, limit)
     kinds = nodes.select(F.col("id").alias("n_id"), "type")
     stop = F.col("type").isin(*UNKNOWN) | (F.col("type") == "ExternalFile")
     state = "mode string, node string, depth int, rank int, path_edges array<string>, path_nodes array<string>"
     front = spark.createDataFrame([(m, seed, 0, 0, [], [seed]) for m in modes], state)
-    # settled states, a table a level; a state's best is the first of its rows by this order
+    # settled states, a table a level and now and then one of all; a state's best is the first of its rows by this order
     better = Window.partitionBy("mode", "node").orderBy(F.desc("rank"), F.col("path_edges"), F.col("new"))
-    known, depth_hit, reasons, cycles, ahead_of = [front.withColumn("loop", F.lit(False)).withColumn("hop", F.lit(0))], False, [], [], len(modes)
-    # every edge once with what its far end is, dealt by the near end; levels then touch no node table
-    out_of = settled(active.withColumnRenamed("mode", "e_mode").join(kinds.select(F.col("n_id").alias("dst"), F.col("type").isin(*COUNTED).cast("int").alias("counted")), "dst"))
+    known, depth_hit, reasons, cycles, ahead_of = [front.withColumn("loop", F.lit(False))], False, [], [], len(modes)
+    out_of = index.out.where("far_type IS NOT NULL").select(F.explode(_in_modes(modes)).alias("e_mode"), "id", "src", "dst", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"), F.col("far_type").isin(*COUNTED).cast("int").alias("counted"))
     while True:
         own = settled(front.join(kinds, F.col("node") == F.col("n_id")).drop("n_id"))
         going = own.where(~stop)
@@ -112,14 +116,17 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
         cycles.append(step.where("loop").select("mode", F.col("node").alias("target"), "rank", "path_edges", "path_nodes"))
         # candidates against what is known of the same states alone
         first = step.withColumn("new", F.lit(1)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place")
-        held = reduce(DataFrame.unionByName, known).drop("hop").withColumn("new", F.lit(0)).join(first.select("mode", "node"), ["mode", "node"], "left_semi")
+        held = reduce(DataFrame.unionByName, known).withColumn("new", F.lit(0)).join(first.select("mode", "node"), ["mode", "node"], "left_semi")
         improved = held.unionByName(first).withColumn("place", F.row_number().over(better)).where("place = 1 AND new = 1").drop("place", "new")
-        improved, counts = settled_with(improved.withColumn("hop", F.lit(len(known))), {"open": ~F.col("loop"), "all": F.lit(True)})
+        improved, counts = settled_with(improved, {"open": ~F.col("loop"), "all": F.lit(True)})
         if counts["all"]:
             known.append(improved)
         if not counts["open"]:
             break
-        front, ahead_of = improved.where("NOT loop").drop("loop", "hop"), counts["open"]
+        if len(known) > COMPACTED:
+            whole = reduce(DataFrame.unionByName, known).withColumn("new", F.lit(0)).withColumn("place", F.row_number().over(better))
+            known = [settled(whole.where("place = 1").drop("place", "new"))]
+        front, ahead_of = improved.where("NOT loop").drop("loop"), counts["open"]
     best = settled(reduce(DataFrame.unionByName, known).withColumn("new", F.lit(0)).withColumn("place", F.row_number().over(better)).where("place = 1").drop("place", "new", "loop"))
     reasons = reduce(DataFrame.unionByName, reasons)
     reached = best.where(F.col("node") != seed)
@@ -149,25 +156,114 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...]
     return Impact(seed, out, paths, depth_hit, more, cycles=around, boundaries=boundaries)
 
 
-def _limited(nodes: DataFrame, edges: DataFrame, seed: str, modes: tuple[str, ...], depth: int, limit: int) -> Impact:
-    whole = impact(nodes, edges, seed, modes, depth)
-    turn = F.coalesce(*[F.when(F.col("mode") == m, i) for i, m in enumerate(m for m in MODES if m in modes)])
-    first = whole.paths.where(F.col("target") != seed).groupBy(F.col("target").alias("id")).agg(F.min(F.struct(turn.alias("turn"), F.size("path_edges").alias("hop"), "path_edges")).alias("at"))
-    first = settled(first)
-    kept = F.broadcast(first.orderBy("at", "id").limit(limit).select("id"))  # limit rows, 5000 at most
-    if first.count() <= limit:
-        return whole
-    inside = settled(nodes.join(F.broadcast(kept.union(nodes.sparkSession.createDataFrame([(seed,)], "id string"))), "id", "left_semi"))
-    names = F.broadcast(inside.select(F.col("id").alias("k")))
-    some = edges.join(names, F.col("src") == F.col("k"), "left_semi")
-    part = impact(inside, some.join(names, F.col("dst") == F.col("k"), "left_semi"), seed, modes, depth)
-    left = some.join(first.select(F.col("id").alias("f")), F.col("dst") == F.col("f"), "left_semi").join(names, F.col("dst") == F.col("k"), "left_anti")
-    stopped = left.select(F.col("src").alias("id")).distinct().withColumn("cut", F.lit(True))
-    # a node whose edges all lead to what was left out is no sink
-    own = F.filter(F.array_union("reasons", F.array(F.lit("limit"))), lambda r: r != "sink")
-    reasons = F.when(F.col("cut"), _ordered(own)).otherwise(F.col("reasons"))
-    marked = part.nodes.join(F.broadcast(stopped), "id", "left").withColumn("reasons", reasons).drop("cut")
-    by_mode = left.withColumn("mode", F.explode(_in_modes(modes))).select("mode", F.col("src").alias("id")).distinct().withColumn("cut", F.lit(True))
-    boundaries = part.boundaries.join(F.broadcast(by_mode), ["mode", "id"], "left").withColumn("reasons", reasons).drop("cut")
-    continuation = part.continuation.union(left.select(F.col("dst").alias("id"))).distinct()
-    return Impact(seed, marked, part.paths, part.depth_hit, continuation, True, part.cycles, boundaries)
+def _ahead(index: indexed.GraphIndex, modes: tuple[str, ...], level: dict[str, bool], reached: list[str], room: int) -> dict[str, list]:
+    """By node its edges in id order, as far as a queue with so much room can get; level: nodes, and whether all their states may take a counted step.
+
+    A node's edges that every mode has and every state may take each add their far end if it is new: behind the
+    (room + 1)-th of these the queue has stopped, however much room other nodes took before."""
+    spark = index.out.sparkSession
+    front = spark.createDataFrame(list(level.items()), "f_id string, open boolean")
+    own = F.size(_in_modes(modes))
+    near = indexed.at(index.out, "src", front, "f_id", len(level)).where(own > 0)
+    near = settled(near.select("src", "id", "type", "dst", "far_type", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"), "open", (own == len(modes)).alias("sure")))
+    known = F.broadcast(spark.createDataFrame([(x,) for x in reached], "k string"))
+    sure = near.where(F.col("sure") & (F.col("open") | ~F.coalesce(F.col("far_type").isin(*COUNTED), F.lit(True)))).join(known, F.col("dst") == F.col("k"), "left_anti")
+    first = sure.groupBy("src", "dst").agg(F.min("id").alias("cut"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("cut"))
+    cuts = first.withColumn("place", place).where(F.col("place") <= room + 1).where(F.col("place") == room + 1).select(F.col("src").alias("c_src"), "cut")
+    some = near.join(F.broadcast(cuts), F.col("src") == F.col("c_src"), "left").where(F.col("cut").isNull() | (F.col("id") <= F.col("cut")))
+    out: dict[str, list] = {}
+    for r in some.select("src", "id", "type", "dst", "far_type", "own").collect():
+        out.setdefault(r["src"], []).append(r)
+    return {k: sorted(v, key=lambda r: r["id"]) for k, v in out.items()}
+
+
+def _queue(index: indexed.GraphIndex, seed: str, modes: tuple[str, ...], depth: int, limit: int) -> Impact:
+    spark = index.out.sparkSession
+    types = {seed: index.nodes.where(F.col("id") == seed).first()["type"]}
+    best: dict[tuple[str, str], tuple] = {(m, seed): (0, (), (seed,)) for m in modes}  # rank, edges, nodes
+    queue = [(m, seed, 0, 0, (), (seed,)) for m in modes]
+    met: dict[str, None] = {}
+    reasons: dict[tuple[str, str], set] = {}
+    around: dict[tuple[str, str], dict] = {}
+    more: list[str] = []
+    depth_hit = limit_hit = False
+    better = lambda key, rank, path: key not in best or (-rank, path) < (-best[key][0], best[key][1])
+    current = lambda x: best[x[:2]][:2] == (x[3], x[4])
+
+    while queue and not limit_hit:
+        level: dict[str, bool] = {}
+        for x in queue:
+            if current(x) and types[x[1]] not in (*UNKNOWN, "ExternalFile"):
+                level[x[1]] = level.get(x[1], True) and x[2] < depth
+        edges = _ahead(index, modes, level, [seed, *met], limit - len(met)) if level else {}
+        queue, popped = [], queue
+        for mode, node, at, rank, path, through in popped:
+            if not current((mode, node, at, rank, path)):
+                continue  # a better state of the node stands further on
+            why = reasons.setdefault((mode, node), set())
+            if types[node] in UNKNOWN or types[node] == "ExternalFile":
+                why.add("external_file" if types[node] == "ExternalFile" else "unknown_node")
+                continue
+            active = [e for e in edges.get(node, ()) if e["type"] in MODE_EDGES.get(mode, (e["type"],))]
+            if not active:
+                why.add("sink")
+                continue
+            expanded = closed = False
+            for e in active:
+                to = e["dst"]
+                if e["far_type"] is None:
+                    raise ValueError(f"impact edge {e['id']} points to a missing node")
+                types[to] = e["far_type"]
+                new = (max(rank, e["own"]), (*path, e["id"]), (*through, to))
+                if to in through:
+                    closed = True
+                    around.setdefault((mode, to), {})[new[1]] = new
+                    if better((mode, to), *new[:2]):
+                        best[mode, to] = new
+                    continue
+                deeper = at + (e["far_type"] in COUNTED)
+                if deeper > depth:
+                    depth_hit = True
+                    why.add("depth")
+                    more.append(node)
+                    continue
+                if to not in met:
+                    if len(met) == limit:
+                        limit_hit = True
+                        why.add("limit")
+                        more.append(to)
+                        break
+                    met[to] = None
+                if better((mode, to), *new[:2]):
+                    best[mode, to] = new
+                    queue.append((mode, to, deeper, *new))
+                expanded = True
+            if closed and not expanded:
+                why.add("cycle")
+            if limit_hit:
+                break
+    told = lambda some: [r for r in REASONS if r in some]
+    rows, paths, cycles = [], [], []
+    for node in met:
+        own = {m: best[m, node] for m in modes if (m, node) in best}
+        rank = max(x[0] for x in own.values())
+        kind = "unresolved_boundary" if types[node] in UNKNOWN or rank == 2 else "possibly_impacted" if rank == 1 else "known_impacted"
+        rows.append((node, sorted(own), kind, rank, told(set().union(*(reasons.get((m, node), ()) for m in own)))))
+        paths += [(m, node, *map(list_of, x)) for m, x in own.items()]
+        cycles += [(m, node, *map(list_of, x)) for m in own for key, x in around.get((m, node), {}).items() if key != own[m][1]]
+    path = "mode string, target string, rank int, path_edges array<string>, path_nodes array<string>"
+    return Impact(
+        seed,
+        spark.createDataFrame(rows, "id string, modes array<string>, classification string, rank int, reasons array<string>"),
+        spark.createDataFrame(paths, path),
+        depth_hit,
+        spark.createDataFrame([(x,) for x in dict.fromkeys(more)], "id string"),
+        limit_hit,
+        spark.createDataFrame(cycles, path),
+        spark.createDataFrame([(m, n, told(why)) for (m, n), why in reasons.items()], "mode string, id string, reasons array<string>"),
+    )
+
+
+def list_of(x):
+    return list(x) if isinstance(x, tuple) else x

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..sources.store import settled, settled_with
 from . import bounds
+from . import index as indexed
 
 EDGE_TYPES = ("reads_dataset", "writes_dataset")
-SMALL = 100_000  # rows of a frontier that is broadcast, some 10 MB
 START_TYPES = ("Dataset", "Step", "SqlStatement")
 
 
@@ -43,13 +43,10 @@ class Trace:
         return self.nodes.select("id").union(self.nodes.sparkSession.createDataFrame([(self.start,)], "id string")).distinct().count()
 
 
-def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth: int, limit: int | None):
-    spark = nodes.sparkSession
-    here, there = ("dst", "src") if direction == "upstream" else ("src", "dst")
-    # every edge once with what its far end is, dealt by the near end; levels then touch no node table
-    kinds = nodes.select(F.col("id").alias("n_id"), (F.col("type") == "Dataset").cast("int").alias("step"))
-    ahead = edges.where(F.col("type").isin(*EDGE_TYPES)).select("id", "type", "src", "dst", F.col(there).alias("next"))
-    ahead = settled(ahead.join(kinds, F.col("next") == F.col("n_id"), "left").drop("n_id"))
+def _walk(index: indexed.GraphIndex, start: str, direction: str, depth: int, limit: int | None):
+    spark = index.nodes.sparkSession
+    edges, here, there = index.side(direction == "upstream")
+    ahead = edges.where(F.col("type").isin(*EDGE_TYPES)).select("id", "type", "src", "dst", F.col(there).alias("next"), (F.col("far_type") == "Dataset").cast("int").alias("step"))
     frontier = spark.createDataFrame([(start, 0, 0)], "f_id string, f_rank int, f_depth int")
     visited = frontier.select("f_id")
     reached, walked, more = [], [], []
@@ -57,9 +54,8 @@ def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth:
     while True:
         hop += 1
         at = Window.partitionBy("next")
-        small = ahead_of <= SMALL  # a counted frontier goes to the edges, a larger one meets them by key
         level = (
-            ahead.join(F.broadcast(frontier) if small else frontier, ahead[here] == F.col("f_id"))
+            indexed.at(ahead, here, frontier, "f_id", ahead_of)
             .join(visited.select(F.col("f_id").alias("v_id")), F.col("next") == F.col("v_id"), "left")
             .withColumn("fits", F.col("f_depth") + F.col("step") <= depth)
             .withColumn("order", F.struct("f_rank", "id"))
@@ -111,8 +107,9 @@ def _walk(nodes: DataFrame, edges: DataFrame, start: str, direction: str, depth:
     return reached, walked, more, limit_hit, depth_hit
 
 
-def trace_lineage(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "both", depth: int = bounds.DEPTH, limit: int | None = bounds.LIMIT) -> Trace:
-    """nodes: id, type, ...; edges: id, type, src, dst.  For both directions an edge's cycle flag wins."""
+def trace_lineage(nodes: DataFrame, edges: DataFrame | None, start: str, direction: str = "both", depth: int = bounds.DEPTH, limit: int | None = bounds.LIMIT, index: indexed.GraphIndex | None = None) -> Trace:
+    """nodes: id, type, ...; edges: id, type, src, dst; with an index both are its own.  For both directions an edge's
+    cycle flag wins."""
     if direction not in ("upstream", "downstream", "both"):
         raise ValueError("direction must be upstream, downstream, or both")
     bounds.check(depth, limit)
@@ -122,9 +119,10 @@ def trace_lineage(nodes: DataFrame, edges: DataFrame, start: str, direction: str
         raise ValueError(f"node not found: {start}")
     if kind["type"] not in START_TYPES:
         raise ValueError("lineage start must be Dataset, Step, or SqlStatement")
+    index = index or indexed.build(nodes, edges)
     reached, walked, more, limit_hit, depth_hit = [], [], [], False, False
     for way in ("upstream", "downstream") if direction == "both" else (direction,):
-        r, w, m, lh, dh = _walk(nodes, edges, start, way, depth, limit)
+        r, w, m, lh, dh = _walk(index, start, way, depth, limit)
         reached, walked, more = reached + r, walked + w, more + m
         limit_hit, depth_hit = limit_hit or lh, depth_hit or dh
     both = reduce(DataFrame.unionByName, walked).groupBy("id", "type", "src", "dst").agg(F.max("cycle").alias("cycle"))

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import settled
+from ..sources.store import settled, settled_with
 from . import bounds
+from . import index as indexed
 
 
 FACT = "edge string, `on` string, value string, cycle boolean"
@@ -32,41 +33,54 @@ class VariableImpact:
     limit_hit: bool = False
 
 
-def walk_variable_impact(edges: DataFrame, start: str, depth: int = bounds.DEPTH, limit: int | None = None) -> VariableImpact:
-    """edges: id, type, src, dst, value."""
+def walk_variable_impact(edges: DataFrame | None, start: str, depth: int = bounds.DEPTH, limit: int | None = None, nodes: DataFrame | None = None, index: indexed.GraphIndex | None = None) -> VariableImpact:
+    """edges: id, type, src, dst, value; with an index they are its own, and so are the nodes.  Where nodes are known, the start must be one
+    of type Variable."""
     bounds.check(depth, limit)
+    edges, nodes = (index.out, index.nodes) if index else (edges, nodes)
+    if nodes is not None:
+        kind = nodes.where(F.col("id") == start).select("type").first()
+        # fixed values: the words of these errors
+        if kind is None:
+            raise ValueError(f"node not found: {start}")
+        if kind["type"] != "Variable":
+            raise ValueError("variable impact must start from a Variable")
     if limit is not None:
         return _limited(edges, start, depth, limit)
     spark = edges.sparkSession
     reads, writes = (edges.where(F.col("type") == t).select("id", "src", "dst", "value") for t in ("reads_variable", "writes_variable"))
     frontier = spark.createDataFrame([(start,)], "v string")
     variables, operations, facts, more = [frontier.select(F.col("v").alias("id"), F.lit(0).alias("depth"))], [], [], []
-    seen_v, seen_o, level, depth_hit = frontier, spark.createDataFrame([], "o string"), 0, False
-    while True:
-        met = settled(reads.join(frontier, F.col("src") == F.col("v")).select("id", F.col("dst").alias("o"), "value"))
-        if met.isEmpty():
+    seen_v, seen_o, level, depth_hit, ahead_of = frontier, spark.createDataFrame([], "o string"), 0, False, 1
+    while level <= depth:
+        # the reads of the frontier; an operation's first one expands it
+        met = indexed.at(reads, "src", frontier, "v", ahead_of).select("id", F.col("dst").alias("o"), "value")
+        met = met.join(seen_o.withColumn("old", F.lit(True)), "o", "left").withColumn("first", F.min("id").over(Window.partitionBy("o")))
+        met = met.withColumn("new", F.col("old").isNull() & (F.col("id") == F.col("first"))).drop("old", "first")
+        met, counts = settled_with(met, {"all": F.lit(True), "new": F.col("new")})
+        if not counts["all"]:
             break
         facts.append(met.select(F.col("id").alias("edge"), F.col("o").alias("on"), "value", F.lit(False).alias("cycle")))
-        new = settled(met.select("o").distinct().join(seen_o, "o", "left_anti"))
+        new = met.where("new").select("o")
         operations.append(new.select("o", F.lit(level).alias("depth")))
-        seen_o = settled(seen_o.union(new))
-        out = writes.join(new, F.col("src") == F.col("o")).select("id", "o", F.col("dst").alias("v"), "value")
+        seen_o = seen_o.union(new)
+        out = indexed.at(writes, "src", new, "o", counts["new"]).select("id", "o", F.col("dst").alias("v"), "value")
         known = seen_v.select(F.col("v").alias("k"))
         out = out.join(known, F.col("v") == F.col("k"), "left").withColumn("first", F.min("id").over(Window.partitionBy("v")))
-        out = settled(out.withColumn("cycle", F.col("k").isNotNull() | ((F.col("id") > F.col("first")) & F.lit(level < depth))))
+        out = out.withColumn("cycle", F.col("k").isNotNull() | ((F.col("id") > F.col("first")) & F.lit(level < depth)))
+        out, counts = settled_with(out, {"ahead": ~F.col("cycle")})
         if level == depth:
-            deep = out.where("NOT cycle")
-            if not deep.isEmpty():
+            if counts["ahead"]:
                 depth_hit = True
-                more.append(deep.select(F.col("o").alias("id")).distinct())
+                more.append(out.where("NOT cycle").select(F.col("o").alias("id")).distinct())
             out = out.where("cycle")
         facts.append(out.select(F.col("id").alias("edge"), F.col("o").alias("on"), "value", "cycle"))
         level += 1
-        frontier = out.where("NOT cycle").select("v")
+        frontier, ahead_of = out.where("NOT cycle").select("v"), counts["ahead"]
         variables.append(frontier.select(F.col("v").alias("id"), F.lit(level).alias("depth")))
-        seen_v = settled(seen_v.union(frontier))
-        if level > depth:
-            break
+        seen_v = seen_v.union(frontier)
+        if level % 8 == 0:
+            seen_v, seen_o = settled(seen_v), settled(seen_o)
     all_facts = reduce(DataFrame.unionByName, facts, spark.createDataFrame([], FACT))
     own = reduce(DataFrame.unionByName, operations, spark.createDataFrame([], "o string, depth int"))
     done = _with_reads(own, all_facts, reads)

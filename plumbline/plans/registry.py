@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import steps, text
-from ..operators import graph, hops, impact, trace, variables
+from ..operators import graph, hops, impact, index, trace, variables
 from ..sources import star_graph
 from ..sources.store import settled, table
 from . import oracle
@@ -144,11 +144,33 @@ def _(spark, d):
     return _traced(spark, d, PART, "downstream").edges.select("id", "src", "dst", "cycle")
 
 
-@query("trace_limited")
+_FIRST = "first AS (SELECT *, row_number() OVER (ORDER BY hop, path) - 1 AS place FROM (SELECT node, hop, path, row_number() OVER (PARTITION BY node ORDER BY hop, path) AS k FROM walk) WHERE k = 1)"
+
+
+@query(
+    "trace_limited",
+    f"WITH RECURSIVE {oracle.E}, walk(node, hop, path) AS (SELECT '{REGION}', 0, CAST([] AS VARCHAR[]) UNION ALL SELECT e.src, hop + 1, list_append(path, e.id) FROM walk JOIN edges e ON e.dst = walk.node WHERE hop < 6), {_FIRST} "
+    "SELECT node AS id, 'upstream' AS direction, hop, hop // 2 AS depth FROM first WHERE place BETWEEN 1 AND 200",
+)
 def _(spark, d):
+    """The first 200 nodes of a queue: by level, then by the path of least edge ids."""
     return _traced(spark, d, REGION, "upstream", 5, 200).nodes
 
 
+_UP = "up(node, hop) AS (SELECT '{0}', 0 UNION SELECT e.src, hop + 1 FROM up JOIN edges e ON e.dst = up.node), down(node, hop) AS (SELECT '{1}', 0 UNION SELECT e.dst, hop + 1 FROM down JOIN edges e ON e.src = down.node)".format(REGION, PART)
+
+
+@query(
+    "trace_over_index",
+    f"WITH RECURSIVE {oracle.E}, {_UP} SELECT node AS id, 'upstream' AS direction, min(hop) AS hop FROM up GROUP BY node HAVING min(hop) > 0 UNION ALL SELECT node, 'downstream', min(hop) FROM down GROUP BY node HAVING min(hop) > 0",
+)
+def _(spark, d):
+    """Two walks over one index; neither writes edges."""
+    stored = index.build(*lineage(spark, d))
+    down, up = (trace.trace_lineage(stored.nodes, None, start, way, 20, None, stored).nodes for start, way in ((PART, "downstream"), (REGION, "upstream")))
+    return down.unionByName(up).select("id", "direction", "hop")
+
+
 # ---- variables
 
 
@@ -203,6 +225,18 @@ def _(spark, d):
     return found.nodes.select("id", "rank", "classification")
 
 
+@query(
+    "impact_limited",
+    f"WITH RECURSIVE {oracle.E}, walk(node, hop, path) AS (SELECT '{PART}', 0, CAST([] AS VARCHAR[]) UNION ALL SELECT e.dst, hop + 1, list_append(path, e.id) FROM walk JOIN edges e ON e.src = walk.node WHERE hop < 20), {_FIRST} "
+    "SELECT node AS id, place <= 70 AS kept FROM first WHERE place BETWEEN 1 AND 71",
+)
+def _(spark, d):
+    """The nodes that a queue keeps under a limit of 70, and the one at which it stops."""
+    nodes, edges = lineage(spark, d)
+    found = impact.impact(settled(nodes), settled(with_evidence(edges)), PART, ("structural",), 20, 70)
+    return found.nodes.select("id", F.lit(True).alias("kept")).unionByName(found.continuation.select("id", F.lit(False).alias("kept")))
+
+
 @query(
     "impact_classification",
     f"SELECT classification, count(*) AS n FROM ({_RANKED}) GROUP BY classification",
@@ -348,11 +382,33 @@ def _(spark, d):
     return graph.as_of(e.select("event_id", "user_id", "ts"), e.where("event_type = 'signup'").select("user_id", "ts", F.col("value").alias("bound")), ["user_id"], "ts", "ts", ["bound"]).select("event_id", "bound")
 
 
-@query("asof_sort_prefix", "SELECT event_id, props IS NOT NULL AND list_slice(str_split(event_type, 'i'), 1, 1) = list_slice(str_split(event_type, 'i'), 1, 1) AS is_prefix FROM events")
+@query(
+    "asof_sort_prefix",
+    "WITH s AS (SELECT user_id, ts, event_type, event_id % 3 = 0 AS two FROM events WHERE event_type <> 'click') "
+    "SELECT e.event_id, coalesce(s.event_type = e.event_type AND (e.event_id % 2 = 0 OR NOT s.two), false) AS is_prefix FROM events e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.ts > s.ts",
+)
+def _(spark, d):
+    """Is what an event asks to be sorted by (its type, and for odd ones `none` behind it) a beginning of what the user's last sort was by?"""
+    e = table(spark, d, "events")
+    second = F.when(F.col("event_id") % 3 == 0, F.array("event_type")).otherwise(F.array(F.lit("none")))
+    sorts = e.where("event_type <> 'click'").select("user_id", "ts", F.concat(F.array("event_type"), second).alias("sorted_by"))
+    asked = F.when(F.col("event_id") % 2 == 0, F.array("event_type")).otherwise(F.array(F.col("event_type"), F.lit("none")))
+    used = graph.as_of(e.select("event_id", "event_type", "user_id", "ts"), sorts, ["user_id"], "ts", "ts", ["sorted_by"])
+    return used.select("event_id", F.coalesce(graph.is_prefix(asked, F.col("sorted_by")), F.lit(False)).alias("is_prefix"))
+
+
+@query(
+    "asof_fallback",
+    "WITH a AS (SELECT user_id, ts, value FROM events WHERE event_type = 'signup' AND user_id % 2 = 0), b AS (SELECT user_id, ts, -value AS value FROM events WHERE event_type <> 'signup'), "
+    "x AS (SELECT e.event_id, e.user_id, a.value AS av FROM events e ASOF LEFT JOIN a ON e.user_id = a.user_id AND e.ts > a.ts), y AS (SELECT e.event_id, b.value AS bv FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts) "
+    "SELECT x.event_id, CASE WHEN user_id IN (SELECT user_id FROM a) THEN av ELSE bv END AS bound FROM x JOIN y ON x.event_id = y.event_id",
+)
 def _(spark, d):
+    """Users of an even number who signed up keep to their sign-ups; all others have the other events for it."""
     e = table(spark, d, "events")
-    parts = F.split("event_type", "i")
-    return e.select("event_id", (F.col("props").isNotNull() & graph.is_prefix(F.slice(parts, 1, 1), parts)).alias("is_prefix"))
+    first = e.where("event_type = 'signup' AND user_id % 2 = 0").select("user_id", "ts", F.col("value").alias("bound"))
+    second = e.where("event_type <> 'signup'").select("user_id", "ts", (-F.col("value")).alias("bound"))
+    return graph.as_of(e.select("event_id", "user_id", "ts"), first, ["user_id"], "ts", "ts", ["bound"], second).select("event_id", "bound")
 
 
 @query(

@@ -148,3 +148,117 @@ def _(spark, d):
     text = ("=proc sort data=raw.a", "s_suppkey", "= out=s", "s_suppkey", "= nodupkey; by k v; run; data m; merge s", "s_suppkey", "= other; by v; array q x1-x3; w = a ** ", "s_suppkey", "=; run; data z", "s_suppkey", "=; set m;")
     found = programs.facts(_programs(spark, d, "supplier", *text)).where("kind = 'finding'")
     return found.select(F.from_json("body", "type string, object string, status string").alias("b")).select("b.*")
+
+
+def _told(found, *types: str):
+    """(type, object, status) of findings."""
+    rows = found.where("kind = 'finding'").select(F.from_json("body", "type string, object string, status string").alias("b")).select("b.*")
+    return rows.where(F.col("type").isin(*types)) if types else rows
+
+
+@query(
+    "facts_includes",
+    """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+f AS (SELECT unnest([
+  {'type': 'reads_dataset', 'a': 'dataset:raw.n' || n, 'b': 'step'}, {'type': 'writes_dataset', 'a': 'step', 'b': 'dataset:work.deep'},
+  {'type': 'reads_dataset', 'a': 'dataset:work.q' || n, 'b': 'step'}, {'type': 'writes_dataset', 'a': 'step', 'b': 'dataset:work.z' || k},
+  {'type': 'reads_dataset', 'a': 'dataset:work.q' || n, 'b': 'macrocall'}, {'type': 'writes_dataset', 'a': 'macrocall', 'b': 'dataset:work.z' || k},
+  {'type': 'implemented_by', 'a': 'macrocall', 'b': 'macrodefinition:one'},
+  {'type': 'reads_dataset', 'a': 'dataset:raw.m' || n, 'b': 'step'}, {'type': 'writes_dataset', 'a': 'step', 'b': 'dataset:work.last'},
+  {'type': 'include_cycle_detected', 'a': '/p/sub/deep.sas', 'b': 'NOT_EXECUTED'}, {'type': 'include_file_missing', 'a': '/p/inc' || n || '.sas', 'b': 'NOT_EXECUTED'},
+  {'type': 'include_outside_allowed_roots', 'a': '/p/' || k || '.sas', 'b': 'NOT_EXECUTED'}, {'type': 'include_prohibited_artifact', 'a': '/p/' || k || '.sas', 'b': 'NOT_EXECUTED'},
+  {'type': 'include_file_unreadable', 'a': '/p/' || k || '.sas', 'b': 'NOT_EXECUTED'}, {'type': 'include_path_unresolved', 'a': '/p/' || k || '.sas', 'b': 'UNRESOLVED_MACRO_VARIABLE'}]) AS e FROM t)
+SELECT e.type AS type, e.a AS a, e.b AS b FROM f""",
+)
+def _(spark, d):
+    """Programs that include a file of their nation, which defines a macro behind bindings and includes a further one, which names itself again."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("n_nationkey").cast("string")
+    lit = lambda *some: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in some])
+    own = table(spark, d, "supplier").withColumn("n_nationkey", F.col("s_nationkey"))
+    main = own.select(
+        lit("/p/", k, ".sas").alias("path"),
+        lit("%include 'inc", n, ".sas'; %one(k=z", k, "); %include '/other/x.sas'; %include 'logs/x.sas'; %include 'sub'; %include '&b'; data last; set &b; run;").alias("text"),
+    )
+    between = table(spark, d, "nation").select(
+        lit("/p/inc", n, ".sas").alias("path"),
+        lit("%let b = raw.n", n, "; %let c = 1; %let e = 1; %macro one(k=); data &k; set q", n, "; run; %mend; %include 'sub/deep.sas'; %include 'gone.sas'; %let b = raw.m", n, ";").alias("text"),
+    )
+    deep = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("/p/sub/deep.sas").alias("path"), F.lit("data deep; set &b; run; %include '../sub/deep.sas';").alias("text"))
+    folder = deep.select(F.lit("/p/sub").alias("path"))
+    found = programs.facts(main, library=between.unionByName(deep), folders=folder, roots=["/p"])
+    edges = _edges(found, "reads_dataset", "writes_dataset", "implemented_by").select("type", F.col("src").alias("a"), F.col("dst").alias("b"))
+    return edges.unionByName(_told(found).select("type", F.col("object").alias("a"), F.col("status").alias("b")))
+
+
+@query(
+    "facts_conditions",
+    """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), f AS (SELECT k, unnest(['a', 'b', 'e', 'f', 'i'] || CASE WHEN n = 3 THEN ['c'] ELSE ['c', 'd'] END || CASE WHEN n IN (1, 2, 3) THEN ['g'] ELSE ['h'] END || CASE WHEN n = 4 THEN ['l'] ELSE ['j'] END) AS x FROM t)
+SELECT 'dataset:work.' || x || k AS dataset FROM f""",
+)
+def _(spark, d):
+    """Which branches stay: those of a condition that is decided, or both."""
+    pair = lambda condition, yes, no: (f"= %if {condition} %then %do; data {yes}", "s_suppkey", f"=; run; %end; %else %do; data {no}", "s_suppkey", "=; run; %end;")
+    text = ("=%let n = ", "s_nationkey", "=; %let x = sequel;", *pair("&n>=1", "a", "b"), *pair("&n = 3 or &zz = 1", "c", "d"), *pair("&x", "e", "f"), *pair("&n in (1 2 3)", "g", "h"), *pair("%symexist(n)", "i", "k"), *pair("&n ne 4", "j", "l"))
+    return _edges(programs.facts(_programs(spark, d, "supplier", *text)), "writes_dataset").select(F.col("dst").alias("dataset"))
+
+
+@query(
+    "facts_sql_limits",
+    """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+f AS (SELECT unnest([
+  {'type': 'reads_variable', 'a': 'variable:raw.a.a', 'b': 'sqlstatement', 'c': NULL, 'v': NULL}, {'type': 'writes_variable', 'a': 'sqlstatement', 'b': 'variable:work.t' || k || '.a' || k, 'c': NULL, 'v': NULL},
+  {'type': 'reads_variable', 'a': 'variable:raw.a.x', 'b': 'sqlstatement', 'c': '>', 'v': CAST(n AS VARCHAR)}, {'type': 'reads_variable', 'a': 'variable:raw.a.y', 'b': 'sqlstatement', 'c': NULL, 'v': NULL},
+  {'type': 'writes_variable', 'a': 'sqlstatement', 'b': 'variable:work.t' || k || '.c', 'c': NULL, 'v': NULL},
+  {'type': 'joins_on', 'a': 'variable:raw.b.id', 'b': 'sqlstatement', 'c': '=', 'v': NULL},
+  {'type': 'reads_variable', 'a': 'unknownvariable:w@3', 'b': 'sqlstatement', 'c': NULL, 'v': NULL}, {'type': 'writes_variable', 'a': 'sqlstatement', 'b': 'variable:work.log.v', 'c': NULL, 'v': NULL},
+  {'type': 'proc_sql_unsupported_syntax', 'a': 'case when p.x = 1 then 1 when p.x = 2 then 2 end as bad', 'b': 'NOT_EXECUTED', 'c': NULL, 'v': NULL},
+  {'type': 'proc_sql_unsupported_syntax', 'a': '''my col''n', 'b': 'NOT_EXECUTED', 'c': NULL, 'v': NULL}, {'type': 'proc_sql_select_star_unsupported', 'a': 'p.*', 'b': 'NOT_EXECUTED', 'c': NULL, 'v': NULL},
+  {'type': 'proc_sql_unsupported_syntax', 'a': '(1, 2, 3)', 'b': 'NOT_EXECUTED', 'c': NULL, 'v': NULL}, {'type': 'unqualified_variable_reference', 'a': 'w', 'b': 'UNQUALIFIED_VARIABLE', 'c': NULL, 'v': NULL},
+  {'type': 'unresolved_macro_variable_in_sql_dataset', 'a': '&zz', 'b': 'UNRESOLVED_MACRO_VARIABLE', 'c': NULL, 'v': NULL}, {'type': 'sql_block_not_explicitly_closed', 'a': 'proc sql', 'b': 'NOT_EXECUTED', 'c': NULL, 'v': NULL}]) AS e FROM t)
+SELECT e.type AS type, e.a AS a, e.b AS b, e.c AS operator, e.v AS value FROM f""",
+)
+def _(spark, d):
+    """What SQL is analysed and what is left open, with a finding."""
+    text = (
+        "=proc sql; create table t", "s_suppkey", "= as select p.a as a", "s_suppkey", "=, case when p.x > ", "s_nationkey", "= then p.y else 'q' end as c, case when p.x = 1 then 1 when p.x = 2 then 2 end as bad, 'my col'n, p.* from raw.a as p left join raw.b as q on id = q.id; insert into log (u, v) values (1, 2, 3); insert into log set v = w + ",
+        "s_suppkey", "=; create table &zz as select m from raw.a;",
+    )
+    found = programs.facts(_programs(spark, d, "supplier", *text))
+    edges = _edges(found, "reads_variable", "writes_variable", "joins_on").select("type", F.col("src").alias("a"), F.col("dst").alias("b"), "operator", "value")
+    none = F.lit(None).cast("string")
+    return edges.unionByName(_told(found).select("type", F.col("object").alias("a"), F.col("status").alias("b"), none.alias("operator"), none.alias("value")))
+
+
+@query(
+    "facts_setup",
+    """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS n, (SELECT min(n_name) FROM nation) AS first FROM supplier),
+f AS (SELECT unnest([{'type': 'reads_dataset', 'a': 'dataset:' || CASE WHEN n % 2 = 0 THEN lower(first) ELSE 'own' || n END || '.d', 'b': 'step'}, {'type': 'reads_dataset', 'a': 'dataset:work.sorted', 'b': 'step'}, {'type': 'reads_dataset', 'a': 'dataset:work.other', 'b': 'step'},
+  {'type': 'merge_by_not_prefix_of_sort_by', 'a': 'dataset:work.sorted', 'b': 'REQUIRES_DECISION'}] || CASE WHEN n % 2 = 0 THEN [] ELSE [{'type': 'main_program_rebinds_setup_macro_variable', 'a': 'lib', 'b': 'SUPPORTED'}] END) AS e FROM t)
+SELECT e.type AS type, e.a AS a, e.b AS b FROM f UNION ALL SELECT 'reads_dataset', 'dataset:raw.n', 'step'""",
+)
+def _(spark, d):
+    """A setup whose bindings and sorts every program starts from, with its own facts."""
+    name = table(spark, d, "nation").agg(F.min("n_name").alias("n"))
+    setup = name.select(F.lit("setup.sas").alias("path"), F.concat(F.lit("%let lib = "), F.lower("n"), F.lit("; proc sort data=raw.n out=sorted; by id v; run;")).alias("text"))
+    own = programs.facts(setup, role="SetupFile")
+    rebind = F.when(F.col("s_nationkey") % 2 == 1, F.concat(F.lit("%let lib = own"), F.col("s_nationkey").cast("string"), F.lit("; "))).otherwise("")
+    text = F.concat(rebind, F.lit("data c; set &lib..d; run; data m; merge sorted other; by v; run;"))
+    main = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), text.alias("text"))
+    found = own.unionByName(programs.facts(main, programs.carried(own)))
+    return _edges(found, "reads_dataset").select("type", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(_told(found).select("type", F.col("object").alias("a"), F.col("status").alias("b")))
+
+
+@query(
+    "run_read_never_written",
+    "SELECT 'raw.n' || n_nationkey AS object, 'SUPPORTED' AS status, CAST(count(*) AS BIGINT) AS programs FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 3 > 0 GROUP BY n_nationkey",
+)
+def _(spark, d):
+    """Findings of a run over all programs: sources that none of them writes, with how many read each; `t` stands for WORK in the end."""
+    key = F.col("s_nationkey").cast("string")
+    writes = F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit(" data raw.n"), key, F.lit("; run;"))).otherwise("")
+    text = F.concat(F.lit("libname t '/x'; libname t work; data o; set raw.n"), key, F.lit(" t.x gone; run;"), writes)
+    main = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), text.alias("text"))
+    _, edges, findings = programs.graph(programs.facts(main))
+    told = findings.where("type = 'dataset_read_never_written'").select("object", "status")
+    reads = edges.where("type = 'reads_dataset'").groupBy(F.substring_index("src", ":", -1).alias("object")).agg(F.count("*").alias("programs"))
+    return told.join(reads, "object").select("object", "status", "programs")

@@ -58,6 +58,16 @@ def read_contracts(documents: DataFrame) -> DataFrame:
     return found.join(twice, F.col("macro") == F.col("m")).withColumn("errors", F.concat("errors", doubled)).drop("m", "n")
 
 
+def wanted(documents: DataFrame, roots: list[str], called: DataFrame) -> DataFrame:
+    """The documents that a run needs.  Where any macro of the documented kind is called, these are the files directly in a
+    root that have a called name, whatever its case; where none is, all files below the roots."""
+    if called.isEmpty():
+        return documents
+    flat = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).isin(*roots)
+    stem = F.lower(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
+    return documents.where(flat).join(called.select(F.lower("name").alias("called")), stem == F.col("called"), "left_semi")
+
+
 def match_parameters(calls: DataFrame, contracts: DataFrame) -> DataFrame:
     """(call, name, state): matched, missing (required and not passed) or unknown to the document.
     calls: call, macro, name."""

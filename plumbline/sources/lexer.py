@@ -11,14 +11,17 @@ _STEP = re.compile(r"/\*|'|\"|;|[^/'\";]+|/", re.S)
 
 @dataclass
 class Piece:
-    """A statement or comment with its lines; `order` counts pieces of a file from 0."""
+    """A statement or comment with its lines; `order` counts pieces of a file, or of a program and what it includes,
+    from 0."""
 
-    kind: str  # statement, comment
+    kind: str  # statement, comment; finding behind splicing, with its type as text
     text: str
     line_start: int
     line_end: int
     order: int = 0
     terminated: bool = True
+    file: str = ""
+    note: str = ""
 
 
 @dataclass

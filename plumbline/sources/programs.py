@@ -8,13 +8,19 @@ findings are numbered by one ordering over (program, place) at the end.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .facts import Program, macro_sites
+from ..operators import graph as relations
+from .config import SEGMENTS, SUFFIXES
+from .facts import Carried, Program, macro_sites
+from .includes import targets
 from .lexer import lex
 from .macros import in_file
 from .store import settled
@@ -24,7 +30,11 @@ PROHIBITED = (".sas7bdat", ".sas7bcat", ".xpt", ".xls", ".xlsx", ".csv", ".rtf",
 
 
 class SourceChanged(RuntimeError):
-    """One path with two contents in a run."""
+    """A file with two contents in a run."""
+
+
+def _plain(path: str):
+    return F.regexp_replace(path, "^file:(//)?", "")
 
 
 def read_sources(spark: SparkSession, *paths: str, glob: str = "*.sas") -> DataFrame:
@@ -32,7 +42,7 @@ def read_sources(spark: SparkSession, *paths: str, glob: str = "*.sas") -> DataF
     if any(p.lower().endswith(PROHIBITED) for p in paths):
         raise ValueError("data files are not read")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(list(paths))
-    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes")).dropDuplicates(["path", "sha256"])
+    return files.select(_plain("path").alias("path"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes")).dropDuplicates(["path", "sha256"])
 
 
 def check_unchanged(sources: DataFrame) -> None:
@@ -40,6 +50,59 @@ def check_unchanged(sources: DataFrame) -> None:
         raise SourceChanged(changed[0]["path"])
 
 
+def _readable(paths: DataFrame) -> DataFrame:
+    """Those whose ending and folders are not prohibited."""
+    ending = "|".join(re.escape(x) for x in dict.fromkeys(PROHIBITED + SUFFIXES))
+    return paths.where(~F.lower("path").rlike(rf"(^|/)({'|'.join(SEGMENTS)})(/|$)") & ~F.lower("path").rlike(rf"({ending})$"))
+
+
+@dataclass
+class Snapshot:
+    """The texts of a run, read once: every stage has them from here.  files: path, text, sha256, n_bytes; folders: path."""
+
+    files: DataFrame
+    folders: DataFrame
+
+    def check(self) -> None:
+        """Reads the same files again; raises SourceChanged where one is gone or has other bytes."""
+        check_unchanged(self.files)
+        spark = self.files.sparkSession
+        paths = [r["path"] for r in self.files.select("path").toLocalIterator()]
+        try:
+            now = read_sources(spark, *paths, glob="*").select("path", F.col("sha256").alias("now"))
+            other = self.files.join(now, "path", "left").where("now IS NULL OR now <> sha256").limit(1).collect()
+        except Exception as error:  # the reader's own error for a file that is gone
+            if "PATH_NOT_FOUND" in str(error) or "FileNotFound" in str(error) or "FILE_NOT_EXIST" in str(error):
+                raise SourceChanged(str(error).splitlines()[0]) from error
+            raise
+        if other:
+            raise SourceChanged(other[0]["path"])
+
+
+def snapshot(spark: SparkSession, roots: list[str], named: list[str] = (), glob: str = "*.sas") -> Snapshot:
+    """The files that match below the roots, those named, and all that these include, in any number of steps.
+
+    Names alone are listed for the rest of the roots; of these only what is included is ever opened."""
+    listed = _readable(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select(_plain("path").alias("path")))
+    listed = settled(listed)
+    files = settled(_readable(read_sources(spark, *roots, glob=glob)))
+    fresh = files
+    missing = [x for x in named if files.where(F.col("path") == x).isEmpty()]
+    if missing:
+        fresh = settled(read_sources(spark, *missing, glob="*"))
+        files = files.unionByName(fresh)
+        fresh = files
+    while True:
+        asked = include_links(fresh).select(F.col("target").alias("path")).distinct()
+        wanted = [r["path"] for r in asked.join(listed, "path", "left_semi").join(files.select("path"), "path", "left_anti").toLocalIterator()]  # names of included files
+        if not wanted:
+            break
+        fresh = settled(read_sources(spark, *wanted, glob="*"))
+        files = files.unionByName(fresh)
+    parents = F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")
+    return Snapshot(settled(files), settled(listed.select(F.explode(parents).alias("path")).distinct()))
+
+
 def statements(sources: DataFrame) -> DataFrame:
     """(path, order, kind, text, line_start, line_end, terminated) of every statement and comment."""
 
@@ -51,21 +114,6 @@ def statements(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(cut, "path string, `order` int, kind string, text string, line_start int, line_end int, terminated boolean")
 
 
-def definitions(sources: DataFrame, called: DataFrame | None = None) -> dict[str, list]:
-    """Of each macro its definitions, with bodies: what a project declares, for every parser to have.
-
-    called: (name) of the macros that its programs call, to leave others out."""
-    some = macro_index(sources)
-    if called is not None:
-        some = some.join(called, "name", "left_semi")
-    texts = sources.join(some.select("path").distinct(), "path", "left_semi").select("path", "text").toLocalIterator()
-    out: dict[str, list] = {}
-    for path, text in sorted(map(tuple, texts)):
-        for d in in_file(path, text or ""):
-            out.setdefault(d.name, []).append(d)
-    return out
-
-
 def called_macros(sources: DataFrame) -> DataFrame:
     """(name) of everything that any source calls like a macro."""
     return sources.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"%(\w+)"), F.lit(1))).alias("name")).distinct()
@@ -81,23 +129,117 @@ def macro_index(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(find, "name string, path string")
 
 
-def facts(programs: DataFrame, setup: dict[str, str] | None = None, macros: dict[str, list] | None = None, files: dict[str, str] | None = None, contracts: dict[str, dict] | None = None, os_base: str | None = None) -> DataFrame:
-    """(program, place, kind, body): a row a fact.  The rest are a project's declared context, which one machine
-    reads and hands to every parser."""
-    shared = programs.sparkSession.sparkContext.broadcast((setup, macros, files, contracts, os_base))
+def include_links(sources: DataFrame) -> DataFrame:
+    """(path, target): which file names which other in an include whose path is known."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(path, x) for path, text in zip(batch["path"], batch["text"], strict=True) for x in targets(path, text or "")], columns=["path", "target"])
+
+    # a text without the word needs no lexer
+    return sources.select("path", "text").where(F.lower("text").contains("%include")).mapInPandas(find, "path string, target string")
+
+
+def included(programs: DataFrame, library: DataFrame) -> DataFrame:
+    """(program, path): all that each program includes, over any number of files between, found or not.
+
+    A level joins what the last one found with the links; files met before are left, so cycles end."""
+    links = settled(include_links(library.select("path", "text").unionByName(programs.select("path", "text")).distinct()))
+    seen = front = settled(links.join(programs.select("path"), "path", "left_semi").select(F.col("path").alias("program"), F.col("target").alias("path")).distinct())
+    while not front.isEmpty():
+        ahead = front.join(links, "path").select("program", F.col("target").alias("path")).distinct()
+        front = settled(ahead.join(seen, ["program", "path"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def _context(programs: DataFrame, library: DataFrame | None, folders: DataFrame | None, macros: DataFrame | None, contracts: DataFrame | None) -> DataFrame:
+    """(program, rank, role, path, text): a program and whatever its parser needs beside it, a row a file."""
+    own = programs.select(F.col("path").alias("program"), "rank", F.lit("main").alias("role"), "path", "text")
+    parts = [own]
+    ranks = programs.select(F.col("path").alias("program"), "rank")
+    if library is not None:
+        pairs = settled(included(programs, library))
+        parts.append(pairs.join(library.select("path", "text"), "path").withColumn("role", F.lit("include")))
+        if folders is not None:
+            parts.append(pairs.join(folders, "path", "left_semi").select("program", "path", F.lit(None).cast("string").alias("text"), F.lit("include").alias("role")))
+        parts[1:] = [x.join(ranks, "program").select(*own.columns) for x in parts[1:]]
+    if macros is not None or contracts is not None:
+        texts = reduce(DataFrame.unionByName, parts)
+        called = settled(texts.select("program", "rank", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"%(\w+)"), F.lit(1))).alias("name")).distinct())
+        if macros is not None:
+            sites = called.join(macro_index(macros), "name").select("program", "rank", "path").distinct()
+            parts.append(sites.join(macros.select("path", "text"), "path").withColumn("role", F.lit("macro")).select(*own.columns))
+        if contracts is not None:
+            usable = contracts.where(F.size("errors") == 0).select(F.col("macro").alias("name"), "path", F.to_json(F.struct("macro", "parameters")).alias("text"))
+            parts.append(called.join(usable, "name").withColumn("role", F.lit("contract")).select(*own.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+FACT = "program string, rank int, place int, kind string, body string"
+
+
+def facts(
+    programs: DataFrame,
+    setup: Carried | dict[str, str] | None = None,
+    macros: DataFrame | None = None,
+    library: DataFrame | None = None,
+    contracts: DataFrame | None = None,
+    os_base: str | None = None,
+    folders: DataFrame | None = None,
+    roots: list[str] | None = None,
+    role: str = "Program",
+) -> DataFrame:
+    """(program, rank, place, kind, body): a row a fact of programs (path, text, and rank where they have an order).
+
+    library: texts that may be included; macros: files that define macros; contracts: as read_contracts gives them; folders: paths that are
+    no files.  Each program meets what it includes and calls by joins, and is parsed in one task with these alone.
+    kind is node, edge, finding, library (a libref and what it stands for), or state, what a setup carries on."""
+    rank = F.col("rank") if "rank" in programs.columns else F.lit(0)
+    programs = programs.select("path", "text", rank.cast("int").alias("rank"))
+    shared = programs.sparkSession.sparkContext.broadcast((setup, os_base, roots))  # one setup's bindings
+
+    def rows(path: str, rank: int, text: str, **context) -> list[tuple]:
+        setup, os_base, roots = shared.value
+        made = Program(path, text, setup, os_base=os_base, roots=roots, role=role, **context)
+        some = {"node": made.facts.nodes.values(), "edge": made.facts.edges, "finding": made.facts.findings, "library": [{"name": k, "value": v} for k, v in made.libraries.items()]}
+        some["state"] = [vars(made.carried())] if role == "SetupFile" else []
+        return [(path, rank, k, kind, json.dumps(x)) for kind, own in some.items() for k, x in enumerate(own)]
+
+    columns = ["program", "rank", "place", "kind", "body"]
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                f = Program(path, text or "", *shared.value).facts
-                for kind, some in (("node", f.nodes.values()), ("edge", f.edges), ("finding", f.findings)):
-                    rows += [(path, k, kind, json.dumps(x)) for k, x in enumerate(some)]
-            yield pd.DataFrame(rows, columns=["program", "place", "kind", "body"])
+            yield pd.DataFrame([x for path, text, rank in batch.itertuples(index=False) for x in rows(path, rank, text or "")], columns=columns)
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        main = group[group["role"] == "main"].iloc[0]
+        of = lambda role: [(p, None if pd.isna(t) else t) for p, t in sorted(group[group["role"] == role][["path", "text"]].itertuples(index=False), key=lambda r: r[0])]
+        sites: dict[str, list] = {}
+        for path, text in of("macro"):
+            for d in in_file(path, text or ""):
+                sites.setdefault(d.name, []).append(d)
+        documents = [json.loads(text) for _, text in of("contract")]
+        found = rows(main["program"], int(main["rank"]), main["text"] or "", files=dict(of("include")), macros=sites, contracts={d["macro"]: d for d in documents})
+        return pd.DataFrame(found, columns=columns)
+
+    if library is None and macros is None and contracts is None:
+        return programs.mapInPandas(alone, FACT)
+    return _context(programs, library, folders, macros, contracts).groupBy("program", "rank").applyInPandas(whole, FACT)
+
+
+def carried(found: DataFrame) -> Carried:
+    """What the setup among the facts carries on; a row."""
+    state = found.where("kind = 'state'").first()
+    return Carried(**json.loads(state["body"])) if state else Carried()
+
 
-    return programs.select("path", "text").mapInPandas(parse, "program string, place int, kind string, body string")
+def told(spark: SparkSession, findings: list[dict], rank: int = -2) -> DataFrame:
+    """Findings that stand before all programs, such as a configuration's, as facts."""
+    return spark.createDataFrame([("", rank, k, "finding", json.dumps(x)) for k, x in enumerate(findings)], FACT)
 
 
+LATE = 1 << 30  # the rank of what is told when all programs are known
 _NODE = "id string, type string, label string, pattern string, by_vars array<string>, where_condition string, value string, sort_option string, cardinality_effect string, sql_subtype string, keep_vars array<string>, drop_vars array<string>, rename_map map<string,string>, branch_text array<string>, row_allocation_inferred boolean, status string, branches array<string>, candidate_text string, template_derived boolean"
 _EDGE = "type string, src string, dst string, evidence_kind string, resolution string, line_start int, line_end int, value string, operator string, expression string, condition_text string, predicate_text string, join_kind string, direction string, output_kind string, materialized boolean, dbms string, sheet string, getnames string, dataset_name string, template_derived boolean, derivation_refs array<string>"
 _FINDING = "type string, status string, severity string, object string, message string, line_start int, affected_nodes array<string>"
@@ -106,22 +248,23 @@ _FINDING = "type string, status string, severity string, object string, message
 def graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and findings of a run, with counted ids; nodes of one id are one, the first stays.
 
-    Counting runs over the run's facts in order, program by program: every number is its program's offset
-    plus its place, so no task orders the facts of all programs."""
+    Counting runs over the run's facts in order, by rank, then program by program: every number is its program's offset
+    plus its place, so no task orders the facts of all programs.  Datasets that are read and never written get a
+    finding each, behind all others; a library that is last an alias of WORK counts as WORK."""
 
     found = settled(found)
 
     def kind(name: str, ddl: str) -> DataFrame:
-        return found.where(F.col("kind") == name).select("program", "place", F.from_json("body", ddl).alias("b")).select("program", "place", "b.*")
+        return found.where(F.col("kind") == name).select("program", "rank", "place", F.from_json("body", ddl).alias("b")).select("program", "rank", "place", "b.*")
 
     def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
-        before = Window.partitionBy(*by).orderBy("program").rowsBetween(Window.unboundedPreceding, -1)
-        offset = df.groupBy("program", *by).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        own = F.row_number().over(Window.partitionBy("program", *by).orderBy("place"))
-        return df.join(offset, ["program", *by]).withColumn(name, F.col("before") + own).drop("before")
+        before = Window.partitionBy(*by).orderBy("rank", "program").rowsBetween(Window.unboundedPreceding, -1)
+        offset = df.groupBy("program", "rank", *by).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        own = F.row_number().over(Window.partitionBy("program", "rank", *by).orderBy("place"))
+        return df.join(offset, ["program", "rank", *by]).withColumn(name, F.col("before") + own).drop("before")
 
     nodes = kind("node", _NODE)
-    local = nodes.where("id LIKE '~%'").select("program", "place", "id", F.split("id", "~")[1].alias("prefix"))
+    local = nodes.where("id LIKE '~%'").select("program", "rank", "place", "id", F.split("id", "~")[1].alias("prefix"))
     counted = numbered(local, "nth", "prefix")
     counted = counted.withColumn("new_id", F.concat("prefix", F.lit(":"), F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))))
     names = settled(counted.select(F.col("program").alias("n_program"), F.col("id").alias("old"), "new_id"))
@@ -129,16 +272,26 @@ def graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def renamed(df: DataFrame, column: str) -> DataFrame:
         return df.join(names, (F.col("program") == F.col("n_program")) & (F.col(column) == F.col("old")), "left").withColumn(column, F.coalesce("new_id", column)).drop("n_program", "old", "new_id")
 
-    first = Window.partitionBy("id").orderBy("program", "place")
-    nodes = renamed(nodes, "id").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "place")
+    # the first of equal ids, found where they are before they meet
+    named = renamed(nodes, "id")
+    rest = [c for c in named.columns if c not in ("id", "rank", "place")]
+    nodes = named.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("rank", "program", "place")).alias("n")).select("id", *[f"n.{c}" for c in rest])
+    nodes = settled(nodes.select("program", "id", *[c for c in rest if c != "program"]))
     # of an edge's derivation the call has a counted id, the definition's stands as it is
     made = kind("edge", _EDGE).withColumn("call", F.try_element_at("derivation_refs", F.lit(1))).withColumn("definition", F.try_element_at("derivation_refs", F.lit(2)))
     made = renamed(renamed(renamed(made, "src"), "dst"), "call").withColumn("derivation_refs", F.when(F.col("call").isNotNull(), F.array("call", "definition"))).drop("call", "definition")
-    edges = numbered(made, "nth")
-    edges = edges.select(F.concat(F.lit("edge:"), F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))).alias("id"), *[c for c in edges.columns if c not in ("nth", "place")])
-    findings = numbered(kind("finding", _FINDING), "nth")
+    edges = settled(numbered(made, "nth"))
+    last = kind("library", "name string, value string").groupBy("name").agg(F.max_by("value", F.struct("rank", "program", "place")).alias("value"))
+    unwritten = relations.read_never_written(nodes, edges.withColumn("id", F.struct("nth", "program", "line_start")), libraries=last)
+    edges = edges.select(F.concat(F.lit("edge:"), F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))).alias("id"), *[c for c in edges.columns if c not in ("nth", "rank", "place")])
+    label = F.substring_index("dataset", ":", -1)
+    late = unwritten.select(
+        F.col("edge.program").alias("program"), F.lit(LATE).alias("rank"), F.col("edge.nth").cast("int").alias("place"), F.lit("dataset_read_never_written").alias("type"), F.lit("SUPPORTED").alias("status"),
+        F.lit("INFORMATION").alias("severity"), label.alias("object"), F.concat(label, F.lit(" is read but no program writes it")).alias("message"), F.col("edge.line_start").alias("line_start"), F.array("dataset").alias("affected_nodes"),
+    )
+    findings = numbered(kind("finding", _FINDING).unionByName(late), "nth")
     number = F.lpad("nth", F.greatest(F.lit(3), F.length(F.col("nth").cast("string"))), F.lit("0"))
     findings = findings.withColumn("node", F.explode_outer("affected_nodes"))
     findings = renamed(findings, "node").groupBy("program", "nth", "type", "status", "severity", "object", "message", "line_start").agg(F.collect_list("node").alias("affected_nodes"))
     findings = findings.select(F.concat(F.lit("finding:"), number, F.lit(":"), "type").alias("id"), *[c for c in findings.columns if c not in ("nth", "place", "node", "affected_nodes")], "affected_nodes", F.array().cast("array<string>").alias("affected_edges"))
-    return settled(nodes), settled(edges), settled(findings)
+    return nodes, settled(edges), settled(findings)

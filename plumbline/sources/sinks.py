@@ -22,26 +22,71 @@ def run_id() -> str:
     return f"{datetime.now(UTC):%Y%m%dT%H%M%S}Z-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _unfinished(path: str, run: str) -> str:
+    return f"{path}/_unfinished-{run}"  # readers leave names with an underscore out
+
+
+def reserve(spark: SparkSession, path: str, tries: int = 5) -> str:
+    """A run's name that is this caller's alone: a marker is created for it where none was, in one step of the
+    file system; a name that is taken is left for another."""
+    for _ in range(tries):
+        name = run_id()
+        fs, marker = _folder(spark, f"{_unfinished(path, name)}/_reserved")
+        if fs.exists(_folder(spark, f"{path}/{name}")[1]):
+            continue
+        try:
+            fs.create(marker, False).close()
+            return name
+        except Exception as error:  # a Java exception; only one that tells of the marker is a name taken
+            if "FileAlreadyExists" not in str(error):
+                raise
+    raise RuntimeError(f"no free name for a run below {path} in {tries} tries")
+
+
 def write_tables(path: str, run: str, **tables: DataFrame) -> None:
-    """Each table below path, a folder for the run; a run is never written twice."""
+    """The tables of a run that was reserved, below a name that no reader takes for a run, then renamed in one step: a run is
+    there whole or not at all, and never written twice."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run)).write.mode("errorifexists").parquet(f"{path}/{run}/{name}")
+        df.withColumn("run_id", F.lit(run)).write.mode("errorifexists").parquet(f"{_unfinished(path, run)}/{name}")
+    fs, held = _folder(spark, _unfinished(path, run))
+    final = _folder(spark, f"{path}/{run}")[1]
+    if fs.exists(final) or not fs.rename(held, final):
+        raise RuntimeError(f"the run {run} is there already")
+    fs.delete(_folder(spark, f"{path}/{run}/_reserved")[1], False)
 
 
 def remove_run(spark: SparkSession, path: str, run: str) -> None:
-    """The folder of one run that could not be written whole."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{run}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """What one run left that could not be written whole."""
+    for place in (_unfinished(path, run), f"{path}/{run}"):
+        fs, where = _folder(spark, place)
+        fs.delete(where, True)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id) of the finished runs below a folder."""
+    fs, where = _folder(spark, path)
+    names = [s.getPath().getName() for s in (fs.listStatus(where) if fs.exists(where) else []) if s.isDirectory()]
+    return spark.createDataFrame([(n,) for n in names if not n.startswith(("_", "."))], "run_id string")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max("run_id").alias("run_id"))
 
 
-def manifest(sources: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: the sources by path with hashes and sizes, and the number of findings."""
-    files = sources.agg(F.sort_array(F.collect_list(F.struct("path", "sha256", "n_bytes"))).alias("sources"))
-    return files.withColumn("one", F.lit(1)).join(findings.agg(F.count("*").alias("findings")).withColumn("one", F.lit(1)), "one").drop("one")
+def manifest(sources: DataFrame, findings: DataFrame, configuration: dict | None = None) -> DataFrame:
+    """A row a source (path, sha256, n_bytes), then one with the configuration, as JSON, and the number of findings."""
+    files = sources.select("path", "sha256", "n_bytes", F.lit(None).cast("string").alias("configuration"), F.lit(None).cast("long").alias("findings"))
+    none = F.lit(None)
+    body = F.lit(json.dumps(configuration or {}, sort_keys=True))
+    whole = findings.agg(F.count("*").alias("findings")).select(none.cast("string").alias("path"), none.cast("string").alias("sha256"), none.cast("long").alias("n_bytes"), body.alias("configuration"), "findings")
+    return files.unionByName(whole)
 
 
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
