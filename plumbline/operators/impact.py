@@ -7,7 +7,8 @@ together, as a column.
 Under a limit the result is that of a queue: its states in order, its nodes as they are first met, its stop at the first node
 beyond the limit, its continuation.  A node has two states there, whether it was met and its weakest path so far.  The queue
 goes level by level: one question to the edges a level, and the driver holds what is kept, 5000 nodes at most.  Of a node with very many
-edges only those are fetched that lie before the place where the limit must have been reached.
+edges only those are fetched that lie before the place where the limit must have been reached.  Without a limit a walk that stays small goes
+the same way, and one that grows as joins of tables.
 """
 
 from __future__ import annotations
@@ -69,12 +70,13 @@ def impact(nodes: DataFrame, edges: DataFrame | None, seed: str, modes: tuple[st
     if unknown := set(modes) - set(MODES):
         raise ValueError(f"unknown modes: {sorted(unknown)}")
     spark = nodes.sparkSession
-    index = index or indexed.build(nodes, edges)
+    index = index or indexed.once(nodes, edges, "downstream")
     nodes, modes = index.nodes, tuple(m for m in MODES if m in modes)
     if nodes.where(F.col("id") == seed).isEmpty():
         raise ValueError(f"node not found: {seed}")
-    if limit is not None:
-        return _queue(index, seed, modes, depth, limit)
+    small = _queue(index, seed, modes, depth, limit)
+    if small is not None:
+        return small
     kinds = nodes.select(F.col("id").alias("n_id"), "type")
     stop = F.col("type").isin(*UNKNOWN) | (F.col("type") == "ExternalFile")
     state = "mode string, node string, depth int, rank int, path_edges array<string>, path_nodes array<string>"
@@ -156,29 +158,40 @@ def impact(nodes: DataFrame, edges: DataFrame | None, seed: str, modes: tuple[st
     return Impact(seed, out, paths, depth_hit, more, cycles=around, boundaries=boundaries)
 
 
-def _ahead(index: indexed.GraphIndex, modes: tuple[str, ...], level: dict[str, bool], reached: list[str], room: int) -> dict[str, list]:
-    """By node its edges in id order, as far as a queue with so much room can get; level: nodes, and whether all their states may take a counted step.
+def _ahead(index: indexed.GraphIndex, modes: tuple[str, ...], level: dict[str, bool], reached: list[str], room: int | None) -> dict[str, list] | None:
+    """By node its edges in id order, as far as a queue with so much room can get, None where that is without bound; level: nodes, and whether all
+    their states may take a counted step.
 
     A node's edges that every mode has and every state may take each add their far end if it is new: behind the
     (room + 1)-th of these the queue has stopped, however much room other nodes took before."""
-    spark = index.out.sparkSession
-    front = spark.createDataFrame(list(level.items()), "f_id string, open boolean")
     own = F.size(_in_modes(modes))
-    near = indexed.at(index.out, "src", front, "f_id", len(level)).where(own > 0)
-    near = settled(near.select("src", "id", "type", "dst", "far_type", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"), "open", (own == len(modes)).alias("sure")))
+    edges = index.out.where(own > 0).select("src", "id", "type", "dst", "far_type", certainty(F.col("evidence_kind"), F.col("resolution")).alias("own"), (own == len(modes)).alias("sure"))
+    rows = indexed.held(edges, "src", list(level))
+    if rows is None and room is not None:
+        rows = _before_the_limit(edges, level, reached, room)
+    if rows is None:
+        return None
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["src"], []).append(r)
+    return {k: sorted(v, key=lambda r: r["id"]) for k, v in out.items()}
+
+
+def _before_the_limit(edges: DataFrame, level: dict[str, bool], reached: list[str], room: int) -> list:
+    spark = edges.sparkSession
+    front = spark.createDataFrame(list(level.items()), "f_id string, open boolean")
+    near = settled(indexed.at(edges, "src", front, "f_id", len(level)))
     known = F.broadcast(spark.createDataFrame([(x,) for x in reached], "k string"))
     sure = near.where(F.col("sure") & (F.col("open") | ~F.coalesce(F.col("far_type").isin(*COUNTED), F.lit(True)))).join(known, F.col("dst") == F.col("k"), "left_anti")
     first = sure.groupBy("src", "dst").agg(F.min("id").alias("cut"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("cut"))
     cuts = first.withColumn("place", place).where(F.col("place") <= room + 1).where(F.col("place") == room + 1).select(F.col("src").alias("c_src"), "cut")
     some = near.join(F.broadcast(cuts), F.col("src") == F.col("c_src"), "left").where(F.col("cut").isNull() | (F.col("id") <= F.col("cut")))
-    out: dict[str, list] = {}
-    for r in some.select("src", "id", "type", "dst", "far_type", "own").collect():
-        out.setdefault(r["src"], []).append(r)
-    return {k: sorted(v, key=lambda r: r["id"]) for k, v in out.items()}
+    return some.select("src", "id", "type", "dst", "far_type", "own").collect()
 
 
-def _queue(index: indexed.GraphIndex, seed: str, modes: tuple[str, ...], depth: int, limit: int) -> Impact:
+def _queue(index: indexed.GraphIndex, seed: str, modes: tuple[str, ...], depth: int, limit: int | None) -> Impact | None:
+    """None where there is no limit and the walk grows beyond what is held."""
     spark = index.out.sparkSession
     types = {seed: index.nodes.where(F.col("id") == seed).first()["type"]}
     best: dict[tuple[str, str], tuple] = {(m, seed): (0, (), (seed,)) for m in modes}  # rank, edges, nodes
@@ -196,7 +209,9 @@ def _queue(index: indexed.GraphIndex, seed: str, modes: tuple[str, ...], depth:
         for x in queue:
             if current(x) and types[x[1]] not in (*UNKNOWN, "ExternalFile"):
                 level[x[1]] = level.get(x[1], True) and x[2] < depth
-        edges = _ahead(index, modes, level, [seed, *met], limit - len(met)) if level else {}
+        edges = _ahead(index, modes, level, [seed, *met], None if limit is None else limit - len(met)) if level else {}
+        if edges is None or (limit is None and len(best) > indexed.HELD):
+            return None
         queue, popped = [], queue
         for mode, node, at, rank, path, through in popped:
             if not current((mode, node, at, rank, path)):
@@ -229,7 +244,7 @@ def _queue(index: indexed.GraphIndex, seed: str, modes: tuple[str, ...], depth:
                     more.append(node)
                     continue
                 if to not in met:
-                    if len(met) == limit:
+                    if limit is not None and len(met) == limit:
                         limit_hit = True
                         why.add("limit")
                         more.append(to)

@@ -1,57 +1,70 @@
 """A graph's adjacency, stored once for many queries.
 
 Every edge stands in two tables with the type of its far end: `out`, dealt into ranges of its source and sorted by it, and `into`,
-the same by its destination.  A level of a walk asks for the edges at its frontier: few ids go to the scan as a filter, whose row groups' least
-and greatest ids leave most of a table unread; more are broadcast; beyond a counted size the two meet by key.  No query over an
-index writes edges again.
+the same by its destination.  A level of a walk asks for the edges at its frontier: few ids go to the scan as a filter, whose row groups'
+least and greatest ids leave most of a sorted table unread; more are broadcast; beyond a counted size the two meet by key.  No query over
+an index writes edges again.
+
+A walk whose levels stay small asks once a level and settles it where it is asked: up to ``HELD`` edges a level and as many nodes in all.
+One that grows beyond starts again as joins of tables, with the same result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.store import settled
 
-FEW = 200  # ids that a scan filters by
+FEW = 1_000  # ids that a scan filters by
 SMALL = 100_000  # ids that are broadcast, some 10 MB
+HELD = 20_000  # edges of a level, and nodes of a walk, that are settled without a table
 CARRIED = {"evidence_kind": "string", "resolution": "string", "value": "string"}
 
 
 @dataclass
 class GraphIndex:
     nodes: DataFrame
-    out: DataFrame  # id, type, src, dst, far_type (of dst; null where there is no such node), and CARRIED
-    into: DataFrame  # the same with far_type of src
+    out: DataFrame | None  # id, type, src, dst, far_type (of dst; null where there is no such node), and CARRIED
+    into: DataFrame | None  # the same with far_type of src
 
     def side(self, upstream: bool) -> tuple[DataFrame, str, str]:
         """(edges, near end, far end)"""
         return (self.into, "dst", "src") if upstream else (self.out, "src", "dst")
 
 
+def _typed(nodes: DataFrame, edges: DataFrame, other: str) -> DataFrame:
+    more = [(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in CARRIED.items()]
+    far = nodes.select(F.col("id").alias("n_id"), F.col("type").alias("far_type"))
+    return edges.select("id", "type", "src", "dst", *more).join(far, F.col(other) == F.col("n_id"), "left").drop("n_id")
+
+
 def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> GraphIndex:
     """nodes: id, type; edges: id, type, src, dst and any of CARRIED.  Of repeated node ids the least type counts.
 
     parts: ranges of a table, by default the session's shuffle partitions."""
-    spark = edges.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = settled(nodes.groupBy("id").agg(F.min("type").alias("type")))
-    more = [(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in CARRIED.items()]
-    plain = edges.select("id", "type", "src", "dst", *more)
-    far = kinds.select(F.col("id").alias("n_id"), F.col("type").alias("far_type"))
+    sides = [settled(_typed(kinds, edges, other).repartitionByRange(parts, near, "id").sortWithinPartitions(near, "id")) for near, other in (("src", "dst"), ("dst", "src"))]
+    return GraphIndex(kinds, *sides)
+
+
+def once(nodes: DataFrame, edges: DataFrame, *ways: str) -> GraphIndex:
+    """An index for one query: the sides of the given ways alone, upstream or downstream, stored but not sorted."""
+    nodes = nodes.groupBy("id").agg(F.min("type").alias("type"))
+    return GraphIndex(nodes, *[settled(_typed(nodes, edges, other)) if way in ways else None for way, other in (("downstream", "dst"), ("upstream", "src"))])
 
-    def side(near: str, other: str) -> DataFrame:
-        typed = plain.join(far, F.col(other) == F.col("n_id"), "left").drop("n_id")
-        return settled(typed.repartitionByRange(parts, near, "id").sortWithinPartitions(near, "id"))
 
-    return GraphIndex(kinds, side("src", "dst"), side("dst", "src"))
+def held(edges: DataFrame, near: str, names: list[str]) -> list[Row] | None:
+    """The edges at the named nodes, or None where they are more than are held."""
+    if len(names) > FEW:
+        return None
+    rows = edges.where(F.col(near).isin(*names)).limit(HELD + 1).collect()
+    return rows if len(rows) <= HELD else None
 
 
 def at(edges: DataFrame, near: str, frontier: DataFrame, key: str, count: int) -> DataFrame:
     """The edges whose near end is a key of the frontier, with the frontier's columns; count: its rows."""
-    if count <= FEW:
-        names = [r[0] for r in frontier.select(key).distinct().collect()]
-        return edges.where(F.col(near).isin(*names)).join(F.broadcast(frontier), F.col(near) == F.col(key))
     return edges.join(F.broadcast(frontier) if count <= SMALL else frontier, F.col(near) == F.col(key))

@@ -1,7 +1,7 @@
 """Bounded lineage over reads_dataset and writes_dataset edges, level by level.
 
-A level joins the frontier with the edges and the neighbours' types, and keeps what was visited in a
-table, so nothing but counters and, under a limit, at most that many rows reach the driver.  Only nodes of
+A small walk is settled level by level from the edges at its frontier.  One that grows joins the frontier with the edges and their far ends' types, and
+keeps what was visited in a table, so nothing but counters and, under a limit, at most that many rows reach the driver.  Only nodes of
 type Dataset use up depth; an edge to a node already visited is kept and flagged as cycle; a neighbour beyond
 the depth is left and its reader goes to the continuation.
 
@@ -43,10 +43,63 @@ class Trace:
         return self.nodes.select("id").union(self.nodes.sparkSession.createDataFrame([(self.start,)], "id string")).distinct().count()
 
 
+def _small(ahead: DataFrame, here: str, start: str, direction: str, depth: int, limit: int | None):
+    """The walk where every level is held at once, or None where it grows; rows instead of tables."""
+    visited, frontier = {start}, {start: (0, 0)}  # rank, depth
+    reached, walked, more, found, hop, limit_hit, depth_hit = [], [], [], 0, 0, False, False
+    while frontier and not limit_hit:
+        hop += 1
+        rows = indexed.held(ahead, here, list(frontier))
+        if rows is None or len(visited) > indexed.HELD:
+            return None
+        rows = sorted(((frontier[r[here]][0], r["id"], r) for r in rows), key=lambda x: x[:2])
+        fits = lambda r: frontier[r[here]][1] + r["step"] <= depth
+        first: dict[str, tuple] = {}
+        for rank, id_, r in rows:
+            if r["next"] not in visited:
+                if r["step"] is None:
+                    raise ValueError("lineage edge points to a missing node")
+                if fits(r):
+                    first.setdefault(r["next"], (rank, id_))
+        new = sorted(first, key=first.get)
+        cut = None
+        if limit is not None and len(new) > limit - found:
+            cut, limit_hit = first[new[limit - found]], True
+            more += [new[limit - found], *(n for n, (rank, _) in frontier.items() if rank > cut[0])]
+            new = new[: limit - found]
+            rows = [x for x in rows if x[:2] < cut]
+        found += len(new)
+        deep = {r[here] for rank, id_, r in rows if r["next"] not in visited and (r["next"] not in first or (rank, id_) < first[r["next"]])}
+        depth_hit, more = depth_hit or bool(deep), more + sorted(deep)
+        for rank, id_, r in rows:
+            own = first.get(r["next"])
+            if r["next"] in visited or (own and (rank, id_) >= own):
+                walked.append((id_, r["type"], r["src"], r["dst"], r["next"] in visited or (rank, id_) > own))
+        ahead_of = {n: (k if limit is not None else 0, 0) for k, n in enumerate(new)}
+        for _, id_, r in rows:
+            if r["next"] in ahead_of and first[r["next"]][1] == id_:
+                ahead_of[r["next"]] = (ahead_of[r["next"]][0], frontier[r[here]][1] + r["step"])
+        reached += [(n, direction, hop, at) for n, (_, at) in ahead_of.items()]
+        if limit_hit:
+            more += new
+        visited.update(new)
+        frontier = ahead_of
+    spark = ahead.sparkSession
+    return (
+        [spark.createDataFrame(reached, "id string, direction string, hop int, depth int")],
+        [spark.createDataFrame(walked, "id string, type string, src string, dst string, cycle boolean")],
+        [spark.createDataFrame([(x,) for x in more], "id string")],
+        limit_hit,
+        depth_hit,
+    )
+
+
 def _walk(index: indexed.GraphIndex, start: str, direction: str, depth: int, limit: int | None):
     spark = index.nodes.sparkSession
     edges, here, there = index.side(direction == "upstream")
     ahead = edges.where(F.col("type").isin(*EDGE_TYPES)).select("id", "type", "src", "dst", F.col(there).alias("next"), (F.col("far_type") == "Dataset").cast("int").alias("step"))
+    if small := _small(ahead, here, start, direction, depth, limit):
+        return small
     frontier = spark.createDataFrame([(start, 0, 0)], "f_id string, f_rank int, f_depth int")
     visited = frontier.select("f_id")
     reached, walked, more = [], [], []
@@ -119,9 +172,10 @@ def trace_lineage(nodes: DataFrame, edges: DataFrame | None, start: str, directi
         raise ValueError(f"node not found: {start}")
     if kind["type"] not in START_TYPES:
         raise ValueError("lineage start must be Dataset, Step, or SqlStatement")
-    index = index or indexed.build(nodes, edges)
+    ways = ("upstream", "downstream") if direction == "both" else (direction,)
+    index = index or indexed.once(nodes, edges, *ways)
     reached, walked, more, limit_hit, depth_hit = [], [], [], False, False
-    for way in ("upstream", "downstream") if direction == "both" else (direction,):
+    for way in ways:
         r, w, m, lh, dh = _walk(index, start, way, depth, limit)
         reached, walked, more = reached + r, walked + w, more + m
         limit_hit, depth_hit = limit_hit or lh, depth_hit or dh

@@ -35,16 +35,16 @@ class VariableImpact:
 
 def walk_variable_impact(edges: DataFrame | None, start: str, depth: int = bounds.DEPTH, limit: int | None = None, nodes: DataFrame | None = None, index: indexed.GraphIndex | None = None) -> VariableImpact:
     """edges: id, type, src, dst, value; with an index they are its own, and so are the nodes.  Where nodes are known, the start must be one
-    of type Variable."""
+    of type Variable or UnknownVariable."""
     bounds.check(depth, limit)
     edges, nodes = (index.out, index.nodes) if index else (edges, nodes)
     if nodes is not None:
         kind = nodes.where(F.col("id") == start).select("type").first()
         # fixed values: the words of these errors
         if kind is None:
-            raise ValueError(f"node not found: {start}")
-        if kind["type"] != "Variable":
-            raise ValueError("variable impact must start from a Variable")
+            raise ValueError(f"variable not found: {start}")
+        if kind["type"] not in ("Variable", "UnknownVariable"):
+            raise ValueError("impact start must be a Variable or UnknownVariable")
     if limit is not None:
         return _limited(edges, start, depth, limit)
     spark = edges.sparkSession

@@ -148,7 +148,7 @@ def test_steps(spark):
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3, 20])
-def test_impact_under_a_limit_has_no_edge_to_a_node_left_out(spark, limit):
+def test_impact_under_a_limit_stops_at_the_first_node_left_out(spark, limit):
     nodes = spark.createDataFrame([(n, "Step" if n[0] == "s" else "Dataset") for n in ("a", "s1", "b", "c", "s2", "d")], "id string, type string")
     pairs = [("a", "s1"), ("s1", "b"), ("s1", "c"), ("b", "s2"), ("s2", "d"), ("s2", "a")]
     edges = spark.createDataFrame([(f"e{k}", "reads_dataset" if b[0] == "s" else "writes_dataset", a, b, "OBSERVED", "EXACT") for k, (a, b) in enumerate(pairs)], "id string, type string, src string, dst string, evidence_kind string, resolution string")
@@ -157,8 +157,8 @@ def test_impact_under_a_limit_has_no_edge_to_a_node_left_out(spark, limit):
     assert list(found) and sorted(found) == sorted(["s1", "b", "c", "s2", "d"][:limit]) and got.limit_hit == (limit < 5)
     assert all(set(r["path_nodes"]) <= {"a", *found} for r in got.paths.collect())
     left = {r["id"] for r in got.continuation.collect()}
-    assert left == {1: {"b", "c"}, 2: {"c", "s2"}, 3: {"s2"}, 20: set()}[limit]
-    assert {n for n, why in found.items() if "limit" in why} == {1: {"s1"}, 2: {"s1", "b"}, 3: {"b"}, 20: set()}[limit]
+    assert left == {1: {"b"}, 2: {"c"}, 3: {"s2"}, 20: set()}[limit]
+    assert {n for n, why in found.items() if "limit" in why} == {1: {"s1"}, 2: {"s1"}, 3: {"b"}, 20: set()}[limit]
 
 
 def queue_of_variables(edges, start, depth, limit):

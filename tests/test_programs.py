@@ -2,8 +2,9 @@ import json
 
 import pytest
 
-from plumbline.sources import contracts, programs, sinks
+from plumbline.sources import contracts, programs, sinks, sqltree
 from plumbline.sources.facts import Program, macro_sites
+from plumbline.sources.includes import place_of
 from plumbline.sources.lexer import blocks, lex, split_top
 
 SOURCE = """/* header; not a statement */
@@ -104,6 +105,52 @@ def test_conditions_and_includes():
     assert not kinds(got, "writes_dataset")
 
 
+def test_conditions_never_guess():
+    p = Program("p", "%let n = 3; %let x = sequel; %let y = a or b;")
+    assert [p.condition(c) for c in ("&n>=1", "&n >= 1", "&x", "&n=3", "&x = se quel", "&n = 3 or", "&y = a or b")] == [None, None, None, None, False, False, None]
+    assert p.condition("&n = 3 OR &zz = 1") is True and p.condition("&n ne 3 or &x eq b") is False and p.condition("&n  ^=  4") is True
+
+
+def test_includes_share_one_order():
+    files = {"m.sas": "%let a = 1; %let b = 1; %let c = 1; %macro one(k=); data &k; run; %mend;", "twice.sas": "%let a = 2;"}
+    f = Program("p.sas", "%include 'm.sas'; %one(k=z);", files=files).facts
+    assert ("~step~1", "dataset:work.z") in kinds(f, "writes_dataset") and not f.findings
+    assert [n["value"] for i, n in Program("p.sas", "%let a = 1; %include 'twice.sas'; %include 'twice.sas';", files=files).facts.nodes.items() if i.startswith("macrovar")] == ["1", "2", "2"]
+    # a call before the definition stays open; a definition read twice is one
+    f = Program("p.sas", "%one(k=y); %include 'm.sas'; %include 'm.sas'; %one(k=z);", files=files).facts
+    assert [x["type"] for x in f.findings] == ["macro_source_not_found"] and kinds(f, "writes_dataset") == {("~step~1", "dataset:work.z"), ("~macrocall~2", "dataset:work.z")}
+    # a rejected include within a definition or a branch not taken is not told; text that never ends is, behind what it had
+    f = Program("p.sas", "%macro q; %include 'gone'; %mend; %include 'bad'; data t; run;", files={"bad": "data u; run; x = 'never"}).facts
+    assert [(x["type"], x["object"]) for x in f.findings] == [("unterminated_string", "bad")] and len(kinds(f, "writes_dataset")) == 2
+    assert [place_of(*x) for x in (("../b.sas", "/a/c/d.sas"), ("b.sas", "hdfs://h/a/c.sas"), ("/x.sas", "s3://k/a/c.sas"), ("b", "a"))] == ["/a/b.sas", "hdfs://h/a/b.sas", "s3://k/x.sas", "b"]
+
+
+def test_sql_trees():
+    assert sqltree.item("case when a > 1 then b else 'then' end as k length=8") == (sqltree.expression("case when a > 1 then b else 'then' end"), "k")
+    kind = lambda t: sqltree.item(t)[0].kind
+    assert [kind(t) for t in ("a.b", "q.*", "*", "'x'n as y", "-3 as n", "'01jan2020'd as d", "a + 1 as b", "calculated y as z")] == ["column", "star", "star", "name", "literal", "other", "other", "other"]
+    for open_ in ("case when a = 1 then 1 when b = 2 then 3 end", "case x when 1 then 2 end", "case when then 1 end", "case when a = 1 then 2 else end"):
+        assert sqltree.expression(open_).parts == ()
+    assert sqltree.condition("a.x ge 3").names == ("a.x",) and sqltree.condition("a = 1 and b = 2").kind == "other" and sqltree.condition("1 < a").kind == "other"
+    assert sqltree.expression("sum(x, y.z) + calculated q").names == ("x", "y.z")
+    f = Program("p", "proc sql; create table t as select case when a + 1 > 2 then b end as c, sum(x) from s where a in (1, 2); insert into t (a, b) values (1); insert into t values (1); quit; proc sql; create table u as select a from s;").facts
+    assert not kinds(f, "writes_variable") - {("~sqlstatement~4", "variable:work.u.a")}
+    assert [x["type"] for x in f.findings] == ["proc_sql_unsupported_syntax", "proc_sql_select_expression_unaliased", *["proc_sql_unsupported_syntax"] * 3, "sql_block_not_explicitly_closed"] and f.findings[-1]["status"] == "SUPPORTED"
+
+
+def test_included_over_many_files(spark):
+    files = [(f"/r/f{k}.sas", f"%include 'f{(k + 1) % 5}.sas'; data d{k}; run;") for k in range(5)]
+    library = spark.createDataFrame(files, "path string, text string")
+    main = spark.createDataFrame([("/r/a.sas", "%include 'f0.sas';"), ("/r/b.sas", "data b; run; %include 'f3.sas'; %none;"), ("/r/c.sas", "x")], "path string, text string")
+    got = {(r["program"], r["path"]) for r in programs.included(main, library).collect()}
+    assert got == {(f"/r/{p}.sas", f"/r/f{k}.sas") for p in "ab" for k in range(5)}
+    found = programs.facts(main, library=library)
+    rows = found.where("kind = 'finding'").select("program", "body").collect()
+    assert sorted((r["program"], json.loads(r["body"])["type"]) for r in rows) == [("/r/a.sas", "include_cycle_detected"), ("/r/b.sas", "include_cycle_detected"), ("/r/b.sas", "macro_source_not_found")]
+    wrote = found.where("kind = 'node' AND body LIKE '%dataset:work%'").groupBy("program").count().collect()
+    assert {r["program"]: r["count"] for r in wrote} == {"/r/a.sas": 5, "/r/b.sas": 6}
+
+
 def test_run_graph(spark, tmp_path):
     for name, text in (("a.sas", SOURCE), ("b.sas", "﻿data x; set final; run;"), ("sub/c.sas", "%macro report(data=); %mend;")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -132,7 +179,8 @@ def test_run_graph(spark, tmp_path):
         sinks.read_graph(spark, str(tmp_path / "old.json"))
     assert sinks.diagram(nodes, edges).startswith("flowchart LR\n") and "reads_dataset" in sinks.diagram(nodes, edges)
     assert sinks.report(findings).index("## REQUIRES_DECISION") < sinks.report(findings).index("## NOT_EXECUTED")
-    assert sinks.manifest(sources, findings).first()["findings"] == findings.count()
+    told = sinks.manifest(sources, findings, {"a": 1})
+    assert told.count() == 4 and told.where("path IS NULL").select("findings", "configuration").first() == (findings.count(), '{"a": 1}')
 
 
 def test_contracts(spark):

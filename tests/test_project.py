@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from plumbline import cli
 from plumbline.operators import view
-from plumbline.sources import config
+from plumbline.sources import config, contracts, programs, sinks
 
 
 def project(tmp_path, **more):
@@ -47,6 +49,69 @@ def test_run_by_config(spark, tmp_path, capsys):
     assert cli.main(["run"], spark) == 2
 
 
+def test_a_run_has_its_setup_and_all_findings(spark, tmp_path, capsys):
+    path = project(tmp_path, main_program=["main.sas", "two.sas"], macro_roots=["macros", "nowhere"])
+    (tmp_path / "setup.sas").write_text("%let lib = raw; libname t work; proc sort data=raw.base out=sorted; by k v; run; %include 'inc/deep.inc';")
+    (tmp_path / "inc").mkdir()
+    (tmp_path / "inc" / "deep.inc").write_text("%let deep = 1; %let more = 2; %macro late(d=); data &d; set t.q; run; %mend;")
+    (tmp_path / "two.sas").write_text("%include 'inc/deep.inc'; %late(d=z); data m; merge sorted x; by v; run; %include 'logs/x.sas'; %include 'inc'; %include '/etc/none.sas'; %include 'inc/gone.sas';")
+    assert cli.main(["run", "--config", path], spark) == 0
+    run = json.loads(capsys.readouterr().out)
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / run["run_id"] / name))
+    assert run["status"] == "PARTIAL" and [r["run_id"] for r in sinks.runs(spark, str(tmp_path / "out")).collect()] == [run["run_id"]]
+    nodes = {r["id"]: r for r in read("nodes").collect()}
+    setup = str(tmp_path / "setup.sas")
+    assert nodes[f"setup:{setup}"]["type"] == "SetupFile" and {"macrovar:lib@0", "macrovar:deep@5"} <= set(nodes)
+    assert f"macrovar:{tmp_path / 'two.sas'}:deep@0" in nodes and nodes["macrodefinition:late"]["type"] == "MacroDefinition"
+    edges = read("edges").collect()
+    assert (f"setup:{setup}", "step:001") in {(e["src"], e["dst"]) for e in edges if e["type"] == "contains_step"}
+    assert ("dataset:t.q", "macrocall") in {(e["src"], e["dst"].split(":")[0]) for e in edges if e["type"] == "reads_dataset"}
+    found = [(r["id"].split(":")[1], r["type"], r["object"]) for r in read("findings").collect()]
+    kinds = {t for _, t, _ in found}
+    assert {"config_declared_root_missing", "include_prohibited_artifact", "include_file_unreadable", "include_outside_allowed_roots", "include_file_missing", "merge_by_not_prefix_of_sort_by"} <= kinds
+    assert min(found)[1] == "config_declared_root_missing"  # the configuration's own come first
+    assert {o for _, t, o in found if t == "dataset_read_never_written"} == {"raw.base", "raw.a"}  # t.q is in WORK, raw.x is sorted in place
+    manifest = read("manifest")
+    body = json.loads(manifest.where("configuration <> '{}'").first()["configuration"])
+    assert body["programs"] == [str(tmp_path / "main.sas"), str(tmp_path / "two.sas")] and str(tmp_path / "inc" / "deep.inc") in {r["path"] for r in manifest.collect()}
+
+
+def test_a_file_that_changes_during_a_run_stops_it(spark, tmp_path, monkeypatch):
+    path = project(tmp_path)
+    whole = programs.graph
+
+    def late(found):
+        out = whole(found)
+        (tmp_path / "inc.sas").write_text("data other; run;")
+        return out
+
+    monkeypatch.setattr(programs, "graph", late)
+    with pytest.raises(programs.SourceChanged):
+        cli.main(["run", "--config", path], spark)
+    assert sinks.runs(spark, str(tmp_path / "out")).count() == 0 and not [x for x in (tmp_path / "out").iterdir() if x.is_dir()]
+
+
+def test_a_crash_between_tables_leaves_no_run(spark, tmp_path):
+    name = sinks.reserve(spark, str(tmp_path))
+    good = spark.range(3)
+    with pytest.raises(Exception, match="boom"):
+        sinks.write_tables(str(tmp_path), name, nodes=good, edges=good.selectExpr("raise_error('boom') AS x"))
+    assert (tmp_path / f"_unfinished-{name}" / "nodes").exists() and sinks.runs(spark, str(tmp_path)).count() == 0
+    other = sinks.reserve(spark, str(tmp_path))
+    sinks.write_tables(str(tmp_path), other, nodes=good)
+    assert sinks.latest_run(sinks.runs(spark, str(tmp_path))).first()["run_id"] == other and not (tmp_path / other / "_reserved").exists()
+    with pytest.raises(RuntimeError):
+        sinks.write_tables(str(tmp_path), other, nodes=good)
+    sinks.remove_run(spark, str(tmp_path), name)
+    assert not (tmp_path / f"_unfinished-{name}").exists()
+
+
+def test_wanted_contracts(spark):
+    docs = spark.createDataFrame([("/d/GM_a.md", ""), ("/d/sub/gm_b.md", ""), ("/d/gm_c.md", "")], "path string, text string")
+    names = lambda called: {r["path"] for r in contracts.wanted(docs, ["/d"], spark.createDataFrame([(c,) for c in called], "name string")).collect()}
+    assert names(["gm_a", "GM_B"]) == {"/d/GM_a.md"} and len(names([])) == 3
+
+
 def test_views(spark):
     nodes = spark.createDataFrame([("dataset:lib.a", "Dataset", "lib.a"), ("step:1", "Step", None), ("dataset:lib.b", "Dataset", "lib.b"), ("macrocall:1", "MacroCall", "m"), ("p1", "MacroParameter", "x"), ("p2", "MacroParameter", "a")], "id string, type string, label string").selectExpr("*", "id AS value", "CASE WHEN type = 'Step' THEN NULL ELSE 'f' END AS file")
     edges = spark.createDataFrame([("e2", "reads_dataset", "dataset:lib.a", "step:1"), ("e1", "writes_dataset", "step:1", "dataset:lib.b"), ("e3", "passes_parameter", "macrocall:1", "p1"), ("e4", "passes_parameter", "macrocall:1", "p2"), ("e5", "calls_macro", "step:1", "macrocall:1")], "id string, type string, src string, dst string")
