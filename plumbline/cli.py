@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bounds, graph, impact, trace, variables
+from .operators import bounds, graph, impact, raw, trace, variables
 from .sources import config, contracts, programs, sinks
 from .sources.store import settled
 
@@ -117,12 +117,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if a.command == "run":
             return _run(spark, a)
-        g = sinks.read_graph(spark, a.graph)
-        nodes, edges, findings = g["nodes"], _flat(g["edges"]), g["findings"]
         if a.command == "validate":
-            found = _rows(graph.problems(nodes.withColumn("pos", F.monotonically_increasing_id()), edges.withColumn("pos", F.lit(0))))
+            found = _rows(raw.in_order(raw.problems(*raw.read(spark, a.graph))))
             print(json.dumps(found))
             return int(bool(found))
+        g = sinks.read_graph(spark, a.graph)
+        nodes, edges, findings = g["nodes"], _flat(g["edges"]), g["findings"]
         if a.command == "render-mermaid":
             print(sinks.diagram(nodes, edges), end="")
         elif a.command == "render-findings":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, hops, view
+from ..operators import graph, hops, raw, view
 from ..sources import programs, star_graph
 from ..sources.store import table
 from . import oracle
@@ -262,3 +262,59 @@ def _(spark, d):
     told = findings.where("type = 'dataset_read_never_written'").select("object", "status")
     reads = edges.where("type = 'reads_dataset'").groupBy(F.substring_index("src", ":", -1).alias("object")).agg(F.count("*").alias("programs"))
     return told.join(reads, "object").select("object", "status", "programs")
+
+
+@query(
+    "adjacency_chunks",
+    f"WITH {oracle.E}, p AS (SELECT dst AS node, type, id, (row_number() OVER (PARTITION BY dst, type ORDER BY id) - 1) // 16 AS chunk FROM edges) SELECT node, type, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, string_agg(id, ',' ORDER BY id) AS edges FROM p GROUP BY node, type, chunk",
+)
+def _(spark, d):
+    """Incoming edges in rows of sixteen."""
+    return view.adjacency_chunks(lineage(spark, d)[1], "in", 16).select("node", "type", "chunk", F.size("edges").cast("long").alias("n"), F.concat_ws(",", "edges").alias("edges"))
+
+
+@query(
+    "validate_raw_records",
+    """WITH t AS (SELECT s_suppkey AS k FROM supplier),
+n AS (SELECT k, k % 7 AS m FROM t), e AS (SELECT k, k % 11 AS m FROM t),
+f AS (
+  SELECT 'nodes' AS section, k AS place, 0 AS nth, 'at ' || k AS object, 'is no object' AS problem FROM n WHERE m = 2
+  UNION ALL SELECT 'nodes', k, 1, 'at ' || k, 'missing key id' FROM n WHERE m = 6
+  UNION ALL SELECT 'nodes', k, 3, '"n' || k || '"', 'missing key label' FROM n WHERE m = 1
+  UNION ALL SELECT 'nodes', k, 4, '"n' || k || '"', 'unknown type' FROM n WHERE m = 3
+  UNION ALL SELECT 'nodes', k, 5, CAST(k AS VARCHAR), 'id is no string' FROM n WHERE m = 0
+  UNION ALL SELECT 'nodes', k, 6, '"n' || (k - 1) || '"', 'duplicate id' FROM n WHERE m = 4
+  UNION ALL SELECT 'edges', k, 4, '"e' || k || '"', 'missing key to' FROM e WHERE m = 0
+  UNION ALL SELECT 'edges', k, 5, '"e' || k || '"', 'evidence is no object' FROM e WHERE m = 1
+  UNION ALL SELECT 'edges', k, 6, '"e' || k || '"', 'unknown evidence kind' FROM e WHERE m = 2
+  UNION ALL SELECT 'edges', k, 7, '"e' || k || '"', 'unknown evidence resolution' FROM e WHERE m IN (2, 3)
+  UNION ALL SELECT 'edges', k, 8, '"e' || k || '"', 'unknown evidence with confidence' FROM e WHERE m = 4
+  UNION ALL SELECT 'edges', k, 9, '"e' || k || '"', 'unknown type' FROM e WHERE m = 5
+  UNION ALL SELECT 'edges', k, 10, '"e' || k || '"', 'from is no string' FROM e WHERE m IN (6, 7)
+  UNION ALL SELECT 'edges', k, 13, '"e' || k || '"', 'dangling to' FROM e WHERE m = 8
+  UNION ALL SELECT 'edges', k, 14, '"e' || k || '"', 'illegal endpoints' FROM e WHERE m = 9
+  UNION ALL SELECT 'graph', 0, 2, 'graph', 'unsupported schema version'
+  UNION ALL SELECT 'graph', 0, 4, 'graph', 'nodes is no list' UNION ALL SELECT 'graph', 0, 5, 'graph', 'missing collection edges')
+SELECT section, CAST(place AS BIGINT) AS place, nth, object, problem FROM f""",
+)
+def _(spark, d):
+    """Records as they stand in a document, a supplier's number telling what is wrong with each."""
+    k = F.col("s_suppkey").cast("string")
+    say = lambda text: F.concat(*[x for part in text.split("#") for x in (k, F.lit(part))][1:])
+    pick = lambda by, cases, other: F.coalesce(*[F.when(F.col("s_suppkey") % by == m, say(text)) for m, text in cases.items()], say(other))
+    before = F.concat(F.lit('{"id": "n'), (F.col("s_suppkey") - 1).cast("string"), F.lit('", "type": "Dataset", "label": "again"}'))
+    node = pick(7, {0: '{"id": #, "type": "Step", "label": "x"}', 1: '{"id": "n#", "type": "Dataset"}', 2: '"n#"', 3: '{"id": "n#", "type": "Mystery", "label": null}', 6: '{"type": "Step", "label": "x"}'}, '{"id": "n#", "type": "Dataset", "label": "x"}')
+    node = F.when(F.col("s_suppkey") % 7 == 4, before).otherwise(node)
+    edge = lambda rest: '{"id": "e#", ' + rest + "}"
+    ends, good = '"from": "a", "to": "b"', '"type": "depends_on"'
+    edges = {
+        0: edge(f'{good}, "from": "a"'), 1: edge(f'{good}, {ends}, "evidence": "seen"'), 2: edge(f'{good}, {ends}, "evidence": {{"kind": null}}'), 3: edge(f'{good}, {ends}, "evidence": {{"kind": "OBSERVED", "resolution": 1}}'),
+        4: edge(f'{good}, {ends}, "evidence": {{"kind": "UNKNOWN", "resolution": "EXACT", "confidence": 0.5}}'), 5: edge(f'"type": "guesses", {ends}'), 6: edge(f'{good}, "from": 1, "to": "b"'), 7: edge(f'{good}, "from": null, "to": "b"'),
+        8: edge(f'{good}, "from": "a", "to": "gone"'), 9: edge(f'"type": "reads_dataset", {ends}'), 10: edge(f'{good}, {ends}, "evidence": {{"kind": "UNKNOWN", "resolution": "EXACT", "confidence": null}}'),
+    }
+    s = table(spark, d, "supplier")
+    body = lambda text: F.parse_json(text).alias("body")
+    more = table(spark, d, "region").where("r_regionkey < 2").select((-F.col("r_regionkey") - 1).cast("long").alias("place"), body(F.when(F.col("r_regionkey") == 0, '{"id": "a", "type": "Dataset", "label": "a"}').otherwise('{"id": "b", "type": "Dataset", "label": "b"}')))
+    nodes = s.select(F.col("s_suppkey").cast("long").alias("place"), body(node)).unionByName(more)
+    found = raw.problems(spark.range(1).select(body(F.lit('{"schema_version": "9", "nodes": {}}'))), nodes, s.select(F.col("s_suppkey").cast("long").alias("place"), body(pick(11, edges, ""))))
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import diagram_id
+from ..operators.view import with_capability
 from ..operators.vocabulary import SCHEMA_VERSIONS
 
 # What a diagram shows, and the order of a report's sections.
@@ -89,6 +90,15 @@ def manifest(sources: DataFrame, findings: DataFrame, configuration: dict | None
     return files.unionByName(whole)
 
 
+def upgraded(envelope: dict) -> dict:
+    """The envelope of a 0.2.0 graph as 0.3.0: its version, its producer's, and that edges have evidence.  Edges are normalised as a table."""
+    if envelope.get("schema_version") != SCHEMA_VERSIONS[0]:
+        raise ValueError(f"an envelope of version {SCHEMA_VERSIONS[0]} is expected")
+    schema = dict(envelope.get("schema") or {})
+    schema |= {"producer_version": SCHEMA_VERSIONS[0], "capabilities": with_capability(schema.get("capabilities"))}
+    return envelope | {"schema_version": SCHEMA_VERSIONS[-1], "schema": schema}
+
+
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """nodes, edges and findings of a graph's JSON file; other schema versions are refused."""
     raw = spark.read.option("multiLine", True).json(path)
