@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -41,14 +42,19 @@ def _typed(nodes: DataFrame, edges: DataFrame, other: str) -> DataFrame:
     return edges.select("id", "type", "src", "dst", *more).join(far, F.col(other) == F.col("n_id"), "left").drop("n_id")
 
 
-def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> GraphIndex:
+def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None, cached: bool = False) -> GraphIndex:
     """nodes: id, type; edges: id, type, src, dst and any of CARRIED.  Of repeated node ids the least type counts.
 
-    parts: ranges of a table, by default the session's shuffle partitions."""
+    parts: ranges of a table, by default the session's shuffle partitions; cached: kept by the executors besides, in memory or on their disks, for a
+    session that asks much.  A lost executor's share is read from the stored tables again."""
     parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = settled(nodes.groupBy("id").agg(F.min("type").alias("type")))
     sides = [settled(_typed(kinds, edges, other).repartitionByRange(parts, near, "id").sortWithinPartitions(near, "id")) for near, other in (("src", "dst"), ("dst", "src"))]
-    return GraphIndex(kinds, *sides)
+    made = GraphIndex(kinds, *sides)
+    if cached:
+        for df in (made.nodes, made.out, made.into):
+            df.persist(StorageLevel.MEMORY_AND_DISK).count()
+    return made
 
 
 def once(nodes: DataFrame, edges: DataFrame, *ways: str) -> GraphIndex:
@@ -61,7 +67,8 @@ def held(edges: DataFrame, near: str, names: list[str]) -> list[Row] | None:
     """The edges at the named nodes, or None where they are more than are held."""
     if len(names) > FEW:
         return None
-    rows = edges.where(F.col(near).isin(*names)).limit(HELD + 1).collect()
+    # the range too: it leaves sorted parts out whose least and greatest ids are kept, however many names there are
+    rows = edges.where(F.col(near).between(min(names), max(names)) & F.col(near).isin(*names)).limit(HELD + 1).collect()
     return rows if len(rows) <= HELD else None
 
 

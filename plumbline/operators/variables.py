@@ -45,6 +45,8 @@ def walk_variable_impact(edges: DataFrame | None, start: str, depth: int = bound
             raise ValueError(f"variable not found: {start}")
         if kind["type"] not in ("Variable", "UnknownVariable"):
             raise ValueError("impact start must be a Variable or UnknownVariable")
+    if small := _small(edges, start, depth, limit):
+        return small
     if limit is not None:
         return _limited(edges, start, depth, limit)
     spark = edges.sparkSession
@@ -88,6 +90,65 @@ def walk_variable_impact(edges: DataFrame | None, start: str, depth: int = bound
     return VariableImpact(start, reduce(DataFrame.unionByName, variables), done, all_facts, reduce(DataFrame.unionByName, more, none), depth_hit)
 
 
+def _small(edges: DataFrame, start: str, depth: int, limit: int | None) -> VariableImpact | None:
+    """The walk where the reads and writes of every level are held at once, or None where it grows.
+
+    Under a limit what is met has the place of a queue: its variable's turn, the read, the write.  Without one the least id of a level comes first."""
+    reads, writes = (edges.where(F.col("type") == t).select("id", "src", "dst", "value") for t in ("reads_variable", "writes_variable"))
+    variables, operations, via, facts, more, depth_hit, cut = {start: 0}, {}, {}, [], [], False, None
+    front, level = [start], 0
+    while front and level <= depth and cut is None:
+        met = indexed.held(reads, "src", front)
+        if met is None or len(variables) + len(operations) > indexed.HELD:
+            return None
+        turn = dict(zip(front, range(len(front)) if limit is not None else [0] * len(front), strict=True))
+        met = sorted((((turn[r["src"]], r["id"], ""), r) for r in met), key=lambda x: x[0])
+        first: dict[str, tuple] = {}
+        for place, r in met:
+            if r["dst"] not in operations:
+                first.setdefault(r["dst"], place)
+        out = indexed.held(writes, "src", list(first)) if first else []
+        if out is None:
+            return None
+        out = sorted((((*first[w["src"]][:2], w["id"]) if limit is not None else (0, "", w["id"]), w) for w in out), key=lambda x: x[0])
+        ahead: dict[str, tuple] = {}
+        for place, w in out:
+            if w["dst"] not in variables:
+                ahead.setdefault(w["dst"], place)
+        kept = sorted([(place, o, True) for o, place in first.items()] + [(place, v, False) for v, place in ahead.items() if level < depth])
+        room = len(kept) if limit is None else limit - len(operations) - len(variables) + 1  # the start is not counted
+        if len(kept) > room:
+            cut, kept = kept[room], kept[:room]
+            met, out = ([x for x in some if x[0] < cut[0]] for some in (met, out))
+        for _, r in met:
+            facts.append((r["id"], r["dst"], r["value"], False))
+            via.setdefault(r["dst"], set()).add(r["id"])
+        deep = sorted({w["src"] for _, w in out if w["dst"] in ahead}) if level == depth else []
+        for place, w in out:
+            if w["dst"] not in ahead:
+                facts.append((w["id"], w["src"], w["value"], True))
+            elif level < depth:
+                facts.append((w["id"], w["src"], w["value"], place > ahead[w["dst"]]))
+        depth_hit, more = depth_hit or bool(deep), more + deep
+        operations |= {o: level for _, o, is_operation in kept if is_operation}
+        later = [v for _, v, is_operation in kept if not is_operation]
+        level += 1
+        variables |= dict.fromkeys(later, level)
+        if cut:
+            more += [cut[1], *front[cut[0][0] + 1 :], *later]
+        front = later
+    spark = edges.sparkSession
+    return VariableImpact(
+        start,
+        spark.createDataFrame(list(variables.items()), "id string, depth int"),
+        spark.createDataFrame([(o, d, sorted(via[o])) for o, d in operations.items()], "id string, depth int, via_edges array<string>"),
+        spark.createDataFrame(facts, FACT),
+        spark.createDataFrame([(x,) for x in dict.fromkeys(more)], "id string"),
+        depth_hit,
+        cut is not None,
+    )
+
+
 def _with_reads(operations: DataFrame, facts: DataFrame, reads: DataFrame) -> DataFrame:
     """(id, depth, via_edges) of operations (o, depth)."""
     via = facts.join(reads.select(F.col("id").alias("edge")), "edge").groupBy(F.col("on").alias("o")).agg(F.sort_array(F.collect_set("edge")).alias("via_edges"))

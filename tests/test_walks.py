@@ -111,6 +111,19 @@ def test_walks_that_grow_give_what_small_ones_give(spark, monkeypatch, seed, dir
     assert plain(trace.trace_lineage(stored.nodes, None, "n00", direction, depth, limit, stored)) == small
 
 
+@pytest.mark.parametrize(("seed", "depth", "limit"), [(1, 20, None), (2, 1, None), (3, 20, 4), (4, 0, 3), (5, 3, 9), (6, 20, 200), (7, 2, 1)])
+def test_variable_walks_that_grow_give_what_small_ones_give(spark, monkeypatch, seed, depth, limit):
+    r = random.Random(seed)
+    ends = [(f"v{r.randrange(9)}", f"o{r.randrange(7)}") for _ in range(44)]
+    rows = [(f"e{k:03}", *(("reads_variable", v, o) if k % 2 else ("writes_variable", o, v)), str(k)) for k, (v, o) in enumerate(ends)]
+    r.shuffle(rows)
+    e = spark.createDataFrame(rows, "id string, type string, src string, dst string, value string")
+    plain = lambda x: (*[sorted(map(tuple, d.collect())) for d in (x.variables, x.operations, x.facts)], sorted(y["id"] for y in x.continuation.collect()), x.limit_hit, x.depth_hit)
+    small = plain(variables.walk_variable_impact(e, "v0", depth, limit))
+    monkeypatch.setattr(index, "HELD", 0)
+    assert plain(variables.walk_variable_impact(e, "v0", depth, limit)) == small and len(small[0]) > 0
+
+
 def test_impact_as_joins_gives_the_ranks_of_the_queue(spark, monkeypatch):
     monkeypatch.setattr(index, "HELD", 0)
     nodes, rows = random_graph(21, 14, 30)
