@@ -38,8 +38,7 @@ from .words import PLAIN, U64, Words, by_bytes, gram_hashes, mix, powers, ranges
 
 WINDOW = 35
 GRAM = 8
-HOT_SHARE = 1000
-HOT_LEAST = 20_000
+HOT_LEAST = 20_000  # segments of a key beyond which its windows are dealt one by one
 SHARD_SEGMENTS = 12_000
 ADDED = ["n_words", "n_removed", "kept"]
 
@@ -240,7 +239,7 @@ def _passing(docs: DataFrame, size: int, filled: np.ndarray, hot: np.ndarray, sh
             text, begin, n, key, _ = segments(words, size)
             keep = np.flatnonzero(marks.passing(filled, key))
             text, begin, n, key = text[keep], begin[keep], n[keep], key[keep]
-            heavy = np.isin(key, hot)
+            heavy = marks.passing(hot, key)
             if heavy.any():
                 each = np.where(heavy, n, 1)
                 offset = ranges(np.zeros(len(n), np.int64), each)
@@ -298,11 +297,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "hashed", F.col("text").cast("binary").alias("text"))
     keys = tables.stored(_keys(plain, size))
     n = keys.agg(F.sum("n")).first()[0] or 0
-    hot = keys.where(F.col("n") > max(HOT_LEAST, n // HOT_SHARE)).select("key").collect()  # HOT_SHARE rows at most
-    hot_keys = np.array([r["key"] for r in hot], np.int64).view(U64)
+    # a filter of fixed size too: a key that passes it by chance is dealt window by window as well, by every task alike
+    hot = marks.build(keys.where(F.col("n") > HOT_LEAST), "key")
     shards = max(1, -(-n // SHARD_SEGMENTS))
-    covered = _covered(_passing(plain, size, marks.build(keys, "key"), hot_keys, shards), size)
-    spans = covered.groupBy(F.col("doc_id").alias("s_id"), F.col("hashed").alias("s_hashed")).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    covered = _covered(_passing(plain, size, marks.build(keys, "key"), hot, shards), size)
+    spans = covered.groupBy(F.col("doc_id").alias("s_id"), F.col("hashed").alias("s_hashed")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # repeated rows have the same
     joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")) & F.col("hashed").eqNullSafe(F.col("s_hashed")), "left").drop("s_id", "s_hashed", "hashed")
     kept = [f for f in joined.schema if f.name != "spans"]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]

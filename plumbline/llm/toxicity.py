@@ -10,7 +10,7 @@ the held-out fifth, crc32(doc_id as text) mod 5 = 0, and lang, source and doc_id
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.  Null and empty texts score by the
 bias alone.  Rows with null labels or ids teach nothing; without any labels every score is 0.  Repeated
-rows score alike; repeated labels count as often as they stand; columns of the input that share a
+rows score alike; repeated labels, and rows that repeat a labelled doc_id, count as often as they stand, up to the bound; columns of the input that share a
 result's name are replaced.
 """
 
@@ -95,6 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     )
     chosen = F.broadcast(tables.stored(chosen))  # at most `sample` rows of two numbers
     rows = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).select("label_id", "label", F.col("text").cast("binary").alias("text"))
+    # however often a labelled doc_id repeats, at most `sample` rows go on: the bound holds for rows, not for labels alone
+    rows = rows.orderBy(F.xxhash64(F.lit(9), F.col("label_id")), "label_id", "label", F.xxhash64("text")).limit(sample)
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["label_id", "label"], kind="stable")

@@ -63,7 +63,6 @@ def test_substring_dedup(docs, none, size):
 
 def test_substring_dedup_of_a_passage_that_very_many_share(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", 5)
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 10**9)
     passage = " ".join(f"p{k}" for k in range(20))
     df = spark.createDataFrame([(i, f"a{i} b{i} {passage} c{i}") for i in range(40)], "doc_id long, text string")
     assert {(r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df, 10).collect()} == {(23, 20)}
@@ -345,6 +344,52 @@ def test_toxicity(spark, docs, none):
     assert silent.where("predicted = 1").count() == 0
 
 
+def test_toxicity_bound_holds_for_rows(spark):
+    docs = spark.createDataFrame([(k % 3 + 1, f"words {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    own = [r["doc_id"] for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()]
+    places, weights, bias = toxicity.fit(docs, labels, sample=5)
+    assert own and len(places) == len(weights) and math.isfinite(bias)
+
+
+def plain_ftrl(texts, labels, seed=9):
+    """FTRL-proximal a place at a time: words, pairs and skip-pairs of a text once each; the bias under None."""
+    own = []
+    for t in texts:
+        w = ALNUM.findall(lower(t))
+        own.append(sorted({("w", x) for x in w} | {("p", *x) for x in zip(w[:-1], w[1:], strict=True)} | {("s", *x) for x in zip(w[:-2], w[2:], strict=True)}) + [None])
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(k):
+        l1 = 0.0 if k is None else toxicity.L1
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.RATE + toxicity.L2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(toxicity.EPOCHS):
+        for i in rng.permutation(len(own)):
+            now = {k: weight(k) for k in own[i]}
+            g = 1 / (1 + math.exp(-min(max(sum(now.values()), -30), 30))) - labels[i]
+            for k, w in now.items():
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.RATE * w
+                n[k] += g * g
+    return lambda k: 1 / (1 + math.exp(-sum(weight(x) for x in own[k]))), sum(weight(k) != 0 for k in z if k is not None)
+
+
+def test_toxicity_equals_loops(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["bad" if rng.random() < 0.3 else f"w{rng.integers(12)}" for _ in range(int(rng.integers(1, 25)))]) for _ in range(150)]
+    labels = np.array([float("bad" in t.split()) for t in texts])
+    score, n = plain_ftrl(texts, labels)
+    model = toxicity.train([t.encode() for t in texts], labels)
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx([score(k) for k in range(150)], abs=1e-9) and len(model[0]) == n
+
+
+def test_toxicity_on_held_out_rows_of_the_given_tables(spark):
+    got = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got[got.toxic == 0].predicted == 0).mean() > 0.98 and (got[got.toxic == 1].predicted == 1).mean() > 0.7
+
+
 def test_page_text(spark):
     page = "<html><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav><article><h1>Title</h1><p>Some text &eacute;.</p></article><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "v", "", "x"), (1, "u", page, "x"), (4, "w", "<p>" + "long " * 50_000, "x")], "page_id long, url string, html string, text string")
