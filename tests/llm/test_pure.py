@@ -265,16 +265,17 @@ def test_stirling_numbers_and_table_draws():
     s = np.exp(pitman_yor.stirling(0.5, 4))
     assert s[3, 2] == pytest.approx(2 * (1 - 0.5) + (2 - 2 * 0.5) - 0.5 + 0.0, abs=1.0) and s[4, 4] == pytest.approx(1)
     assert s[3, 1] == pytest.approx((1 - 0.5) * (2 - 0.5))
-    rng = np.random.default_rng(8)
     customers = np.array([1, 2, 30, 48, 5000])
-    t = pitman_yor.draw_tables(rng, customers, np.ones(5, np.int64), np.zeros(5, np.int64), np.full(5, 0.01), 0.7, 1.0, pitman_yor.stirling(0.7))
+    key = np.arange(5, dtype=np.uint64)
+    t = pitman_yor.draw_tables(key, 2, customers, np.zeros(5, np.int64), np.full(5, 0.3), 0.7, 1.0, pitman_yor.stirling(0.7))
     assert t[0] == 1 and (t >= 1).all() and (t <= customers).all()
+    assert (t == pitman_yor.draw_tables(key, 2, customers, np.zeros(5, np.int64), np.full(5, 0.3), 0.7, 1.0, pitman_yor.stirling(0.7))).all()
 
 
 def test_predictive_probabilities_sum_to_one():
     base = np.array([0.5, 0.2, 0.2, 0.1])
     # one context, two leaves, dishes 0..2 seen
-    r = pitman_yor.Restaurants(np.array([0, 0, 1]), np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([5, 2, 7]), np.zeros(3, np.int64), base[:3], 1)
+    r = pitman_yor.Restaurants(np.array([0, 0, 1]), np.array([0, 1, 2]), np.array([5, 2, 7]), np.arange(3, dtype=np.uint64), np.zeros(3, np.int64), base[:3], np.arange(3, 6, dtype=np.uint64))
     for _ in range(4):
         r.sweep()
         zero = np.zeros(4, np.int64)

@@ -214,12 +214,36 @@ def test_pitman_yor_scores_hang_on_the_texts_alone(spark, monkeypatch):
     assert got[want.columns].drop(columns="base_score").equals(want.drop(columns="base_score"))
 
 
-def test_binomial_draws(monkeypatch):
-    key = pitman_yor.mix(np.arange(40_000, dtype=np.uint64))
-    for n, p in ((5, 0.3), (40, 0.02), (48, 0.97), (1000, 0.01), (5000, 0.4), (7, 0.0), (7, 1.0)):
-        got = pitman_yor.binomial(np.full(len(key), n), np.full(len(key), p), key, n)
-        assert got.min() >= 0 and got.max() <= n
-        assert got.mean() == pytest.approx(n * p, abs=0.05 + 0.002 * n) and got.var() == pytest.approx(n * p * (1 - p), rel=0.06, abs=0.01)
+@pytest.mark.parametrize(("discount", "strength"), list(zip(pitman_yor.DISCOUNT, pitman_yor.STRENGTH, strict=True)))
+def test_tables_of_many_customers_follow_the_exact_law(discount, strength):
+    most, wide = 5_000, 600
+    row = np.full(wide + 1, -np.inf)  # of log S(c, t), by the plain recursion
+    row[1], kept, t = 0.0, {}, np.arange(wide + 1)
+    for c in range(1, most + 1):
+        if c in (30, 200, 1024, 1025, most):
+            kept[c] = row[1:].copy()
+        row = np.logaddexp(row + np.log(np.maximum(c - t * discount, 1e-300)), np.append(-np.inf, row[:-1]))
+        row[c + 2 :] = -np.inf
+    t, n = t[1:], 6_000
+    for c, log_numbers in kept.items():
+        for others, parent in ((0, 0.001), (20, 0.2), (400, 0.05), (400, 0.2), (3_000, 0.09)):
+            w = log_numbers + t * math.log(parent) + np.cumsum(np.log(strength + discount * (others + t - 1)))
+            w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+            mean = (w * t).sum()
+            spread = math.sqrt((w * (t - mean) ** 2).sum())
+            key = pitman_yor.mix(np.arange(n, dtype=np.uint64) + np.uint64(c * 10_000 + others))
+            got = pitman_yor.draw_tables(key, 3, np.full(n, c), np.full(n, others), np.full(n, parent), discount, strength, pitman_yor.stirling(discount))
+            assert got.min() >= 1 and got.max() <= c
+            off = 5 * spread / math.sqrt(n) + (0.0 if c <= pitman_yor.EXACT else (0.001 if mean < 110 else 0.04) * mean)
+            assert abs(got.mean() - mean) <= off + 1e-9 and abs(got.std() - spread) <= 0.1 * spread + 0.02, (c, others, parent, mean, got.mean(), spread, got.std())
+
+
+def test_tables_beyond_those_told_apart():
+    n = 5_000
+    key = pitman_yor.mix(np.arange(n, dtype=np.uint64))
+    got = pitman_yor.draw_tables(key, 1, np.full(n, 200_000), np.full(n, 40_000), np.full(n, 0.1), 0.8, 1.0, pitman_yor.stirling(0.8))
+    assert got.mean() == pytest.approx(0.1 * (1 + 0.8 * 40_000) / (0.8 * 0.9), rel=0.005) and 50 < got.std() < 100
+    assert (pitman_yor.draw_tables(key[:9], 1, np.full(9, 2_000), np.full(9, 10**6), np.full(9, 0.9), 0.8, 1.0, pitman_yor.stirling(0.8)) <= 2_000).all()
 
 
 def test_jaccard_join(docs, none):
