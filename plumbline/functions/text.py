@@ -80,7 +80,7 @@ def intnx(interval: str, date, n: int):
 
 #: Names of row functions in analysed programs, as Spark columns.  Their values are Spark's own.
 SCALARS = {
-    "upcase": F.upper, "lowcase": F.lower, "propcase": F.initcap, "strip": F.trim, "trim": F.rtrim, "left": F.ltrim,
+    "upcase": F.upper, "lowcase": F.lower, "propcase": F.initcap, "strip": F.trim, "trim": F.rtrim, "left": lambda c: F.rpad(F.ltrim(c), F.length(c), F.lit(" ")),
     "compress": lambda c: F.regexp_replace(c, " ", ""), "compbl": lambda c: F.regexp_replace(c, " +", " "),
     "right": lambda c: F.lpad(F.rtrim(c), F.length(c), F.lit(" ")),
     "substr": lambda c, at, n: F.substring(c, at, n), "scan": lambda c, k, by: F.get(F.split(c, by), k - 1),

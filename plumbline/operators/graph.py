@@ -33,10 +33,14 @@ def search_nodes(nodes: DataFrame, query: str, limit: int | None = bounds.LIMIT)
     return found.join(F.broadcast(kept), F.col("id") == F.col("k"), "left").select("id", "type", "label", F.col("k").isNull().alias("omitted"))
 
 
+def _library() -> Column:
+    own = F.nullif(F.regexp_extract(F.lower("id"), r"^(?:unknown)?dataset:([a-z_][a-z0-9_]{0,7})\..+", 1), F.lit(""))
+    return F.when(F.col("type").isin("Dataset", "UnknownDataset"), own)
+
+
 def filter_nodes(nodes: DataFrame, kind: str | None = None, library: str | None = None) -> DataFrame:
     """By type and library; nodes that show no library pass every library."""
-    own = F.nullif(F.regexp_extract(F.lower("id"), r"^(?:unknown)?dataset:([a-z_][a-z0-9_]{0,7})\..+", 1), F.lit(""))
-    own = F.when(F.col("type").isin("Dataset", "UnknownDataset"), own)
+    own = _library()
     out = nodes if kind is None else nodes.where(F.col("type") == kind)
     return out if library is None else out.where(F.coalesce(own == library.lower(), F.lit(True)))
 
@@ -45,6 +49,11 @@ def facets(nodes: DataFrame) -> DataFrame:
     return nodes.select("type").distinct().orderBy("type")
 
 
+def library_facets(nodes: DataFrame) -> DataFrame:
+    """(library) of all datasets that show one, in order."""
+    return nodes.select(_library().alias("library")).where("library IS NOT NULL").distinct().orderBy("library")
+
+
 def render_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges to draw: without comment blocks and macro parameters and what touches them."""
     kept = nodes.where(~F.col("type").isin("CommentBlock", "MacroParameter"))
@@ -77,8 +86,9 @@ def run_status(findings: DataFrame, *by: str) -> DataFrame:
 
 
 def findings_of(findings: DataFrame) -> DataFrame:
-    """(object, findings): what affects each node or edge."""
-    touched = findings.withColumn("object_id", F.explode(F.array_union(F.coalesce("affected_nodes", F.array()), F.coalesce("affected_edges", F.array()))))
+    """(object, findings): what affects each node, edge or other object."""
+    some = [F.coalesce(F.col(c), F.array()) for c in ("affected_nodes", "affected_edges", "affected_objects") if c in findings.columns]
+    touched = findings.withColumn("object_id", F.explode(reduce(F.array_union, some)))
     return touched.groupBy("object_id").agg(F.sort_array(F.collect_set("id")).alias("findings"))
 
 

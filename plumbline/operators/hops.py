@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import settled
+from ..sources.store import settled, settled_with
+from . import index
 
 # Edge types that carry lineage.
 PROPAGATING = ("reads_dataset", "writes_dataset", "reads_variable", "writes_variable", "reads_external_file", "writes_external_file", "implemented_by")
 
 
 def reach(edges: DataFrame, hits: list[str], ceiling: int = 3) -> DataFrame:
-    """(hit, node, dist) for every node within the ceiling of every hit."""
+    """(hit, node, dist) for every node within the ceiling of every hit.
+
+    A hop asks the edges from both ends for what is at the frontier, which is broadcast up to a counted size; edges are not turned round or shuffled."""
     spark = edges.sparkSession
-    some = edges.where(F.col("type").isin(*PROPAGATING))
-    near = settled(some.select("src", "dst").union(some.select("dst", "src")).distinct())
+    some = settled(edges.where(F.col("type").isin(*PROPAGATING)).select("src", "dst"))
     found = front = spark.createDataFrame([(h, h, 0) for h in sorted(set(hits))], "hit string, node string, dist int")
+    count = len(set(hits))
     for hop in range(1, ceiling + 1):
-        step = front.join(near, F.col("node") == F.col("src")).select("hit", F.col("dst").alias("node")).distinct()
-        front = settled(step.join(found, ["hit", "node"], "left_anti").withColumn("dist", F.lit(hop)))
-        if front.isEmpty():
+        ways = [index.at(some, here, front, "node", count).select("hit", F.col(there).alias("node")) for here, there in (("src", "dst"), ("dst", "src"))]
+        step = ways[0].unionByName(ways[1]).distinct().join(found, ["hit", "node"], "left_anti").withColumn("dist", F.lit(hop))
+        front, counts = settled_with(step, {"all": F.lit(True)})
+        count = counts["all"]
+        if not count:
             break
         found = found.unionByName(front)
     return settled(found)

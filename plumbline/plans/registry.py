@@ -107,6 +107,11 @@ def _(spark, d):
     return graph.facets(lineage(spark, d)[0])
 
 
+@query("facet_libraries", f"WITH {oracle.N} SELECT DISTINCT regexp_extract(id, '^dataset:([^.]*)', 1) AS library FROM nodes WHERE type = 'Dataset'")
+def _(spark, d):
+    return graph.library_facets(lineage(spark, d)[0])
+
+
 # ---- lineage
 
 

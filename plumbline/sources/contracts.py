@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .macros import bracketed
+
 SCHEMA = "macro string, purpose string, parameters map<string,struct<required:boolean,default:string>>, examples array<string>, path string, errors array<string>"
 
 
@@ -41,7 +43,9 @@ def parse(path: str, text: str) -> dict:
     if not parameters:
         errors.append("no parameter table")
     name = heading[1] if heading else ""
-    examples = list(dict.fromkeys(m[0] for m in re.finditer(rf"%{re.escape(name)}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)", text, re.I))) if name else []
+    starts = [(m.start(), m.end() - 1) for m in re.finditer(rf"%{re.escape(name)}\s*\(", text, re.I)] if name else []
+    # to the bracket that closes the first one, whatever strings and brackets stand between
+    examples = list(dict.fromkeys(text[a:end] for a, b in starts if (end := bracketed(text, b)) > 0))
     return {"macro": name.lower(), "purpose": purpose[1].strip() if purpose else None, "parameters": parameters, "examples": examples, "path": path, "errors": errors}
 
 

@@ -37,7 +37,7 @@ def _plain(path: str):
     return F.regexp_replace(path, "^file:(//)?", "")
 
 
-def read_sources(spark: SparkSession, *paths: str, glob: str = "*.sas") -> DataFrame:
+def read_sources(spark: SparkSession, *paths: str, glob: str = "*.[sS][aA][sS]") -> DataFrame:
     """(path, text, sha256, n_bytes) of every file below the paths; a byte-order mark is dropped."""
     if any(p.lower().endswith(PROHIBITED) for p in paths):
         raise ValueError("data files are not read")
@@ -79,7 +79,7 @@ class Snapshot:
             raise SourceChanged(other[0]["path"])
 
 
-def snapshot(spark: SparkSession, roots: list[str], named: list[str] = (), glob: str = "*.sas") -> Snapshot:
+def snapshot(spark: SparkSession, roots: list[str], named: list[str] = (), glob: str = "*.[sS][aA][sS]") -> Snapshot:
     """The files that match below the roots, those named, and all that these include, in any number of steps.
 
     Names alone are listed for the rest of the roots; of these only what is included is ever opened."""
@@ -240,8 +240,8 @@ def told(spark: SparkSession, findings: list[dict], rank: int = -2) -> DataFrame
 
 
 LATE = 1 << 30  # the rank of what is told when all programs are known
-_NODE = "id string, type string, label string, pattern string, by_vars array<string>, where_condition string, value string, sort_option string, cardinality_effect string, sql_subtype string, keep_vars array<string>, drop_vars array<string>, rename_map map<string,string>, branch_text array<string>, row_allocation_inferred boolean, status string, branches array<string>, candidate_text string, template_derived boolean"
-_EDGE = "type string, src string, dst string, evidence_kind string, resolution string, line_start int, line_end int, value string, operator string, expression string, condition_text string, predicate_text string, join_kind string, direction string, output_kind string, materialized boolean, dbms string, sheet string, getnames string, dataset_name string, template_derived boolean, derivation_refs array<string>"
+_NODE = "id string, type string, label string, pattern string, by_vars array<string>, by_directions array<string>, usable_for_static_resolution boolean, where_condition string, value string, sort_option string, cardinality_effect string, sql_subtype string, keep_vars array<string>, drop_vars array<string>, rename_map map<string,string>, branch_text array<string>, row_allocation_inferred boolean, status string, branches array<string>, candidate_text string, template_derived boolean"
+_EDGE = "type string, src string, dst string, evidence_kind string, resolution string, line_start int, line_end int, value string, operator string, expression string, condition_text string, predicate_text string, join_kind string, direction string, output_kind string, materialized boolean, dbms string, sheet string, getnames string, dataset_name string, macro_name string, template_derived boolean, derivation_refs array<string>"
 _FINDING = "type string, status string, severity string, object string, message string, line_start int, affected_nodes array<string>"
 
 

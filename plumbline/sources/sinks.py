@@ -121,15 +121,17 @@ def graph_json(nodes: DataFrame, edges: DataFrame, findings: DataFrame, run: str
 
 
 def diagram_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a Mermaid flow chart.  An edge out of a parameter starts at the call that passes it."""
+    """Lines of a Mermaid flow chart.  An edge out of a parameter starts at the call that passes it; what a contract tells is dashed."""
+    if "evidence_kind" not in edges.columns:
+        edges = edges.withColumn("evidence_kind", F.lit(None).cast("string"))
     kept = nodes.where(F.col("type").isin(*SHOWN)).select("id", "label", "type")
     hop = edges.where("type = 'passes_parameter'").select(F.col("dst").alias("param"), F.col("src").alias("call"))
     drawn = edges.where(F.col("type").isin(*DRAWN, "resolves_to") & (F.col("type") != "passes_parameter")).join(hop, F.col("src") == F.col("param"), "left")
-    ends = drawn.select(F.coalesce("call", "src").alias("a"), F.col("dst").alias("b"), "type")
+    ends = drawn.select(F.coalesce("call", "src").alias("a"), F.col("dst").alias("b"), "type", F.when(F.col("evidence_kind") == "CONTRACT_DERIVED", " -.->|").otherwise(" -->|").alias("arrow"))
     for end in ("a", "b"):
         ends = ends.join(kept.select(F.col("id").alias("k")), F.col(end) == F.col("k"), "left_semi")
     boxes = kept.select(F.lit(0).alias("part"), F.concat(diagram_id(F.col("id")), F.lit('["'), F.replace("label", F.lit('"'), F.lit("'")), F.lit('"]')).alias("line"))
-    return boxes.unionByName(ends.select(F.lit(1).alias("part"), F.concat(diagram_id(F.col("a")), F.lit(" -->|"), "type", F.lit("| "), diagram_id(F.col("b"))).alias("line"))).distinct()
+    return boxes.unionByName(ends.select(F.lit(1).alias("part"), F.concat(diagram_id(F.col("a")), "arrow", "type", F.lit("| "), diagram_id(F.col("b"))).alias("line"))).distinct()
 
 
 def diagram(nodes: DataFrame, edges: DataFrame) -> str:

@@ -188,5 +188,7 @@ def test_contracts(spark):
     found = contracts.read_contracts(spark.createDataFrame([("p", doc), ("q", "no heading")], "path string, text string"))
     rows = {r["path"]: r for r in found.collect()}
     assert rows["p"]["macro"] == "gm_x" and rows["p"]["parameters"]["data"]["required"] and rows["p"]["examples"] == ["%gm_x(data=a)"] and rows["q"]["errors"]
+    deep = contracts.parse("p", doc + "%gm_x(data=%str(a(b(c)))), out=')') and %gm_x(data='(') then %gm_x(open")
+    assert deep["examples"] == ["%gm_x(data=a)", "%gm_x(data=%str(a(b(c))))", "%gm_x(data='(')"]
     calls = spark.createDataFrame([("c", "gm_x", "out"), ("c", "gm_x", "zz")], "call string, macro string, name string")
     assert {(r["name"], r["state"]) for r in contracts.match_parameters(calls, found).collect()} == {("data", "missing"), ("out", "matched"), ("zz", "unknown")}
