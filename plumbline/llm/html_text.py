@@ -5,7 +5,7 @@ sequence of leaves, each as a vector of its tag path (tags and the words of clas
 its hashed words and a few figures, and labels every leaf as main text or not with the whole page as
 context.  It is trained here, on pages that ``training_page`` composes from a seed: articles between menus,
 headers, sidebars, notices, adverts, forms, comments and footers in many styles of markup.  Weights
-depend on nothing but that seed, so every run labels alike.
+depend on nothing but that seed, so every run labels alike; they are kept as a table in the shared folder.
 
 Comments, scripts and styles hold no text.  Character references are decoded, white space in a leaf becomes
 one space, leaves are trimmed, empty ones dropped, and the kept ones joined by one line feed.  Null and
@@ -15,14 +15,18 @@ give the same text; extra columns are carried along, replaced where they share a
 
 from __future__ import annotations
 
+import hashlib
 import html
+import inspect
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -301,7 +305,8 @@ def training_page(rng: np.random.Generator) -> str:
     word = lambda: "".join(pick(_SYLLABLES) for _ in range(rng.integers(1, 4)))
 
     def say(low: int, high: int) -> str:
-        text = " ".join(word() for _ in range(int(rng.integers(low, high))))
+        few = [word() for _ in range(rng.integers(1, 4))] if rng.random() < 0.1 else None  # a text may say the same over and over
+        text = " ".join(pick(few) if few else word() for _ in range(int(rng.integers(low, high))))
         return (text.capitalize() if rng.random() < 0.8 else text.upper()) + pick([".", ".", ".", "", "!", " | ", "?"])
 
     def close(opening: str) -> str:
@@ -394,6 +399,24 @@ def trained(seed: int = 10, pages: int = 1000, epochs: int = 9) -> Labeller:
     return net
 
 
+def weights(spark: SparkSession, seed: int = 10, pages: int = 1000, epochs: int = 9) -> dict[str, np.ndarray]:
+    """The weights of trained(), learnt once for a shared folder: stored there under a name that tells of this file's own text, seed and sizes.
+
+    The table is one file, so it is there whole or not at all; whoever comes second reads it, and both have learnt the same."""
+    own = hashlib.sha256(f"{inspect.getsource(sys.modules[__name__])} {seed} {pages} {epochs}".encode()).hexdigest()[:24]
+    path = f"{tables.shared_dir(spark)}/plumbline-labeller-{own}"
+    schema = "name string, shape array<int>, body binary"
+    try:
+        rows = spark.read.schema(schema).parquet(path).collect()
+    except AnalysisException:  # not there yet
+        rows = []
+    if rows:
+        return {r["name"]: np.frombuffer(r["body"], np.float32).reshape(r["shape"]) for r in rows}
+    made = trained(seed, pages, epochs).w
+    spark.createDataFrame([(k, list(v.shape), v.astype(np.float32).tobytes()) for k, v in made.items()], schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return made
+
+
 def extract(pages: list[str | None], net: Labeller) -> list[str]:
     cut = [leaves(p or "") for p in pages]
     flat = vectors([leaf for own in cut for leaf in own])
@@ -404,7 +427,7 @@ def extract(pages: list[str | None], net: Labeller) -> list[str]:
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html, with text and n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(trained().w)
+    shared = pages.sparkSession.sparkContext.broadcast(weights(pages.sparkSession))
     kept = [f for f in pages.schema if f.name not in (column, "text", "n_chars")]
     added = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + added)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality, ranked_search, vector_codes
+from plumbline.llm import html_text, quality, ranked_search, tables, vector_codes
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PLAIN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,3 +247,26 @@ def test_ranges_below_the_threshold_are_not_scored(spark, monkeypatch):
 def test_kept_vectors_digest():
     books = [np.array([[1, -2], [3, 4]]), np.array([[5, 6], [7, 8]])]
     assert vector_codes.digest(books) == hashlib.sha256(b"1,-2,3,4,5,6,7,8").hexdigest()
+
+
+# ---- pages
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_main_text_of_every_given_page(spark, sf):
+    """The given pages have one article each; what it holds, and no more, is main text."""
+    path = str(DATA / sf)
+    got = {r["page_id"]: r for r in html_text.op10_html_text(spark, path).collect()}
+    rows = spark.read.parquet(f"{path}/pages.parquet").select("page_id", "html").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        want = "\n".join(leaf.text for leaf in html_text.leaves(r["html"] or "") if "article" in leaf.path)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want)), r["page_id"]
+
+
+def test_weights_are_learnt_once_for_a_folder(spark, monkeypatch):
+    first = html_text.weights(spark)
+    monkeypatch.setattr(html_text, "trained", lambda *a: pytest.fail("learnt again"))
+    again = html_text.weights(spark)
+    assert set(first) == set(again) and all((first[k] == again[k]).all() for k in first)
+    assert tables.shared_dir(spark)
