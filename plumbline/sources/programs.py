@@ -58,18 +58,23 @@ def _readable(paths: DataFrame) -> DataFrame:
 
 @dataclass
 class Snapshot:
-    """The texts of a run, read once: every stage has them from here.  files: path, text, sha256, n_bytes; folders: path."""
+    """The texts of a run, read once: every stage has them from here.  files: path, text, sha256, n_bytes; folders: path; roots with glob, and
+    extra, the files read beside these: where files are from."""
 
     files: DataFrame
     folders: DataFrame
+    roots: list[str]
+    glob: str
+    extra: list[str]
 
     def check(self) -> None:
         """Reads the same files again; raises SourceChanged where one is gone or has other bytes."""
         check_unchanged(self.files)
         spark = self.files.sparkSession
-        paths = [r["path"] for r in self.files.select("path").toLocalIterator()]
         try:
-            now = read_sources(spark, *paths, glob="*").select("path", F.col("sha256").alias("now"))
+            now = _readable(read_sources(spark, *self.roots, glob=self.glob))
+            now = now.unionByName(read_sources(spark, *self.extra, glob="*")) if self.extra else now
+            now = now.select("path", F.col("sha256").alias("now"))
             other = self.files.join(now, "path", "left").where("now IS NULL OR now <> sha256").limit(1).collect()
         except Exception as error:  # the reader's own error for a file that is gone
             if "PATH_NOT_FOUND" in str(error) or "FileNotFound" in str(error) or "FILE_NOT_EXIST" in str(error):
@@ -87,20 +92,19 @@ def snapshot(spark: SparkSession, roots: list[str], named: list[str] = (), glob:
     listed = settled(listed)
     files = settled(_readable(read_sources(spark, *roots, glob=glob)))
     fresh = files
-    missing = [x for x in named if files.where(F.col("path") == x).isEmpty()]
-    if missing:
-        fresh = settled(read_sources(spark, *missing, glob="*"))
-        files = files.unionByName(fresh)
-        fresh = files
+    declared = spark.createDataFrame([(x,) for x in named], "path string")
+    extra = [r["path"] for r in declared.join(files.select("path"), "path", "left_anti").collect()]
+    if extra:
+        files = fresh = files.unionByName(settled(read_sources(spark, *extra, glob="*")))
     while True:
         asked = include_links(fresh).select(F.col("target").alias("path")).distinct()
         wanted = [r["path"] for r in asked.join(listed, "path", "left_semi").join(files.select("path"), "path", "left_anti").toLocalIterator()]  # names of included files
         if not wanted:
             break
         fresh = settled(read_sources(spark, *wanted, glob="*"))
-        files = files.unionByName(fresh)
+        files, extra = files.unionByName(fresh), extra + wanted
     parents = F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), k -> array_join(slice(split(path, '/'), 1, k), '/'))")
-    return Snapshot(settled(files), settled(listed.select(F.explode(parents).alias("path")).distinct()))
+    return Snapshot(settled(files), settled(listed.select(F.explode(parents).alias("path")).distinct()), list(roots), glob, extra)
 
 
 def statements(sources: DataFrame) -> DataFrame:
