@@ -19,13 +19,13 @@ BITS = 1 << 27
 CHUNK = 1 << 21
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray, size: int = BITS) -> np.ndarray:
     h = mix(keys.astype(U64) ^ U64(0xD6E8FEB86659FD93))
-    return np.stack([h & U64(BITS - 1), (h >> U64(32)) & U64(BITS - 1)]).astype(np.int64)
+    return np.stack([h & U64(size - 1), (h >> U64(32)) & U64(size - 1)]).astype(np.int64)
 
 
-def build(keys: DataFrame, column: str) -> np.ndarray:
-    """The filter as 16 MB of bits."""
+def build(keys: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """The filter as bits, so many as size, a power of two and CHUNK at least: 16 MB where it is not given."""
 
     def chunk(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(CHUNK, np.uint8)
@@ -34,16 +34,16 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_places(batch.column(0).to_numpy().view(U64)))
+            at = np.unique(_places(batch.column(0).to_numpy().view(U64), size))
             yield pa.RecordBatch.from_arrays([pa.array((at // CHUNK).astype(np.int32)), pa.array((at % CHUNK).astype(np.int32))], ["chunk", "bit"])
 
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     spread_out = keys.select(F.col(column).cast("long")).mapInArrow(spread, "chunk int, bit int")
-    for r in spread_out.groupBy("chunk").applyInPandas(chunk, "chunk int, bits binary").toLocalIterator():  # BITS / CHUNK rows
+    for r in spread_out.groupBy("chunk").applyInPandas(chunk, "chunk int, bits binary").toLocalIterator():  # size / CHUNK rows
         out[r["chunk"] * (CHUNK // 8) : (r["chunk"] + 1) * (CHUNK // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def passing(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _places(keys)
+    at = _places(keys, 8 * len(marks))
     return ((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(0)

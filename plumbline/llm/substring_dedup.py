@@ -38,6 +38,7 @@ from .words import PLAIN, U64, Words, by_bytes, gram_hashes, mix, powers, ranges
 
 WINDOW = 35
 GRAM = 8
+HOT_BITS = 1 << 22  # of the filter of such keys: half a megabyte
 HOT_LEAST = 20_000  # segments of a key beyond which its windows are dealt one by one
 SHARD_SEGMENTS = 12_000
 ADDED = ["n_words", "n_removed", "kept"]
@@ -298,7 +299,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     keys = tables.stored(_keys(plain, size))
     n = keys.agg(F.sum("n")).first()[0] or 0
     # a filter of fixed size too: a key that passes it by chance is dealt window by window as well, by every task alike
-    hot = marks.build(keys.where(F.col("n") > HOT_LEAST), "key")
+    hot = marks.build(keys.where(F.col("n") > HOT_LEAST), "key", HOT_BITS)
     shards = max(1, -(-n // SHARD_SEGMENTS))
     covered = _covered(_passing(plain, size, marks.build(keys, "key"), hot, shards), size)
     spans = covered.groupBy(F.col("doc_id").alias("s_id"), F.col("hashed").alias("s_hashed")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # repeated rows have the same
