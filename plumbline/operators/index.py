@@ -1,9 +1,9 @@
 """A graph's adjacency, stored once for many queries.
 
-Every edge stands in two tables with the type of its far end: `out`, dealt into ranges of its source and sorted by it, and `into`,
-the same by its destination.  A level of a walk asks for the edges at its frontier: few ids go to the scan as a filter, whose row groups'
-least and greatest ids leave most of a sorted table unread; more are broadcast; beyond a counted size the two meet by key.  No query over
-an index writes edges again.
+Every edge stands in two tables with the type of its far end: `out`, in buckets by its source and sorted by it, and `into`,
+the same by its destination.  A level of a walk asks for the edges at its frontier: few ids go to the scan as a filter, which opens only their
+buckets; more are broadcast; beyond a counted size the frontier alone is dealt to the buckets.  No query over an index writes or shuffles
+edges that it does not reach.
 
 A walk whose levels stay small asks once a level and settles it where it is asked: up to ``HELD`` edges a level and as many nodes in all.
 One that grows beyond starts again as joins of tables, with the same result.
@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..sources.store import settled
+from ..sources.store import parts_of, settled_by
 
 FEW = 1_000  # ids that a scan filters by
 SMALL = 100_000  # ids that are broadcast, some 10 MB
@@ -36,21 +36,30 @@ class GraphIndex:
         return (self.into, "dst", "src") if upstream else (self.out, "src", "dst")
 
 
-def _typed(nodes: DataFrame, edges: DataFrame, other: str) -> DataFrame:
-    more = [(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in CARRIED.items()]
-    far = nodes.select(F.col("id").alias("n_id"), F.col("type").alias("far_type"))
-    return edges.select("id", "type", "src", "dst", *more).join(far, F.col(other) == F.col("n_id"), "left").drop("n_id")
+def _typed(kinds: DataFrame, edges: DataFrame, end: str) -> DataFrame:
+    """edges with the type of an end; they are dealt by it and meet the buckets of the kinds, which stay."""
+    far = kinds.select(F.col("id").alias("n_id"), F.col("type").alias(f"{end}_type")).hint("shuffle_hash")
+    return edges.join(far, F.col(end) == F.col("n_id"), "left").drop("n_id")
 
 
-def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None, cached: bool = False) -> GraphIndex:
+def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None, cached: bool = False, ways: tuple[str, ...] = ("downstream", "upstream")) -> GraphIndex:
     """nodes: id, type; edges: id, type, src, dst and any of CARRIED.  Of repeated node ids the least type counts.
 
-    parts: ranges of a table, by default the session's shuffle partitions; cached: kept by the executors besides, in memory or on their disks, for a
-    session that asks much.  A lost executor's share is read from the stored tables again."""
+    parts: buckets of a table, by default the session's shuffle partitions; cached: kept by the executors besides, in memory or on their disks, for a
+    session that asks much.  A lost executor's share is read from the stored tables again.  ways: the sides that are stored; for both an edge travels
+    three times, by its destination, by its source and back."""
     parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = settled(nodes.groupBy("id").agg(F.min("type").alias("type")))
-    sides = [settled(_typed(kinds, edges, other).repartitionByRange(parts, near, "id").sortWithinPartitions(near, "id")) for near, other in (("src", "dst"), ("dst", "src"))]
-    made = GraphIndex(kinds, *sides)
+    kinds = settled_by(nodes.select("id", "type").repartition(parts, "id").groupBy("id").agg(F.min("type").alias("type")), parts, "id")
+    more = [(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in CARRIED.items()]
+    edges, out, into = edges.select("id", "type", "src", "dst", *more), None, None
+    if "downstream" in ways:
+        typed = _typed(kinds, edges, "dst")
+        typed = _typed(kinds, typed, "src") if "upstream" in ways else typed.repartition(parts, "src")
+        out = settled_by(typed, parts, "src", "id")
+    if "upstream" in ways:
+        into = settled_by((_typed(kinds, edges, "src") if out is None else out.drop("dst_type")).repartition(parts, "dst"), parts, "dst", "id")
+    out = out and out.drop("src_type").withColumnRenamed("dst_type", "far_type")
+    made = GraphIndex(kinds, out, into and into.withColumnRenamed("src_type", "far_type"))
     if cached:
         for df in (made.nodes, made.out, made.into):
             df.persist(StorageLevel.MEMORY_AND_DISK).count()
@@ -58,9 +67,8 @@ def build(nodes: DataFrame, edges: DataFrame, parts: int | None = None, cached:
 
 
 def once(nodes: DataFrame, edges: DataFrame, *ways: str) -> GraphIndex:
-    """An index for one query: the sides of the given ways alone, upstream or downstream, stored but not sorted."""
-    nodes = nodes.groupBy("id").agg(F.min("type").alias("type"))
-    return GraphIndex(nodes, *[settled(_typed(nodes, edges, other)) if way in ways else None for way, other in (("downstream", "dst"), ("upstream", "src"))])
+    """An index for one query: the sides of the given ways alone, upstream or downstream.  Edges are counted first, so they should be a stored table."""
+    return build(nodes, edges, parts_of(edges.sparkSession, edges.count()), ways=ways)
 
 
 def held(edges: DataFrame, near: str, names: list[str]) -> list[Row] | None:
@@ -74,4 +82,4 @@ def held(edges: DataFrame, near: str, names: list[str]) -> list[Row] | None:
 
 def at(edges: DataFrame, near: str, frontier: DataFrame, key: str, count: int) -> DataFrame:
     """The edges whose near end is a key of the frontier, with the frontier's columns; count: its rows."""
-    return edges.join(F.broadcast(frontier) if count <= SMALL else frontier, F.col(near) == F.col(key))
+    return edges.join(F.broadcast(frontier) if count <= SMALL else frontier.hint("shuffle_hash"), F.col(near) == F.col(key))

@@ -116,8 +116,9 @@ def _(spark, d):
 
 
 def _traced(spark, d, start, direction, depth=20, limit=None):
-    nodes, edges = lineage(spark, d)
-    return trace.trace_lineage(settled(nodes), settled(edges), start, direction, depth, limit)
+    ways = ("upstream", "downstream") if direction == "both" else (direction,)
+    stored = index.build(*lineage(spark, d), star_graph.lineage_parts(spark, d), ways=ways)
+    return trace.trace_lineage(stored.nodes, None, start, direction, depth, limit, stored)
 
 
 @query("trace_downstream", oracle.trace(PART, "downstream", 40))
@@ -171,7 +172,7 @@ _UP = "up(node, hop) AS (SELECT '{0}', 0 UNION SELECT e.src, hop + 1 FROM up JOI
 )
 def _(spark, d):
     """Two walks over one index; neither writes edges."""
-    stored = index.build(*lineage(spark, d))
+    stored = index.build(*lineage(spark, d), star_graph.lineage_parts(spark, d))
     down, up = (trace.trace_lineage(stored.nodes, None, start, way, 20, None, stored).nodes for start, way in ((PART, "downstream"), (REGION, "upstream")))
     return down.unionByName(up).select("id", "direction", "hop")
 

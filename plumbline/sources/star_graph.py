@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import parts_of, table
 
 
 def _id(prefix: str, key: str) -> Column:
@@ -24,9 +24,17 @@ def _edges(df: DataFrame, name: Column, kind: str, src: Column, dst: Column, fla
     return df.select(name.alias("id"), F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"), (flag if flag is not None else F.lit("N")).alias("flag"))
 
 
+def lineage_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Among how many tasks the lineage edges are dealt; the tables' own counts tell it."""
+    rows = {n: table(spark, sf_dir, n).count() for n in ("lineitem", "orders", "customer")}
+    return parts_of(spark, rows["lineitem"] + 2 * rows["orders"] + 2 * rows["customer"])
+
+
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, type, src, dst, flag); flag is the greatest return flag of the lines behind a part's edge."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.max("l_returnflag").alias("flag"))
+    # pairs hardly repeat, so they are dealt before they meet: nothing is gathered or sorted where a file is read
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag").repartition(lineage_parts(spark, sf_dir), "l_partkey", "l_orderkey")
+    lines = lines.groupBy("l_partkey", "l_orderkey").agg(F.max("l_returnflag").alias("flag"))
     orders, customer, nation, region = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
     parts = [
         _edges(lines, F.concat(_id("e:r:p", "l_partkey"), _id(":o", "l_orderkey")), "reads_dataset", _id("dataset:part.", "l_partkey"), _id("step:o", "l_orderkey"), F.col("flag")),

@@ -158,3 +158,23 @@ def test_as_of_with_a_second_history(spark):
         return max(((t, v) for k, t, v in history if k == key and t < at), default=(0, None))[1]
 
     assert {x["use"]: x["value"] for x in got.collect()} == {u: plain(k, t) for u, k, t in uses}
+
+
+def exchanges(df):
+    text = df._jdf.queryExecution().simpleString()
+    return sum("Exchange hashpartitioning" in line for line in text.splitlines()), text
+
+
+def test_a_large_frontier_meets_stored_edges_where_they_lie(spark):
+    nodes = spark.range(60).selectExpr("concat('n', id) AS id", "'Step' AS type")
+    edges = spark.range(200).selectExpr("concat('e', id) AS id", "'reads_dataset' AS type", "concat('n', id % 60) AS src", "concat('n', id * 7 % 60) AS dst")
+    made = index.build(nodes, edges, 4)
+    front = nodes.where("id < 'n3'").select(F.col("id").alias("f_id"))
+    for up in (False, True):
+        side, here, there = made.side(up)
+        met = index.at(side, here, front, "f_id", index.SMALL + 1)
+        assert exchanges(met)[0] == 1, exchanges(met)[1]  # the frontier's alone
+        want = {(r["id"], r[here]) for r in edges.collect() if r[here] < "n3"}
+        assert {(r["id"], r[here]) for r in met.collect()} == want
+        assert side.where("far_type IS NULL").count() == 0 and side.count() == 200
+    assert made.out.columns == made.into.columns
