@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,6 +181,8 @@ def _context(programs: DataFrame, library: DataFrame | None, folders: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+SHARE = 500  # programs of a task, about; their rows are few, so their bytes do not tell how long they take
+BATCH = 5_000  # facts that a task hands on together
 FACT = "program string, rank int, place int, kind string, body string"
 
 
@@ -216,20 +219,30 @@ def facts(
         for batch in batches:
             yield pd.DataFrame([x for path, text, rank in batch.itertuples(index=False) for x in rows(path, rank, text or "")], columns=columns)
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        main = group[group["role"] == "main"].iloc[0]
-        of = lambda role: [(p, None if pd.isna(t) else t) for p, t in sorted(group[group["role"] == role][["path", "text"]].itertuples(index=False), key=lambda r: r[0])]
-        sites: dict[str, list] = {}
-        for path, text in of("macro"):
-            for d in in_file(path, text or ""):
-                sites.setdefault(d.name, []).append(d)
-        documents = [json.loads(text) for _, text in of("contract")]
-        found = rows(main["program"], int(main["rank"]), main["text"] or "", files=dict(of("include")), macros=sites, contracts={d["macro"]: d for d in documents})
-        return pd.DataFrame(found, columns=columns)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Programs one after the other, as the sort leaves them; a program may go over several batches."""
+        out: list[tuple] = []
+        lines = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        for (path, rank), group in groupby(lines, key=lambda r: r[:2]):
+            some: dict[str, list] = {}
+            for _, _, role, at, text in group:
+                some.setdefault(role, []).append((at, None if pd.isna(text) else text))
+            of = lambda role: sorted(some.get(role, []), key=lambda r: r[0])  # noqa: B023, E731
+            sites: dict[str, list] = {}
+            for at, text in of("macro"):
+                for d in in_file(at, text or ""):
+                    sites.setdefault(d.name, []).append(d)
+            documents = [json.loads(text) for _, text in of("contract")]
+            out += rows(path, int(rank), some["main"][0][1] or "", files=dict(of("include")), macros=sites, contracts={d["macro"]: d for d in documents})
+            if len(out) >= BATCH:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     if library is None and macros is None and contracts is None:
         return programs.mapInPandas(alone, FACT)
-    return _context(programs, library, folders, macros, contracts).groupBy("program", "rank").applyInPandas(whole, FACT)
+    dealt = _context(programs, library, folders, macros, contracts).select("program", "rank", "role", "path", "text").repartition(max(1, -(-programs.count() // SHARE)), "program", "rank")
+    return dealt.sortWithinPartitions("program", "rank").mapInPandas(whole, FACT)
 
 
 def carried(found: DataFrame) -> Carried:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.sources import contracts, programs, sinks, sqltree
 from plumbline.sources.facts import Program, macro_sites
@@ -192,3 +193,15 @@ def test_contracts(spark):
     assert deep["examples"] == ["%gm_x(data=a)", "%gm_x(data=%str(a(b(c))))", "%gm_x(data='(')"]
     calls = spark.createDataFrame([("c", "gm_x", "out"), ("c", "gm_x", "zz")], "call string, macro string, name string")
     assert {(r["name"], r["state"]) for r in contracts.match_parameters(calls, found).collect()} == {("data", "missing"), ("out", "matched"), ("zz", "unknown")}
+
+
+def test_programs_with_includes_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(programs, "SHARE", 2)
+    monkeypatch.setattr(programs, "BATCH", 3)
+    own = spark.range(9).selectExpr("concat('/p/', id, '.sas') AS path", "concat('%include ''a.sas''; data o', id, '; set &b; run;') AS text")
+    library = spark.createDataFrame([("/p/a.sas", "%let b = raw.x;")], "path string, text string")
+    found = programs.facts(own, library=library, roots=["/p"])
+    assert found.rdd.getNumPartitions() == 5 and "FlatMapGroupsInPandas" not in found._jdf.queryExecution().simpleString()
+    edges = found.where("kind = 'edge'").select(F.from_json("body", "type string, src string, dst string").alias("b")).select("b.*")
+    assert {r["dst"] for r in edges.where("type = 'writes_dataset'").collect()} == {f"dataset:work.o{k}" for k in range(9)}
+    assert edges.where("src = 'dataset:raw.x'").count() == 9
