@@ -109,7 +109,8 @@ def render_model(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     arrow = F.lit(None).cast("string")
     for kind, head in ARROWS.items():
         arrow = F.when(F.col("type") == kind, head).otherwise(arrow)
-    out = drawn.select("id", "src", "dst", "type")
+    # named are the drawn nodes alone, so these joins leave what render_rows leaves and no edge travels for that besides
+    out = edges.select("id", "src", "dst", "type")
     for end in ("src", "dst"):
         out = out.join(named.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
     return shown, out.select("id", "src", "dst", "type", arrow.alias("arrow"), _title().alias("title"))

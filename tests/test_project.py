@@ -135,3 +135,11 @@ def test_views(spark):
     assert [len(r["ids"]) for r in view.source_index(nodes).collect()] == [5]
     assert view.inline_json({"a": "</script>"}) == '{"a":"\\u003c/script>"}' and view.inside_root("/a/", "/a/b") and not view.inside_root("/a", "/a/../b") and not view.inside_root("/a", "/ab")
     assert view.with_capability(None) == ["dataset_lineage", "variable_lineage", "evidence_v1"] == view.with_capability(view.with_capability(None))
+
+
+def test_drawn_edges_travel_once_an_end(spark):
+    nodes = spark.createDataFrame([("a", "Dataset", "A"), ("s", "Step", None), ("c", "CommentBlock", "C"), ("s", "Step", "again")], "id string, type string, label string")
+    rows = [("e1", "reads_dataset", "a", "s"), ("e2", "writes_dataset", "s", "a"), ("e3", "documents", "c", "a"), ("e4", "reads_dataset", "gone", "s")]
+    drawn = view.render_model(nodes, spark.createDataFrame(rows, "id string, type string, src string, dst string"))[1]
+    assert sorted((r["id"], r["title"]) for r in drawn.collect()) == [("e1", "reads A"), ("e1", "reads A"), ("e2", "writes A"), ("e2", "writes A")]
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
