@@ -71,10 +71,15 @@ def by_type(records: DataFrame) -> DataFrame:
     return records.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges at each node, one at least."""
-    ends = edges.select(F.col("src").alias("e")).union(edges.select("dst")).groupBy("e").agg(F.count("*").alias("n"))
-    return nodes.join(ends, F.col("id") == F.col("e"), "left").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("degree"))
+def _dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Dealt among a counted number of tasks, which small rows in many do not bring together again; without a count as joins deal them."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def degrees(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges at each node, one at least.  parts: among how many tasks nodes and edges are dealt."""
+    ends = _dealt(edges.select(F.col("src").alias("e")).union(edges.select("dst")), parts, "e").groupBy("e").agg(F.count("*").alias("n"))
+    return _dealt(nodes.select("id"), parts, "id").join(ends, F.col("id") == F.col("e"), "left").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("degree"))
 
 
 def run_status(findings: DataFrame, *by: str) -> DataFrame:
@@ -195,10 +200,11 @@ def resolution_path(refs: DataFrame, nodes: DataFrame, edges: DataFrame, finding
 # ---- validation and normalisation
 
 
-def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def problems(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(section, object, problem) of every record that breaks a rule.
 
-    nodes: id, type, label, pos; edges: id, type, src, dst, evidence_kind, resolution, confidence, pos."""
+    nodes: id, type, label, pos; edges: id, type, src, dst, evidence_kind, resolution, confidence, pos.
+    parts: among how many tasks nodes and edges are dealt."""
     spark = nodes.sparkSession
     kinds = spark.createDataFrame([(t,) for t in vocabulary.NODE_TYPES], "t string")
     edge_kinds = spark.createDataFrame([(t,) for t in vocabulary.EDGE_TYPES], "t string")
@@ -206,8 +212,9 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def say(df: DataFrame, section: str, problem: str) -> DataFrame:
         return df.select(F.lit(section).alias("section"), F.col("id").alias("object"), F.lit(problem).alias("problem"))
 
-    twice = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where("nth > 1")
-    ends = nodes.groupBy(F.col("id").alias("n_id")).agg(F.min_by("type", "pos").alias("n_type"))
+    twice = _dealt(nodes, parts, "id").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where("nth > 1")
+    ends = _dealt(nodes.select(F.col("id").alias("n_id"), "type", "pos"), parts, "n_id").groupBy("n_id").agg(F.min_by("type", "pos").alias("n_type"))
+    ends = ends.hint("shuffle_hash") if parts else ends
     found = [
         say(nodes.where("id IS NULL OR type IS NULL OR label IS NULL"), "nodes", "missing key"),
         say(nodes.join(F.broadcast(kinds), F.col("type") == F.col("t"), "left_anti").where("type IS NOT NULL"), "nodes", "unknown type"),
@@ -219,10 +226,10 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         say(edges.where("evidence_kind = 'UNKNOWN' AND confidence IS NOT NULL"), "edges", "unknown evidence with confidence"),
     ]
     for end in ("src", "dst"):
-        found.append(say(edges.where(F.col(end).isNotNull()).join(ends, F.col(end) == F.col("n_id"), "left_anti"), "edges", f"dangling {end}"))
+        found.append(say(_dealt(edges.where(F.col(end).isNotNull()).select("id", end), parts, end).join(ends, F.col(end) == F.col("n_id"), "left_anti"), "edges", f"dangling {end}"))
     typed = edges.join(F.broadcast(edge_kinds), F.col("type") == F.col("t"), "left_semi")
     for end in ("src", "dst"):
-        typed = typed.join(ends.select(F.col("n_id").alias(f"{end}_id"), F.col("n_type").alias(f"{end}_type")), F.col(end) == F.col(f"{end}_id"))
+        typed = _dealt(typed.select("id", "type", "src", "dst", *[c for c in typed.columns if c == "src_type"]), parts, end).join(ends.select(F.col("n_id").alias(f"{end}_id"), F.col("n_type").alias(f"{end}_type")), F.col(end) == F.col(f"{end}_id"))
     legal = F.broadcast(vocabulary.pairs_table(spark))
     found.append(say(typed.join(legal, (F.col("type") == F.col("edge_type")) & (F.col("src_type") == F.col("from_type")) & (F.col("dst_type") == F.col("to_type")), "left_anti"), "edges", "illegal endpoints"))
     return reduce(DataFrame.unionByName, found)

@@ -131,22 +131,24 @@ def adjacency(edges: DataFrame, direction: str = "out") -> DataFrame:
 CHUNK = 4096  # ids in a row of a long list
 
 
-def adjacency_chunks(edges: DataFrame, direction: str = "out", size: int = CHUNK) -> DataFrame:
+def adjacency_chunks(edges: DataFrame, direction: str = "out", size: int = CHUNK, parts: int | None = None) -> DataFrame:
     """(node, type, chunk, edges): the same lists cut into rows of at most so many ids, in order, so a hub makes many rows and no long one.
 
     Edges are dealt into ranges of (node, type, id) and sorted there; an edge's place in its list is its place in its range behind what
-    earlier ranges hold of the list.  What a range holds of a list is a row, so the ranges of a hub are numbered from these alone."""
+    earlier ranges hold of the list.  What a range holds of a list is a row, so the ranges of a hub are numbered from these alone.  parts: how many ranges, by default
+    the session's shuffle partitions."""
     end = {"out": "src", "in": "dst"}[direction]
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = edges.select(F.col(end).alias("node"), "type", "id").repartitionByRange(parts, "node", "type", "id").sortWithinPartitions("node", "type", "id")
     dealt = settled(dealt.withColumn("part", F.spark_partition_id()))
     held = dealt.groupBy("node", "type", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("node", "type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.select("node", "type", "part", before.alias("before"))
     own = F.row_number().over(Window.partitionBy("node", "type", "part").orderBy("id"))
-    placed = dealt.withColumn("own", own).join(held, ["node", "type", "part"])
+    placed = dealt.repartition(parts, "node", "type", "part").withColumn("own", own).join(held, ["node", "type", "part"])
     chunk = F.floor((F.col("before") + F.col("own") - 1) / size)
-    return placed.groupBy("node", "type", chunk.cast("int").alias("chunk")).agg(F.sort_array(F.collect_list("id")).alias("edges"))
+    placed = placed.select("node", "type", chunk.cast("int").alias("chunk"), "id").repartition(parts, "node", "type", "chunk")
+    return placed.groupBy("node", "type", "chunk").agg(F.sort_array(F.collect_list("id")).alias("edges"))
 
 
 def source_index(nodes: DataFrame) -> DataFrame:

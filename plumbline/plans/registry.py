@@ -68,7 +68,7 @@ def _(spark, d):
     f"WITH {oracle.E}, {oracle.N}, ends AS (SELECT src AS e FROM edges UNION ALL SELECT dst FROM edges), c AS (SELECT e, count(*) AS n FROM ends GROUP BY e) SELECT id, greatest(coalesce(n, 0), 1) AS degree FROM nodes LEFT JOIN c ON id = e",
 )
 def _(spark, d):
-    return graph.degrees(*lineage(spark, d))
+    return graph.degrees(*lineage(spark, d), star_graph.lineage_parts(spark, d))
 
 
 @query("node_projection", f"WITH {oracle.N} SELECT id, type, label FROM nodes")
@@ -339,7 +339,7 @@ def _faulty(spark, d):
     bad = s.select(F.concat(F.lit("b:"), key).alias("id"), F.when(F.col("s_suppkey") % 4 == 0, "guesses").otherwise("reads_dataset").alias("type"), F.lit(PART).alias("src"), F.when(F.col("s_suppkey") % 2 == 0, "nowhere").otherwise("dataset:region.1").alias("dst"))
     bad = bad.select("*", F.when(F.substring("id", 3, 9).cast("long") % 7 == 0, "GUESS").otherwise("UNKNOWN").alias("evidence_kind"), F.lit("UNRESOLVED").alias("resolution"), F.lit(0.0).alias("confidence"))
     edges = with_evidence(edges).withColumn("confidence", F.lit(None).cast("double")).unionByName(bad)
-    return graph.problems(nodes, edges.withColumn("pos", F.lit(0)))
+    return graph.problems(nodes, edges.withColumn("pos", F.lit(0)), star_graph.lineage_parts(spark, d))
 
 
 _FAULTS = {
@@ -362,7 +362,7 @@ for _name, (_where, _sql) in _FAULTS.items():
 @query("validate_lineage_graph", "SELECT 'x' AS section, 'x' AS object, 'x' AS problem WHERE false")
 def _(spark, d):
     nodes, edges = lineage(spark, d)
-    return graph.problems(nodes.withColumn("pos", F.lit(0)), with_evidence(edges).withColumns({"confidence": F.lit(None).cast("double"), "pos": F.lit(0)}))
+    return graph.problems(nodes.withColumn("pos", F.lit(0)), with_evidence(edges).withColumns({"confidence": F.lit(None).cast("double"), "pos": F.lit(0)}), star_graph.lineage_parts(spark, d))
 
 
 @query("normalize_missing_evidence", "SELECT event_id AS id, CASE WHEN value > 50 THEN event_type ELSE 'UNKNOWN' END AS evidence_kind, CASE WHEN value > 50 THEN 'EXACT' ELSE 'NOT_ATTEMPTED' END AS resolution FROM events")

@@ -270,7 +270,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Incoming edges in rows of sixteen."""
-    return view.adjacency_chunks(lineage(spark, d)[1], "in", 16).select("node", "type", "chunk", F.size("edges").cast("long").alias("n"), F.concat_ws(",", "edges").alias("edges"))
+    return view.adjacency_chunks(lineage(spark, d)[1], "in", 16, star_graph.lineage_parts(spark, d)).select("node", "type", "chunk", F.size("edges").cast("long").alias("n"), F.concat_ws(",", "edges").alias("edges"))
 
 
 @query(

@@ -223,3 +223,14 @@ def test_explanation_follows_derivation_records(spark):
     assert [(r[1], r[4]) for r in got(1)] == [("f1", False), ("f2", True), ("call", False), ("def", True)]
     with pytest.raises(ValueError):
         graph.explanation(n, e, f, "none")
+
+
+def test_problems_and_degrees_dealt_by_a_count_are_the_same(spark):
+    nodes = spark.createDataFrame([("a", "Dataset", "A", 0), ("s", "Step", "S", 0), ("s", "Dataset", "again", 1)], "id string, type string, label string, pos int")
+    rows = [("e1", "reads_dataset", "a", "s"), ("e2", "reads_dataset", "a", "gone"), ("e3", "writes_dataset", "a", "s"), ("e4", "reads_dataset", None, "s")]
+    edges = spark.createDataFrame(rows, "id string, type string, src string, dst string")
+    full = edges.selectExpr("*", "'OBSERVED' AS evidence_kind", "'EXACT' AS resolution", "CAST(NULL AS DOUBLE) AS confidence", "0 AS pos")
+    told = [sorted(tuple(r) for r in graph.problems(nodes, full, parts).collect()) for parts in (None, 3)]
+    assert told[0] == told[1] and ("edges", "e2", "dangling dst") in told[1] and ("edges", "e3", "illegal endpoints") in told[1]
+    counted = [sorted(tuple(r) for r in graph.degrees(nodes, edges, parts).collect()) for parts in (None, 3)]
+    assert counted[0] == counted[1] == [("a", 3), ("s", 3), ("s", 3)]
